@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, packing, token_counts
+from . import fingerprints, ngram_join, packing, quality, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -27,12 +27,30 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
+    rows = docs.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "text")
+    return quality.score(rows, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
+    rows = docs.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "text")
+    return toxicity.score(rows, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     counted = token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"))
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return packed.drop("copy")
@@ -40,7 +58,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_quality": op2_quality,
+    "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
