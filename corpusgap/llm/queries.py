@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, packing, quality, token_counts, toxicity
+from . import fingerprints, ngram_join, packing, quality, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -34,6 +34,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(rows, model).withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 
 
+def op3_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 7) == 2
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(~held_out, F.lit(True)).alias("learn"), "text")
+    return suffix_tree_lm.suffix_tree_scores(rows, "learn", ["doc_id", "held_out"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, remainder("doc_id", 4) != 2)
@@ -59,6 +66,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality": op2_quality,
+    "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
     "op7_ngram_jaccard": op7_ngram_jaccard,
