@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, ngram_join, packing, quality, suffix_tree_lm, token_counts, toxicity
+from . import chat, fingerprints, neighbours, ngram_join, packing, quality, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -54,6 +54,30 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT_TOKENS)
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = F.lit("</s>[INST] ok [/INST]")
+    extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), told.alias("text"))
+    chains = chat.turn_chains(rows.unionByName(extra), "conv_id", "turn", "role", "text")
+    out = chat.chat_format(chains)
+    turns, loss = chat.read_turns(F.col("conversation")), chat.read_loss(F.col("conversation"), F.col("loss_spans"))
+    out = out.select("tree", "conversation", turns.alias("turns"), loss.alias("loss"))
+    spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return out.select(
+        F.col("tree").alias("conv_id"),
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(spoken.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("conversation").cast("long").alias("formatted_chars"),
+    )
+
+
+def op8_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter("vec_id % 20 = 0"), k=20)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
@@ -69,8 +93,29 @@ QUERIES = {
     "op3_suffix_tree_lm": op3_suffix_tree_lm,
     "op4_toxicity": op4_toxicity,
     "op5_token_counts": op5_token_counts,
+    "op6_chat_format": op6_chat_format,
+    "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_chat_format": """
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), written AS (
+  SELECT conv_id, turn, role, text,
+    length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '[', '&#91;'))
+    + length(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '[', '&#91;')) + 17 AS chars
+  FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(chars)::BIGINT AS formatted_chars
+FROM written GROUP BY conv_id
+""",
+}
