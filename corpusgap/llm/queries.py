@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neighbours, ngram_join, packing, quality, suffix_tree_lm, token_counts, toxicity
+from . import chat, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -82,6 +82,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"), width=4, num=85, den=100)
 
 
+def op9_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return packed.drop("copy")
@@ -96,6 +100,7 @@ QUERIES = {
     "op6_chat_format": op6_chat_format,
     "op8_hilbert_neighbours": op8_hilbert_neighbours,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op9_sentence_pieces": op9_sentence_pieces,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
