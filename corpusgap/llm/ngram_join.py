@@ -42,8 +42,6 @@ from .textkit import U64, Texts, chunks, mix64
 
 #: A signature group with more members left than this counts as shared by very many.
 HOT_MEMBERS = 64
-#: Rounds in which every member still pending is paired with one partner; then all that are pending are checked.
-PIVOT_ROUNDS = 3
 _BAND_BITS = 8
 
 
@@ -252,11 +250,9 @@ class _Join:
         rows = _labelled(_labelled(pairs, self.labels, "a", "label_a"), self.labels, "b", "label_b")
         return rows.filter("label_a <> label_b").drop("label_a", "label_b")
 
-    def work_off(self, pairs: DataFrame) -> None:
-        """Checks pairs (a, b, shared), each member against its likeliest partner first."""
-        for _ in range(PIVOT_ROUNDS):
-            if pairs.isEmpty():
-                return
+    def work_off(self, pairs: DataFrame, likeliest_first: bool) -> None:
+        """Checks pairs (a, b, shared); those whose members meet meanwhile need no check."""
+        if likeliest_first and not pairs.isEmpty():
             best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
             best = settle(best.select("a", "b"))
             self.check(best)
@@ -279,7 +275,7 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
     sets = settle(_sets(docs, ids.join(members, "print"), width))
     join = _Join(df.sparkSession, sets, num, den)
-    join.work_off(pairs)
+    join.work_off(pairs, likeliest_first=True)
     _rest(join, shared, digests, Bands(num, den))
     return _components(digests, join.labels)
 
@@ -297,7 +293,7 @@ def _rest(join: _Join, shared: DataFrame, digests: DataFrame, bands: Bands) -> N
         rows = settle(rows.join(mixed, "sig"))
         if not last:
             pairs = rows.filter("print <> a").groupBy("a", F.col("print").alias("b")).agg(F.count("*").alias("shared"))
-            join.work_off(settle(join.pending(pairs)))
+            join.work_off(settle(join.pending(pairs)), likeliest_first=False)
             rows = rows.filter("print <> a")
     hot = rows.filter(F.col("members") > HOT_MEMBERS)
     band = F.col("sig").bitwiseAND((1 << _BAND_BITS) - 1).alias("band")
@@ -310,7 +306,7 @@ def _rest(join: _Join, shared: DataFrame, digests: DataFrame, bands: Bands) -> N
     one = rows.select("sig", F.col("print").alias("a"), F.col("label").alias("label_a"))
     two = rows.select("sig", F.col("print").alias("b"), F.col("label").alias("label_b"))
     across = one.join(two.hint("merge"), "sig").filter("a < b AND label_a <> label_b")
-    join.work_off(settle(across.groupBy("a", "b").agg(F.count("*").alias("shared"))))
+    join.work_off(settle(across.groupBy("a", "b").agg(F.count("*").alias("shared"))), likeliest_first=True)
 
 
 def _components(digests: DataFrame, labels: DataFrame) -> DataFrame:
