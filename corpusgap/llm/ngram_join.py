@@ -13,12 +13,15 @@ subset, hence on one signature:
   single partition in each, which needs the fewest signatures a shingle.
 
 Signatures are shuffled with a 64-bit fingerprint of the set, so exact copies are
-one member.  Inside a group of equal signatures no pairs are enumerated: every
-member is paired with the group's first, pairs are checked exactly on the sets,
-and only members that are still in different components are paired again.
-Partitions without elements agree for unrelated sets; they and signatures shared
-by very many are passed over for every set that has enough others (counted, so no
-link is lost).
+one member.  There are half as many groups again as k + 1, so similar sets agree on
+many signatures; hence a set may pass over as many of its commonest signatures as
+it has more than k + 1, and the least common signature of any similar pair is still
+in both lists.  So texts that only share passages hardly ever meet, and partitions
+without elements are never needed.
+
+Inside a group of equal signatures every member is paired with the group's first,
+pairs are checked exactly on the sets, and only members that are still in different
+components are paired again.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -29,19 +32,17 @@ copies; an empty table gives an empty table; extra columns are ignored; a null
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import settle
+from .session import release_shuffles, settle
 from .textkit import U64, Texts, chunks, mix64
 
-#: A signature group with more members left than this counts as shared by very many.
-HOT_MEMBERS = 64
 _BAND_BITS = 8
 
 
@@ -66,12 +67,7 @@ class Bands:
     @staticmethod
     def parts(k: np.ndarray) -> np.ndarray:
         """Partitions of a band whose sets differ in at most k elements."""
-        return np.where(k == 0, 1, np.where(k <= 3, k + 2, k + 2 + k // 10))
-
-    @staticmethod
-    def slack(k: np.ndarray) -> np.ndarray:
-        """Of a set's signatures, so many at least agree with any similar set's."""
-        return np.where(k <= 3, 1, 2 + k // 10)
+        return np.where(k == 0, 1, np.where(k <= 3, k + 2, k + 2 + k // 2))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -91,16 +87,19 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
         yield a, b, size, mix64(total + size.astype(U64)).view(np.int64), doc, hashed
 
 
-def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, fingerprint) rows of some sets; the low bits of a signature are its band."""
-    out_sig, out_print = [], []
+def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, fingerprint, spare) rows of some sets; the low bits of a signature are its band.
+
+    spare: so many of the set's signatures of this band more than are needed.
+    """
+    out_sig, out_print, out_spare = [], [], []
     has = size > 0
     own = bands.band(np.maximum(size, 1))
     for step in (0, 1):
         use = has & (bands.reaches_next(size, own) if step else True)
         band = own + step
         k = np.where(use, bands.apart[band], 0)
-        parts, slack = np.where(use, bands.parts(k), 0), bands.slack(k)
+        parts = np.where(use, bands.parts(k), 0)
         base = np.cumsum(parts) - parts
         mine = use[doc]
         d, h = doc[mine], hashed[mine]
@@ -120,13 +119,16 @@ def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np
                 groups.append((rows, total[p] + total[q], count[p] + count[q], np.full(len(rows), j)))
         owner, total, count, place = (np.concatenate(c) for c in zip(*groups, strict=True))
         empty = np.bincount(owner[count == 0], minlength=len(size))
-        keep = (count > 0) | (2 * empty[owner] >= slack[owner])  # half the slack for these, half for hot ones
+        # Of all partitions at most k differ; if full ones are more than k, empty ones aren't needed.
+        spare = np.where(k > 3, parts - empty - k - 1, np.where(empty > 0, -1, 0))
+        keep = (count > 0) | (spare[owner] < 0)
         owner, total, count, place = owner[keep], total[keep], count[keep], place[keep]
         sig = mix64(total + mix64(count.astype(U64) * U64(0x9FB21C651E98DF25) + place.astype(U64)))
         sig = (sig << U64(_BAND_BITS)) | band[owner].astype(U64)
         out_sig.append(sig.view(np.int64))
         out_print.append(prints[owner])
-    return np.concatenate(out_sig), np.concatenate(out_print)
+        out_spare.append(np.maximum(spare, 0)[owner])
+    return np.concatenate(out_sig), np.concatenate(out_print), np.concatenate(out_spare)
 
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
@@ -141,7 +143,7 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, print) of every set, one set's once a task."""
+    """(sig, print, spare) of every set, one set's once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
@@ -149,45 +151,73 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
             for _, _, size, prints, doc, hashed in shingle_sets(batch.column(1), width):
                 new = np.array([not (p in seen or seen.add(p)) for p in prints.tolist()], bool) & (size > 0)
                 keep = new[doc]
-                sig, owner = signatures(np.where(new, size, 0), prints, doc[keep], hashed[keep], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], ["sig", "print"])
+                sig, owner, spare = signatures(np.where(new, size, 0), prints, doc[keep], hashed[keep], bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner), pa.array(spare.astype(np.int32))], ["sig", "print", "spare"])
 
-    return docs.mapInArrow(run, "sig long, print long")
+    return docs.mapInArrow(run, "sig long, print long, spare int")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(sig, first, print, place): every further distinct member of a signature that several sets have.
+    """(sig, print, spare) of every distinct member of a signature that several sets have.
 
     Rows are dealt and sorted by signature and read as a stream; what is carried from
-    batch to batch is one member, however many share the signature.
+    batch to batch is one row, however many share the signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_sig, last_print, first, place = None, None, 0, 0
-        for batch in batches:
-            sig, member = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        before = None
+        for batch in chain(batches, [None]):
+            if batch is None:
+                columns, end = held, len(held[0])
+            else:
+                columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+                end = len(columns[0]) - 1
+            sig, member = columns[0], columns[1]
+            if not len(sig):
+                continue
+            fresh = np.ones(len(sig), bool)
+            fresh[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
+            # The last row waits for what follows it; a repeat of it goes.
+            fresh[0] &= before is None or before != (sig[0], member[0])
+            columns = [c[fresh] for c in columns]
+            end -= int((~fresh[:end]).sum())
+            sig = columns[0]
             if not len(sig):
+                held = columns
                 continue
-            same_sig, fresh = np.zeros(len(sig), bool), np.ones(len(sig), bool)
-            same_sig[1:] = sig[1:] == sig[:-1]
-            fresh[1:] = ~(same_sig[1:] & (member[1:] == member[:-1]))
-            same_sig[0] = sig[0] == last_sig
-            fresh[0] = not (same_sig[0] and member[0] == last_print)
-            sig, member, same_sig = sig[fresh], member[fresh], same_sig[fresh]
-            if len(sig):
-                # Rows dropped as repeats never begin a signature, so same_sig still holds.
-                index = np.arange(len(sig))
-                start = np.maximum.accumulate(np.where(same_sig, -1, index))
-                carried = start < 0
-                firsts = np.where(carried, first, member[np.maximum(start, 0)])
-                places = np.where(carried, place + 1 + index, index - start)
-                keep = same_sig
-                if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(firsts[keep]), pa.array(member[keep]), pa.array(places[keep])], ["sig", "first", "print", "place"])
-                last_sig, last_print, first, place = int(sig[-1]), int(member[-1]), int(firsts[-1]), int(places[-1])
+            linked = np.zeros(len(sig), bool)
+            same = sig[1:] == sig[:-1]
+            linked[1:] |= same
+            linked[:-1] |= same
+            linked[0] |= before is not None and before[0] == sig[0]
+            out = np.flatnonzero(linked[:end])
+            if len(out):
+                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["sig", "print", "spare"])
+            if end:
+                before = (sig[end - 1], columns[1][end - 1])
+            held = [c[end:] for c in columns]
 
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "print")
-    return sorted_rows.mapInArrow(run, "sig long, first long, print long, place long")
+    return sorted_rows.mapInArrow(run, "sig long, print long, spare int")
+
+
+def _ordered(shared: DataFrame) -> DataFrame:
+    """Adds the band, how often a signature occurs, and its place among its set's, the commonest first.
+
+    A set has at most a few signatures per hundred words, so its window is short.
+    """
+    often = shared.groupBy("sig").agg(F.count("*").alias("often"))
+    rows = shared.join(often, "sig").withColumn("band", F.col("sig").bitwiseAND((1 << _BAND_BITS) - 1))
+    commonest = Window.partitionBy("print", "band").orderBy(F.desc("often"), F.desc("sig"))
+    return rows.withColumn("place", F.row_number().over(commonest))
+
+
+def _needed(ordered: DataFrame) -> DataFrame:
+    """(sig, print, first, left) without the signatures that sets can spare: their commonest."""
+    rows = ordered.filter("place > spare").select("sig", "print", "band")
+    firsts = rows.groupBy("sig").agg(F.min("print").alias("first"), F.count("*").alias("left")).filter(F.col("left") > 1)
+    return rows.join(firsts, "sig")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -270,43 +300,48 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = settle(_digests(docs, width))
     shared = settle(_shared(_signature_rows(docs, width, num, den)))
-    pairs = settle(shared.groupBy(F.col("first").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared")))
-    members = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
+    release_shuffles(df.sparkSession)
+    ordered = settle(_ordered(shared))
+    groups = settle(_needed(ordered))
+    pairs = settle(_paired(groups, "first"))
+    members = groups.select("print").distinct()
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
     sets = settle(_sets(docs, ids.join(members, "print"), width))
+    release_shuffles(df.sparkSession)
     join = _Join(df.sparkSession, sets, num, den)
     join.work_off(pairs, likeliest_first=True)
-    _rest(join, shared, digests, Bands(num, den))
+    _rest(join, groups.filter("left > 2 AND print <> first").select("sig", "print", "band"), ordered)
     return _components(digests, join.labels)
 
 
-def _rest(join: _Join, shared: DataFrame, digests: DataFrame, bands: Bands) -> None:
+def _paired(rows: DataFrame, partner: str) -> DataFrame:
+    """(a, b, shared): members with one partner in each group, and in how many groups."""
+    return rows.filter(F.col("print") != F.col(partner)).groupBy(F.col(partner).alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
+
+
+def _rest(join: _Join, rows: DataFrame, ordered: DataFrame) -> None:
     """Pairs of members that aren't their group's first and are still in different components."""
-    open_groups = shared.groupBy("sig").agg(F.max("place").alias("most")).filter("most > 1")
-    rows = shared.join(open_groups.select("sig"), "sig", "left_semi").select("sig", "print")
     for last in (False, True):
-        rows = _labelled(rows.select("sig", "print"), join.labels, "print", "label")
-        group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.min("print").alias("a"))
-        mixed = settle(group.filter("low <> high"))
-        if mixed.isEmpty():
+        rows = _labelled(rows.select("sig", "print", "band"), join.labels, "print", "label")
+        group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("print").alias("second"))
+        rows = settle(rows.join(group.filter("low <> high").select("sig", "second"), "sig"))
+        if rows.isEmpty():
             return
-        rows = settle(rows.join(mixed, "sig"))
         if not last:
-            pairs = rows.filter("print <> a").groupBy("a", F.col("print").alias("b")).agg(F.count("*").alias("shared"))
-            join.work_off(settle(join.pending(pairs)), likeliest_first=False)
-            rows = rows.filter("print <> a")
-    hot = rows.filter(F.col("members") > HOT_MEMBERS)
-    band = F.col("sig").bitwiseAND((1 << _BAND_BITS) - 1).alias("band")
-    used = hot.groupBy("print", band).agg(F.count("*").alias("hot"))
-    spare = F.array(*[F.lit(int(s)) for s in bands.slack(bands.apart)])
-    # Hot signatures decide only for sets that have so many that no other need agree.
-    needy = used.filter(2 * F.col("hot") > F.element_at(spare, F.col("band").cast("int") + 1)).select("print").distinct()
-    cold = rows.filter(F.col("members") <= HOT_MEMBERS).select("sig", "print", "label")
-    rows = cold.unionByName(hot.join(needy, "print", "left_semi").select("sig", "print", "label"))
-    one = rows.select("sig", F.col("print").alias("a"), F.col("label").alias("label_a"))
-    two = rows.select("sig", F.col("print").alias("b"), F.col("label").alias("label_b"))
-    across = one.join(two.hint("merge"), "sig").filter("a < b AND label_a <> label_b")
-    join.work_off(settle(across.groupBy("a", "b").agg(F.count("*").alias("shared"))), likeliest_first=True)
+            join.work_off(settle(join.pending(_paired(rows, "second"))), likeliest_first=False)
+            rows = rows.filter("print <> second")
+    # Each member brings all its shared signatures of the band, the least common first: a pair
+    # meets once, at the first that both have, and only if they share as many as similar sets must.
+    lists = ordered.join(rows.select("print", "band").distinct(), ["print", "band"]).groupBy("print", "band")
+    lists = lists.agg(F.max("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
+    rows = rows.select("sig", "print", "band", "label").join(lists.withColumn("sigs", F.col("sigs.sig")), ["print", "band"])
+    one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("print", "label", "spare", "sigs")]) for side in "ab")
+    common = F.array_intersect("sigs_a", "sigs_b")
+    meet = (F.col("print_a") < F.col("print_b")) & (F.col("label_a") != F.col("label_b"))
+    meet &= (F.size(common) > F.greatest("spare_a", "spare_b")) & (F.element_at(common, 1) == one["sig"])
+    across = one.join(two.hint("merge"), (one["sig"] == two["sig"]) & meet)
+    across = across.groupBy(F.col("print_a").alias("a"), F.col("print_b").alias("b")).agg(F.max(F.size(common)).alias("shared"))
+    join.work_off(settle(across), likeliest_first=True)
 
 
 def _components(digests: DataFrame, labels: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,3 +47,12 @@ def fresh(df: DataFrame, stem: str) -> str:
         i += 1
         name = f"{stem}_{i}"
     return name
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of stages whose results are settled.
+
+    Its cleaner acts when the driver's garbage is collected, which may be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
