@@ -51,19 +51,25 @@ def _messages(df: DataFrame) -> DataFrame:
     return joined.select("tree", "node", F.col("p").alias("parent"), "role", "text", "score")
 
 
-def _pointers(messages: DataFrame) -> list[DataFrame]:
-    """Level k: (tree, node, up, total) with the ancestor 2**k above and the score of node and those below it.
+def _pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Level k: (tree, node, up, total) of the nodes that have an ancestor 2**k above, with the score of
+    node and those below that ancestor; and (tree, node, total) of every node up to its root.
 
-    The last level has no ancestors left (or only those of cycles).
+    Nodes that have reached their root take no part in further joins.
     """
-    level = settle(messages.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total")))
-    levels, most = [level], max(1, level.count()).bit_length() + 1
-    while len(levels) <= most and not level.filter("up IS NOT NULL").isEmpty():
-        above = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"))
-        joined = level.join(above, level["tree"].eqNullSafe(above["t"]) & (level["up"] == above["n"]), "left")
-        level = settle(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total")))
+    first = settle(messages.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total")))
+    whole, level = first.filter("up IS NULL").select("tree", "node", "total"), first.filter("up IS NOT NULL")
+    levels, most = [], max(1, first.count()).bit_length()
+    while len(levels) <= most and not level.isEmpty():
         levels.append(level)
-    return levels
+        names = [F.col("tree").alias("t"), F.col("node").alias("n")]
+        above = level.select(*names, F.col("up").alias("next"), F.col("total").alias("more"))
+        above = above.unionByName(whole.select(*names, F.lit(None).cast("long").alias("next"), F.col("total").alias("more")))
+        joined = level.join(above, level["tree"].eqNullSafe(above["t"]) & (level["up"] == above["n"]))
+        joined = settle(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")))
+        whole = settle(whole.unionByName(joined.filter("up IS NULL").select("tree", "node", "total")))
+        level = joined.filter("up IS NOT NULL")
+    return levels, whole
 
 
 def branches(df: DataFrame, per_tree: int | None = 1) -> DataFrame:
@@ -72,17 +78,16 @@ def branches(df: DataFrame, per_tree: int | None = 1) -> DataFrame:
     ``per_tree``: so many branches of each tree, best first (the feature); None: all.
     """
     messages = settle(_messages(df))
-    levels = _pointers(messages)
+    levels, whole = _pointers(messages)
     parents = messages.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
-    whole = levels[-1].filter("up IS NULL")
     leaves = whole.join(parents, whole["tree"].eqNullSafe(parents["t"]) & (whole["node"] == parents["p"]), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best))
     if per_tree is not None:
         chosen = chosen.filter(F.col("branch") <= per_tree)
     path = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above"))
-    for k, level in enumerate(levels[:-1]):
-        up = level.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+    for k, level in enumerate(levels):
+        up = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = path.join(up, path["tree"].eqNullSafe(up["t"]) & (path["node"] == up["n"]))
         path = settle(path.unionByName(further.select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))))
     texts = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
