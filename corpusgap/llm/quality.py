@@ -29,7 +29,9 @@ DIMS = 8
 EPOCHS = 6
 RATE = 0.3
 #: The bound of the training sample: so many labelled texts of each class at most.
-PER_CLASS = 1500
+PER_CLASS = 1000
+#: Training looks at so many bytes at a time, to keep the driver small.
+TRAIN_CHUNK = 1 << 18
 
 
 def feature_groups(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -48,7 +50,7 @@ def feature_groups(texts: Texts) -> list[tuple[np.ndarray, np.ndarray]]:
 def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """(distinct buckets, their shares) of each text."""
     bags = []
-    for a, b in chunks(column):
+    for a, b in chunks(column, TRAIN_CHUNK):
         texts = Texts(column.slice(a, b - a), lower=False)
         groups = feature_groups(texts)
         doc, bucket = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
@@ -56,7 +58,7 @@ def _bags(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
         cut = np.searchsorted(doc[order], np.arange(texts.n + 1))
         for i in range(texts.n):
             ids, counts = np.unique(bucket[order[cut[i] : cut[i + 1]]], return_counts=True)
-            bags.append((ids, (counts / max(1, counts.sum())).astype(np.float32)))
+            bags.append((ids.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     return bags
 
 

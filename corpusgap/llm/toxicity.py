@@ -12,6 +12,7 @@ gives that class's prior; repeated rows score alike; extra columns pass through.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,18 +59,24 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def _bags(column: pa.Array) -> list[np.ndarray]:
-    """Distinct buckets of each text."""
-    bags = []
-    for a, b in chunks(column):
+#: Training looks at so many bytes at a time, to keep the driver small.
+TRAIN_CHUNK = 1 << 18
+
+
+def _bags(column: pa.Array, telling: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """Distinct buckets of each text, or those of them that are telling."""
+    for a, b in chunks(column, TRAIN_CHUNK):
         texts = Texts(column.slice(a, b - a))
-        groups = _buckets(texts)
-        place, bucket = np.concatenate([g[0] for g in groups]), np.concatenate([g[1] for g in groups])
-        doc = np.searchsorted(texts.ends, place, side="right")
-        seen = np.unique((doc << BITS) | bucket)
+        keys = []
+        for place, bucket in _buckets(texts):
+            if telling is not None:
+                kept = telling[bucket]
+                place, bucket = place[kept], bucket[kept]
+            keys.append((np.searchsorted(texts.ends, place, side="right") << BITS) | bucket)
+        seen = np.unique(np.concatenate(keys))
         cut = np.searchsorted(seen >> BITS, np.arange(texts.n + 1))
-        bags += [seen[cut[i] : cut[i + 1]] & ((1 << BITS) - 1) for i in range(texts.n)]
-    return bags
+        for i in range(texts.n):
+            yield (seen[cut[i] : cut[i + 1]] & ((1 << BITS) - 1)).astype(np.int32)
 
 
 def train(sample: pa.Table, prior: float, seed: int = 7) -> ToxicityModel:
@@ -79,13 +86,13 @@ def train(sample: pa.Table, prior: float, seed: int = 7) -> ToxicityModel:
     flat = ToxicityModel(np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))))
     if not 0 < ones < len(label):
         return flat
-    bags = _bags(sample["text"].combine_chunks())
+    column = sample["text"].combine_chunks()
     count = np.zeros((2, 1 << BITS))
-    for bag, y in zip(bags, label, strict=True):
+    for bag, y in zip(_bags(column), label, strict=True):
         count[y, bag] += 1
     ratio = np.log((count[1] + 1) / (ones + 2)) - np.log((count[0] + 1) / (len(label) - ones + 2))
     ratio[(count.sum(axis=0) < LEAST_DOCUMENTS) | (np.abs(ratio) < LEAST_RATIO)] = 0
-    bags = [bag[ratio[bag] != 0] for bag in bags]
+    bags = list(_bags(column, ratio != 0))
     rng = np.random.default_rng(seed)
     weights, bias = np.zeros(1 << BITS), 0.0
     for epoch in range(EPOCHS):
