@@ -19,9 +19,13 @@ it has more than k + 1, and the least common signature of any similar pair is st
 in both lists.  So texts that only share passages hardly ever meet, and partitions
 without elements are never needed.
 
-Inside a group of equal signatures every member is paired with the group's first,
-pairs are checked exactly on the sets, and only members that are still in different
-components are paired again.
+Inside a group of equal signatures every member is paired with the group's first and
+pairs are checked exactly on the sets.  Groups whose members are then still in
+different components are checked once more: those of at most ``_FEW`` members pair by
+pair, so pairs stay in proportion to members; larger ones in tiles of two blocks of
+members each, where one matrix product gives all intersections and a tile returns no
+more links than it has members.  A group is left out if all its pairs were met in a
+larger one.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -44,6 +48,9 @@ from .session import release_shuffles, settle
 from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
+_FEW = 32
+_BLOCK_SETS = 256
+_BLOCK_ITEMS = 1 << 19
 
 
 class Bands:
@@ -255,6 +262,51 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
+def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) fingerprints that join the sets of a tile as its similar pairs do: at most one row a set."""
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1
+    place = (np.cumsum(shared) - 1)[column]
+    owner, place = owner[shared[column]], place[shared[column]]
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    inter = np.zeros((len(sets), len(sets)), np.int64)
+    for start in range(0, int(shared.sum()), 4096):
+        a, b = np.searchsorted(place, [start, start + 4096])
+        has = np.zeros((len(sets), 4096), np.float32)
+        has[owner[a:b], place[a:b] - start] = 1
+        inter += (has @ has.T).astype(np.int64)
+    similar = den * inter >= num * (size[:, None] + size[None, :] - inter)
+    label = np.arange(len(sets))
+    while True:
+        least = np.minimum(np.where(similar, label[None, :], len(sets)).min(axis=1), label)
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    linked = np.flatnonzero(label != np.arange(len(sets)))
+    return prints[label[linked]], prints[linked]
+
+
+def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members (sig, print) of each group; no task sees more than two blocks of it."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        items = [np.frombuffer(x.as_buffer(), U64) for x in tile.column("items")]
+        a, b = tile_links(tile.column("print").to_numpy(), items, num, den)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    sizes = sets.select("print", (F.octet_length("items") / 8).alias("size"))
+    blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("size") / _BLOCK_ITEMS)).cast("long")
+    groups = rows.join(sizes, "print").groupBy("sig").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("print"), "blocks")
+    dealt = rows.select("sig", "print").join(groups, "sig").select("sig", "print", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("sig", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return dealt.join(sets, "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
+
+
 def _labelled(rows: DataFrame, labels: DataFrame, member: str, name: str) -> DataFrame:
     own = labels.select(F.col("node").alias(member), F.col("label").alias(name))
     return rows.join(own.hint("shuffle_hash"), member, "left").withColumn(name, F.coalesce(name, member))
@@ -269,7 +321,13 @@ class _Join:
         self.labels = spark.createDataFrame([], "node long, label long")
 
     def check(self, pairs: DataFrame) -> None:
-        found = settle(_checked(pairs, self.sets, self.num, self.den))
+        self.add(_checked(pairs, self.sets, self.num, self.den))
+
+    def check_tiles(self, rows: DataFrame) -> None:
+        self.add(_tiled(rows, self.sets, self.num, self.den))
+
+    def add(self, links: DataFrame) -> None:
+        found = settle(links)
         if found.isEmpty():
             return
         self.links = self.links.unionByName(found)
@@ -280,9 +338,9 @@ class _Join:
         rows = _labelled(_labelled(pairs, self.labels, "a", "label_a"), self.labels, "b", "label_b")
         return rows.filter("label_a <> label_b").drop("label_a", "label_b")
 
-    def work_off(self, pairs: DataFrame, likeliest_first: bool) -> None:
+    def work_off(self, pairs: DataFrame) -> None:
         """Checks pairs (a, b, shared); those whose members meet meanwhile need no check."""
-        if likeliest_first and not pairs.isEmpty():
+        if not pairs.isEmpty():
             best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
             best = settle(best.select("a", "b"))
             self.check(best)
@@ -309,7 +367,7 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     sets = settle(_sets(docs, ids.join(members, "print"), width))
     release_shuffles(df.sparkSession)
     join = _Join(df.sparkSession, sets, num, den)
-    join.work_off(pairs, likeliest_first=True)
+    join.work_off(pairs)
     _rest(join, groups.filter("left > 2 AND print <> first").select("sig", "print", "band"), ordered)
     return _components(digests, join.labels)
 
@@ -319,29 +377,41 @@ def _paired(rows: DataFrame, partner: str) -> DataFrame:
     return rows.filter(F.col("print") != F.col(partner)).groupBy(F.col(partner).alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
 
 
+def _unsettled(rows: DataFrame, join: _Join) -> DataFrame:
+    """(sig, print, band, label, members) of the groups whose members are in different components."""
+    rows = _labelled(rows.select("sig", "print", "band"), join.labels, "print", "label")
+    group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
+    return settle(rows.join(group.filter("low <> high").select("sig", "members"), "sig"))
+
+
 def _rest(join: _Join, rows: DataFrame, ordered: DataFrame) -> None:
     """Pairs of members that aren't their group's first and are still in different components."""
-    for last in (False, True):
-        rows = _labelled(rows.select("sig", "print", "band"), join.labels, "print", "label")
-        group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("print").alias("second"))
-        rows = settle(rows.join(group.filter("low <> high").select("sig", "second"), "sig"))
-        if rows.isEmpty():
-            return
-        if not last:
-            join.work_off(settle(join.pending(_paired(rows, "second"))), likeliest_first=False)
-            rows = rows.filter("print <> second")
+    rows = _unsettled(rows, join)
+    if rows.isEmpty():
+        return
+    # A set's home is the largest of its large groups; sets with one home have met there.
+    large = rows.filter(F.col("members") > _FEW)
+    homes = settle(large.groupBy("print").agg(F.max_by("sig", F.struct("members", "sig")).alias("home")))
+    if not homes.isEmpty():
+        join.check_tiles(large.join(homes.select(F.col("home").alias("sig")).distinct(), "sig", "left_semi"))
+        others = large.join(homes.select(F.col("home").alias("sig")).distinct(), "sig", "left_anti").join(homes, "print")
+        mixed = others.groupBy("sig").agg(F.min("home").alias("one"), F.max("home").alias("two")).filter("one <> two")
+        others = _unsettled(others.join(mixed.select("sig"), "sig", "left_semi"), join)
+        if not others.isEmpty():
+            join.check_tiles(others)
+    rows = _unsettled(rows.filter(F.col("members") <= _FEW), join).join(homes, "print", "left")
     # Each member brings all its shared signatures of the band, the least common first: a pair
     # meets once, at the first that both have, and only if they share as many as similar sets must.
     lists = ordered.join(rows.select("print", "band").distinct(), ["print", "band"]).groupBy("print", "band")
     lists = lists.agg(F.max("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
-    rows = rows.select("sig", "print", "band", "label").join(lists.withColumn("sigs", F.col("sigs.sig")), ["print", "band"])
-    one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("print", "label", "spare", "sigs")]) for side in "ab")
+    rows = rows.select("sig", "print", "band", "label", "home").join(lists.withColumn("sigs", F.col("sigs.sig")), ["print", "band"])
+    one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("print", "label", "home", "spare", "sigs")]) for side in "ab")
     common = F.array_intersect("sigs_a", "sigs_b")
-    meet = (F.col("print_a") < F.col("print_b")) & (F.col("label_a") != F.col("label_b"))
+    meet = (F.col("print_a") < F.col("print_b")) & (F.col("label_a") != F.col("label_b")) & F.coalesce(F.col("home_a") != F.col("home_b"), F.lit(True))
     meet &= (F.size(common) > F.greatest("spare_a", "spare_b")) & (F.element_at(common, 1) == one["sig"])
     across = one.join(two.hint("merge"), (one["sig"] == two["sig"]) & meet)
     across = across.groupBy(F.col("print_a").alias("a"), F.col("print_b").alias("b")).agg(F.max(F.size(common)).alias("shared"))
-    join.work_off(settle(across), likeliest_first=True)
+    join.work_off(settle(across))
 
 
 def _components(digests: DataFrame, labels: DataFrame) -> DataFrame:

@@ -129,9 +129,8 @@ def test_tightest_room():
         assert tree.tightest(ask) == min((r for r, n in rooms.items() if n and r >= ask), default=None)
 
 
-@pytest.mark.parametrize(("width", "num"), [(4, 85), (2, 60)])
-def test_ngram_join(docs, width, num):
-    sets = {i: shingles(t, width) for i, t, *_ in corpus()}
+def components_by_force(rows, width, num):
+    sets = {i: shingles(t, width) for i, t, *_ in rows}
     label = {i: i for i in sets}
 
     def find(i):
@@ -145,11 +144,56 @@ def test_ngram_join(docs, width, num):
             if inter and 100 * inter >= num * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 label[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+@pytest.mark.parametrize(("width", "num"), [(4, 85), (2, 60)])
+def test_ngram_join(docs, width, num):
     out = ngram_join.similar_groups(docs, width, num, 100).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == {i: (len(sets[i]), find(i)) for i in sets}
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == components_by_force(corpus(), width, num)
     assert len(out) == len(corpus())
 
 
+def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch):
+    """Families whose pairs lie on both sides of the threshold, met in large groups of several blocks."""
+    monkeypatch.setattr(ngram_join, "_FEW", 4)
+    monkeypatch.setattr(ngram_join, "_BLOCK_SETS", 20)
+    rng, rows = random.Random(11), []
+    for _ in range(2):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        for _ in range(110):
+            w = list(base)
+            for _ in range(rng.choice((1, 2, 2, 3, 4))):
+                w[rng.randrange(len(w))] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+    tiled, tile_links = [], ngram_join._tiled
+    monkeypatch.setattr(ngram_join, "_tiled", lambda *a: tiled.append(1) or tile_links(*a))
+    out = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = components_by_force(rows, 4, 85)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert tiled and len({c for _, c in want.values()}) > 2
+
+
+def test_tile_links():
+    rng = np.random.default_rng(2)
+    base = np.arange(40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(30, 41), replace=False), rng.integers(100, 9999, 3).astype(np.uint64)])) for _ in range(60)]
+    prints = np.arange(60)
+    a, b = ngram_join.tile_links(prints, sets, 85, 100)
+    label = {i: i for i in range(60)}
+    label.update(zip(b.tolist(), a.tolist(), strict=True))
+    want = list(range(60))
+    before = None
+    while want != before:
+        before = list(want)
+        for i in range(60):
+            for j in range(60):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
+                    want[i] = want[j] = min(want[i], want[j])
+    assert [label[i] for i in range(60)] == want
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
     out = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
