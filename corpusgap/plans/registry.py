@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..operators import corpus, evidence, gaps, network, patterns, profiles, usage, vectors
+from ..operators import corpus, evidence, gaps, matching, network, patterns, profiles, usage, vectors
 from .fixtures import AS_OF, AS_OF_YEAR, LEXICON, VIEWS, Fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,3 +422,34 @@ def extracted_evidence(f):
     return rows.select("external_id", "limitations", "future_work", "metrics", "assumptions", "datasets", "method")
 
 
+
+
+_STOP = ("the", "of", "and", "der", "die", "und", "los", "les", "est")
+
+
+@query("papers", sql=f"""WITH texts AS (
+  SELECT 'paper' AS kind, external_id AS id, abstract AS text FROM papers
+  UNION ALL SELECT 'topic', item_id::VARCHAR, text FROM benchmark
+), words AS (
+  SELECT kind, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(_STOP)}, w)) AS words FROM texts
+), terms AS (
+  SELECT kind, id, unnest(words) AS term FROM words
+  UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM words
+), counts AS (
+  SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY ALL
+), idf AS (
+  SELECT term, ln((1 + (SELECT count(*) FROM texts)) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term
+), weights AS (
+  SELECT kind, id, term, tf * idf AS w FROM counts JOIN idf USING (term)
+), units AS (
+  SELECT kind, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS w FROM weights
+), cosines AS (
+  SELECT p.id, t.id::BIGINT AS topic, sum(p.w * t.w) AS cosine FROM units p JOIN units t ON p.term = t.term AND p.kind = 'paper' AND t.kind = 'topic' GROUP BY ALL
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, topic) AS place FROM cosines
+)
+SELECT id AS external_id, round(sum(cosine), 4) AS score, max(topic) FILTER (place = 1) AS best_topic FROM ranked GROUP BY id""")
+def tfidf_feed(f):
+    """Papers against all benchmark passages as topics."""
+    rows = matching.tfidf_match(f.papers.select("external_id", F.col("abstract").alias("text")), f.benchmark.select(F.col("item_id").alias("topic_no"), "text"), _STOP)
+    return _rounded(rows, "score", places=4)
