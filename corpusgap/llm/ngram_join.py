@@ -176,23 +176,18 @@ def _shared(rows: DataFrame) -> DataFrame:
         before = None
         for batch in chain(batches, [None]):
             if batch is None:
-                columns, end = held, len(held[0])
+                columns = held
             else:
                 columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-                end = len(columns[0]) - 1
             sig, member = columns[0], columns[1]
             if not len(sig):
                 continue
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-            # The last row waits for what follows it; a repeat of it goes.
-            fresh[0] &= before is None or before != (sig[0], member[0])
             columns = [c[fresh] for c in columns]
-            end -= int((~fresh[:end]).sum())
             sig = columns[0]
-            if not len(sig):
-                held = columns
-                continue
+            # The last distinct row waits for what follows it; later repeats of it go.
+            end = len(sig) - (batch is not None)
             linked = np.zeros(len(sig), bool)
             same = sig[1:] == sig[:-1]
             linked[1:] |= same

@@ -174,6 +174,20 @@ def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch):
     assert tiled and len({c for _, c in want.values()}) > 2
 
 
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_shared_signatures_with_repeats_at_batch_ends(spark, size):
+    rows = [(1, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (4, 5, 0), (4, 5, 0), (5, 6, 0), (5, 6, 0), (5, 6, 0), (5, 7, 0)]
+    rng = random.Random(5)
+    rows += [(sig, rng.randrange(3), 0) for sig in range(10, 60) for _ in range(rng.randrange(1, 6))]
+    members = {sig: {p for s, p, _ in rows if s == sig} for sig, _, _ in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        out = ngram_join._shared(spark.createDataFrame(rows, "sig long, print long, spare int")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["sig"], r["print"]) for r in out) == sorted((s, p) for s, ps in members.items() if len(ps) > 1 for p in ps)
+
+
 def test_tile_links():
     rng = np.random.default_rng(2)
     base = np.arange(40, dtype=np.uint64)
