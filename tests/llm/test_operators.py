@@ -254,6 +254,36 @@ def test_language_model(spark):
         assert out[i]["score"] < 0
 
 
+def test_language_model_counts_contexts_below_a_share_of_the_corpus(spark):
+    rng = random.Random(7)
+    filler = [" ".join(f"w{rng.randrange(300)}" for _ in range(2000)) for _ in range(60)]
+    rows = [(i, t, True) for i, t in enumerate(filler)]
+    rows += [(100 + i, "qa ra sa", True) for i in range(25)] + [(200 + i, "xa ya ta", True) for i in range(25)]
+    rows += [(300, "qa ra sa", False), (301, "qa ra ta", False)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
+    out = {r["doc_id"]: r["score"] for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
+    assert len(out) == len(rows)
+    assert suffix_tree_lm.LEAST_SHARE * 120_000 > 25 and out[300] - out[301] > 1
+
+
+def test_language_model_contexts_by_force(spark):
+    rng = random.Random(11)
+    tokens = []
+    for row in range(80):
+        c1, c2 = rng.randrange(2), rng.randrange(5)
+        tokens.append((row, row % 5 != 0, c1, c2 if row % 7 else None, None, c1 if rng.random() < 0.9 else rng.randrange(9), -1.0))
+    n = Counter((t[2], t[5]) for t in tokens if t[1])
+    whole = {c: sum(v for (a, _), v in n.items() if a == c) for c in (0, 1)}
+    kinds = {c: sum(a == c for a, _ in n) for c in (0, 1)}
+    keep = {c: whole[c] >= 20 and sum(v * math.log(v / whole[c] / 0.1) for (a, _), v in n.items() if a == c) > 0.5 * kinds[c] * math.log(whole[c]) for c in (0, 1)}
+    assert any(keep.values())
+    df = spark.createDataFrame(tokens, "row long, learn boolean, c1 long, c2 long, c3 long, word long, p double")
+    for r in suffix_tree_lm.with_context(df, 1).collect():
+        c = r["c1"]
+        want = math.log10((n[c, r["word"]] + kinds[c] * 0.1) / (whole[c] + kinds[c])) if keep[c] else -1.0
+        assert r["p"] == pytest.approx(want)
+
+
 def test_language_model_states_sum_to_one(spark):
     rows = [(i, "a b a b a b c d", True) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").select("text")
