@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join, quality, toxicity
-from .session import fresh
+from .session import fresh, settle
 
 
 def _with_score(docs: DataFrame, text: str, score, model) -> tuple[DataFrame, str]:
@@ -28,9 +28,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, most: float = 0.3, text: str
 
 
 def one_per_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, doc_id: str = "doc_id") -> DataFrame:
-    """The document with the least id of each group of near duplicates; of rows that share an id one stays."""
-    groups = ngram_join.similar_groups(docs, width=width, num=num, den=den, doc_id=doc_id)
-    name = fresh(docs, "stage_id")
-    chosen = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    same: Column = docs[doc_id].eqNullSafe(chosen[name])
-    return docs.join(chosen.hint("shuffle_hash"), same, "left_semi").dropDuplicates([doc_id])
+    """The row with the least id of each group of near duplicates; ids may be null (the last in order) or name many rows.
+
+    Rows are told by a key of their own, settled with them, so that every reading of ``docs`` has the same keys.
+    """
+    key = fresh(docs, "stage_row")
+    rows = settle(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = ngram_join.similar_groups(rows, width=width, num=num, den=den, doc_id=key).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select(F.col(key).alias("row"), F.col(doc_id).alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    chosen = groups.join(ids.hint("shuffle_hash"), "row").groupBy("component_id").agg(F.min_by("row", order).alias(key))
+    return rows.join(chosen.select(key).hint("shuffle_hash"), key, "left_semi").select(*docs.columns)

@@ -355,3 +355,12 @@ def test_pipeline_keeps_columns_and_one_of_each_group(docs):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and {0, 1, 2, 4} <= set(ids) and 5 not in ids
+
+
+def test_one_of_each_group_with_null_and_reused_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join(f"{name}{rng.randrange(900)}" for _ in range(60)) for name in "abcde")
+    rows = [(None, a), (None, b), (None, c), (7, c), (7, d), (None, e), (None, e), (9, d + " more"), (8, None), (None, "")]
+    kept = stages.one_per_group(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = sorted(((r["doc_id"], r["text"]) for r in kept), key=str)
+    assert found == sorted([(None, a), (None, b), (7, c), (7, d), (None, e), (8, None), (None, "")], key=str)
