@@ -9,23 +9,20 @@ are enumerated so that sets differing in at most k elements agree on one whole
 subset, hence on one signature:
 
 * k = 0: one partition; * k <= 3: k + 2 partitions, every pair of them a subset;
-* k > 3: the first level of PartEnum has more than k groups and the second level a
-  single partition in each, which needs the fewest signatures a shingle.
+* k > 3: two levels.  The first has so many groups that similar sets differ in at most
+  one element in some group (two groups at least); the second cuts each group into
+  three partitions and enumerates the pairs of them, one of which has no difference.
 
 Signatures are shuffled with a 64-bit fingerprint of the set, so exact copies are
-one member.  There are half as many groups again as k + 1, so similar sets agree on
-many signatures; hence a set may pass over as many of its commonest signatures as
-it has more than k + 1, and the least common signature of any similar pair is still
-in both lists.  So texts that only share passages hardly ever meet, and partitions
-without elements are never needed.
+one member.  Partitions without elements are written only by sets that have them in
+as many groups as need not agree.
 
 Inside a group of equal signatures every member is paired with the group's first and
-pairs are checked exactly on the sets.  Groups whose members are then still in
-different components are checked once more: those of at most ``_FEW`` members pair by
-pair, so pairs stay in proportion to members; larger ones in tiles of two blocks of
-members each, where one matrix product gives all intersections and a tile returns no
-more links than it has members.  A group is left out if all its pairs were met in a
-larger one.
+pairs are checked exactly on the sets, member by member against the first.  Groups
+whose members are then still in different components are checked once more: those of
+at most ``_FEW`` members pair by pair, so pairs stay in proportion to members; larger
+ones in tiles of two blocks of members each, where one matrix product gives all
+intersections and a tile returns no more links than it has members.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -43,13 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import connected_components
-from .session import release_shuffles, settle
+from .components import merged_labels
+from .session import Scratch
 from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
 _FEW = 32
 _BLOCK_SETS = 256
+_STAR_BLOCK = 512
 _BLOCK_ITEMS = 1 << 19
 
 
@@ -73,8 +71,8 @@ class Bands:
 
     @staticmethod
     def parts(k: np.ndarray) -> np.ndarray:
-        """Partitions of a band whose sets differ in at most k elements."""
-        return np.where(k == 0, 1, np.where(k <= 3, k + 2, k + 2 + k // 2))
+        """Partitions of a band whose sets differ in at most k elements; for k > 3 three in each group."""
+        return np.where(k == 0, 1, np.where(k <= 3, k + 2, 3 * (k // 2 + 2)))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -94,12 +92,9 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
         yield a, b, size, mix64(total + size.astype(U64)).view(np.int64), doc, hashed
 
 
-def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(signature, fingerprint, spare) rows of some sets; the low bits of a signature are its band.
-
-    spare: so many of the set's signatures of this band more than are needed.
-    """
-    out_sig, out_print, out_spare = [], [], []
+def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, fingerprint) rows of some sets; the low bits of a signature are its band."""
+    out_sig, out_print = [], []
     has = size > 0
     own = bands.band(np.maximum(size, 1))
     for step in (0, 1):
@@ -116,26 +111,29 @@ def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np
         total, count = np.zeros(int(parts.sum()), U64), np.zeros(int(parts.sum()), np.int64)
         np.add.at(total, slot, mix64(spread + U64(0xA0761D6478BD642F)))
         np.add.at(count, slot, 1)
-        single = use & ((k == 0) | (k > 3))
         owner = np.repeat(np.arange(len(size)), parts)
-        groups = [(owner[m := single[owner]], total[m], count[m], (np.arange(len(owner)) - base[owner])[m])]
+        whole = np.flatnonzero((use & (k == 0))[owner])
+        groups = [(owner[whole], total[whole], count[whole], np.zeros(len(whole), np.int64))]
         for few in (1, 2, 3):
             rows = np.flatnonzero(use & (k == few))
             for j, (x, y) in enumerate(combinations(range(few + 2), 2) if len(rows) else ()):
                 p, q = base[rows] + x, base[rows] + y
                 groups.append((rows, total[p] + total[q], count[p] + count[q], np.full(len(rows), j)))
+        first = np.flatnonzero((use & (k > 3))[owner])[::3]
+        for j, (x, y) in enumerate(combinations(range(3), 2)):
+            p, q = first + x, first + y
+            groups.append((owner[first], total[p] + total[q], count[p] + count[q], first - base[owner[first]] + j))
         owner, total, count, place = (np.concatenate(c) for c in zip(*groups, strict=True))
-        empty = np.bincount(owner[count == 0], minlength=len(size))
-        # Of all partitions at most k differ; if full ones are more than k, empty ones aren't needed.
-        spare = np.where(k > 3, parts - empty - k - 1, np.where(empty > 0, -1, 0))
-        keep = (count > 0) | (spare[owner] < 0)
+        # Two of a set's groups at least must agree with a similar set's; so one group with an empty pair can be spared.
+        lacking = np.unique((owner[count == 0] << 32) | (place[count == 0] // 3))
+        lacking = np.bincount(lacking >> 32, minlength=len(size))
+        keep = (count > 0) | (lacking > np.where(k > 3, 1, 0))[owner]
         owner, total, count, place = owner[keep], total[keep], count[keep], place[keep]
         sig = mix64(total + mix64(count.astype(U64) * U64(0x9FB21C651E98DF25) + place.astype(U64)))
         sig = (sig << U64(_BAND_BITS)) | band[owner].astype(U64)
         out_sig.append(sig.view(np.int64))
         out_print.append(prints[owner])
-        out_spare.append(np.maximum(spare, 0)[owner])
-    return np.concatenate(out_sig), np.concatenate(out_print), np.concatenate(out_spare)
+    return np.concatenate(out_sig), np.concatenate(out_print)
 
 
 def _digests(docs: DataFrame, width: int) -> DataFrame:
@@ -150,7 +148,7 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, print, spare) of every set, one set's once a task."""
+    """(sig, print) of every set, one set's once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
@@ -158,72 +156,66 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
             for _, _, size, prints, doc, hashed in shingle_sets(batch.column(1), width):
                 new = np.array([not (p in seen or seen.add(p)) for p in prints.tolist()], bool) & (size > 0)
                 keep = new[doc]
-                sig, owner, spare = signatures(np.where(new, size, 0), prints, doc[keep], hashed[keep], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner), pa.array(spare.astype(np.int32))], ["sig", "print", "spare"])
+                sig, owner = signatures(np.where(new, size, 0), prints, doc[keep], hashed[keep], bands)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], ["sig", "print"])
 
-    return docs.mapInArrow(run, "sig long, print long, spare int")
+    return docs.mapInArrow(run, "sig long, print long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(sig, print, spare) of every distinct member of a signature that several sets have.
+    """(sig, print, first) of every distinct member of a signature that several sets have; first: its least.
 
     Rows are dealt and sorted by signature and read as a stream; what is carried from
-    batch to batch is one row, however many share the signature.
+    batch to batch is one row and its group's first, however many share the signature.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         before = None
         for batch in chain(batches, [None]):
-            if batch is None:
-                columns = held
-            else:
-                columns = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
-            sig, member = columns[0], columns[1]
+            columns = held if batch is None else [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+            sig, member = columns
             if not len(sig):
                 continue
             fresh = np.ones(len(sig), bool)
             fresh[1:] = (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])
-            columns = [c[fresh] for c in columns]
-            sig = columns[0]
+            sig, member = sig[fresh], member[fresh]
             # The last distinct row waits for what follows it; later repeats of it go.
             end = len(sig) - (batch is not None)
             linked = np.zeros(len(sig), bool)
             same = sig[1:] == sig[:-1]
             linked[1:] |= same
             linked[:-1] |= same
-            linked[0] |= before is not None and before[0] == sig[0]
+            head = np.flatnonzero(np.concatenate([[True], ~same]))
+            first = np.repeat(member[head], np.diff(np.append(head, len(sig))))
+            if before is not None and before[0] == sig[0]:
+                linked[0] = True
+                first[: head[1] if len(head) > 1 else len(sig)] = before[1]
             out = np.flatnonzero(linked[:end])
             if len(out):
-                yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], ["sig", "print", "spare"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(member[out]), pa.array(first[out])], ["sig", "print", "first"])
             if end:
-                before = (sig[end - 1], columns[1][end - 1])
-            held = [c[end:] for c in columns]
+                before = (sig[end - 1], first[end - 1])
+            held = [sig[end:], member[end:]]
 
     sorted_rows = rows.repartition("sig").sortWithinPartitions("sig", "print")
-    return sorted_rows.mapInArrow(run, "sig long, print long, spare int")
+    return sorted_rows.mapInArrow(run, "sig long, print long, first long")
 
 
-def _ordered(shared: DataFrame) -> DataFrame:
-    """Adds the band, how often a signature occurs, and its place among its set's, the commonest first.
-
-    A set has at most a few signatures per hundred words, so its window is short.
-    """
-    often = shared.groupBy("sig").agg(F.count("*").alias("often"))
-    rows = shared.join(often, "sig").withColumn("band", F.col("sig").bitwiseAND((1 << _BAND_BITS) - 1))
-    commonest = Window.partitionBy("print", "band").orderBy(F.desc("often"), F.desc("sig"))
-    return rows.withColumn("place", F.row_number().over(commonest))
+def packed_items(hashed: np.ndarray) -> bytes:
+    """The high 48 bits of each hash; they tell the few thousand shingles of two texts apart."""
+    return np.ascontiguousarray(hashed.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:]).tobytes()
 
 
-def _needed(ordered: DataFrame) -> DataFrame:
-    """(sig, print, first, left) without the signatures that sets can spare: their commonest."""
-    rows = ordered.filter("place > spare").select("sig", "print", "band")
-    firsts = rows.groupBy("sig").agg(F.min("print").alias("first"), F.count("*").alias("left")).filter(F.col("left") > 1)
-    return rows.join(firsts, "sig")
+def read_items(items: pa.Scalar) -> np.ndarray:
+    raw = np.frombuffer(items.as_buffer(), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :6] = raw
+    return out.view("<u8").ravel()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(print, items) of the wanted sets (doc_id, print): sorted shingle hashes as bytes."""
+    """(print, items) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,7 +223,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             for a, b, size, prints, _, hashed in shingle_sets(batch.column(1), width):
                 cut = np.concatenate([[0], np.cumsum(size)])
                 rows = np.flatnonzero(prints == asked[a:b])
-                items = [hashed[cut[i] : cut[i + 1]].tobytes() for i in rows]
+                items = [packed_items(hashed[cut[i] : cut[i + 1]]) for i in rows]
                 yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(items, pa.binary())], ["print", "items"])
 
     rows = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("print", "text")
@@ -239,22 +231,34 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection."""
+    """The pairs (a, b) whose sets are similar, by exact intersection.
+
+    The members of a star around ``a`` come as blocks of about ``_STAR_BLOCK``, each behind the
+    set of ``a``, which alone is held; every set moves once a star.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub, hub_set = None, np.zeros(0, U64)
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                inter = int((both[1:] == both[:-1]).sum())
-                good[i] = den * inter >= num * (len(x) + len(y) - inter)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in batch.columns[:2]], ["a", "b"])
-
-    one = sets.select(F.col("print").alias("a"), F.col("items").alias("x"))
-    two = sets.select(F.col("print").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+            out = []
+            for a, name, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                other = read_items(items)
+                if a == name:
+                    hub, hub_set = a, other
+                elif a == hub:
+                    both = np.concatenate([hub_set, other])
+                    both.sort(kind="stable")
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if den * inter >= num * (len(hub_set) + len(other) - inter):
+                        out.append((a, name))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR_BLOCK).alias("blocks"))
+    dealt = pairs.select("a", "b").join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("print"))
+    dealt = dealt.unionByName(dealt.select("a", "block", F.col("a").alias("print")).distinct())
+    rows = dealt.join(sets, "print").repartition("a", "block").sortWithinPartitions("a", "block", (F.col("print") != F.col("a")))
+    return rows.select("a", "print", "items").mapInArrow(run, "a long, b long")
 
 
 def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,11 +293,11 @@ def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) among the members (sig, print) of each group; no task sees more than two blocks of it."""
 
     def run(tile: pa.Table) -> pa.Table:
-        items = [np.frombuffer(x.as_buffer(), U64) for x in tile.column("items")]
+        items = [read_items(x) for x in tile.column("items")]
         a, b = tile_links(tile.column("print").to_numpy(), items, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = sets.select("print", (F.octet_length("items") / 8).alias("size"))
+    sizes = sets.select("print", (F.octet_length("items") / 6).alias("size"))
     blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("size") / _BLOCK_ITEMS)).cast("long")
     groups = rows.join(sizes, "print").groupBy("sig").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("print"), "blocks")
@@ -308,12 +312,11 @@ def _labelled(rows: DataFrame, labels: DataFrame, member: str, name: str) -> Dat
 
 
 class _Join:
-    """The state of one join: sets, links found, and the labels they give."""
+    """The state of one join: sets and the labels that the links found so far give."""
 
-    def __init__(self, spark, sets: DataFrame, num: int, den: int):
-        self.sets, self.num, self.den = sets, num, den
-        self.links = spark.createDataFrame([], "a long, b long")
-        self.labels = spark.createDataFrame([], "node long, label long")
+    def __init__(self, scratch: Scratch, sets: DataFrame, num: int, den: int):
+        self.scratch, self.sets, self.num, self.den = scratch, sets, num, den
+        self.labels = scratch.spark.createDataFrame([], "node long, label long")
 
     def check(self, pairs: DataFrame) -> None:
         self.add(_checked(pairs, self.sets, self.num, self.den))
@@ -322,91 +325,82 @@ class _Join:
         self.add(_tiled(rows, self.sets, self.num, self.den))
 
     def add(self, links: DataFrame) -> None:
-        found = settle(links)
-        if found.isEmpty():
-            return
-        self.links = self.links.unionByName(found)
-        self.labels = settle(connected_components(self.links))
+        found = self.scratch.settle(links)
+        if not found.isEmpty():
+            self.labels = merged_labels(self.scratch, self.labels, self.pending(found, keep=True))
+        self.scratch.drop(found)
 
-    def pending(self, pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, ...) whose members are still in different components."""
-        rows = _labelled(_labelled(pairs, self.labels, "a", "label_a"), self.labels, "b", "label_b")
-        return rows.filter("label_a <> label_b").drop("label_a", "label_b")
+    def pending(self, pairs: DataFrame, keep: bool = False) -> DataFrame:
+        """Pairs (a, b, ...) whose members are still in different components, with their labels if wanted."""
+        rows = _labelled(_labelled(pairs, self.labels, "a", "label_a"), self.labels, "b", "label_b").filter("label_a <> label_b")
+        return rows if keep else rows.drop("label_a", "label_b")
 
     def work_off(self, pairs: DataFrame) -> None:
         """Checks pairs (a, b, shared); those whose members meet meanwhile need no check."""
-        if not pairs.isEmpty():
-            best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-            best = settle(best.select("a", "b"))
-            self.check(best)
-            pairs = settle(self.pending(pairs.join(best.hint("shuffle_hash"), ["a", "b"], "left_anti")))
-        if not pairs.isEmpty():
-            self.check(pairs)
+        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+        best = self.scratch.settle(best.select("a", "b"))
+        self.check(best)
+        left = self.scratch.settle(self.pending(pairs.join(best.hint("shuffle_hash"), ["a", "b"], "left_anti")))
+        if not left.isEmpty():
+            self.check(left)
+        self.scratch.drop(best, left)
 
 
 def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: links are den * |r & s| >= num * |r | s|.
 
-    Shuffled are the signatures (about 0.45 a shingle), the texts once, and the sets of
-    documents that share a signature; nothing is collected or broadcast.
+    Shuffled are the signatures (about 0.5 a shingle), the texts once, and the sets of
+    documents that share a signature; nothing is collected or broadcast.  Tables are
+    deleted when no later step reads them.
     """
+    scratch = Scratch(df.sparkSession, "ngram-join")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    digests = settle(_digests(docs, width))
-    shared = settle(_shared(_signature_rows(docs, width, num, den)))
-    release_shuffles(df.sparkSession)
-    ordered = settle(_ordered(shared))
-    groups = settle(_needed(ordered))
-    pairs = settle(_paired(groups, "first"))
-    members = groups.select("print").distinct()
+    digests = scratch.settle(_digests(docs, width))
+    shared = scratch.settle(_shared(_signature_rows(docs, width, num, den)))
+    pairs = scratch.settle(_paired(shared))
+    members = shared.select("print").distinct()
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
-    sets = settle(_sets(docs, ids.join(members, "print"), width))
-    release_shuffles(df.sparkSession)
-    join = _Join(df.sparkSession, sets, num, den)
+    sets = scratch.settle(_sets(docs, ids.join(members, "print"), width))
+    join = _Join(scratch, sets, num, den)
     join.work_off(pairs)
-    _rest(join, groups.filter("left > 2 AND print <> first").select("sig", "print", "band"), ordered)
+    _rest(join, shared, pairs)
+    scratch.drop(shared, pairs, sets)
     return _components(digests, join.labels)
 
 
-def _paired(rows: DataFrame, partner: str) -> DataFrame:
-    """(a, b, shared): members with one partner in each group, and in how many groups."""
-    return rows.filter(F.col("print") != F.col(partner)).groupBy(F.col(partner).alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
+def _paired(rows: DataFrame) -> DataFrame:
+    """(a, b, shared): members with the first of each group, and in how many groups."""
+    return rows.filter("print <> first").groupBy(F.col("first").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
 
 
 def _unsettled(rows: DataFrame, join: _Join) -> DataFrame:
-    """(sig, print, band, label, members) of the groups whose members are in different components."""
-    rows = _labelled(rows.select("sig", "print", "band"), join.labels, "print", "label")
+    """(sig, print, label, members) of the groups whose members are in different components."""
+    rows = _labelled(rows.select("sig", "print"), join.labels, "print", "label")
     group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    return settle(rows.join(group.filter("low <> high").select("sig", "members"), "sig"))
+    return join.scratch.settle(rows.join(group.filter("low <> high").select("sig", "members"), "sig"))
 
 
-def _rest(join: _Join, rows: DataFrame, ordered: DataFrame) -> None:
+def _rest(join: _Join, shared: DataFrame, checked: DataFrame) -> None:
     """Pairs of members that aren't their group's first and are still in different components."""
-    rows = _unsettled(rows, join)
-    if rows.isEmpty():
-        return
-    # A set's home is the largest of its large groups; sets with one home have met there.
+    rows = _unsettled(shared.filter("print <> first"), join)
     large = rows.filter(F.col("members") > _FEW)
-    homes = settle(large.groupBy("print").agg(F.max_by("sig", F.struct("members", "sig")).alias("home")))
-    if not homes.isEmpty():
-        join.check_tiles(large.join(homes.select(F.col("home").alias("sig")).distinct(), "sig", "left_semi"))
-        others = large.join(homes.select(F.col("home").alias("sig")).distinct(), "sig", "left_anti").join(homes, "print")
+    if not large.isEmpty():
+        # A set's home is the largest of its large groups; sets with one home have met there.
+        homes = join.scratch.settle(large.groupBy("print").agg(F.max_by("sig", F.struct("members", "sig")).alias("home")))
+        at_home = homes.select(F.col("home").alias("sig")).distinct()
+        join.check_tiles(large.join(at_home, "sig", "left_semi"))
+        others = large.join(at_home, "sig", "left_anti").join(homes, "print")
         mixed = others.groupBy("sig").agg(F.min("home").alias("one"), F.max("home").alias("two")).filter("one <> two")
         others = _unsettled(others.join(mixed.select("sig"), "sig", "left_semi"), join)
         if not others.isEmpty():
             join.check_tiles(others)
-    rows = _unsettled(rows.filter(F.col("members") <= _FEW), join).join(homes, "print", "left")
-    # Each member brings all its shared signatures of the band, the least common first: a pair
-    # meets once, at the first that both have, and only if they share as many as similar sets must.
-    lists = ordered.join(rows.select("print", "band").distinct(), ["print", "band"]).groupBy("print", "band")
-    lists = lists.agg(F.max("spare").alias("spare"), F.sort_array(F.collect_list(F.struct("often", "sig"))).alias("sigs"))
-    rows = rows.select("sig", "print", "band", "label", "home").join(lists.withColumn("sigs", F.col("sigs.sig")), ["print", "band"])
-    one, two = (rows.select("sig", *[F.col(c).alias(f"{c}_{side}") for c in ("print", "label", "home", "spare", "sigs")]) for side in "ab")
-    common = F.array_intersect("sigs_a", "sigs_b")
-    meet = (F.col("print_a") < F.col("print_b")) & (F.col("label_a") != F.col("label_b")) & F.coalesce(F.col("home_a") != F.col("home_b"), F.lit(True))
-    meet &= (F.size(common) > F.greatest("spare_a", "spare_b")) & (F.element_at(common, 1) == one["sig"])
-    across = one.join(two.hint("merge"), (one["sig"] == two["sig"]) & meet)
-    across = across.groupBy(F.col("print_a").alias("a"), F.col("print_b").alias("b")).agg(F.max(F.size(common)).alias("shared"))
-    join.work_off(settle(across))
+    few = rows.filter(F.col("members") <= _FEW).select("sig", "print")
+    few = _labelled(few, join.labels, "print", "label")
+    one, two = (few.select("sig", F.col("print").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
+    across = one.join(two, "sig").filter("a < b AND label_a <> label_b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    across = join.scratch.settle(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    if not across.isEmpty():
+        join.work_off(across)
 
 
 def _components(digests: DataFrame, labels: DataFrame) -> DataFrame:

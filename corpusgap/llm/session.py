@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +49,41 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of stages whose results are settled.
+#: Spark's setting by which a query's shuffle files go when the query ends.
+_CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    Its cleaner acts when the driver's garbage is collected, which may be long after.
+class Scratch:
+    """Tables of one run in a folder of the shared checkpoint folder.
+
+    ``settle`` writes a frame there as Parquet and reads it back, which cuts its lineage;
+    the shuffle files behind it go when it is written, and ``drop`` deletes a table that
+    isn't needed any more.
     """
-    gc.collect()
+
+    def __init__(self, spark: SparkSession, stem: str):
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/{stem}-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def settle(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        before = self.spark.conf.get(_CLEAN_SHUFFLES, "false")
+        self.spark.conf.set(_CLEAN_SHUFFLES, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_SHUFFLES, before)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of stages whose results are settled."""
     spark.sparkContext._jvm.System.gc()

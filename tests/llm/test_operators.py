@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpusgap.llm.session import Scratch
 from corpusgap.llm import chat, components, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, stages, suffix_tree_lm, token_counts, toxicity
 from corpusgap.llm.queries import vocabulary
 
@@ -176,16 +177,34 @@ def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch):
 
 @pytest.mark.parametrize("size", [1, 2, 3])
 def test_shared_signatures_with_repeats_at_batch_ends(spark, size):
-    rows = [(1, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0), (2, 1, 0), (2, 1, 0), (3, 3, 0), (4, 4, 0), (4, 5, 0), (4, 5, 0), (5, 6, 0), (5, 6, 0), (5, 6, 0), (5, 7, 0)]
+    rows = [(1, 1), (1, 1), (1, 2), (2, 1), (2, 1), (2, 1), (3, 3), (4, 4), (4, 5), (4, 5), (5, 6), (5, 6), (5, 6), (5, 7)]
     rng = random.Random(5)
-    rows += [(sig, rng.randrange(3), 0) for sig in range(10, 60) for _ in range(rng.randrange(1, 6))]
-    members = {sig: {p for s, p, _ in rows if s == sig} for sig, _, _ in rows}
+    rows += [(sig, rng.randrange(3)) for sig in range(10, 60) for _ in range(rng.randrange(1, 6))]
+    members = {sig: {p for s, p in rows if s == sig} for sig, _ in rows}
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     try:
-        out = ngram_join._shared(spark.createDataFrame(rows, "sig long, print long, spare int")).collect()
+        out = ngram_join._shared(spark.createDataFrame(rows, "sig long, print long")).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
-    assert sorted((r["sig"], r["print"]) for r in out) == sorted((s, p) for s, ps in members.items() if len(ps) > 1 for p in ps)
+    assert sorted((r["sig"], r["print"], r["first"]) for r in out) == sorted((s, p, min(ps)) for s, ps in members.items() if len(ps) > 1 for p in ps)
+
+
+@pytest.mark.parametrize(("num", "den"), [(85, 100), (60, 100)])
+def test_similar_sets_share_a_signature(num, den):
+    """Pairs as far apart as they may be, of sizes on both sides of one and two levels of partitions."""
+    rng, bands = np.random.default_rng(3), ngram_join.Bands(num, den)
+    for size in [*range(1, 60), 100, 400]:
+        for _ in range(12):
+            one = rng.integers(0, 2**63, size).astype(np.uint64)
+            gone = rng.integers(0, (den - num) * size // den + 1)
+            new = rng.integers(0, 2**63, 0 if gone == 0 else rng.integers(0, gone + 1)).astype(np.uint64)
+            two = np.concatenate([one[gone:], new])
+            inter = len(one) - gone
+            if not len(two) or den * inter < num * (len(one) + len(two) - inter):
+                continue
+            sizes = np.array([len(one), len(two)])
+            sig, owner = ngram_join.signatures(sizes, np.array([0, 1]), np.repeat([0, 1], sizes), np.concatenate([one, two]), bands)
+            assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
 def test_tile_links():
@@ -210,7 +229,7 @@ def test_tile_links():
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 90), (90, 95), (7, 7)]
-    out = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    out = {r["node"]: r["label"] for r in components.connected_components(Scratch(spark, "test"), spark.createDataFrame(links, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(41)) and out[100] == out[95] == out[90] == 90
 
 
