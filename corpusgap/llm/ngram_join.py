@@ -22,7 +22,8 @@ pairs are checked exactly on the sets, member by member against the first.  Grou
 whose members are then still in different components are checked once more: those of
 at most ``_FEW`` members pair by pair, so pairs stay in proportion to members; larger
 ones in tiles of two blocks of members each, where one matrix product gives all
-intersections and a tile returns no more links than it has members.
+intersections and a tile returns no more links than it has members.  Large groups that
+share members are tiled as one family where that compares fewer pairs.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -40,15 +41,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import merged_labels
+from .components import connected_components, merged_labels
 from .session import Scratch
 from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
 _FEW = 32
-_BLOCK_SETS = 256
+_BLOCK_SETS = 1024
 _STAR_BLOCK = 512
-_BLOCK_ITEMS = 1 << 19
+_BLOCK_ITEMS = 1 << 20
 
 
 class Bands:
@@ -215,7 +216,7 @@ def read_items(items: pa.Scalar) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(print, items) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes."""
+    """(print, size, items) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,10 +225,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(size)])
                 rows = np.flatnonzero(prints == asked[a:b])
                 items = [packed_items(hashed[cut[i] : cut[i + 1]]) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(items, pa.binary())], ["print", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(size[rows]), pa.array(items, pa.binary())], ["print", "size", "items"])
 
     rows = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("print", "text")
-    return rows.mapInArrow(run, "print long, items binary")
+    return rows.mapInArrow(run, "print long, size long, items binary")
 
 
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -254,10 +255,13 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
+    for side in "ab":
+        pairs = pairs.join(sets.select(F.col("print").alias(side), F.col("size").alias(f"size_{side}")), side)
+    pairs = pairs.filter(den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR_BLOCK).alias("blocks"))
     dealt = pairs.select("a", "b").join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("print"))
     dealt = dealt.unionByName(dealt.select("a", "block", F.col("a").alias("print")).distinct())
-    rows = dealt.join(sets, "print").repartition("a", "block").sortWithinPartitions("a", "block", (F.col("print") != F.col("a")))
+    rows = dealt.join(sets.select("print", "items"), "print").repartition("a", "block").sortWithinPartitions("a", "block", (F.col("print") != F.col("a")))
     return rows.select("a", "print", "items").mapInArrow(run, "a long, b long")
 
 
@@ -297,13 +301,13 @@ def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         a, b = tile_links(tile.column("print").to_numpy(), items, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = sets.select("print", (F.octet_length("items") / 6).alias("size"))
+    sizes = sets.select("print", "size")
     blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("size") / _BLOCK_ITEMS)).cast("long")
     groups = rows.join(sizes, "print").groupBy("sig").agg(blocks.alias("blocks"))
     own = F.pmod(F.xxhash64("print"), "blocks")
     dealt = rows.select("sig", "print").join(groups, "sig").select("sig", "print", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("sig", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return dealt.join(sets, "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
+    return dealt.join(sets.select("print", "items"), "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, member: str, name: str) -> DataFrame:
@@ -335,15 +339,11 @@ class _Join:
         rows = _labelled(_labelled(pairs, self.labels, "a", "label_a"), self.labels, "b", "label_b").filter("label_a <> label_b")
         return rows if keep else rows.drop("label_a", "label_b")
 
-    def work_off(self, pairs: DataFrame) -> None:
-        """Checks pairs (a, b, shared); those whose members meet meanwhile need no check."""
-        best = pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-        best = self.scratch.settle(best.select("a", "b"))
-        self.check(best)
-        left = self.scratch.settle(self.pending(pairs.join(best.hint("shuffle_hash"), ["a", "b"], "left_anti")))
-        if not left.isEmpty():
-            self.check(left)
-        self.scratch.drop(best, left)
+    def mixed(self, rows: DataFrame) -> DataFrame:
+        """(sig, print, first, label, label_first, members) of the groups whose members are in different components."""
+        rows = _labelled(rows.select("sig", "print", "first"), self.labels, "print", "label")
+        group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"), F.min_by("label", "print").alias("label_first"))
+        return self.scratch.settle(rows.join(group.filter("low <> high").select("sig", "members", "label_first"), "sig"))
 
 
 def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -357,50 +357,64 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = scratch.settle(_digests(docs, width))
     shared = scratch.settle(_shared(_signature_rows(docs, width, num, den)))
-    pairs = scratch.settle(_paired(shared))
     members = shared.select("print").distinct()
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
     sets = scratch.settle(_sets(docs, ids.join(members, "print"), width))
     join = _Join(scratch, sets, num, den)
-    join.work_off(pairs)
-    _rest(join, shared, pairs)
-    scratch.drop(shared, pairs, sets)
+    # First every member with the first that it meets most often; then, in groups that are still mixed, with every other first.
+    met = shared.filter("print <> first").groupBy(F.col("first").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
+    best = scratch.settle(met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+    join.check(best)
+    rows = join.mixed(shared)
+    scratch.drop(shared)
+    stars = scratch.settle(rows.filter("label <> label_first").select(F.col("first").alias("a"), F.col("print").alias("b")).distinct().join(best, ["a", "b"], "left_anti"))
+    if not stars.isEmpty():
+        join.check(stars)
+        before, rows = rows, join.mixed(rows)
+        scratch.drop(before)
+    _rest(join, rows, best.unionByName(stars))
+    scratch.drop(best, stars, rows, sets)
     return _components(digests, join.labels)
 
 
-def _paired(rows: DataFrame) -> DataFrame:
-    """(a, b, shared): members with the first of each group, and in how many groups."""
-    return rows.filter("print <> first").groupBy(F.col("first").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
-
-
-def _unsettled(rows: DataFrame, join: _Join) -> DataFrame:
-    """(sig, print, label, members) of the groups whose members are in different components."""
-    rows = _labelled(rows.select("sig", "print"), join.labels, "print", "label")
-    group = rows.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members"))
-    return join.scratch.settle(rows.join(group.filter("low <> high").select("sig", "members"), "sig"))
-
-
-def _rest(join: _Join, shared: DataFrame, checked: DataFrame) -> None:
-    """Pairs of members that aren't their group's first and are still in different components."""
-    rows = _unsettled(shared.filter("print <> first"), join)
+def _families(scratch: Scratch, large: DataFrame) -> DataFrame:
+    """(sig, print, family) of the members of large groups; groups that share members are of one family if its sets,
+    each pair compared once, are fewer pairs than those of its groups; otherwise family is null."""
+    links = large.filter("print <> first").select(F.col("first").alias("a"), F.col("print").alias("b"))
+    of = connected_components(scratch, links).select(F.col("node").alias("print"), F.col("label").alias("family"))
+    rows = scratch.settle(large.select("sig", "print").join(of, "print"))
+    apart = rows.groupBy("family", "sig").agg(F.count("*").cast("double").alias("m")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
+    whole = rows.groupBy("family").agg(F.count_distinct("print").cast("double").alias("n"))
+    chosen = whole.join(apart, "family").filter(F.col("n") * F.col("n") <= F.col("apart")).select("family", F.lit(True).alias("together"))
+    out = scratch.settle(rows.join(chosen, "family", "left").select("sig", "print", F.when(F.col("together"), F.col("family")).alias("family")))
+    scratch.drop(rows)
+    return out
+
+
+def _rest(join: _Join, rows: DataFrame, checked: DataFrame) -> None:
+    """Pairs of members that aren't their group's first and are still in different components; ``rows`` as of ``mixed``."""
+    if rows.isEmpty():
+        return
+    scratch = join.scratch
     large = rows.filter(F.col("members") > _FEW)
+    families = None
     if not large.isEmpty():
-        # A set's home is the largest of its large groups; sets with one home have met there.
-        homes = join.scratch.settle(large.groupBy("print").agg(F.max_by("sig", F.struct("members", "sig")).alias("home")))
-        at_home = homes.select(F.col("home").alias("sig")).distinct()
-        join.check_tiles(large.join(at_home, "sig", "left_semi"))
-        others = large.join(at_home, "sig", "left_anti").join(homes, "print")
-        mixed = others.groupBy("sig").agg(F.min("home").alias("one"), F.max("home").alias("two")).filter("one <> two")
-        others = _unsettled(others.join(mixed.select("sig"), "sig", "left_semi"), join)
-        if not others.isEmpty():
-            join.check_tiles(others)
-    few = rows.filter(F.col("members") <= _FEW).select("sig", "print")
-    few = _labelled(few, join.labels, "print", "label")
+        families = _families(scratch, large)
+        together = families.filter("family IS NOT NULL").select(F.col("family").alias("sig"), "print").distinct()
+        join.check_tiles(together.unionByName(families.filter("family IS NULL").select("sig", "print")))
+    few = _labelled(rows.filter(F.col("members") <= _FEW).select("sig", "print"), join.labels, "print", "label")
     one, two = (few.select("sig", F.col("print").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
-    across = one.join(two, "sig").filter("a < b AND label_a <> label_b").groupBy("a", "b").agg(F.count("*").alias("shared"))
-    across = join.scratch.settle(across.join(checked.select("a", "b"), ["a", "b"], "left_anti"))
+    across = one.join(two, "sig").filter("a < b AND label_a <> label_b").select("a", "b").distinct()
+    across = across.join(checked, ["a", "b"], "left_anti")
+    if families is not None:
+        met = families.filter("family IS NOT NULL").select("print", "family").distinct()
+        for side in "ab":
+            across = across.join(met.select(F.col("print").alias(side), F.col("family").alias(f"family_{side}")), side, "left")
+        across = across.filter(F.coalesce(F.col("family_a") != F.col("family_b"), F.lit(True))).select("a", "b")
+    across = scratch.settle(across)
     if not across.isEmpty():
-        join.work_off(across)
+        join.check(across)
+    scratch.drop(across, *([families] if families is not None else []))
 
 
 def _components(digests: DataFrame, labels: DataFrame) -> DataFrame:
