@@ -82,8 +82,3 @@ class Scratch:
         for table in tables:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(table._scratch_path)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of stages whose results are settled."""
-    spark.sparkContext._jvm.System.gc()
