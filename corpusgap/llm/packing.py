@@ -16,54 +16,53 @@ gives an empty table; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from .bpe_text import PATTERN, CutText, PieceCache, byte_letters, load_vocabulary
-from .session import settle
+from .bpe_text import PieceCache, load_vocabulary
+from .session import Scratch
 
 GROUP_PIECES = 4096
+#: Longer pieces between white space aren't remembered.
+LONGEST_CACHED = 128
+#: White space that follows something else; ASCII only, as engines differ on other white space.
+_CUTS = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
 
 
 class IdEncoder:
-    """Texts to token ids, as little-endian unsigned 32-bit bytes.
+    """Texts to token ids by the tokenizers library, as little-endian unsigned 32-bit bytes.
 
-    The ranks are read from the tokenizer's own JSON file (a token's id is its
-    rank), so the ids are those of its library; pieces between spaces are cached.
+    A text is cut before white space that follows something else, where a pre-token always
+    begins; the library encodes each distinct piece once, whatever its length.  Texts with
+    special strings, or under a vocabulary that changes texts first, are encoded whole.
     """
 
     def __init__(self, path: str):
-        vocab, _, special = load_vocabulary(path)
-        byte = {letter: b for b, letter in byte_letters().items()}
-        ranks = {bytes(byte[c] for c in token): i for token, i in vocab.items()}
-        self.model = tiktoken.Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.special = {s: array("I", [i]).tobytes() for s, i in special.items()}
-        self.cut = CutText(list(special))
-        self.pieces = PieceCache(lambda piece: self.whole(" " + piece))
+        _, _, special = load_vocabulary(path)
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.special = list(special)
+        self.uncut = self.library.normalizer is not None
+        self.pieces = PieceCache(self.whole)
 
     def whole(self, text: str) -> bytes:
-        return array("I", self.model.encode_ordinary(text)).tobytes()
-
-    def plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.cut.simple(text):
-            return self.whole(text)
-        first, *rest = text.split(" ")
-        return self.whole(first) + b"".join(map(self.pieces.__getitem__, rest))
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        spans = self.cut.spans(text)
-        return b"".join(self.special[s] if i % 2 else self.plain(s) for i, s in enumerate(spans))
+        if self.uncut or any(s in text for s in self.special):
+            return self.whole(text)
+        return b"".join([self.pieces[p] if len(p) <= LONGEST_CACHED else self.whole(p) for p in _CUTS.split(text)])
 
 
 _encoders: dict[str, IdEncoder] = {}
@@ -183,4 +182,5 @@ def pack_documents(df: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
     The tokenised pieces (numbers only) are settled once in the checkpoint folder,
     so a lost executor costs no second tokenisation of everything.
     """
-    return pack(settle(token_pieces(df, vocabulary, capacity, end_id)), capacity, group_pieces)
+    pieces = Scratch(df.sparkSession, "packing").settle(token_pieces(df, vocabulary, capacity, end_id))
+    return pack(pieces, capacity, group_pieces)
