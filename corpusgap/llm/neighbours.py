@@ -2,20 +2,21 @@
 
 Vectors are lifted to one sphere (a further coordinate takes up what a vector lacks
 to the greatest length), so the largest inner product is the least distance.  Each
-ordering projects them by its own rotation to a few dimensions, shifts, and takes
-their place on a Hilbert curve.  Spark range-partitions an ordering by key into
-blocks of a few thousand vectors; a query visits its own block and those beside it
-(its window), every visited block gives its best, and the windows of all orderings
-are merged and ranked by the exact inner product.
+of several orderings projects them by its own rotation to a few dimensions, shifts, and
+takes their place on a Hilbert curve.  Spark range-partitions an ordering by key (and by
+a hash of the id where keys are equal) into blocks; a query visits the blocks of the
+window around its own key, every visited block gives its best, and the windows of all
+orderings are merged and ranked by the exact inner product.
 
-How many orderings and how wide a window: measured on a bounded sample against
-brute force, the cheapest choice that reaches ``TARGET``.  Where vectors cluster,
-windows are narrow; on vectors without structure only wide ones reach it, and the
-measured choice says so honestly.  Equal vectors are one entry with its least ids.
+How many orderings (two or four) and how wide a window: measured on a bounded sample
+against brute force, the cheapest choice that reaches ``TARGET``.  Where vectors
+cluster, windows are narrow; on vectors without structure only wide ones reach it.
+Equal vectors are one entry with its least ids.
 
 Defined cases: vectors null, zero, with null or non-finite parts, or of another than
-the commonest size take no part; repeated rows of one id and vector count once; ties
-go to the lesser id; fewer candidates than asked give all; extra columns are ignored.
+the table's commonest size take no part, be they candidates or queries; repeated rows of
+one id and vector count once; ties go to the lesser id; fewer candidates than asked give
+all; an empty table gives an empty one; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import settle
+from .session import Scratch
 
 DIMS, DEPTH = 6, 10
-ORDERINGS = (1, 2, 4)
-SHARES = (0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
+ORDERINGS = (2, 4)
+SHARES = (0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
 TARGET = 0.97
 #: The bound of the sample that windows are measured on, and of its queries.
 SAMPLE, SAMPLE_QUERIES = 8192, 256
+#: Vectors of a block; an ordering has at least so many blocks and at most so many (then blocks are larger, and split by id).
 BLOCK, QUERY_BLOCK = 4096, 4096
+LEAST_BLOCKS, MOST_BLOCKS = 32, 8192
 
 
 def hilbert_keys(cells: np.ndarray, depth: int) -> np.ndarray:
@@ -110,20 +113,21 @@ def choose_windows(curves: Curves, sample: np.ndarray, k: int) -> tuple[int, flo
     products[np.arange(len(queries)), queries] = -np.inf
     k = min(k, len(sample) - 1)
     if k < 1:
-        return 1, 1.0, 1.0
+        return ORDERINGS[-1], SHARES[-1], 1.0
     truth = np.argpartition(-products, k - 1, axis=1)[:, :k]
-    away = np.empty((len(curves.rotations), len(queries), k))
+    at, place = np.empty((len(curves.rotations), len(queries), 1)), np.empty((len(curves.rotations), len(queries), k))
     for o in range(len(curves.rotations)):
         keys = np.sort(curves.keys(sample, False, o))
-        place = np.searchsorted(keys, curves.keys(sample, False, o))
-        at = np.searchsorted(keys, curves.keys(sample[queries], True, o))
-        away[o] = np.abs(place[truth] - at[:, None]) / len(sample)
-    options = sorted((r * s, r, s) for r in ORDERINGS for s in SHARES)
-    for _, r, s in options:
-        recall = float((away[:r].min(axis=0) <= s / 2).mean()) if s < 1 else 1.0
+        place[o] = (np.searchsorted(keys, curves.keys(sample, False, o)) / len(sample))[truth]
+        at[o] = (np.searchsorted(keys, curves.keys(sample[queries], True, o)) / len(sample))[:, None]
+    best = (ORDERINGS[-1], SHARES[-1], 0.0)
+    for _, r, s in sorted((r * s, r, s) for r in ORDERINGS for s in SHARES):
+        start = np.clip(at - s / 2, 0, 1 - s)
+        recall = float(((place >= start) & (place <= start + s))[:r].any(axis=0).mean())
         if recall >= TARGET:
             return r, s, recall
-    return 1, 1.0, 1.0
+        best = max(best, (r, s, recall), key=lambda x: x[2])
+    return best
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -132,16 +136,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def valid_vectors(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """(vec_id, vector of doubles) of the rows that take part."""
-    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0")
+    """(vec_id, vector) of the rows without null, zero or non-finite vectors; floats stay floats."""
+    kind = "float" if df.select(vector).schema[0].dataType.simpleString() == "array<float>" else "double"
+    rows = df.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).cast(f"array<{kind}>").alias("vector")).filter("vec_id IS NOT NULL AND size(vector) > 0")
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
-    return rows.filter(F.size("vector") == (sizes[0]["size"] if sizes else 0))
+    return rows.filter(F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
 
 
 def _keyed(rows: DataFrame, curves, orderings: int, query: bool) -> DataFrame:
     """Each vector once an ordering, with its key."""
+    kind = rows.schema["vector"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,7 +156,28 @@ def _keyed(rows: DataFrame, curves, orderings: int, query: bool) -> DataFrame:
                 keys = curves.value.keys(vectors, query, o)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), o, np.int32)), pa.array(keys), batch.column(0), batch.column(1)], ["ordering", "key", "id", "vector"])
 
-    return rows.mapInArrow(run, "ordering int, key long, id long, vector array<double>")
+    return rows.mapInArrow(run, f"ordering int, key long, id long, vector {kind}")
+
+
+def _windows(asked: DataFrame, ends: list[np.ndarray], share: float) -> DataFrame:
+    """Each keyed query once for every block of the window around its key; windows keep their width at a curve's ends."""
+    kind = asked.schema["vector"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ordering, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for o, end in enumerate(ends):
+                mine = np.flatnonzero(ordering == o)
+                if not len(mine):
+                    continue
+                width = min(len(end), int(np.ceil(share * len(end))) + 1)
+                home = np.minimum(np.searchsorted(end, key[mine]), len(end) - 1)
+                start = np.clip(home - width // 2, 0, len(end) - width)
+                for step in range(width):
+                    rows = batch.take(pa.array(mine))
+                    yield pa.RecordBatch.from_arrays([rows.column(0), pa.array((start + step).astype(np.int32)), rows.column(2), rows.column(3)], ["ordering", "block", "id", "vector"])
+
+    return asked.mapInArrow(run, f"ordering int, block int, id long, vector {kind}")
 
 
 def _best(k: int):
@@ -179,39 +204,52 @@ def _best(k: int):
 def nearest(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding", query_id: str = "vec_id") -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k nearest rows of ``df`` other than its own id."""
     spark = df.sparkSession
-    rows = settle(valid_vectors(df, vec_id, vector))
-    asked = valid_vectors(queries, query_id, vector)
+    scratch = Scratch(spark, "neighbours")
+    rows, asked = valid_vectors(df, vec_id, vector), valid_vectors(queries, query_id, vector)
+    sizes = rows.groupBy(F.size("vector").alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
+    if not sizes:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows, asked = (x.filter(F.size("vector") == sizes[0]["size"]) for x in (rows, asked))
     # Equal vectors: one entry, by its least id; of its ids the k + 1 least decide every answer.
     within = Window.partitionBy("vector").orderBy("vec_id")
     least = rows.distinct().withColumn("place", F.row_number().over(within)).filter(F.col("place") <= k + 1)
-    entries = settle(least.groupBy("vector").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    total = entries.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    entries = scratch.settle(least.groupBy("vector").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
+    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    total, longest = entries.agg(F.count("*"), F.sqrt(F.max(squares))).first()
     sample = _matrix(entries.select("vector").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["vector"].combine_chunks())
-    squares = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
-    longest = float(np.sqrt(entries.agg(F.max(squares)).first()[0]))
-    curves = fit_curves(sample, longest)
+    curves = fit_curves(sample, float(longest))
     orderings, share, _ = choose_windows(curves, sample, k)
     shared = spark.sparkContext.broadcast(curves)
 
     # Queries with equal vectors are asked once, under the entry's id.
-    asked = settle(asked.join(entries.select("vector", "id"), "vector", "left").select(F.coalesce("id", -1 - F.col("vec_id")).alias("id"), F.col("vec_id").alias("query_id"), "vector"))
+    asked = scratch.settle(asked.join(entries.select("vector", "id"), "vector", "left").select(F.coalesce("id", -1 - F.col("vec_id")).alias("id"), F.col("vec_id").alias("query_id"), "vector"))
     once = asked.groupBy("id").agg(F.any_value("vector").alias("vector"))
-    keyed, searching = settle(_keyed(entries.select("id", "vector"), shared, orderings, False)), _keyed(once.select("id", "vector"), shared, orderings, True)
-    blocks = max(1, -(-total // BLOCK))
-    width = max(0, int(np.ceil(share * blocks / 2))) if share < 1 else blocks
-    ends = [r["ends"] for r in keyed.groupBy("ordering").agg(F.percentile_approx("key", [(i + 1) / blocks for i in range(blocks)], 100 * blocks).alias("ends")).orderBy("ordering").collect()]
-    many = max(1, -(-asked.count() // QUERY_BLOCK))
-    candidates = _in_blocks(keyed, ends, blocks, 0).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(many - 1))))
-    searching = _in_blocks(searching, ends, blocks, width).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(many)).cast("int"))
-    by = ["ordering", "block", "part"]
+    blocks = min(max(-(-total // BLOCK), LEAST_BLOCKS), MOST_BLOCKS) * orderings
+    placed = _keyed(entries.select("id", "vector"), shared, orderings, False).repartitionByRange(blocks, "ordering", "key", F.xxhash64("id"))
+    placed = scratch.settle(placed.withColumn("range", F.spark_partition_id()))
+    # A range that holds the end of one ordering and the start of the next is a block of each.
+    spans = placed.groupBy("ordering", "range").agg(F.max("key").alias("end"), F.count("*").alias("size")).orderBy("ordering", "range").collect()
+    ends = [np.array([r["end"] for r in spans if r["ordering"] == o]) for o in range(orderings)]
+    numbers, made = [], [0] * orderings
+    for r in spans:
+        numbers.append((r["ordering"], r["range"], made[r["ordering"]], -(-r["size"] // (2 * BLOCK))))
+        made[r["ordering"]] += 1
+    numbered = spark.createDataFrame(numbers, "ordering int, range int, block int, shards int")  # at most MOST_BLOCKS an ordering
+    windows = scratch.settle(_windows(_keyed(once.select("id", "vector"), shared, orderings, True), ends, share))
+    visits = windows.groupBy("ordering", "block").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    visits = scratch.settle(visits.join(numbered, ["ordering", "block"]))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    candidates = placed.join(visits, ["ordering", "range"]).withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int")).withColumn("part", upto("parts"))
+    searching = windows.join(visits, ["ordering", "block"]).withColumn("part", F.pmod(F.xxhash64("id"), "parts").cast("int")).withColumn("shard", upto("shards"))
+    by = ["ordering", "block", "shard", "part"]
+    candidates, searching = (x.select(*by, "id", "vector") for x in (candidates, searching))
     hits = candidates.groupBy(*by).cogroup(searching.groupBy(*by)).applyInArrow(_best(k + 1), "query long, hits array<struct<id: long, score: double>>")
     # Merge the windows: the best of all hits, each entry once.
     order = lambda a, b: F.when(a["score"] > b["score"], -1).when(a["score"] < b["score"], 1).when(a["id"] < b["id"], -1).when(a["id"] > b["id"], 1).otherwise(0)
     merged = hits.select("query", F.inline("hits")).groupBy("query", "id").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    merged = merged.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1)
+    merged = scratch.settle(merged.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1))
+    scratch.drop(placed, windows, visits)
     named = merged.join(entries.select("id", "ids"), "id").select("query", "score", F.explode("ids").alias("vec_id"))
     ranked = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     named = named.withColumn("place", F.row_number().over(ranked)).filter(F.col("place") <= k + 1)
@@ -219,22 +257,3 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_i
     found = asked.select("id", "query_id").join(lists, F.col("id") == F.col("query"))
     own = F.slice(F.filter("hits", lambda h: h["id"] != F.col("query_id")), 1, k)
     return found.select("query_id", F.posexplode(own).alias("pos", "hit")).select("query_id", (F.col("pos") + 1).alias("rank"), F.col("hit.id").alias("vec_id"), F.col("hit.score").alias("score"))
-
-
-def _in_blocks(keyed: DataFrame, ends: list[list[int]], blocks: int, width: int) -> DataFrame:
-    """Adds ``block``: the block of the key, or with a width every block of the window around it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ordering, key = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            home = np.zeros(len(key), np.int64)
-            for o, end in enumerate(ends):
-                mine = ordering == o
-                home[mine] = np.minimum(np.searchsorted(np.asarray(end), key[mine]), blocks - 1)
-            for step in range(-width, width + 1):
-                ok = (home + step >= 0) & (home + step < blocks)
-                if ok.any():
-                    mask = pa.array(ok)
-                    yield pa.RecordBatch.from_arrays([*[c.filter(mask) for c in batch.columns], pa.array((home[ok] + step).astype(np.int32))], ["ordering", "key", "id", "vector", "block"])
-
-    return keyed.mapInArrow(run, "ordering int, key long, id long, vector array<double>, block int")
