@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import settle
+from .session import Scratch
 
 OPEN, CLOSE = "<|turn|>", "<|end|>\n"
 # What stands for the characters that control strings begin with.
@@ -42,22 +42,27 @@ def unescape(text: Column) -> Column:
 
 
 def _messages(df: DataFrame) -> DataFrame:
-    """tree, node, parent, role, text, score with one row a node and parents that exist."""
+    """tree, node, parent, role, text, score with one row a node."""
     blank = F.lit("")
     rows = df.select("tree", "node", "parent", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"))
-    rows = rows.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("role", "text", "parent", "score")).alias("m")).select("tree", "node", "m.*")
+    rows = rows.filter("node IS NOT NULL").groupBy("tree", "node").agg(F.min(F.struct("role", "text", "parent", "score")).alias("m"))
+    return rows.select("tree", "node", "m.parent", "m.role", "m.text", "m.score")
+
+
+def _linked(messages: DataFrame) -> DataFrame:
+    """(tree, node, up, total): the parents that exist, and the scores."""
+    rows = messages.select("tree", "node", "parent", F.col("score").alias("total"))
     there = rows.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     joined = rows.join(there, rows["tree"].eqNullSafe(there["t"]) & (rows["parent"] == there["p"]) & (rows["parent"] != rows["node"]), "left")
-    return joined.select("tree", "node", F.col("p").alias("parent"), "role", "text", "score")
+    return joined.select("tree", "node", F.col("p").alias("up"), "total")
 
 
-def _pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def _pointers(scratch: Scratch, first: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Level k: (tree, node, up, total) of the nodes that have an ancestor 2**k above, with the score of
     node and those below that ancestor; and (tree, node, total) of every node up to its root.
 
-    Nodes that have reached their root take no part in further joins.
+    Nodes that have reached their root take no part in further joins.  Only ids and scores move.
     """
-    first = settle(messages.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total")))
     whole, level = first.filter("up IS NULL").select("tree", "node", "total"), first.filter("up IS NOT NULL")
     levels, most = [], max(1, first.count()).bit_length()
     while len(levels) <= most and not level.isEmpty():
@@ -66,8 +71,8 @@ def _pointers(messages: DataFrame) -> tuple[list[DataFrame], DataFrame]:
         above = level.select(*names, F.col("up").alias("next"), F.col("total").alias("more"))
         above = above.unionByName(whole.select(*names, F.lit(None).cast("long").alias("next"), F.col("total").alias("more")))
         joined = level.join(above, level["tree"].eqNullSafe(above["t"]) & (level["up"] == above["n"]))
-        joined = settle(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")))
-        whole = settle(whole.unionByName(joined.filter("up IS NULL").select("tree", "node", "total")))
+        joined = scratch.settle(joined.select("tree", "node", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total")))
+        whole = whole.unionByName(joined.filter("up IS NULL").select("tree", "node", "total"))
         level = joined.filter("up IS NOT NULL")
     return levels, whole
 
@@ -76,20 +81,25 @@ def branches(df: DataFrame, per_tree: int | None = 1) -> DataFrame:
     """(tree, leaf, branch, place, role, text) of the best branches: place 0 is the root's.
 
     ``per_tree``: so many branches of each tree, best first (the feature); None: all.
+    Texts are settled once and joined once; everything between works on ids.
     """
-    messages = settle(_messages(df))
-    levels, whole = _pointers(messages)
-    parents = messages.filter("parent IS NOT NULL").select(F.col("tree").alias("t"), F.col("parent").alias("p")).distinct()
+    scratch = Scratch(df.sparkSession, "reply-trees")
+    messages = scratch.settle(_messages(df))
+    nodes = scratch.settle(_linked(messages))
+    levels, whole = _pointers(scratch, nodes)
+    parents = nodes.filter("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = whole.join(parents, whole["tree"].eqNullSafe(parents["t"]) & (whole["node"] == parents["p"]), "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc("total"), "node")
     chosen = leaves.withColumn("branch", F.row_number().over(best))
     if per_tree is not None:
         chosen = chosen.filter(F.col("branch") <= per_tree)
-    path = chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above"))
+    path = scratch.settle(chosen.select("tree", F.col("node").alias("leaf"), "branch", "node", F.lit(0).cast("long").alias("above")))
     for k, level in enumerate(levels):
         up = level.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         further = path.join(up, path["tree"].eqNullSafe(up["t"]) & (path["node"] == up["n"]))
-        path = settle(path.unionByName(further.select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))))
+        before = path
+        path = scratch.settle(path.unionByName(further.select("tree", "leaf", "branch", F.col("up").alias("node"), (F.col("above") + (1 << k)).alias("above"))))
+        scratch.drop(before)
     texts = messages.select(F.col("tree").alias("t"), F.col("node").alias("n"), "role", "text")
     rows = path.join(texts, path["tree"].eqNullSafe(texts["t"]) & (path["node"] == texts["n"]))
     return rows.select("tree", "leaf", "branch", (-F.col("above")).alias("place"), "role", "text")
