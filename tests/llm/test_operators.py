@@ -14,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgap.llm.session import Scratch
+from corpusgap.llm.textkit import Texts
 from corpusgap.llm import chat, components, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, stages, suffix_tree_lm, token_counts, toxicity
 from corpusgap.llm.queries import vocabulary
 
@@ -116,6 +117,18 @@ def test_packing(docs):
     assert out.sequence_id.nunique() <= 1.08 * -(-out.length.sum() // capacity)
 
 
+def test_packing_of_long_runs(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BPE)
+    texts = [" " * 300_000, "\n" * 300_000, "x" * 200_000, "a" + " " * 100_000 + "b \n\n\n c", "<|endoftext|> x  <|endoftext|>", None, ""]
+    out = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), BPE).toPandas()
+    for i, t in enumerate(texts):
+        ids, rows = [*library.encode(t or "", add_special_tokens=False).ids, 0], out[out.doc_id == i].sort_values("piece")
+        assert rows.length.sum() == len(ids)
+        assert [r.ids_crc32 for r in rows.itertuples()] == [zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes()) for r in rows.itertuples()]
+
+
 def test_tightest_room():
     tree, rng, rooms = packing.RoomTree(40), random.Random(5), Counter()
     for _ in range(500):
@@ -273,48 +286,101 @@ def test_language_model(spark):
         assert out[i]["score"] < 0
 
 
-def test_language_model_counts_contexts_below_a_share_of_the_corpus(spark):
+def tree_scores(train, texts, depth, least):
+    """The model by plain recursion over lists: log10 scores of ``texts``."""
+    counts = Counter(w for t in train for w in words(t))
+    frequent = {w for w, n in counts.items() if n >= least}
+    hashed = Texts(pa.array([" ".join(counts) or "x"]))
+    of_class = dict(zip(counts, suffix_tree_lm.word_classes(hashed).tolist(), strict=False))
+
+    def symbol(w):
+        if w in frequent:
+            return w
+        if w not in of_class:
+            of_class[w] = int(suffix_tree_lm.word_classes(Texts(pa.array([w])))[0])
+        return of_class[w]
+
+    def tokens(t):
+        return [*(symbol(w) for w in words(t)), "<end>"]
+
+    unigrams = Counter({c: 0 for c in range(256)})
+    unigrams.update(frequent)
+    unigrams["<end>"] = 0
+    unigrams = Counter({s: 0 for s in unigrams})
+    for t in train:
+        unigrams.update(tokens(t))
+    whole = sum(unigrams.values()) + len(unigrams)
+    following = {}
+    for t in train:
+        row = tokens(t)
+        for i in range(len(row)):
+            for d in range(1, min(i, depth) + 1):
+                following.setdefault(tuple(row[i - d : i]), Counter())[row[i]] += 1
+    kept = {}
+
+    def p(context, s):
+        for d in range(len(context), 0, -1):
+            if context[-d:] in kept:
+                n = kept[context[-d:]]
+                return (n[s] + len(n) * p(context[-d:][1:], s)) / (sum(n.values()) + len(n))
+        return (unigrams[s] + 1) / whole
+
+    for context in sorted(following, key=len):
+        n = following[context]
+        total = sum(n.values())
+        if total < least:
+            continue
+        ratio = sum(c * math.log(c / total / p(context[1:], s)) for s, c in n.items())
+        if ratio > 0.5 * len(n) * math.log(total):
+            kept[context] = n
+    in_class = Counter()
+    for w, n in counts.items():
+        if w not in frequent:
+            in_class[symbol(w), 0] += n
+            in_class[symbol(w), 1] += 1
+    out = []
+    for t in texts:
+        row, score = tokens(t), 0.0
+        for i, s in enumerate(row):
+            score += math.log10(p(tuple(row[max(0, i - depth) : i]), s))
+        for w in words(t):
+            if w not in frequent:
+                c = symbol(w)
+                score += math.log10((counts[w] + 1) / (in_class[c, 0] + in_class[c, 1] + 1))
+        out.append(score)
+    return out, kept
+
+
+@pytest.mark.parametrize("head", [1 << 19, 40])
+def test_language_model_by_force(spark, monkeypatch, head):
+    """Repeated phrases among noise; with a small head the words beyond it come by joins."""
+    monkeypatch.setattr(suffix_tree_lm, "HEAD", head)
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_COUNT", 6)
+    monkeypatch.setattr(suffix_tree_lm, "HOT_TOKENS", 5)
     rng = random.Random(7)
-    filler = [" ".join(f"w{rng.randrange(300)}" for _ in range(2000)) for _ in range(60)]
-    rows = [(i, t, True) for i, t in enumerate(filler)]
-    rows += [(100 + i, "qa ra sa", True) for i in range(25)] + [(200 + i, "xa ya ta", True) for i in range(25)]
-    rows += [(300, "qa ra sa", False), (301, "qa ra ta", False)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean")
-    out = {r["doc_id"]: r["score"] for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
-    assert len(out) == len(rows)
-    assert suffix_tree_lm.LEAST_SHARE * 120_000 > 25 and out[300] - out[301] > 1
-
-
-def test_language_model_contexts_by_force(spark):
-    rng = random.Random(11)
-    tokens = []
-    for row in range(80):
-        c1, c2 = rng.randrange(2), rng.randrange(5)
-        tokens.append((row, row % 5 != 0, c1, c2 if row % 7 else None, None, c1 if rng.random() < 0.9 else rng.randrange(9), -1.0))
-    n = Counter((t[2], t[5]) for t in tokens if t[1])
-    whole = {c: sum(v for (a, _), v in n.items() if a == c) for c in (0, 1)}
-    kinds = {c: sum(a == c for a, _ in n) for c in (0, 1)}
-    keep = {c: whole[c] >= 20 and sum(v * math.log(v / whole[c] / 0.1) for (a, _), v in n.items() if a == c) > 0.5 * kinds[c] * math.log(whole[c]) for c in (0, 1)}
-    assert any(keep.values())
-    df = spark.createDataFrame(tokens, "row long, learn boolean, c1 long, c2 long, c3 long, word long, p double")
-    for r in suffix_tree_lm.with_context(df, 1).collect():
-        c = r["c1"]
-        want = math.log10((n[c, r["word"]] + kinds[c] * 0.1) / (whole[c] + kinds[c])) if keep[c] else -1.0
-        assert r["p"] == pytest.approx(want)
-
-
-def test_language_model_states_sum_to_one(spark):
-    rows = [(i, "a b a b a b c d", True) for i in range(60)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").select("text")
-    counts = np.zeros(suffix_tree_lm.SYMBOLS, np.int64)
-    from corpusgap.llm.textkit import Texts
-
-    hashed = np.unique(Texts(pa.array(["a b c d"])).word_hashes())
-    counts[:4], counts[suffix_tree_lm.END] = [180, 180, 60, 60], 60
-    symbols = spark.sparkContext.broadcast(suffix_tree_lm.Symbols(hashed, np.full(4, 100), np.arange(4)))
-    tree = suffix_tree_lm.grow(df, symbols, counts, 540)
-    assert len(tree.log10) > 1
-    assert np.allclose((10.0 ** tree.log10.astype(float)).sum(axis=1), 1, atol=1e-4)
+    lexicon = [f"w{i}" for i in range(30)] + [f"rare{i}" for i in range(60)]
+    phrases = [" ".join(rng.choices(lexicon[:30], k=6)) for _ in range(4)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.4 else rng.choice(lexicon) for _ in range(rng.randint(0, 12))) for _ in range(240)]
+    texts[7] = texts[8] = texts[9]
+    learn = [i % 5 != 0 for i in range(len(texts))]
+    df = spark.createDataFrame([(i, t, y, 3) for i, (t, y) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, learn boolean, score int").repartition(3)
+    out = {r["doc_id"]: r for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
+    want, kept = tree_scores([t for t, y in zip(texts, learn, strict=True) if y], texts, suffix_tree_lm.MAX_DEPTH, 6)
+    assert {len(c) for c in kept} >= {1, 2, 3}
+    if head > 40:
+        assert [out[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+    counts = Counter(w for t, y in zip(texts, learn, strict=True) if y for w in [*words(t), None])
+    n, v = sum(counts.values()), len(counts)
+    base = [sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in [*words(t), None]) for t in texts]
+    assert [out[i]["base_score"] for i in range(len(texts))] == pytest.approx(base, abs=1e-6)
+    assert [out[i]["n_known"] for i in range(len(texts))] == [sum(counts[w] > 0 for w in [*words(t), None]) for t in texts]
+    assert sum(out[i]["score"] for i in range(0, 240, 5)) > sum(base[::5])
+
+
+def test_context_filter_misses_nothing(spark):
+    keys = np.random.default_rng(3).integers(0, 2**63, 5000)
+    found = suffix_tree_lm.ContextFilter.of(spark.createDataFrame(pa.table({"ctx": keys})).repartition(5))
+    assert found(keys.astype(np.uint64)).all() and found(np.arange(10**5, dtype=np.uint64)).mean() < 0.01
 
 
 def test_chat_trees(spark):
@@ -350,6 +416,40 @@ def test_neighbours(spark):
     assert hit / n >= 0.9 and set(out.query_id) == set(range(0, 600, 20))
 
 
+def recall(found, x, queries, k):
+    hit = 0
+    for q in queries:
+        s = x.astype(float) @ x[q].astype(float)
+        s[q] = -np.inf
+        hit += len(set(np.argsort(-s)[:k].tolist()) & set(found[found.query_id == q].vec_id))
+    return hit / len(queries) / k
+
+
+@pytest.mark.parametrize("clusters", [0, 60])
+def test_neighbours_over_many_blocks(spark, monkeypatch, clusters):
+    """Vectors without structure and clustered ones; the answers come through windows of several orderings."""
+    monkeypatch.setattr(neighbours, "BLOCK", 64)
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((4000, 24))
+    if clusters:
+        x = (rng.standard_normal((clusters, 24)) * 3)[rng.integers(0, clusters, 4000)] + 0.3 * x
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(4000), "embedding": list(x)}))
+    curves = neighbours.fit_curves(x.astype(float), float(np.linalg.norm(x, axis=1).max()))
+    orderings, share, _ = neighbours.choose_windows(curves, x.astype(float), 10)
+    assert orderings > 1 and (share < 0.3 if clusters else share < 1)
+    out = neighbours.nearest(df, df.filter("vec_id % 20 = 0"), k=10).toPandas()
+    assert recall(out, x, range(0, 4000, 20), 10) >= 0.9
+
+
+def test_neighbours_of_two_sizes(spark):
+    """Queries of another size than the table's commonest take no part."""
+    rows = [(i, [float(i), 1.0, 2.0]) for i in range(1, 30)] + [(40, [1.0, 2.0]), (60, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = neighbours.nearest(df, df.filter("vec_id IN (20, 40, 60)"), k=3).toPandas()
+    assert set(out.query_id) == {20} and list(out.sort_values("rank").vec_id) == [29, 28, 27]
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array([(i, j, k) for i in range(8) for j in range(8) for k in range(8)])
     keys = neighbours.hilbert_keys(cells, 3)
