@@ -71,7 +71,7 @@ class Scratch:
         before = self.spark.conf.get(_CLEAN_SHUFFLES, "false")
         self.spark.conf.set(_CLEAN_SHUFFLES, "true")
         try:
-            df.write.parquet(path)
+            df.write.option("compression", "zstd").parquet(path)
         finally:
             self.spark.conf.set(_CLEAN_SHUFFLES, before)
         table = self.spark.read.schema(df.schema).parquet(path)

@@ -330,8 +330,8 @@ def tree_scores(train, texts, depth, least):
         total = sum(n.values())
         if total < least:
             continue
-        ratio = sum(c * math.log(c / total / p(context[1:], s)) for s, c in n.items())
-        if ratio > 0.5 * len(n) * math.log(total):
+        gain = sum(c * (math.log(c - 1) - math.log(p(context[1:], s))) if c > 1 else math.log(len(n)) for s, c in n.items())
+        if gain - total * math.log(total - 1 + len(n)) >= suffix_tree_lm.LEAST_GAIN * total:
             kept[context] = n
     in_class = Counter()
     for w, n in counts.items():
