@@ -65,10 +65,45 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], ts: str | Co
     return first_per(rows.withColumn(keep_first, firsts), keys, [F.desc(ts)])
 
 
-def latest_history(history: DataFrame) -> DataFrame:
-    """The latest search of each user and topic, with how often it was made."""
-    by = ["user_id", "topic"]
-    return history.groupBy(*by).agg(F.max(F.struct("created_at", "search_id")).alias("m"), F.count("*").alias("searches")).select(*by, "m.created_at", "m.search_id", "searches")
+def latest_history(history: DataFrame, keys: tuple[str, ...] = ("user_id", "topic")) -> DataFrame:
+    """The latest search of each key (user and topic, and filters where ``keys`` name them), with how often it was made.
+
+    A ``report_id`` of an earlier search is kept where the latest has none.
+    """
+    order = F.struct("created_at", "search_id")
+    if "report_id" not in history.columns:
+        history = history.withColumn("report_id", F.lit(None).cast("string"))
+    report = F.max_by("report_id", F.when(F.col("report_id").isNotNull(), order))
+    rows = history.groupBy(*keys).agg(F.max(order).alias("m"), F.count("*").alias("searches"), report.alias("report_id"))
+    return rows.select(*keys, "m.created_at", "m.search_id", "searches", "report_id")
+
+
+def sources_used(papers: DataFrame) -> DataFrame:
+    """(topic_id, sources, papers) of what ``top_papers`` draws from."""
+    primary = papers.filter("source <> 'tavily'")
+    web = papers.filter("source = 'tavily'").join(primary.select("topic_id").distinct(), "topic_id", "left_anti")
+    return primary.unionByName(web).groupBy("topic_id").agg(F.array_sort(F.collect_set("source")).alias("sources"), F.count("*").alias("papers"))
+
+
+def per_source(papers: DataFrame, limit: int) -> DataFrame:
+    """The first papers of each topic and source in the source's order, each id once."""
+    rows = first_per(papers, ["topic_id", "source", F.coalesce("external_id", "title")], ["pos"])
+    place = F.row_number().over(Window.partitionBy("topic_id", "source").orderBy("pos"))
+    return rows.withColumn("place", place).filter(F.col("place") <= limit)
+
+
+def cursor_page(rows: DataFrame, keys: list[str], order: list, cursor: int, size: int) -> DataFrame:
+    """The page after ``cursor`` rows of each key, with ``place``, ``next_cursor`` and ``has_more``."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    page = rows.withColumn("place", place).filter(F.col("place") <= cursor + size + 1)
+    page = page.withColumn("has_more", F.max("place").over(Window.partitionBy(*keys)) > cursor + size).filter(F.col("place").between(cursor + 1, cursor + size))
+    return page.withColumn("next_cursor", F.max("place").over(Window.partitionBy(*keys)))
+
+
+def reused(requests: DataFrame, fingerprint: str, item: str) -> DataFrame:
+    """One row a fingerprint: the first request makes the ``report``, later ones reuse it."""
+    others = [c for c in requests.columns if c not in (fingerprint, item)]
+    return requests.groupBy(fingerprint).agg(F.min(item).alias("report"), F.count("*").alias("requests"), *[F.min_by(c, item).alias(c) for c in others])
 
 
 def fresh_rows(candidates: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:

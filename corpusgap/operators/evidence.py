@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import sentences, token_text
+from ..functions.text import phrases, sentences, token_text
 
 # Cues of limitations, of future work, and introductions that are neither.
 LIMITATION_CUES = (
@@ -65,6 +66,30 @@ METRIC_ALIASES = {
     "reproducibility": "reproducibility",
 }
 
+# Canonical names of assumptions, and words of limitations and future work that are written alike.
+ASSUMPTION_ALIASES = {
+    "full observability": "full_observability", "fully observable setting": "full_observability", "partial observability": "partial_observability",
+    "stationary environment": "stationary_environment", "fixed number of agents": "fixed_agent_count",
+}
+WRITTEN_ALIKE = {"fully observable": "full observability", "partial observation": "partial observability", "noisy sensor": "sensor noise"}
+
+
+@dataclass(frozen=True)
+class Lexicon:
+    """The cues of every kind of evidence; the defaults are those of multi-agent learning papers."""
+
+    limitations: Sequence[str] = LIMITATION_CUES
+    limitation_intros: Sequence[str] = LIMITATION_INTROS
+    triggered: Mapping[str, Sequence[str]] = field(default_factory=lambda: TRIGGERED_LIMITATIONS)
+    future_work: Sequence[str] = FUTURE_CUES
+    future_intros: Sequence[str] = FUTURE_INTROS
+    metrics: Mapping[str, Sequence[str]] = field(default_factory=lambda: METRIC_CUES)
+    assumptions: Mapping[str, Sequence[str]] = field(default_factory=lambda: ASSUMPTION_CUES)
+    datasets: Sequence[str] = DATASETS
+    no_datasets: Sequence[str] = NO_DATASETS
+    methods: Sequence[str] = METHODS
+    baselines: Mapping[str, Sequence[str]] = field(default_factory=dict)
+
 
 def _any(text: Column, cues: Sequence[str]) -> Column:
     out = F.lit(False)
@@ -83,33 +108,33 @@ def named(text: Column, cues: Mapping[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*[F.when(_any(F.lower(text), c), name) for name, c in cues.items()]))
 
 
-def limitations(text: Column) -> Column:
-    return F.array_distinct(F.concat(cued(text, LIMITATION_CUES, LIMITATION_INTROS), named(text, TRIGGERED_LIMITATIONS)))
+def limitations(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    return F.array_distinct(F.concat(cued(text, lexicon.limitations, lexicon.limitation_intros), named(text, lexicon.triggered)))
 
 
-def future_work(text: Column) -> Column:
-    return cued(text, FUTURE_CUES, FUTURE_INTROS)
+def future_work(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    return cued(text, lexicon.future_work, lexicon.future_intros)
 
 
-def metrics(text: Column) -> Column:
-    return named(text, METRIC_CUES)
+def metrics(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    return named(text, lexicon.metrics)
 
 
-def assumptions(text: Column) -> Column:
+def assumptions(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """In the order of the sentences that name them."""
-    return F.array_distinct(F.flatten(F.transform(sentences(text), lambda s: named(s, ASSUMPTION_CUES))))
+    return F.array_distinct(F.flatten(F.transform(sentences(text), lambda s: named(s, lexicon.assumptions))))
 
 
-def datasets(text: Column) -> Column:
-    known = F.filter(F.array(*map(F.lit, DATASETS)), lambda d: F.contains(F.lower(text), F.lower(d)))
+def datasets(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    known = F.filter(F.array(*map(F.lit, lexicon.datasets)), lambda d: F.contains(F.lower(text), F.lower(d)))
     acronyms = F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,}(?:-[A-Z0-9]+)*)\b"), 1)
     acronyms = F.filter(acronyms, lambda a: (F.length(a) > 2) & (F.length(a) <= 12))
-    return F.array_distinct(F.concat(known, F.array_except(acronyms, F.array(*map(F.lit, [*DATASETS, *NO_DATASETS])))))
+    return F.array_distinct(F.concat(known, F.array_except(acronyms, F.array(*map(F.lit, [*lexicon.datasets, *lexicon.no_datasets])))))
 
 
-def method(title: Column, abstract: Column) -> Column:
+def method(title: Column, abstract: Column, lexicon: Lexicon = Lexicon()) -> Column:
     text = F.lower(F.concat_ws(". ", title, abstract))
-    return F.initcap(F.coalesce(*[F.when(F.contains(text, F.lit(m)), m) for m in METHODS]))
+    return F.initcap(F.coalesce(*[F.when(F.contains(text, F.lit(m)), m) for m in lexicon.methods]))
 
 
 def canonical(term: Column, aliases: Mapping[str, str] = METRIC_ALIASES) -> Column:
@@ -118,12 +143,31 @@ def canonical(term: Column, aliases: Mapping[str, str] = METRIC_ALIASES) -> Colu
     return F.coalesce(F.try_element_at(table, name), F.replace(name, F.lit(" "), F.lit("_")))
 
 
-def extract(papers: DataFrame) -> DataFrame:
-    """Papers with their evidence columns, from title and whole abstract."""
+def alike(phrase: Column) -> Column:
+    for old, new in WRITTEN_ALIKE.items():
+        phrase = F.replace(phrase, F.lit(old), F.lit(new))
+    return phrase
+
+
+def extract(papers: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """Papers with their evidence columns, from title and whole abstract; a ``baselines`` column of the input is kept."""
     text = F.coalesce("abstract", F.lit(""))
+    given = F.col("baselines") if "baselines" in papers.columns else F.array().cast("array<string>")
+    baselines = F.array_union(F.coalesce(given, F.array().cast("array<string>")), named(text, lexicon.baselines)) if lexicon.baselines else given
     return papers.withColumns({
-        "limitations": limitations(text), "future_work": future_work(text), "metrics": F.transform(metrics(text), lambda m: canonical(m)),
-        "assumptions": assumptions(text), "datasets": datasets(text), "method": method(F.col("title"), text),
+        "limitations": limitations(text, lexicon), "future_work": future_work(text, lexicon), "metrics": metrics(text, lexicon),
+        "assumptions": assumptions(text, lexicon), "datasets": datasets(text, lexicon), "method": method(F.col("title"), text, lexicon), "baselines": baselines,
+    })
+
+
+def normalized(evidence: DataFrame) -> DataFrame:
+    """Adds the ``normalized_*`` columns: phrases and canonical names, each once a paper, in order."""
+    each = lambda name, f: F.array_distinct(F.transform(phrases(F.col(name)), lambda x: f(x)))
+    method_name = token_text(F.coalesce("method", F.lit("")))
+    return evidence.withColumns({
+        "normalized_limitations": each("limitations", lambda x: alike(x)), "normalized_future_work": each("future_work", lambda x: alike(x)),
+        "normalized_assumptions": each("assumptions", lambda x: canonical(x, ASSUMPTION_ALIASES)), "normalized_metrics": each("metrics", lambda x: canonical(x)),
+        "normalized_datasets": phrases(F.col("datasets")), "normalized_baselines": phrases(F.col("baselines")), "normalized_method": method_name,
     })
 
 
@@ -131,19 +175,18 @@ def _of_kind(terms: Column, kind: str) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
 
-def evidence_long(papers: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
-    """(topic_id, paper_id, year, citation_count, kind, term) by cue words.
+KINDS = {
+    "limitation": "normalized_limitations", "future_work": "normalized_future_work", "assumption": "normalized_assumptions",
+    "metric": "normalized_metrics", "dataset": "normalized_datasets", "baseline": "normalized_baselines", "method": "normalized_method",
+}
 
-    Kinds that end in ``metric`` are words counted by paper; the others are whole sentences
-    as normalised phrases.  One pass over the texts whatever the number of kinds.
-    """
-    text = F.coalesce("abstract", F.lit(""))
+
+def evidence_long(papers: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """(topic_id, paper_id, title, year, citation_count, kind, term): every kind of evidence, in one pass over the texts."""
+    rows = normalized(extract(papers, lexicon))
     parts = []
-    for kind, cues in lexicon.items():
-        if kind == "metric":
-            terms = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(c)), c) for c in cues]))
-        else:
-            terms = F.array_distinct(F.filter(F.transform(cued(text, cues), token_text), lambda t: t != ""))
+    for kind, name in KINDS.items():
+        terms = F.filter(F.array(name), lambda t: t != "") if kind == "method" else F.col(name)
         parts.append(_of_kind(terms, kind))
-    rows = papers.select("topic_id", F.col("external_id").alias("paper_id"), "title", "year", "citation_count", F.explode(F.concat(*parts)).alias("e"))
+    rows = rows.select("topic_id", F.col("external_id").alias("paper_id"), "title", "year", "citation_count", F.explode(F.concat(*parts)).alias("e"))
     return rows.select("topic_id", "paper_id", "title", "year", "citation_count", "e.kind", "e.term")

@@ -19,26 +19,37 @@ def _term_counts(texts: DataFrame, stop_words: Sequence[str]) -> DataFrame:
     return rows.select("kind", "id", F.explode(terms).alias("term")).groupBy("kind", "id", "term").agg(F.count("*").alias("tf"))
 
 
-def tfidf_match(papers: DataFrame, topics: DataFrame, stop_words: Sequence[str]) -> DataFrame:
+# English stop words (a common list of function words).
+ENGLISH = (
+    "a about above after again against all am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from further "
+    "had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves "
+    "out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which "
+    "while who whom why will with would you your yours yourself yourselves"
+).split()
+
+
+def tfidf_match(papers: DataFrame, topics: DataFrame, stop_words: Sequence[str] = ENGLISH, features: int | None = None) -> DataFrame:
     """(external_id, score, best_topic): the sum of a paper's cosines with all topics, and the nearest topic.
 
-    papers (external_id, text), topics (topic_no, text).  Frequencies count papers and topics
-    alike; weights are tf * (ln((1 + n) / (1 + df)) + 1) at length 1.  Papers that share no term
-    with a topic have no row; of equally near topics the first is named.  Only terms of topics
-    are joined, and products are summed by paper and topic before anything else moves.
+    papers (external_id, title, text), topics (topic_no, text).  Frequencies count papers and topics
+    alike; weights are tf * (ln((1 + n) / (1 + df)) + 1) at length 1; with ``features`` only the so many
+    commonest terms count.  Papers that share no term with a topic have no row; of equally near topics
+    the first is named.  Words are counted once, for all steps; papers meet topics by their terms.
     """
     texts = papers.select(F.lit("paper").alias("kind"), F.col("external_id").cast("string").alias("id"), "text")
     texts = texts.unionByName(topics.select(F.lit("topic").alias("kind"), F.col("topic_no").cast("string").alias("id"), "text"))
-    counts = _term_counts(texts, stop_words)
+    counts = _term_counts(texts, stop_words).persist()
     total = texts.agg(F.count("*").alias("n"))
-    idf = counts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total))  # one row
-    idf = idf.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
+    if features is not None:
+        idf = idf.orderBy(F.desc("all"), "term").limit(features)
+    idf = idf.crossJoin(F.broadcast(total)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))  # one row
     weights = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
     norms = weights.groupBy("kind", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    of_topics = weights.filter("kind = 'topic'").select("term", F.col("id").alias("topic"), F.col("w").alias("w_topic"))
-    dots = weights.filter("kind = 'paper'").join(of_topics, "term").groupBy("id", "topic").agg(F.sum(F.col("w") * F.col("w_topic")).alias("dot"))
+    units = weights.filter("kind = 'topic'").join(norms, ["kind", "id"]).select("term", F.col("id").alias("topic"), (F.col("w") / F.col("norm")).alias("u"))
+    own = weights.filter("kind = 'paper'").select("id", "term", "w")
+    dots = own.join(units, "term").groupBy("id", "topic").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     dots = dots.join(norms.filter("kind = 'paper'").select("id", "norm"), "id")
-    dots = dots.join(norms.filter("kind = 'topic'").select(F.col("id").alias("topic"), F.col("norm").alias("norm_topic")), "topic")
-    dots = dots.withColumn("cosine", F.col("dot") / F.col("norm") / F.col("norm_topic")).withColumn("topic", F.col("topic").cast("long"))
+    dots = dots.withColumn("cosine", F.col("dot") / F.col("norm")).withColumn("topic", F.col("topic").cast("long"))
     best = F.max_by("topic", F.struct(F.round("cosine", 9), -F.col("topic")))
     return dots.groupBy(F.col("id").alias("external_id")).agg(F.sum("cosine").alias("score"), best.alias("best_topic"))

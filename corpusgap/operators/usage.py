@@ -40,16 +40,17 @@ def cluster_sizes(members: DataFrame, label: str) -> DataFrame:
 def roc_auc(scored: DataFrame, ranges: int = 1024) -> DataFrame:
     """Area under the ROC curve of (score, label), ties counted half.
 
-    Scores are ranked inside ranges of even width, and only the ranges' totals
-    are summed in order, so no task sees all scores.
+    Scores are ranked inside ranges cut at quantiles, and only the totals of the at most
+    ``ranges`` + 1 ranges are summed in order, so no task sees all scores whatever their scale.
     """
     by = scored.groupBy("score").agg(F.sum(F.col("label").cast("long")).alias("ones"), F.sum(1 - F.col("label").cast("long")).alias("zeros"))
-    by = by.withColumn("range", F.floor(F.col("score") * ranges))
+    cuts = by.agg(F.array_sort(F.array_distinct(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 100 * ranges))).alias("cuts"))
+    by = by.crossJoin(F.broadcast(cuts))  # one row of at most ``ranges`` numbers
+    by = by.withColumn("range", F.size(F.filter("cuts", lambda c: c <= F.col("score")))).drop("cuts")
     totals = by.groupBy("range").agg(F.sum("zeros").alias("all_zeros"))
-    before = totals.select(F.col("range").alias("other"), F.col("all_zeros").alias("other_zeros"))
-    lower = totals.join(before, F.col("other") < F.col("range"), "left").groupBy("range").agg(F.coalesce(F.sum("other_zeros"), F.lit(0)).alias("lower"))
+    lower = F.coalesce(F.sum("all_zeros").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most ``ranges`` rows
     inside = F.coalesce(F.sum("zeros").over(Window.partitionBy("range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = by.withColumn("inside", inside).join(lower, "range")
+    rows = by.withColumn("inside", inside).join(totals.select("range", lower.alias("lower")), "range")
     rows = rows.withColumn("won", F.col("ones") * (F.col("lower") + F.col("inside") + F.col("zeros") / 2))
     return rows.agg((F.sum("won") / (F.sum("ones") * F.sum("zeros"))).alias("auc"))
 
@@ -70,7 +71,111 @@ def kappa(ratings: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select("n", ((F.col("agree") - F.col("chance")) / F.nullif(1 - F.col("chance"), F.lit(0.0))).alias("kappa"))
 
 
-def gaps_between(log: DataFrame, key: str, ts: str) -> DataFrame:
-    """P50, P95 and P99 of the seconds between a key's consecutive rows."""
+def gaps_between(log: DataFrame, key: str, ts: str, accuracy: int = 10000) -> DataFrame:
+    """P50, P95 and P99 of the seconds between a key's consecutive rows; sketches, not sorted lists, meet in one task."""
     gap = F.unix_timestamp(ts) - F.unix_timestamp(F.lag(ts).over(Window.partitionBy(key).orderBy(ts, "event_id")))
-    return log.select(gap.alias("gap")).agg(*[F.percentile("gap", p).alias(name) for name, p in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))])
+    got = log.select(gap.alias("gap")).agg(F.percentile_approx("gap", [0.5, 0.95, 0.99], accuracy).alias("p"))
+    return got.select(*[F.col("p")[i].cast("double").alias(name) for i, name in enumerate(("p50", "p95", "p99"))])
+
+
+def stage_latency(runs: DataFrame, accuracy: int = 10000) -> DataFrame:
+    """(stage, runs, p50, p95): seconds that the stages of runs (run, stage, ts) take, each till the next one's start."""
+    took = F.unix_timestamp(F.lead("ts").over(Window.partitionBy("run").orderBy("ts", "stage"))) - F.unix_timestamp("ts")
+    rows = runs.withColumn("took", took).filter("took IS NOT NULL").groupBy("stage")
+    return rows.agg(F.count("*").alias("runs"), F.percentile_approx("took", 0.5, accuracy).alias("p50"), F.percentile_approx("took", 0.95, accuracy).alias("p95"))
+
+
+def over_limit(log: DataFrame, ts: str, limit: int = 10) -> DataFrame:
+    """Each use with its number among the user's and whether it is allowed under a lifetime limit."""
+    number = F.count("*").over(Window.partitionBy("user_id").orderBy(ts, "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return log.select("user_id", "event_id", number.alias("number")).withColumn("allowed", F.col("number") <= limit)
+
+
+def report_listing(reports: DataFrame, k: int = 20) -> DataFrame:
+    """A user's newest reports (user_id, report_id, topic, gaps array, created_at) with their number of gaps."""
+    from .corpus import first_per
+
+    rows = first_per(reports, ["user_id"], [F.desc("created_at"), "report_id"], k)
+    return rows.select("user_id", "report_id", "topic", F.size(F.coalesce("gaps", F.array())).alias("gaps"), "created_at")
+
+
+def session_messages(turns: DataFrame) -> DataFrame:
+    """(conv_id, title, messages): a session's turns in order; one session is one row."""
+    messages = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
+    return turns.groupBy("conv_id").agg(messages.alias("messages")).select("conv_id", F.substring(F.col("messages")[0]["text"], 1, 50).alias("title"), "messages")
+
+
+def paged(df: DataFrame, keys: list[str], order: list, limit: int, skip: int = 0) -> DataFrame:
+    """Rows ``skip`` + 1 to ``skip`` + ``limit`` of each key, with ``place`` and whether more follow."""
+    by = Window.partitionBy(*keys).orderBy(*order)
+    rows = df.withColumn("place", F.row_number().over(by)).filter(F.col("place") <= skip + limit + 1)
+    rows = rows.withColumn("has_more", F.max("place").over(Window.partitionBy(*keys)) > skip + limit)
+    return rows.filter(F.col("place").between(skip + 1, skip + limit))
+
+
+def daily_reports(log: DataFrame, as_of: str) -> DataFrame:
+    """Totals and those of the 24 hours before ``as_of`` of a log (kind, user_id, ts)."""
+    recent = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp("ts")
+    return log.groupBy("kind").agg(F.count("*").alias("total"), F.count_if((recent >= 0) & (recent <= 86400)).alias("last_day"), F.count_distinct("user_id").alias("users"))
+
+
+def rates(rows: DataFrame, keys: list[str], **tests) -> DataFrame:
+    """Shares of rows by condition: grounding, hallucination, success, error, cache-hit and fallback rates alike."""
+    shares = [F.avg(F.coalesce(test, F.lit(False)).cast("double")).alias(name) for name, test in tests.items()]
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), *shares) if keys else rows.agg(F.count("*").alias("n"), *shares)
+
+
+def precision_at(ranked: DataFrame, relevant: DataFrame, keys: list[str], item: str, k: int = 10) -> DataFrame:
+    """(keys, precision): share of the first ``k`` places (place) whose item is relevant (keys, item)."""
+    rows = ranked.filter(F.col("place") <= k).join(relevant.select(*keys, item, F.lit(1).alias("hit")).distinct(), [*keys, item], "left")
+    return rows.groupBy(*keys).agg((F.count("hit") / F.count("*")).alias("precision"))
+
+
+def pairs_together(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Share of known duplicate pairs (a, b) that have one group in groups (item, group)."""
+    one, two = (groups.select(F.col("item").alias(side), F.col("group").alias(f"group_{side}")) for side in "ab")
+    rows = pairs.join(one, "a", "left").join(two, "b", "left")
+    return rows.agg(F.count("*").alias("pairs"), F.avg(F.coalesce(F.col("group_a") == F.col("group_b"), F.lit(False)).cast("double")).alias("accuracy"))
+
+
+def term_coverage(claim_terms: DataFrame) -> DataFrame:
+    """(gap_id, coverage): mean share of a claim's words of four letters or more that its cited context has; claims (gap_id, sentence, context)."""
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) >= 4))
+    rows = claim_terms.select("gap_id", words("sentence").alias("s"), words("context").alias("c")).filter(F.size("s") > 0)
+    return rows.groupBy("gap_id").agg(F.avg(F.size(F.array_intersect("s", "c")) / F.size("s")).alias("coverage"))
+
+
+# Words that make a direction concrete.
+CONCRETE = ("evaluate", "measure", "compare", "benchmark", "ablat", "train", "test", "design", "implement", "dataset", "%", "parameter")
+
+
+def concrete_share(directions: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Share of texts with a concrete verb or a number."""
+    concrete = F.lower(text).rlike("|".join(CONCRETE)) | F.col(text).rlike(r"\d")
+    return directions.groupBy(*keys).agg(F.avg(concrete.cast("double")).alias("concrete"))
+
+
+def noise_and_sizes(members: DataFrame, label: str) -> DataFrame:
+    """Noise share (labels below 0) and the sizes of the other clusters."""
+    noise = members.agg(F.avg((F.col(label) < 0).cast("double")).alias("noise"))
+    return noise.crossJoin(cluster_sizes(members.filter(F.col(label) >= 0), label))  # one row each
+
+
+def sessions(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """(user_id, start, end, events) of a user's events without a longer pause."""
+    return log.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("events")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
+
+
+def compared(rows: DataFrame, variant: str, outcome: str) -> DataFrame:
+    """(variant, n, mean, sd) of an outcome by variant."""
+    x = F.col(outcome).cast("double")
+    return rows.groupBy(variant).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev(x).alias("sd"))
+
+
+def token_costs(calls: DataFrame) -> DataFrame:
+    """(run, calls, tokens, success, error, cache_hit, fallback) of model calls (run, tokens, status, cached, fallback)."""
+    by_run = calls.groupBy("run").agg(
+        F.count("*").alias("calls"), F.sum("tokens").alias("tokens"), F.avg((F.col("status") == "ok").cast("double")).alias("success"), F.avg((F.col("status") != "ok").cast("double")).alias("error"),
+        F.avg(F.col("cached").cast("double")).alias("cache_hit"), F.avg(F.col("fallback").cast("double")).alias("fallback"),
+    )
+    return by_run

@@ -8,16 +8,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.runtime import share_package
+from ..operators.evidence import Lexicon
 
 AS_OF_YEAR = 2025
 AS_OF = "2024-01-31 00:00:00"
 
-#: Words of the invented texts that stand for the evidence lexicons: cue words by kind.
-LEXICON = {
-    "limitation": ("thble", "erble", "nicht", "mente", "ément"),
-    "future_work": ("thtion", "attion", "ersch", "ciónas", "étion"),
-    "metric": ("thing", "ertion"),
-}
+#: Words of the invented texts that stand for the evidence lexicons.
+LEXICON = Lexicon(
+    limitations=("thble", "erble", "nicht", "mente", "ément"), limitation_intros=(), triggered={},
+    future_work=("thtion", "attion", "ersch", "ciónas", "étion"), future_intros=(),
+    metrics={"reward": ("thing",), "robustness": ("ertion",)}, assumptions={"Full observability": ("thble",), "Stationary environment": ("ersch", "étion")},
+    datasets=("thnt", "erin"), no_datasets=("THE", "AND", "DER", "WAS", "QUE"), methods=("thre", "thth", "thes"), baselines={"value decomposition": ("thed",), "independent learners": ("thhe",)},
+)
 
 VIEWS = {
     "papers": """
@@ -31,22 +33,37 @@ SELECT doc_id AS pos, lang AS topic_id,
   n_chars % 500 AS citation_count
 FROM documents""",
     "paper_authors": """
-SELECT doc_id AS pos, CAST(doc_id AS STRING) AS external_id, concat('author ', CAST(doc_id % 17 AS STRING)) AS author FROM documents
-UNION ALL
-SELECT doc_id, CAST(doc_id AS STRING), concat('author ', CAST(17 + doc_id % 23 AS STRING)) FROM documents""",
+SELECT d.doc_id AS pos, CAST(d.doc_id AS STRING) AS external_id, concat('author ', CAST(CASE m.k WHEN 1 THEN d.doc_id % n.a ELSE n.a + (d.doc_id * 7) % (n.a + 3) END AS STRING)) AS author
+FROM documents d CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) m CROSS JOIN (SELECT CAST(floor(count(*) / 20) AS BIGINT) + 1 AS a FROM documents) n""",
+    "paper_vectors": """
+SELECT CAST(d.doc_id AS STRING) AS external_id, e.embedding FROM documents d CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
+JOIN embeddings e ON e.vec_id = d.doc_id % n.n""",
     "interactions": """
-SELECT user_id, CAST(event_id % 500 AS STRING) AS external_id,
-  CASE event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'save'
-    WHEN 'error' THEN 'dislike' ELSE 'hide' END AS kind, ts
-FROM events""",
+SELECT e.event_id, e.user_id, CAST(e.event_id % n.n AS STRING) AS external_id,
+  CASE e.event_type WHEN 'view' THEN 'open' WHEN 'click' THEN 'like' WHEN 'purchase' THEN 'save'
+    WHEN 'error' THEN 'dislike' ELSE 'hide' END AS kind, e.ts
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) n""",
     "search_history": """
-SELECT e.event_id AS search_id, e.user_id, b.text AS topic, e.ts AS created_at
-FROM events e JOIN benchmark b ON b.item_id = e.event_id % 40 WHERE e.event_type IN ('view', 'click')""",
+SELECT e.event_id AS search_id, e.user_id, b.text AS topic, b.item_id, e.ts AS created_at,
+  CASE e.event_id % 4 WHEN 0 THEN 'ICML' WHEN 1 THEN 'ACL' END AS venue
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM benchmark) n
+JOIN benchmark b ON b.item_id = e.event_id % n.n WHERE e.event_type IN ('view', 'click')""",
+    "library": """
+SELECT e.user_id, CAST(e.event_id % n.n AS STRING) AS external_id, CASE WHEN e.event_id % 9 = 0 THEN NULL ELSE e.ts END AS added_at,
+  CASE (e.event_id % n.n) % 6 WHEN 0 THEN 'NeurIPS 2023' WHEN 1 THEN 'ICML'
+    WHEN 2 THEN 'Proceedings of the 40th International Conference on Machine Learning'
+    WHEN 3 THEN 'ACL' WHEN 4 THEN 'arXiv' END AS venue
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM documents) n WHERE e.event_type = 'purchase'""",
+    "seed_topics": """
+SELECT u.user_id, b.text AS topic, u.user_id % n.n AS vec FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
+CROSS JOIN (SELECT count(*) AS m FROM benchmark) m JOIN benchmark b ON b.item_id = u.user_id % m.m""",
+    "topic_papers": """
+SELECT d.doc_id % n.n AS item_id, d.doc_id AS pos, CAST(d.doc_id AS STRING) AS external_id FROM documents d CROSS JOIN (SELECT count(*) AS n FROM benchmark) n""",
     "gap_feedback": """
-SELECT event_id, user_id, CAST(event_id % 100 AS STRING) AS gap_id,
-  CASE event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' END AS vote,
-  event_type = 'signup' AS pursue, ts AS updated_at
-FROM events WHERE event_type IN ('purchase', 'error', 'signup')""",
+SELECT e.event_id, e.user_id, CAST(e.event_id % n.n AS STRING) AS gap_id,
+  CASE e.event_type WHEN 'purchase' THEN 'up' WHEN 'error' THEN 'down' END AS vote,
+  e.event_type = 'signup' AS pursue, e.ts AS updated_at
+FROM events e CROSS JOIN (SELECT count(*) AS n FROM conversations) n WHERE e.event_type IN ('purchase', 'error', 'signup')""",
     "citation_edges": """
 SELECT d.doc_id AS citing, (d.doc_id * m.k + 1) % n.n AS cited
 FROM documents d CROSS JOIN (SELECT 3 AS k UNION ALL SELECT 7) m CROSS JOIN (SELECT count(*) AS n FROM documents) n
@@ -79,8 +96,3 @@ class Fixtures:
                     statement = statement.replace(f"{before} {table}", f"{before} {{{table}}}")
                     frames[table] = self.given(table)
         return self.spark.sql(statement, **frames)
-
-
-def with_views(sql: str, *names: str) -> str:
-    """DuckDB SQL with the named derived tables as its first common table expressions."""
-    return "WITH " + ", ".join(f"{n} AS ({VIEWS[n]})" for n in names) + (", " + sql if not sql.lstrip().upper().startswith("SELECT") else " " + sql)

@@ -2,454 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import feed_queries, gap_queries, report_queries, source_queries  # noqa: F401  (they register their queries)
+from .catalog import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-
-from ..operators import corpus, evidence, gaps, matching, network, patterns, profiles, usage, vectors
-from .fixtures import AS_OF, AS_OF_YEAR, LEXICON, VIEWS, Fixtures
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(*views: str, sql: str | None = None):
-    """Registers a function of ``Fixtures`` and its SQL, which sees the named derived tables."""
-
-    def register(f: Callable[[Fixtures], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Fixtures(spark, sf_dir))
-        if sql is not None:
-            tables = [f"{v} AS ({ {**VIEWS, **_SQL}[v]})" for v in views]
-            body = sql.strip()
-            if body.upper().startswith("WITH "):
-                tables.append(body[5:])
-                ORACLE_SQL[f.__name__] = "WITH " + ",\n".join(tables)
-            else:
-                ORACLE_SQL[f.__name__] = ("WITH " + ",\n".join(tables) + "\n" if tables else "") + body
-        return f
-
-    return register
-
-
-def _list(words) -> str:
-    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
-
-
-_TITLE_KEY = "trim(regexp_replace(regexp_replace(lower(coalesce(title, '')), '[^a-z0-9\\s]', '', 'g'), '\\s+', ' ', 'g'))"
-_PRIORITY = "CASE source WHEN 'semantic_scholar' THEN 4 WHEN 'openalex' THEN 3 WHEN 'arxiv' THEN 2 WHEN 'tavily' THEN 1 ELSE 0 END"
-_TOKEN = "trim(regexp_replace(regexp_replace(lower(x), '[^a-z0-9\\s_-]', ' ', 'g'), '\\s+', ' ', 'g'))"
-_SENTENCES = "list_filter(list_transform(string_split(replace(abstract, chr(10), ' '), '.'), lambda p: trim(p, ' .')), lambda p: length(p) > 10)"
-
-
-def _phrases(kind: str) -> str:
-    cued = f"list_filter({_SENTENCES}, lambda s: len(list_filter({_list(LEXICON[kind])}, lambda c: contains(lower(s), c))) > 0)"
-    return f"SELECT topic_id, external_id AS paper_id, year, citation_count, '{kind}' AS kind, unnest(list_distinct(list_filter(list_transform({cued}, lambda x: {_TOKEN}), lambda x: x <> ''))) AS term FROM papers"
-
-
-_SQL = {
-    "deduplicated": f"""
-SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, title_key ORDER BY {_PRIORITY} DESC, (length(coalesce(abstract, '')) > 0) DESC, pos) AS rn
-  FROM (SELECT *, coalesce(nullif({_TITLE_KEY}, ''), external_id) AS title_key FROM papers)) WHERE rn = 1""",
-    "evidence": f"""
-{_phrases("limitation")} UNION ALL {_phrases("future_work")} UNION ALL
-SELECT topic_id, external_id, year, citation_count, 'metric', unnest(list_filter({_list(LEXICON["metric"])}, lambda c: contains(lower(abstract), c))) FROM papers""",
-    "weights": """
-SELECT *, ln(1 + greatest(coalesce(citation_count, 0), 0)) / power(1 + CASE WHEN year IS NOT NULL AND year <> 0 THEN greatest(2025 - year, 0) ELSE 5 END, 0.7) AS w,
-  CASE WHEN year IS NULL OR year = 0 THEN 0.5 WHEN greatest(2025 - year, 0) <= 2 THEN 1.0 WHEN 2025 - year <= 4 THEN 0.8 WHEN 2025 - year <= 6 THEN 0.6 ELSE 0.4 END AS r
-FROM evidence WHERE kind <> 'metric'""",
-    "gaps": """
-SELECT topic_id, kind, term, count(*) AS supporting, sum((r >= 1.0)::INT)::BIGINT AS recent, sum((w >= 1.0)::INT)::BIGINT AS influential,
-  count(*) * 0.5 + sum(w) * 0.3 + sum((r >= 1.0)::INT) * 0.2 AS support_score,
-  count(*) * 0.4 + sum((w >= 1.0)::INT) * 0.4 + sum((r >= 1.0)::INT) * 0.2 AS citation_confidence,
-  avg(r) * 1.2 + sum((coalesce(citation_count, 0) < 50)::INT) / count(*) * 0.8 AS novelty
-FROM weights GROUP BY ALL HAVING count(*) >= 2""",
-    "scored_gaps": """
-SELECT *, support_score * 0.30 + severity * 0.20 + actionability * 0.20 + novelty * 0.15 + citation_confidence * 0.15 AS overall, trim(regexp_replace(term, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM (
-  SELECT *, CASE WHEN ev THEN 'evaluation' ELSE 'methodology' END AS category,
-    1.0 + CASE WHEN regexp_matches(term, 'robust|scal|deploy|partial_observability|safety|transfer') THEN 1.5 ELSE 0 END + CASE WHEN ev THEN 0.8 ELSE 0 END AS severity,
-    1.0 + CASE WHEN kind = 'future_work' THEN 0.6 ELSE 0 END + CASE WHEN ev THEN 0.6 ELSE 0 END AS actionability
-  FROM (SELECT *, regexp_matches(term, 'robust|metric|benchmark|baseline|evaluation|reward|transfer') AS ev FROM gaps))""",
-    "signals": f"""
-SELECT *, CASE kind WHEN 'open' THEN 0.3 WHEN 'like' THEN 1.0 WHEN 'save' THEN 1.0 WHEN 'dislike' THEN -0.8 WHEN 'hide' THEN -0.5 ELSE 0 END * exp(-age / 21.0) AS weight
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, external_id, kind) AS rn
-  FROM (SELECT *, (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 86400.0 AS age FROM interactions) WHERE age >= 0 AND age <= 30) WHERE rn <= 200""",
-    "affinities": """
-SELECT user_id, author, total / max(total) OVER (PARTITION BY user_id) AS weight FROM (
-  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(total, 9) DESC, author) AS rn FROM (
-    SELECT user_id, author, sum(weight) AS total FROM signals JOIN paper_authors USING (external_id) WHERE weight > 0 GROUP BY ALL)) WHERE rn <= 25""",
-    "seeds": "SELECT doc_id AS seed FROM documents WHERE source = 'src1'",
-    "hops": """
-SELECT seed, paper, role FROM (SELECT *, row_number() OVER (PARTITION BY seed, role ORDER BY paper) AS rn FROM (
-  SELECT DISTINCT seed, cited AS paper, 'reference' AS role FROM citation_edges JOIN seeds ON citing = seed
-  UNION ALL
-  SELECT DISTINCT c.seed, c.citing, 'citer' FROM (SELECT seed, citing FROM citation_edges JOIN seeds ON cited = seed) c
-  WHERE NOT EXISTS (SELECT 1 FROM citation_edges e WHERE e.citing = c.seed AND e.cited = c.citing))) WHERE rn <= 200""",
-}
-_EVIDENCE = ("papers", "evidence")
-_GAPS = (*_EVIDENCE, "weights", "gaps", "scored_gaps")
-
-
-def _evidence(f: Fixtures) -> DataFrame:
-    return evidence.evidence_long(f.papers, LEXICON)
-
-
-def _rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, places) for n in names})
-
-
-@query("papers", "deduplicated", sql="SELECT topic_id, title_key, source, external_id, year FROM deduplicated")
-def dedup_papers(f):
-    return corpus.deduplicate(f.papers).select("topic_id", "title_key", "source", "external_id", "year")
-
-
-@query("papers", sql="SELECT external_id, topic_id, year, venue FROM papers WHERE (topic_id = 'en' AND year BETWEEN 2019 AND 2022 AND venue IN ('ICML', 'Proceedings of the 40th International Conference on Machine Learning')) OR (topic_id = 'fr' AND year BETWEEN 2020 AND 2025 AND venue = 'NeurIPS 2023')")
-def filter_year_venue(f):
-    wanted = f.spark.sql("SELECT * FROM VALUES ('en', 2019, 2022, 'icml'), ('fr', 2020, 2025, 'neurips') AS t(topic_id, low, high, venue)")
-    return corpus.filter_papers(f.papers, wanted).select("external_id", "topic_id", "year", "venue")
-
-
-@query("papers", sql=f"""
-WITH pool AS (SELECT * FROM papers WHERE source <> 'tavily'), one AS (
-  SELECT *, row_number() OVER (PARTITION BY topic_id, coalesce(nullif({_TITLE_KEY}, ''), external_id) ORDER BY {_PRIORITY} DESC, (length(coalesce(abstract, '')) > 0) DESC, pos) AS rn FROM pool)
-SELECT topic_id, external_id, citation_count, place FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY citation_count DESC, year DESC, pos) AS place FROM one WHERE rn = 1) WHERE place <= 50""")
-def top_papers_per_topic(f):
-    return corpus.top_papers(f.papers, 50).select("topic_id", "external_id", "citation_count", "place")
-
-
-@query("papers", sql="SELECT external_id, min(pool) AS pool FROM (SELECT external_id, 0 AS pool FROM papers WHERE year >= 2023 UNION ALL SELECT external_id, 1 FROM papers WHERE citation_count >= 100) GROUP BY external_id")
-def merge_unique(f):
-    p = f.papers
-    return corpus.ordered_union([p.filter("year >= 2023"), p.filter("citation_count >= 100")], ["external_id"], "pos").select("external_id", "pool")
-
-
-@query("search_history", sql="SELECT user_id, topic, max(created_at) AS created_at, arg_max(search_id, (created_at, search_id)) AS search_id, count(*) AS searches FROM search_history GROUP BY ALL")
-def latest_history(f):
-    return corpus.latest_history(f.search_history)
-
-
-@query("papers", sql="SELECT external_id FROM papers WHERE external_id NOT IN (SELECT CAST(vec_id AS VARCHAR) FROM embeddings)")
-def fresh_candidates(f):
-    known = f.embeddings.select(F.col("vec_id").cast("string").alias("external_id"))
-    return corpus.fresh_rows(f.papers, known, ["external_id"]).select("external_id")
-
-
-@query("interactions", sql="SELECT user_id, external_id, arg_max(kind, (ts, kind)) AS kind, max(ts) AS ts, min(ts) AS first_seen_at FROM interactions GROUP BY ALL")
-def upsert_interactions(f):
-    rows = f.interactions.withColumn("first_seen_at", F.col("ts"))
-    middle = F.lit("2024-01-15").cast("timestamp")
-    keys, order = ["user_id", "external_id"], F.struct("ts", "kind")
-    return corpus.upsert(rows.filter(F.col("ts") < middle), rows.filter(F.col("ts") >= middle), keys, order, "first_seen_at")
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, kind, term, count(*) AS papers, min(year) AS first_year FROM evidence GROUP BY ALL")
-def evidence_terms(f):
-    return _evidence(f).groupBy("topic_id", "kind", "term").agg(F.count("*").alias("papers"), F.min("year").alias("first_year"))
-
-
-def _recurring(f, kind):
-    rows = gaps.recurring(_evidence(f), kind, AS_OF_YEAR).drop("kind")
-    return _rounded(rows, "support_score", "citation_confidence", "novelty")
-
-
-_RECURRING = "SELECT topic_id, term, supporting, recent, influential, round(support_score, 6) AS support_score, round(citation_confidence::DOUBLE, 6) AS citation_confidence, round(novelty::DOUBLE, 6) AS novelty FROM gaps WHERE kind = '{}'"
-
-
-@query(*_EVIDENCE, "weights", "gaps", sql=_RECURRING.format("limitation"))
-def recurring_limitation_gaps(f):
-    return _recurring(f, "limitation")
-
-
-@query(*_EVIDENCE, "weights", "gaps", sql=_RECURRING.format("future_work"))
-def future_work_gaps(f):
-    return _recurring(f, "future_work")
-
-
-@query(*_GAPS, sql="""
-SELECT topic_id, category, term, supporting, round(overall::DOUBLE, 6) AS overall, place FROM (
-  SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY round(overall::DOUBLE, 9) DESC, category, slug) AS place FROM (
-    SELECT *, row_number() OVER (PARTITION BY topic_id, category, slug ORDER BY round(overall::DOUBLE, 9) DESC, kind, term) AS rn FROM scored_gaps) WHERE rn = 1) WHERE place <= 20""")
-def ranked_gaps(f):
-    return _rounded(gaps.ranked(_evidence(f), AS_OF_YEAR, 20).select("topic_id", "category", "term", "supporting", "overall", "place"), "overall")
-
-
-_TOP = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, kind ORDER BY papers DESC, term) AS place FROM (SELECT topic_id, kind, term, count(*) AS papers FROM evidence GROUP BY ALL)) WHERE place <= {}"
-
-
-@query(*_EVIDENCE, sql=_TOP.format(5))
-def evidence_summary(f):
-    return gaps.top_terms(_evidence(f), 5)
-
-
-@query(*_EVIDENCE, sql=_TOP.format(8))
-def top_terms(f):
-    return gaps.top_terms(_evidence(f), 8)
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, term, mentions, round(share, 6) AS share FROM (SELECT *, mentions / sum(mentions) OVER (PARTITION BY topic_id) AS share FROM (SELECT topic_id, term, count(*) AS mentions FROM evidence WHERE kind = 'metric' GROUP BY ALL)) WHERE share >= 0.5")
-def metric_dominance(f):
-    return _rounded(gaps.dominant(_evidence(f), "metric", 0.5), "share")
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, term, holders, papers FROM (SELECT topic_id, term, count(DISTINCT paper_id) AS holders FROM evidence WHERE kind = 'metric' GROUP BY ALL) JOIN (SELECT topic_id, count(*) AS papers FROM papers GROUP BY ALL) USING (topic_id) WHERE holders >= greatest(2, floor(papers * 0.3 + 0.999))")
-def assumption_concentration(f):
-    return gaps.concentrated(_evidence(f), f.papers, "metric")
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, term, place, paper_id, citation_count, year FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, term ORDER BY citation_count DESC, year DESC, paper_id) AS place FROM evidence WHERE kind = 'metric') WHERE place <= 5")
-def supporting_papers(f):
-    return gaps.supporting_papers(_evidence(f), "metric")
-
-
-@query("papers", sql="SELECT topic_id, year, count(*) AS papers FROM papers WHERE year BETWEEN 1900 AND 2100 GROUP BY ALL")
-def year_histogram(f):
-    return patterns.year_histogram(f.papers)
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, year, term, count(*) AS papers FROM evidence WHERE kind = 'metric' GROUP BY ALL")
-def method_trend(f):
-    return patterns.terms_by_year(_evidence(f), "metric")
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, term, papers FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY papers DESC, term) AS rn FROM (SELECT topic_id, term, count(*) AS papers FROM evidence WHERE kind <> 'metric' AND year >= 2023 GROUP BY ALL)) WHERE rn <= 4")
-def emerging_terms(f):
-    return patterns.emerging(_evidence(f), AS_OF_YEAR)
-
-
-@query(*_EVIDENCE, sql="SELECT topic_id, term, count(*) AS papers, round(avg((year >= 2023)::INT), 6) AS recent_share FROM evidence WHERE kind = 'limitation' GROUP BY ALL HAVING count(*) >= 3 AND avg((year >= 2023)::INT) < 0.2")
-def saturated_methods(f):
-    return _rounded(patterns.saturated(_evidence(f), "limitation", AS_OF_YEAR), "recent_share")
-
-
-@query("papers", sql="""
-WITH m AS (SELECT label, count(*) AS papers, count(year) AS dated, sum((year >= 2023)::INT)::BIGINT AS recent, max(year) AS latest FROM papers JOIN embeddings ON external_id = CAST(vec_id AS VARCHAR) GROUP BY label)
-SELECT *, CASE WHEN dated = 0 THEN 'Established' WHEN recent / dated > 0.6 AND dated >= 3 THEN 'Emerging' WHEN recent = 0 AND latest < 2022 THEN 'Stagnant' WHEN dated >= 10 AND recent / dated < 0.2 THEN 'Saturated' WHEN recent / dated > 0.3 THEN 'Active' ELSE 'Established' END AS trend FROM m""")
-def cluster_trend(f):
-    members = f.papers.join(f.embeddings.withColumn("external_id", F.col("vec_id").cast("string")), "external_id")
-    return patterns.cluster_trend(members, ["label"], AS_OF_YEAR)
-
-
-@query(sql="""
-WITH m AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings)
-SELECT label, pos::INT AS pos, round(avg(x::DOUBLE), 6) AS centre FROM m GROUP BY ALL""")
-def cluster_centres(f):
-    return f.embeddings.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("centre"))
-
-
-_COSINE = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"
-
-
-@query("gap_claims", sql=f"""
-WITH v AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id < 500), c AS (
-  SELECT gap_id, {_COSINE.format("a.e", "b.e")} AS s FROM gap_claims JOIN v a ON a.vec_id = (gap_id * 31 + n) % 500 JOIN v b ON b.vec_id = (gap_id + n * 17) % 500)
-SELECT gap_id, round(avg(s), 6) AS score, count(*) AS claims, CASE WHEN avg(s) >= 0.30 THEN 'grounded' WHEN avg(s) >= 0.18 THEN 'weakly_supported' ELSE 'hallucinated' END AS status FROM c GROUP BY gap_id""")
-def gap_grounding(f):
-    v = f.embeddings.select("vec_id", "embedding")
-    claims = f.gap_claims.withColumns({"a": F.expr("(gap_id * 31 + n) % 500"), "b": F.expr("(gap_id + n * 17) % 500")})
-    claims = claims.join(v.select(F.col("vec_id").alias("a"), F.col("embedding").alias("vector_a")), "a").join(v.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vector_b")), "b")
-    return _rounded(vectors.grounding(claims), "score")
-
-
-@query("gap_feedback", sql=f"""
-WITH g AS (SELECT DISTINCT gap_id::BIGINT % 500 AS q FROM gap_feedback), p AS (
-  SELECT g.q, b.vec_id, {_COSINE.format("a.embedding", "b.embedding")} AS s FROM g JOIN embeddings a ON a.vec_id = g.q JOIN embeddings b ON b.label = a.label AND b.vec_id <> a.vec_id)
-SELECT q AS gap, vec_id, round(s, 6) AS similarity, s > 0.30 AS addressed, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS place FROM p) WHERE place <= 3""")
-def cross_paper_check(f):
-    asked = f.gap_feedback.select(F.expr("CAST(gap_id AS BIGINT) % 500").alias("vec_id")).distinct()
-    e = f.embeddings
-    a = e.join(asked, "vec_id").select("label", F.col("vec_id").alias("gap"), F.col("embedding").alias("vector_a"))
-    b = e.select("label", "vec_id", F.col("embedding").alias("vector_b"))
-    rows = vectors.similarity_within(a, b, ["label"]).filter("gap <> vec_id")
-    rows = vectors.top_by_similarity(rows, ["gap"], "vec_id", 3)
-    return rows.select("gap", "vec_id", F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.30).alias("addressed"), "place")
-
-
-@query("interactions", "signals", sql="SELECT user_id, external_id, kind, round(weight, 9) AS weight, count(*) AS n FROM signals GROUP BY ALL")
-def profile_components(f):
-    rows = profiles.interaction_signals(f.interactions, AS_OF)
-    return rows.groupBy("user_id", "external_id", "kind", F.round("weight", 9).alias("weight")).agg(F.count("*").alias("n"))
-
-
-@query("interactions", "signals", sql="""
-WITH l AS (SELECT user_id, weight, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM signals JOIN embeddings ON external_id = CAST(vec_id AS VARCHAR)),
-s AS (SELECT user_id, pos, sum(weight * x) / sum(abs(weight)) AS x FROM l GROUP BY ALL)
-SELECT user_id, pos::INT AS pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 5) AS x FROM s""")
-def profile_vectors(f):
-    e = f.embeddings.select(F.col("vec_id").cast("string").alias("external_id"), "embedding")
-    rows = vectors.profile_vectors(profiles.interaction_signals(f.interactions, AS_OF), e)
-    return rows.select("user_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 5))
-
-
-_AFFINITY = ("interactions", "paper_authors", "signals", "affinities")
-
-
-@query(*_AFFINITY, sql="SELECT user_id, author, round(weight, 6) AS weight FROM affinities")
-def affinity(f):
-    return _rounded(profiles.author_affinity(profiles.interaction_signals(f.interactions, AS_OF), f.paper_authors.select("external_id", "author")), "weight")
-
-
-@query(*_AFFINITY, sql="SELECT user_id, external_id, round(least(sum(weight) * 0.6, 1.0), 6) AS score FROM affinities JOIN paper_authors USING (author) GROUP BY ALL")
-def affinity_scores(f):
-    authors = f.paper_authors.select("external_id", "author")
-    return _rounded(profiles.affinity_scores(profiles.author_affinity(profiles.interaction_signals(f.interactions, AS_OF), authors), authors), "score")
-
-
-@query("papers", sql="""
-WITH s AS (SELECT *, 0.55 * least(greatest((year - 2020) / 5.0, 0), 1) + 0.45 * least(log10(1 + greatest(citation_count, 0)) / 4, 1) AS score FROM papers),
-v AS (SELECT *, row_number() OVER (PARTITION BY topic_id, coalesce(venue, '') ORDER BY round(score, 9) DESC, pos) AS in_venue FROM s)
-SELECT topic_id, external_id, place, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY (in_venue <= 3) DESC, round(score, 9) DESC, pos) AS place FROM v) WHERE place <= 20""")
-def popular_feed(f):
-    return _rounded(profiles.popular(f.papers, AS_OF_YEAR, 20).select("topic_id", "external_id", "place", "score"), "score")
-
-
-@query("interactions", sql=f"SELECT user_id, external_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, external_id) AS rn FROM (SELECT user_id, external_id, max(ts) AS ts FROM interactions WHERE (epoch(TIMESTAMP '{AS_OF}') - floor(epoch(ts))) / 86400.0 BETWEEN 0 AND 21 GROUP BY ALL)) WHERE rn <= 30")
-def seen_sets(f):
-    return profiles.seen_ids(f.interactions, AS_OF)
-
-
-@query("search_history", sql="SELECT user_id, topic, created_at, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, topic) AS place FROM (SELECT user_id, lower(topic) AS topic, max(created_at) AS created_at FROM search_history GROUP BY ALL)) WHERE place <= 5")
-def recent_topics(f):
-    return profiles.recent_topics(f.search_history)
-
-
-@query("gap_feedback", sql="""
-WITH s AS (SELECT user_id, gap_id, arg_max(vote, (updated_at, event_id)) FILTER (vote IS NOT NULL) AS vote, arg_max(pursue, (updated_at, event_id)) AS pursue, max(updated_at) AS updated_at FROM gap_feedback GROUP BY ALL)
-SELECT *, CASE WHEN pursue OR vote = 'up' THEN 1.0 WHEN vote = 'down' THEN -0.6 ELSE 0.0 END AS weight FROM s""")
-def feedback_state(f):
-    return profiles.feedback_state(f.gap_feedback)
-
-
-def _hops(f):
-    seeds = f.documents.filter("source = 'src1'").select(F.col("doc_id").alias("seed"))
-    return f.citation_edges, seeds, network.one_hop(f.citation_edges, seeds)
-
-
-@query("citation_edges", "seeds", "hops", sql="SELECT * FROM hops")
-def one_hop(f):
-    return _hops(f)[2]
-
-
-@query("citation_edges", "seeds", "hops", sql="SELECT paper, CASE min(r) WHEN 0 THEN 'seed' WHEN 1 THEN 'reference' ELSE 'citer' END AS role FROM (SELECT seed AS paper, 0 AS r FROM hops UNION ALL SELECT paper, CASE role WHEN 'reference' THEN 1 ELSE 2 END FROM hops) GROUP BY paper")
-def node_roles(f):
-    return network.node_roles(_hops(f)[2])
-
-
-@query("citation_edges", "seeds", "hops", sql="""
-WITH known AS (SELECT paper FROM hops UNION SELECT seed FROM hops)
-SELECT DISTINCT paper, neighbour FROM (SELECT citing AS paper, cited AS neighbour FROM citation_edges UNION ALL SELECT cited, citing FROM citation_edges) WHERE paper IN (SELECT paper FROM known) AND neighbour NOT IN (SELECT paper FROM known)""")
-def expand_node(f):
-    edges, _, hops = _hops(f)
-    return network.expand(hops, edges).select("paper", "neighbour")
-
-
-@query("citation_edges", "seeds", sql="SELECT cited AS paper, count(*) AS citations FROM citation_edges WHERE cited NOT IN (SELECT seed FROM seeds) GROUP BY cited ORDER BY citations DESC, paper LIMIT 10")
-def top_cited(f):
-    edges, seeds, _ = _hops(f)
-    return network.top_cited(edges, seeds)
-
-
-@query("search_history", sql="SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM search_history GROUP BY ALL")
-def daily_searches(f):
-    return usage.daily_counts(f.search_history, "created_at")
-
-
-@query("search_history", sql="SELECT topic, count(*) AS searches FROM search_history WHERE trim(topic) <> '' GROUP BY topic ORDER BY searches DESC, topic LIMIT 10")
-def trending(f):
-    return usage.trending(f.search_history)
-
-
-@query(sql="SELECT (SELECT count(*) FROM documents) AS papers, (SELECT count(DISTINCT user_id) FROM events) AS users, (SELECT count(*) FROM events WHERE event_type IN ('view', 'click')) AS searches, (SELECT count(*) FROM conversations) AS messages")
-def system_stats(f):
-    events = f.events.agg(F.count_distinct("user_id").alias("users"), F.count_if(F.col("event_type").isin("view", "click")).alias("searches"))
-    return f.documents.agg(F.count("*").alias("papers")).crossJoin(events).crossJoin(f.conversations.agg(F.count("*").alias("messages")))
-
-
-@query(sql="SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used, greatest(3 - count(*), 0) AS remaining, count(*) > 3 AS over FROM events GROUP BY ALL")
-def quota_use(f):
-    return usage.quota_use(f.events, "ts", 3)
-
-
-@query(sql="SELECT conv_id, count(*) AS turns, substring(arg_min(text, turn), 1, 50) AS title FROM conversations GROUP BY conv_id")
-def chat_sessions(f):
-    return usage.chat_sessions(f.conversations)
-
-
-@query("papers", sql="""
-WITH c AS (SELECT topic_id, source, count(*) AS n FROM papers GROUP BY ALL), p AS (SELECT topic_id, n / sum(n) OVER (PARTITION BY topic_id) AS p FROM c)
-SELECT topic_id, round(-sum(p * log2(p)), 6) AS entropy, count(*) AS kinds FROM p GROUP BY topic_id""")
-def source_entropy(f):
-    return _rounded(usage.entropy(f.papers, ["topic_id"], "source"), "entropy")
-
-
-@query(sql="SELECT count(*) AS clusters, min(size) AS least, max(size) AS most, round(avg(size), 6) AS mean, round(median(size), 6) AS median, round(stddev(size) / avg(size), 6) AS cv FROM (SELECT label, count(*) AS size FROM embeddings GROUP BY label)")
-def cluster_size_stats(f):
-    return _rounded(usage.cluster_sizes(f.embeddings, "label"), "mean", "median", "cv")
-
-
-_SCORED = "WITH s AS (SELECT l.quality AS label, (d.n_chars % 997) / 997.0 AS score FROM labels l JOIN documents d USING (doc_id)) "
-
-
-def _scored(f):
-    return f.labels.join(f.documents, "doc_id").select(F.col("quality").alias("label"), ((F.col("n_chars") % 997).cast("double") / 997.0).alias("score"))
-
-
-@query(sql=_SCORED + ", b AS (SELECT score, sum(label) AS ones, sum(1 - label) AS zeros FROM s GROUP BY score), w AS (SELECT *, ones * (coalesce(sum(zeros) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + zeros / 2) AS won FROM b) SELECT round(sum(won) / (sum(ones) * sum(zeros)), 6) AS auc FROM w")
-def roc_auc(f):
-    return _rounded(usage.roc_auc(_scored(f)), "auc")
-
-
-@query(sql=_SCORED + """, t AS (SELECT unnest([0.25, 0.5, 0.75])::DOUBLE AS threshold), c AS (SELECT threshold, count(*) FILTER (score >= threshold AND label = 1) AS tp, count(*) FILTER (score >= threshold AND label <> 1) AS fp, count(*) FILTER (score < threshold AND label = 1) AS fn FROM s, t GROUP BY threshold)
-SELECT threshold, tp, fp, fn, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM c""")
-def threshold_sweep(f):
-    return _rounded(usage.threshold_sweep(_scored(f), [0.25, 0.5, 0.75]), "precision", "recall", "f1")
-
-
-@query(sql="SELECT count(*) AS n, round((avg((quality = toxic)::INT) - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))) / (1 - (avg(quality) * avg(toxic) + (1 - avg(quality)) * (1 - avg(toxic)))), 6) AS kappa FROM labels")
-def kappa(f):
-    return _rounded(usage.kappa(f.labels, "quality", "toxic"), "kappa")
-
-
-@query(sql="WITH g AS (SELECT floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT AS gap FROM events) SELECT round(quantile_cont(gap, 0.5), 3) AS p50, round(quantile_cont(gap, 0.95), 3) AS p95, round(quantile_cont(gap, 0.99), 3) AS p99 FROM g")
-def latency_percentiles(f):
-    return _rounded(usage.gaps_between(f.events, "user_id", "ts"), "p50", "p95", "p99", places=3)
-
-
-@query("papers")
-def extracted_evidence(f):
-    """The given lexicons over whole texts; its rules are tested on written sentences."""
-    rows = evidence.extract(f.papers)
-    return rows.select("external_id", "limitations", "future_work", "metrics", "assumptions", "datasets", "method")
-
-
-
-
-_STOP = ("the", "of", "and", "der", "die", "und", "los", "les", "est")
-
-
-@query("papers", sql=f"""WITH texts AS (
-  SELECT 'paper' AS kind, external_id AS id, abstract AS text FROM papers
-  UNION ALL SELECT 'topic', item_id::VARCHAR, text FROM benchmark
-), words AS (
-  SELECT kind, id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: NOT list_contains({_list(_STOP)}, w)) AS words FROM texts
-), terms AS (
-  SELECT kind, id, unnest(words) AS term FROM words
-  UNION ALL SELECT kind, id, unnest(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) FROM words
-), counts AS (
-  SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY ALL
-), idf AS (
-  SELECT term, ln((1 + (SELECT count(*) FROM texts)) / (1 + count(*))) + 1 AS idf FROM counts GROUP BY term
-), weights AS (
-  SELECT kind, id, term, tf * idf AS w FROM counts JOIN idf USING (term)
-), units AS (
-  SELECT kind, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY kind, id)) AS w FROM weights
-), cosines AS (
-  SELECT p.id, t.id::BIGINT AS topic, sum(p.w * t.w) AS cosine FROM units p JOIN units t ON p.term = t.term AND p.kind = 'paper' AND t.kind = 'topic' GROUP BY ALL
-), ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(cosine, 9) DESC, topic) AS place FROM cosines
-)
-SELECT id AS external_id, round(sum(cosine), 4) AS score, max(topic) FILTER (place = 1) AS best_topic FROM ranked GROUP BY id""")
-def tfidf_feed(f):
-    """Papers against all benchmark passages as topics."""
-    rows = matching.tfidf_match(f.papers.select("external_id", F.col("abstract").alias("text")), f.benchmark.select(F.col("item_id").alias("topic_no"), "text"), _STOP)
-    return _rounded(rows, "score", places=4)
+__all__ = ["ORACLE_SQL", "QUERIES"]

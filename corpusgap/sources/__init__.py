@@ -1,0 +1 @@
+"""Readers of landed payloads and writers of reports."""
