@@ -357,6 +357,7 @@ def test_language_model_by_force(spark, monkeypatch, head):
     monkeypatch.setattr(suffix_tree_lm, "HEAD", head)
     monkeypatch.setattr(suffix_tree_lm, "LEAST_COUNT", 6)
     monkeypatch.setattr(suffix_tree_lm, "HOT_TOKENS", 5)
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_GAIN", 0.05)
     rng = random.Random(7)
     lexicon = [f"w{i}" for i in range(30)] + [f"rare{i}" for i in range(60)]
     phrases = [" ".join(rng.choices(lexicon[:30], k=6)) for _ in range(4)]
@@ -366,7 +367,7 @@ def test_language_model_by_force(spark, monkeypatch, head):
     df = spark.createDataFrame([(i, t, y, 3) for i, (t, y) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, learn boolean, score int").repartition(3)
     out = {r["doc_id"]: r for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
     want, kept = tree_scores([t for t, y in zip(texts, learn, strict=True) if y], texts, suffix_tree_lm.MAX_DEPTH, 6)
-    assert {len(c) for c in kept} >= {1, 2, 3}
+    assert {len(c) for c in kept} >= {1, 2}
     if head > 40:
         assert [out[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
     counts = Counter(w for t, y in zip(texts, learn, strict=True) if y for w in [*words(t), None])
