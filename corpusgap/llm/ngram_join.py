@@ -34,6 +34,7 @@ copies; an empty table gives an empty table; extra columns are ignored; a null
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, combinations
 
 import numpy as np
@@ -49,6 +50,7 @@ _BAND_BITS = 8
 _FEW = 32
 _BLOCK_SETS = 1024
 _STAR_BLOCK = 512
+_SHARES = 2
 _BLOCK_ITEMS = 1 << 20
 
 
@@ -148,8 +150,8 @@ def _digests(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n_shingles long, print long")
 
 
-def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(sig, print) of every set, one set's once a task."""
+def _signature_rows(docs: DataFrame, width: int, num: int, den: int, part: int, parts: int) -> DataFrame:
+    """(sig, print) of every set, one set's once a task; of the signatures only the ``part``-th of ``parts`` shares by hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands, seen = Bands(num, den), set()
@@ -158,7 +160,8 @@ def _signature_rows(docs: DataFrame, width: int, num: int, den: int) -> DataFram
                 new = np.array([not (p in seen or seen.add(p)) for p in prints.tolist()], bool) & (size > 0)
                 keep = new[doc]
                 sig, owner = signatures(np.where(new, size, 0), prints, doc[keep], hashed[keep], bands)
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], ["sig", "print"])
+                mine = (sig.view(U64) >> U64(40)) % U64(parts) == part
+                yield pa.RecordBatch.from_arrays([pa.array(sig[mine]), pa.array(owner[mine])], ["sig", "print"])
 
     return docs.mapInArrow(run, "sig long, print long")
 
@@ -349,14 +352,16 @@ class _Join:
 def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: links are den * |r & s| >= num * |r | s|.
 
-    Shuffled are the signatures (about 0.5 a shingle), the texts once, and the sets of
-    documents that share a signature; nothing is collected or broadcast.  Tables are
+    Shuffled are the signatures (about 0.5 a shingle, in ``_SHARES`` rounds so that less of
+    them is on disk at once), the texts once, and the sets of documents that share a
+    signature; nothing is collected or broadcast.  Tables are
     deleted when no later step reads them.
     """
     scratch = Scratch(df.sparkSession, "ngram-join")
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     digests = scratch.settle(_digests(docs, width))
-    shared = scratch.settle(_shared(_signature_rows(docs, width, num, den)))
+    shares = [scratch.settle(_shared(_signature_rows(docs, width, num, den, part, _SHARES))) for part in range(_SHARES)]
+    shared = reduce(DataFrame.unionByName, shares)
     members = shared.select("print").distinct()
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
     sets = scratch.settle(_sets(docs, ids.join(members, "print"), width))
@@ -366,7 +371,7 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     best = scratch.settle(met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
     join.check(best)
     rows = join.mixed(shared)
-    scratch.drop(shared)
+    scratch.drop(*shares)
     stars = scratch.settle(rows.filter("label <> label_first").select(F.col("first").alias("a"), F.col("print").alias("b")).distinct().join(best, ["a", "b"], "left_anti"))
     if not stars.isEmpty():
         join.check(stars)
@@ -383,10 +388,12 @@ def _families(scratch: Scratch, large: DataFrame) -> DataFrame:
     links = large.filter("print <> first").select(F.col("first").alias("a"), F.col("print").alias("b"))
     of = connected_components(scratch, links).select(F.col("node").alias("print"), F.col("label").alias("family"))
     rows = scratch.settle(large.select("sig", "print").join(of, "print"))
+    prints = rows.select("family", "print").distinct()
     apart = rows.groupBy("family", "sig").agg(F.count("*").cast("double").alias("m")).groupBy("family").agg(F.sum(F.col("m") * F.col("m")).alias("apart"))
-    whole = rows.groupBy("family").agg(F.count_distinct("print").cast("double").alias("n"))
-    chosen = whole.join(apart, "family").filter(F.col("n") * F.col("n") <= F.col("apart")).select("family", F.lit(True).alias("together"))
-    out = scratch.settle(rows.join(chosen, "family", "left").select("sig", "print", F.when(F.col("together"), F.col("family")).alias("family")))
+    whole = prints.groupBy("family").agg(F.count("*").cast("double").alias("n"))
+    chosen = whole.join(apart, "family").filter(F.col("n") * F.col("n") <= F.col("apart")).select("family")
+    together = prints.join(chosen, "family").select("print", F.col("family").alias("own"))
+    out = scratch.settle(rows.join(together, "print", "left").select("sig", "print", F.col("own").alias("family")))
     scratch.drop(rows)
     return out
 
