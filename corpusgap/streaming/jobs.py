@@ -59,13 +59,10 @@ def seen_ring(log: DataFrame, newest: int = 1000, days: int = 21) -> DataFrame:
     """(user_id, external_id, ts): the state of each user's ring of seen papers after every batch that touches it.
 
     The state of a user is at most ``newest`` ids with their times, none older than ``days``
-    before the user's newest; users that stay away so long lose theirs.
+    before the user's newest.
     """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         held = dict(zip(*state.get, strict=True)) if state.exists else {}
         for frame in frames:
             for item, ts in zip(frame["external_id"], frame["ts"], strict=True):
@@ -73,11 +70,10 @@ def seen_ring(log: DataFrame, newest: int = 1000, days: int = 21) -> DataFrame:
         last = max(held.values())
         kept = sorted(((t, i) for i, t in held.items() if last - t <= days * 86_400_000_000), key=lambda x: (-x[0], x[1]))[:newest]
         state.update(([i for _, i in kept], [t for t, _ in kept]))
-        state.setTimeoutDuration(days * 86_400_000)
         yield pd.DataFrame({"user_id": [key[0]] * len(kept), "external_id": [i for _, i in kept], "ts": pd.to_datetime([t for t, _ in kept], unit="us")})
 
     shape = "ids array<string>, times array<long>"
-    return log.groupBy("user_id").applyInPandasWithState(run, "user_id long, external_id string, ts timestamp", shape, "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.groupBy("user_id").applyInPandasWithState(run, "user_id long, external_id string, ts timestamp", shape, "update", GroupStateTimeout.NoTimeout)
 
 
 def feedback_fold(log: DataFrame) -> DataFrame:
