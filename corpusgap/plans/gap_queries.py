@@ -37,9 +37,9 @@ def top_papers_per_topic(f):
     return corpus.top_papers(f.papers, 50).select("topic_id", "external_id", "citation_count", "place")
 
 
-@query("papers", sql="SELECT topic_id, list_sort(list(DISTINCT source)) AS sources, count(*) AS papers FROM papers WHERE source <> 'tavily' GROUP BY topic_id")
+@query("papers", sql="SELECT topic_id, array_to_string(list_sort(list(DISTINCT source)), ',') AS sources, count(*) AS papers FROM papers WHERE source <> 'tavily' GROUP BY topic_id")
 def sources_used(f):
-    return corpus.sources_used(f.papers)
+    return corpus.sources_used(f.papers).withColumn("sources", F.array_join("sources", ","))
 
 
 @query("papers", sql="SELECT topic_id, source, external_id, place FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, source ORDER BY pos) AS place FROM papers WHERE year BETWEEN 2018 AND 2022) WHERE place <= 15")
@@ -90,14 +90,14 @@ def evidence_terms(f):
 
 
 @query(*EVIDENCE, sql="""
-SELECT p.external_id, coalesce(e.limitations, []) AS limitations, coalesce(e.metrics, []) AS metrics, coalesce(e.assumptions, []) AS assumptions, coalesce(e.datasets, []) AS datasets, e.method, coalesce(e.baselines, []) AS baselines
+SELECT p.external_id, array_to_string(coalesce(e.limitations, []), '|') AS limitations, array_to_string(coalesce(e.metrics, []), '|') AS metrics, array_to_string(coalesce(e.assumptions, []), '|') AS assumptions, array_to_string(coalesce(e.datasets, []), '|') AS datasets, e.method, array_to_string(coalesce(e.baselines, []), '|') AS baselines
 FROM papers p LEFT JOIN (SELECT paper_id, list_sort(list(term) FILTER (kind = 'limitation')) AS limitations, list_sort(list(term) FILTER (kind = 'metric')) AS metrics, list_sort(list(term) FILTER (kind = 'assumption')) AS assumptions,
   list_sort(list(term) FILTER (kind = 'dataset')) AS datasets, max(term) FILTER (kind = 'method') AS method, list_sort(list(term) FILTER (kind = 'baseline')) AS baselines FROM evidence GROUP BY paper_id) e ON e.paper_id = p.external_id""")
 def normalized_evidence(f):
-    """Each paper's evidence in canonical terms, as arrays."""
+    """Each paper's evidence in canonical terms."""
     rows = evidence.normalized(evidence.extract(f.papers, LEXICON))
     names = ("limitations", "metrics", "assumptions", "datasets", "baselines")
-    return rows.select("external_id", *[F.array_sort(f"normalized_{c}").alias(c) for c in names], F.nullif("normalized_method", F.lit("")).alias("method"))
+    return rows.select("external_id", *[F.array_join(F.array_sort(f"normalized_{c}"), "|").alias(c) for c in names], F.nullif("normalized_method", F.lit("")).alias("method"))
 
 
 @query("papers", sql="SELECT external_id, len(list_filter(string_split(replace(abstract, chr(10), ' '), '.'), lambda p: length(trim(p, ' .')) > 10)) AS sentences FROM papers")
@@ -146,9 +146,9 @@ def assumption_concentration(f):
     return gaps.concentrated(_terms(f, "assumption"), _topics(f)).select("topic_id", "term", F.col("supporting").alias("holders"), "papers")
 
 
-@query(*_PROFILE, sql="SELECT topic_id, metric AS term, round(metric_share, 6) AS share, missing_metrics FROM profile WHERE metric_share >= 0.5")
+@query(*_PROFILE, sql="SELECT topic_id, metric AS term, round(metric_share, 6) AS share, array_to_string(missing_metrics, '|') AS missing_metrics FROM profile WHERE metric_share >= 0.5")
 def metric_dominance(f):
-    return rounded(gaps.dominant(_terms(f, "metric"), "metric", 0.5), "share")
+    return rounded(gaps.dominant(_terms(f, "metric"), "metric", 0.5), "share").withColumn("missing_metrics", F.array_join("missing_metrics", "|"))
 
 
 @query(*_PROFILE, sql="SELECT topic_id, dataset AS term, round(dataset_share, 6) AS share FROM profile WHERE dataset_share >= 0.3")
@@ -156,11 +156,11 @@ def dataset_concentration(f):
     return rounded(gaps.dominant(_terms(f, "dataset"), "dataset", 0.3), "share")
 
 
-@query(*_PROFILE, sql="SELECT topic_id, papers, baselines, coalesce(baseline, 'sparse baselines') AS baseline, missing_baselines FROM profile WHERE baselines <= 1 AND papers >= 3")
+@query(*_PROFILE, sql="SELECT topic_id, papers, baselines, coalesce(baseline, 'sparse baselines') AS baseline, array_to_string(missing_baselines, '|') AS missing_baselines FROM profile WHERE baselines <= 1 AND papers >= 3")
 def baseline_weakness(f):
     strong = F.array(*map(F.lit, gaps.STRONG_BASELINES))
     rows = _topics(f).join(gaps.evaluation_profile(_terms(f, "baseline")), "topic_id", "left").filter("coalesce(baselines, 0) <= 1 AND supporting >= 3")
-    return rows.select("topic_id", F.col("supporting").alias("papers"), F.coalesce("baselines", F.lit(0)).alias("baselines"), F.coalesce("baseline", F.lit("sparse baselines")).alias("baseline"), F.coalesce("missing_baselines", strong).alias("missing_baselines"))
+    return rows.select("topic_id", F.col("supporting").alias("papers"), F.coalesce("baselines", F.lit(0)).alias("baselines"), F.coalesce("baseline", F.lit("sparse baselines")).alias("baseline"), F.array_join(F.coalesce("missing_baselines", strong), "|").alias("missing_baselines"))
 
 
 def _ranked(f, k=20) -> DataFrame:
@@ -260,11 +260,11 @@ def cluster_trend(f):
 @query(*EVIDENCE, sql=f"""
 WITH m AS ({_MEMBERS}), c AS (SELECT cluster, kind, term, count(*) AS n FROM evidence JOIN m USING (paper_id) WHERE kind IN ('limitation', 'future_work') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY n DESC, term) AS rn FROM c)
-SELECT cluster, list(term ORDER BY rn) FILTER (kind = 'limitation' AND rn <= 5) AS top_limitations, list(term ORDER BY rn) FILTER (kind = 'future_work' AND rn <= 5) AS top_future_work, sum(n) FILTER (kind = 'limitation' AND rn <= 10)::BIGINT AS limitation_mentions FROM r GROUP BY cluster""")
+SELECT cluster, string_agg(term, '|' ORDER BY rn) FILTER (kind = 'limitation' AND rn <= 5) AS top_limitations, string_agg(term, '|' ORDER BY rn) FILTER (kind = 'future_work' AND rn <= 5) AS top_future_work, sum(n) FILTER (kind = 'limitation' AND rn <= 10)::BIGINT AS limitation_mentions FROM r GROUP BY cluster""")
 def cluster_themes(f):
     rows = patterns.cluster_themes(_members(f), text_evidence(f), AS_OF_YEAR)
     mentions = F.aggregate(F.map_values("limitation_freq"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return rows.select("cluster", "top_limitations", "top_future_work", mentions.alias("limitation_mentions"))
+    return rows.select("cluster", F.array_join("top_limitations", "|").alias("top_limitations"), F.array_join("top_future_work", "|").alias("top_future_work"), mentions.alias("limitation_mentions"))
 
 
 @query(*EVIDENCE, sql=f"""
