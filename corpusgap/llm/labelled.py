@@ -22,6 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Colum
     rows = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).alias("label")).filter("doc_id IS NOT NULL AND label IN (0, 1)")
     if learn is not None:
         rows = rows.filter(learn)
+    # Only ids that ``docs`` has: a stage before may have taken labelled rows away.
+    rows = rows.join(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "left_semi")
     pick = [rows.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     ids = pick[0].unionByName(pick[1]).dropDuplicates(["doc_id"])
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -38,16 +40,17 @@ def class_shares(labels: DataFrame, label: str, learn: Column | None) -> float:
 
 
 def gram_buckets(texts: Texts, size: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place, bucket) of every run of ``size`` bytes inside a document."""
-    n = len(texts.bytes) - size + 1
+    """(place, bucket) of every run of ``size`` characters (code points) inside a document; place: its first byte."""
+    first = np.flatnonzero((texts.bytes & 0xC0) != 0x80)
+    n = len(first) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ok = np.ones(n, bool)
-    for j in range(1, size):
-        at = texts.ends - j
-        ok[at[(at >= texts.starts) & (at < n)]] = False
-    place = np.flatnonzero(ok)
-    return place, (texts.range_hash(place, place + size) >> U64(64 - bits)).astype(np.int64)
+    after = np.append(first[1:], len(texts.bytes))
+    start, end = first[:n], after[size - 1 :]
+    # A run is inside a document if no document ends in it before its own end.
+    ends = np.unique(texts.ends[texts.ends > texts.starts])
+    ok = ends[np.minimum(np.searchsorted(ends, start, side="right"), len(ends) - 1)] >= end
+    return start[ok], (texts.range_hash(start[ok], end[ok]) >> U64(64 - bits)).astype(np.int64)
 
 
 def scored(df: DataFrame, text: str, name: str, score) -> DataFrame:

@@ -1,13 +1,13 @@
 """Quality classifier: supervised subword embeddings.
 
-Words and byte n-grams are hashed to learned vectors; a document is the average
+Words and character n-grams are hashed to learned vectors; a document is the average
 of its vectors; a softmax layer gives the class.  Besides word vectors there is
 one for a word that repeats the word before it and one for a word that doesn't,
 so that stuttering text can be told.  Trained by plain stochastic gradient
 descent in numpy on a bounded sample; as everything after training is linear up
 to the softmax, each vector is then folded into the one number it adds.
 
-Defined cases: null or empty text scores the class prior; a sample with one class
+Defined cases: null or empty text scores what training leaves for a text without features; a sample with one class
 only gives that class's prior; repeated rows score alike; extra columns pass through.
 """
 

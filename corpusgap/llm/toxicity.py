@@ -1,6 +1,6 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes ratios.
 
-A document's features are the byte n-grams that occur in it (once each, ASCII
+A document's features are the character n-grams that occur in it (once each, ASCII
 letters lowered).  Each is scaled by the log ratio of its smoothed share among
 toxic and among other training documents, and a logistic regression is fitted on
 the scaled features.  N-grams that hardly separate the classes are dropped, so a
