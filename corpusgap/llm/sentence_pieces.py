@@ -28,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from .bpe_text import CACHE_ENTRIES
 from .session import fresh
 
 MARK = "▁"
 #: Characters of distinct segments that one suffix array covers.
 INDEX_CHARS = 1 << 18
+#: Segments that a worker remembers at most.
+KNOWN_SEGMENTS = 500_000
 #: Longer segments are relaxed one by one with a heap.
 LONG_SEGMENT = 64
 
@@ -105,9 +106,15 @@ class PieceEncoder:
         if batch:
             self._learn(batch)
 
+    def _table(self, points: np.ndarray) -> np.ndarray:
+        """The edges of all points; an index holds about INDEX_CHARS of them, as an edge reaches no further than the longest piece."""
+        if len(points) <= 2 * INDEX_CHARS:
+            return self.edges(points)
+        return np.concatenate([self.edges(points[a : a + INDEX_CHARS + self.longest])[: len(points) - a][:INDEX_CHARS] for a in range(0, len(points), INDEX_CHARS)])
+
     def _learn(self, segments: list[str]) -> None:
         points = np.frombuffer("\0".join([*segments, ""]).encode("utf-32-le"), np.uint32)
-        table = self.edges(points)
+        table = self._table(points)
         sizes = np.array([len(s) for s in segments])
         starts = np.cumsum(sizes + 1) - sizes - 1
         short = sizes <= LONG_SEGMENT
@@ -204,7 +211,7 @@ class PieceEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > KNOWN_SEGMENTS:
             self.known.clear()
         cut = [self.segments(t) for t in texts]
         self.learn([s for s in dict.fromkeys(chain.from_iterable(cut)) if s not in self.known])
