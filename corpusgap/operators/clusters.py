@@ -234,3 +234,18 @@ def influential_counts(papers: DataFrame, keys: list[str], as_of: int) -> DataFr
     """Papers, recent ones, influential by weight and by more than ten citations (two readings of the word)."""
     weight = citation_weight(F.col("citation_count"), F.col("year"), as_of)
     return papers.groupBy(*keys).agg(F.count("*").alias("papers"), F.count_if(F.col("year") >= as_of - 2).alias("recent"), F.count_if(weight >= 1.0).alias("influential_by_weight"), F.count_if(F.col("citation_count") > 10).alias("influential_by_count"))
+
+
+EXPLORED_FIELDS = ("title", "description", "what_fails", "why_it_exists", "missing_piece", "direction", "theme")
+
+
+def explored(gaps: DataFrame, low: float = 0.0, high: float = 1.0, cluster: int | None = None, text: str | None = None, order: str = "confidence") -> DataFrame:
+    """Gaps by confidence range, cluster and a text that one of seven fields holds; ordered by confidence, cluster or title."""
+    rows = gaps.filter(F.col("confidence").between(low, high))
+    if cluster is not None:
+        rows = rows.filter(F.col("cluster") == cluster)
+    if text:
+        hay = F.lower(F.concat_ws("\n", *[c for c in EXPLORED_FIELDS if c in gaps.columns]))
+        rows = rows.filter(F.contains(hay, F.lit(text.lower())))
+    ways = {"confidence": [F.desc("confidence"), "gap_id"], "cluster": ["cluster", F.desc("confidence"), "gap_id"], "title": [F.lower("title"), "gap_id"]}
+    return rows.orderBy(*ways[order])
