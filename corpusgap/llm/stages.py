@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngram_join, quality, toxicity
-from .session import fresh, settle
+from .session import Scratch, fresh
 
 
 def _with_score(docs: DataFrame, text: str, score, model) -> tuple[DataFrame, str]:
@@ -33,7 +33,7 @@ def one_per_group(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100
     Rows are told by a key of their own, settled with them, so that every reading of ``docs`` has the same keys.
     """
     key = fresh(docs, "stage_row")
-    rows = settle(docs.withColumn(key, F.monotonically_increasing_id()))
+    rows = Scratch(docs.sparkSession, "one-per-group").settle(docs.withColumn(key, F.monotonically_increasing_id()))
     groups = ngram_join.similar_groups(rows, width=width, num=num, den=den, doc_id=key).select(F.col("doc_id").alias("row"), "component_id")
     ids = rows.select(F.col(key).alias("row"), F.col(doc_id).alias("id"))
     order = F.struct(F.col("id").isNull(), "id", "row")
