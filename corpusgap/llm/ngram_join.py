@@ -258,9 +258,6 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
-    for side in "ab":
-        pairs = pairs.join(sets.select(F.col("print").alias(side), F.col("size").alias(f"size_{side}")), side)
-    pairs = pairs.filter(den * F.least("size_a", "size_b") >= num * F.greatest("size_a", "size_b"))
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR_BLOCK).alias("blocks"))
     dealt = pairs.select("a", "b").join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("print"))
     dealt = dealt.unionByName(dealt.select("a", "block", F.col("a").alias("print")).distinct())
@@ -326,7 +323,17 @@ class _Join:
         self.labels = scratch.spark.createDataFrame([], "node long, label long")
 
     def check(self, pairs: DataFrame) -> None:
-        self.add(_checked(pairs, self.sets, self.num, self.den))
+        """Checks pairs whose sizes allow it, in so many rounds that none moves more elements than all sets have."""
+        for side in "ab":
+            pairs = pairs.join(self.sets.select(F.col("print").alias(side), F.col("size").alias(f"size_{side}")), side)
+        pairs = pairs.filter(self.den * F.least("size_a", "size_b") >= self.num * F.greatest("size_a", "size_b"))
+        pairs = self.scratch.settle(pairs.select("a", "b", "size_b"))
+        moved, whole = pairs.agg(F.sum("size_b")).first()[0] or 0, self.sets.agg(F.sum("size")).first()[0] or 1
+        rounds = max(1, -(-moved // whole))
+        mine = F.pmod(F.xxhash64("b", "a"), F.lit(rounds))
+        found = [self.scratch.settle(_checked(pairs.filter(mine == i).select("a", "b"), self.sets, self.num, self.den)) for i in range(rounds)]
+        self.add(reduce(DataFrame.unionByName, found))
+        self.scratch.drop(pairs, *found)
 
     def check_tiles(self, rows: DataFrame) -> None:
         self.add(_tiled(rows, self.sets, self.num, self.den))
