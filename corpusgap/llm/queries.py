@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, suffix_tree_lm, token_counts, toxicity
+from . import chat, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, simhash, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -91,6 +91,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("copy")
 
 
+def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality": op2_quality,
@@ -102,6 +106,7 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_simhash_groups": op12_simhash_groups,
 }
 
 ORACLE_SQL: dict[str, str] = {
