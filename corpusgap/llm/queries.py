@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neighbours, ngram_join, packing, quality, sentence_pieces, simhash, suffix_tree_lm, token_counts, toxicity
+from . import chat, fingerprints, neighbours, ngram_join, packing, quality, repair, sentence_pieces, simhash, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -95,6 +95,11 @@ def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damaged(rows), roster=rows)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_quality": op2_quality,
@@ -107,6 +112,7 @@ QUERIES = {
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op12_simhash_groups": op12_simhash_groups,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
