@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, neighbours, ngram_join, packing, quality, repair, sentence_pieces, simhash, suffix_tree_lm, token_counts, toxicity
+from . import chat, fingerprints, neighbours, ngram_join, packing, quality, ranked_search, repair, sentence_pieces, simhash, suffix_tree_lm, token_counts, toxicity
 from .session import table
 
 LIMIT_TOKENS = 512
@@ -91,6 +91,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.drop("copy")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def op12_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, distance=3)
 
@@ -111,11 +115,39 @@ QUERIES = {
     "op7_ngram_jaccard": op7_ngram_jaccard,
     "op9_sentence_pieces": op9_sentence_pieces,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_ranked_search": op11_ranked_search,
     "op12_simhash_groups": op12_simhash_groups,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_ranked_search": r"""
+WITH read AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), docs AS (
+  SELECT r, doc_id, terms, len(terms) AS n FROM read WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM docs
+), tfs AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) GROUP BY r, term
+), weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tfs, whole GROUP BY term, docs
+), items AS (
+  SELECT i, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM benchmark)
+), asked AS (
+  SELECT i, item_id, term, count(*) AS repeats FROM items GROUP BY i, item_id, term
+), scored AS (
+  SELECT i, item_id, r, sum(repeats * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * whole.docs) // total))))::BIGINT AS score
+  FROM asked JOIN tfs USING (term) JOIN weights USING (term) JOIN docs USING (r), whole GROUP BY i, item_id, r
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (
+  SELECT i, item_id, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank
+  FROM scored JOIN docs USING (r) WHERE score > 0
+) WHERE rank <= 20
+""",
     "op6_chat_format": """
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
