@@ -1,4 +1,4 @@
-"""Lets Python workers import this package wherever the driver found it."""
+"""What jobs need of their Spark application: the package on its executors, and the folder that all of them share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -27,3 +27,15 @@ def share_package(spark: SparkSession) -> None:
             z.write(source, source.relative_to(_PACKAGE.parent))
     context.addPyFile(str(archive.resolve()))
     setattr(context, mark, True)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """The cluster's ``spark.checkpoint.dir``; only where it is unset (tests) a folder is made."""
+    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` worked out once and kept in the shared checkpoint folder, with its lineage cut; nothing stays in memory."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()

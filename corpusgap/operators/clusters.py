@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import settled
 from ..functions.scores import citation_weight, recency_weight
 from ..functions.text import category
 from .corpus import first_per
@@ -62,18 +63,14 @@ def components(links: DataFrame, keys: list[str]) -> DataFrame:
     Each round hands every node the least label among itself and its neighbours, then jumps to
     that label's own label; lineage is cut by a checkpoint in the cluster's folder each round.
     """
-    spark = links.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    both = links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")).checkpoint()
+    both = settled(links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = settled(both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
         jump = step.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        step = step.join(jump, [*keys, "label"], "left").select(*keys, "node", "before", F.least("label", F.coalesce("further", "label")).alias("label")).checkpoint()
+        step = step.join(jump, [*keys, "label"], "left").select(*keys, "node", "before", F.least("label", F.coalesce("further", "label")).alias("label"))
+        step = settled(step)
         if step.filter("before <> label").isEmpty():
             return labels
         labels = step.drop("before")

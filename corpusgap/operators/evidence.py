@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import phrases, sentences, token_text
+from ..functions.text import phrases, token_text
+from .cues import FIELDS, matched
 
 # Cues of limitations, of future work, and introductions that are neither.
 LIMITATION_CUES = (
@@ -74,6 +75,10 @@ ASSUMPTION_ALIASES = {
 WRITTEN_ALIKE = {"fully observable": "full observability", "partial observation": "partial observability", "noisy sensor": "sensor noise"}
 
 
+#: The kinds of evidence.
+KINDS = ("limitation", "future_work", "assumption", "metric", "dataset", "baseline", "method")
+
+
 @dataclass(frozen=True)
 class Lexicon:
     """The cues of every kind of evidence; the defaults are those of multi-agent learning papers."""
@@ -91,50 +96,36 @@ class Lexicon:
     baselines: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
 
-def _any(text: Column, cues: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for cue in cues:
-        out = out | F.contains(text, F.lit(cue))
-    return out
-
-
-def cued(text: Column, cues: Sequence[str], intros: Sequence[str] = ()) -> Column:
-    """Sentences with a cue and without an introduction."""
-    return F.filter(sentences(text), lambda s: _any(F.lower(s), cues) & ~_any(F.lower(s), intros))
-
-
-def named(text: Column, cues: Mapping[str, Sequence[str]]) -> Column:
-    """Names whose cues occur in the text, in the order of ``cues``."""
-    return F.array_compact(F.array(*[F.when(_any(F.lower(text), c), name) for name, c in cues.items()]))
+def _one(kind: str, text: Column, lexicon: Lexicon, title: Column | None = None) -> Column:
+    return matched(F.lit(None).cast("string") if title is None else title, text, lexicon, (kind,))[FIELDS[kind]]
 
 
 def limitations(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    return F.array_distinct(F.concat(cued(text, lexicon.limitations, lexicon.limitation_intros), named(text, lexicon.triggered)))
+    """Sentences with a cue and without an introduction, then the names that the whole text triggers."""
+    return _one("limitation", text, lexicon)
 
 
 def future_work(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    return cued(text, lexicon.future_work, lexicon.future_intros)
+    return _one("future_work", text, lexicon)
 
 
 def metrics(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    return named(text, lexicon.metrics)
+    """Names whose cues occur in the text, in the order of the lexicon."""
+    return _one("metric", text, lexicon)
 
 
 def assumptions(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """In the order of the sentences that name them."""
-    return F.array_distinct(F.flatten(F.transform(sentences(text), lambda s: named(s, lexicon.assumptions))))
+    return _one("assumption", text, lexicon)
 
 
 def datasets(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    known = F.filter(F.array(*map(F.lit, lexicon.datasets)), lambda d: F.contains(F.lower(text), F.lower(d)))
-    acronyms = F.regexp_extract_all(text, F.lit(r"\b([A-Z]{2,}(?:-[A-Z0-9]+)*)\b"), 1)
-    acronyms = F.filter(acronyms, lambda a: (F.length(a) > 2) & (F.length(a) <= 12))
-    return F.array_distinct(F.concat(known, F.array_except(acronyms, F.array(*map(F.lit, [*lexicon.datasets, *lexicon.no_datasets])))))
+    """Known datasets in the order of the lexicon, then other acronyms of three to twelve letters."""
+    return _one("dataset", text, lexicon)
 
 
 def method(title: Column, abstract: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    text = F.lower(F.concat_ws(". ", title, abstract))
-    return F.initcap(F.coalesce(*[F.when(F.contains(text, F.lit(m)), m) for m in lexicon.methods]))
+    return F.initcap(_one("method", abstract, lexicon, title))
 
 
 def canonical(term: Column, aliases: Mapping[str, str] = METRIC_ALIASES) -> Column:
@@ -149,43 +140,46 @@ def alike(phrase: Column) -> Column:
     return phrase
 
 
-def extract(papers: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """Papers with their evidence columns, from title and whole abstract; a ``baselines`` column of the input is kept."""
-    text = F.coalesce("abstract", F.lit(""))
-    given = F.col("baselines") if "baselines" in papers.columns else F.array().cast("array<string>")
-    baselines = F.array_union(F.coalesce(given, F.array().cast("array<string>")), named(text, lexicon.baselines)) if lexicon.baselines else given
-    return papers.withColumns({
-        "limitations": limitations(text, lexicon), "future_work": future_work(text, lexicon), "metrics": metrics(text, lexicon),
-        "assumptions": assumptions(text, lexicon), "datasets": datasets(text, lexicon), "method": method(F.col("title"), text, lexicon), "baselines": baselines,
-    })
+def extract(papers: DataFrame, lexicon: Lexicon = Lexicon(), kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Papers with the evidence columns of ``kinds``, from title and whole abstract; a ``baselines`` column of the input is kept.
+
+    Every text is read once for all kinds (``cues.matched``).
+    """
+    given = F.coalesce("baselines", F.array().cast("array<string>")) if "baselines" in papers.columns else F.array().cast("array<string>")
+    rows = papers.withColumn("_found", matched(F.col("title"), F.coalesce("abstract", F.lit("")), lexicon, kinds))
+    found = {FIELDS[k]: F.col(f"_found.{FIELDS[k]}") for k in kinds}
+    if "baseline" in kinds:
+        found["baselines"] = F.array_union(given, found["baselines"])
+    if "method" in kinds:
+        found["method"] = F.initcap(found["method"])
+    return rows.withColumns(found).drop("_found")
 
 
-def normalized(evidence: DataFrame) -> DataFrame:
-    """Adds the ``normalized_*`` columns: phrases and canonical names, each once a paper, in order."""
+def normalized(evidence: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
+    """Adds the ``normalized_*`` columns of ``kinds``: phrases and canonical names, each once a paper, in order."""
     each = lambda name, f: F.array_distinct(F.transform(phrases(F.col(name)), lambda x: f(x)))
-    method_name = token_text(F.coalesce("method", F.lit("")))
-    return evidence.withColumns({
-        "normalized_limitations": each("limitations", lambda x: alike(x)), "normalized_future_work": each("future_work", lambda x: alike(x)),
-        "normalized_assumptions": each("assumptions", lambda x: canonical(x, ASSUMPTION_ALIASES)), "normalized_metrics": each("metrics", lambda x: canonical(x)),
-        "normalized_datasets": phrases(F.col("datasets")), "normalized_baselines": phrases(F.col("baselines")), "normalized_method": method_name,
-    })
+    forms = {
+        "limitation": lambda c: each(c, lambda x: alike(x)), "future_work": lambda c: each(c, lambda x: alike(x)),
+        "assumption": lambda c: each(c, lambda x: canonical(x, ASSUMPTION_ALIASES)), "metric": lambda c: each(c, lambda x: canonical(x)),
+        "dataset": lambda c: phrases(F.col(c)), "baseline": lambda c: phrases(F.col(c)), "method": lambda c: token_text(F.coalesce(c, F.lit(""))),
+    }
+    return evidence.withColumns({f"normalized_{FIELDS[k]}": forms[k](FIELDS[k]) for k in kinds})
 
 
 def _of_kind(terms: Column, kind: str) -> Column:
     return F.transform(terms, lambda t: F.struct(F.lit(kind).alias("kind"), t.alias("term")))
 
 
-KINDS = {
-    "limitation": "normalized_limitations", "future_work": "normalized_future_work", "assumption": "normalized_assumptions",
-    "metric": "normalized_metrics", "dataset": "normalized_datasets", "baseline": "normalized_baselines", "method": "normalized_method",
-}
-
+def evidence_long(papers: DataFrame, lexicon: Lexicon = Lexicon(), kinds: Sequence[str] = KINDS) -> DataFrame:
+    """(topic_id, paper_id, title, year, citation_count, kind, term): evidence of ``kinds``, in one pass over the texts.
 
-def evidence_long(papers: DataFrame, lexicon: Lexicon = Lexicon()) -> DataFrame:
-    """(topic_id, paper_id, title, year, citation_count, kind, term): every kind of evidence, in one pass over the texts."""
-    rows = normalized(extract(papers, lexicon))
+    Kinds that aren't asked for aren't looked for.
+    """
+    kinds = [k for k in KINDS if k in kinds]
+    rows = normalized(extract(papers, lexicon, kinds), kinds)
     parts = []
-    for kind, name in KINDS.items():
+    for kind in kinds:
+        name = f"normalized_{FIELDS[kind]}"
         terms = F.filter(F.array(name), lambda t: t != "") if kind == "method" else F.col(name)
         parts.append(_of_kind(terms, kind))
     rows = rows.select("topic_id", F.col("external_id").alias("paper_id"), "title", "year", "citation_count", F.explode(F.concat(*parts)).alias("e"))

@@ -173,10 +173,11 @@ def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, places) for n in names})
 
 
-def text_evidence(f: Fixtures) -> DataFrame:
+def text_evidence(f: Fixtures, *kinds: str) -> DataFrame:
+    """The evidence of some kinds, of all without any."""
     from ..operators import evidence
 
-    return evidence.evidence_long(f.papers, LEXICON)
+    return evidence.evidence_long(f.papers, LEXICON, kinds or evidence.KINDS)
 
 
 EVIDENCE = ("papers", "evidence")

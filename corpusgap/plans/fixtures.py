@@ -37,6 +37,9 @@ SELECT d.doc_id AS pos, CAST(d.doc_id AS STRING) AS external_id, concat('author
 FROM documents d CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2) m CROSS JOIN (SELECT CAST(floor(count(*) / 20) AS BIGINT) + 1 AS a FROM documents) n""",
     "paper_vectors": """
 SELECT CAST(d.doc_id AS STRING) AS external_id, e.embedding FROM documents d CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
+JOIN embeddings e ON e.vec_id = d.doc_id % n.n""",
+    "paper_labels": """
+SELECT CAST(d.doc_id AS STRING) AS external_id, e.vec_id, e.label FROM documents d CROSS JOIN (SELECT count(*) AS n FROM embeddings) n
 JOIN embeddings e ON e.vec_id = d.doc_id % n.n""",
     "interactions": """
 SELECT e.event_id, e.user_id, CAST(e.event_id % n.n AS STRING) AS external_id,

@@ -113,7 +113,7 @@ def extracted_evidence(f):
 
 
 def _recurring(f, kind):
-    rows = gaps.recurring(text_evidence(f), kind, AS_OF_YEAR).drop("kind")
+    rows = gaps.recurring(text_evidence(f, kind), kind, AS_OF_YEAR).drop("kind")
     return rounded(rows, "support_score", "citation_confidence", "novelty")
 
 
@@ -134,7 +134,7 @@ def future_work_gaps(f):
 
 
 def _terms(f, *kinds):
-    return gaps.term_scores(text_evidence(f).filter(F.col("kind").isin(*kinds)), AS_OF_YEAR)
+    return gaps.term_scores(text_evidence(f, *kinds), AS_OF_YEAR)
 
 
 def _topics(f):
@@ -164,7 +164,7 @@ def baseline_weakness(f):
 
 
 def _ranked(f, k=20) -> DataFrame:
-    return gaps.ranked(text_evidence(f), f.papers, AS_OF_YEAR, k, 0.5, 0.3)
+    return gaps.ranked(text_evidence(f, "limitation", "future_work", "assumption", "metric", "dataset", "baseline"), f.papers, AS_OF_YEAR, k, 0.5, 0.3)
 
 
 @query(*GAPS, sql="SELECT topic_id, kind, category, text, supporting, round(severity::DOUBLE, 6) AS severity, round(actionability::DOUBLE, 6) AS actionability, round(overall::DOUBLE, 6) AS overall, place FROM best_gaps WHERE place <= 20")
@@ -196,12 +196,12 @@ def evidence_summary(f):
 
 @query(*EVIDENCE, sql=_TOP.format("'method', 'dataset', 'metric', 'limitation', 'future_work'", 8))
 def top_terms(f):
-    return gaps.top_terms(text_evidence(f), 8, patterns.PATTERN_KINDS)
+    return gaps.top_terms(text_evidence(f, *patterns.PATTERN_KINDS), 8, patterns.PATTERN_KINDS)
 
 
 @query(*EVIDENCE, sql="SELECT topic_id, term, place, paper_id, title, citation_count, year FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, term ORDER BY citation_count DESC, year DESC, paper_id) AS place FROM evidence WHERE kind = 'limitation') WHERE place <= 5")
 def supporting_papers(f):
-    return gaps.supporting_papers(text_evidence(f), "limitation")
+    return gaps.supporting_papers(text_evidence(f, "limitation"), "limitation")
 
 
 @query("papers", sql="SELECT topic_id, year, count(*) AS papers FROM papers WHERE year BETWEEN 1900 AND 2100 GROUP BY ALL")
@@ -216,48 +216,49 @@ def year_extent(f):
 
 @query(*EVIDENCE, sql="SELECT topic_id, year, term, count(*) AS papers FROM evidence WHERE kind = 'method' GROUP BY ALL")
 def method_trend(f):
-    return patterns.terms_by_year(text_evidence(f), "method")
+    return patterns.terms_by_year(text_evidence(f, "method"), "method")
 
 
 @query(*EVIDENCE, sql="SELECT topic_id, kind, term, papers FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, kind ORDER BY papers DESC, term) AS rn FROM (SELECT topic_id, kind, term, count(*) AS papers FROM evidence WHERE kind IN ('dataset', 'metric') GROUP BY ALL)) WHERE rn <= 10")
 def term_frequencies(f):
-    return patterns.frequencies(text_evidence(f)).select("topic_id", "kind", F.explode("frequency").alias("term", "papers"))
+    return patterns.frequencies(text_evidence(f, "dataset", "metric")).select("topic_id", "kind", F.explode("frequency").alias("term", "papers"))
 
 
 @query(*EVIDENCE, sql="SELECT topic_id, term, papers FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY papers DESC, term) AS rn FROM (SELECT topic_id, term, count(*) AS papers FROM evidence WHERE kind IN ('limitation', 'future_work') AND year >= 2023 GROUP BY ALL)) WHERE rn <= 4")
 def emerging_terms(f):
-    return patterns.emerging(text_evidence(f), AS_OF_YEAR)
+    return patterns.emerging(text_evidence(f, "limitation", "future_work"), AS_OF_YEAR)
 
 
 @query(*EVIDENCE, sql="SELECT topic_id, term, papers, round(recent_share, 6) AS recent_share FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY papers DESC, term) AS rn FROM (SELECT topic_id, term, count(*) AS papers, avg((year >= 2024)::INT) AS recent_share FROM evidence WHERE kind = 'method' GROUP BY ALL)) WHERE rn <= 8 AND papers >= 3 AND recent_share < 0.2")
 def saturated_methods(f):
     """As of one year later, when under a fifth of the papers are recent."""
-    return rounded(patterns.saturated(text_evidence(f), AS_OF_YEAR + 1), "recent_share")
+    return rounded(patterns.saturated(text_evidence(f, "method"), AS_OF_YEAR + 1), "recent_share")
 
 
-@query(*EVIDENCE, sql="""
+@query(*EVIDENCE, "paper_labels", sql="""
 WITH s AS (SELECT topic_id, paper_id, list(DISTINCT term) AS names FROM evidence WHERE kind = 'baseline' GROUP BY ALL), f AS (SELECT topic_id, arg_min(names, paper_id) AS first FROM s GROUP BY topic_id)
 SELECT topic_id, count(*) AS papers, count(*) >= 2 AND bool_and(len(list_intersect(names, first)) / len(list_distinct(list_concat(names, first))) >= 0.7) AS stagnant FROM s JOIN f USING (topic_id) GROUP BY topic_id""")
 def baseline_stagnation(f):
-    return patterns.baseline_stagnation(text_evidence(f))
+    return patterns.baseline_stagnation(text_evidence(f, "baseline"))
 
 
-_MEMBERS = "SELECT p.topic_id, e.label AS cluster, p.external_id AS paper_id, p.title, p.abstract, p.year, p.citation_count, e.vec_id FROM papers p JOIN embeddings e ON p.external_id = CAST(e.vec_id AS VARCHAR)"
+_MEMBERS = "SELECT p.topic_id, v.label AS cluster, p.external_id AS paper_id, p.title, p.abstract, p.year, p.citation_count, v.vec_id FROM papers p JOIN paper_labels v USING (external_id)"
 
 
 def _members(f):
-    e = f.embeddings.select(F.col("label").alias("cluster"), "vec_id", F.col("vec_id").cast("string").alias("paper_id"))
-    return f.papers.withColumnRenamed("external_id", "paper_id").join(e, "paper_id").select("topic_id", "cluster", "paper_id", "title", "abstract", "year", "citation_count", "vec_id")
+    """Every paper with the label of its vector as its cluster."""
+    v = f.paper_labels.select(F.col("external_id").alias("paper_id"), F.col("label").alias("cluster"), "vec_id")
+    return f.papers.withColumnRenamed("external_id", "paper_id").join(v, "paper_id").select("topic_id", "cluster", "paper_id", "title", "abstract", "year", "citation_count", "vec_id")
 
 
-@query("papers", sql="""
-WITH m AS (SELECT label, count(*) AS papers, count(year) AS dated, sum((year >= 2023)::INT)::BIGINT AS recent, max(year) AS latest FROM papers JOIN embeddings ON external_id = CAST(vec_id AS VARCHAR) GROUP BY label)
+@query("papers", "paper_labels", sql="""
+WITH m AS (SELECT label, count(*) AS papers, count(year) AS dated, sum((year >= 2023)::INT)::BIGINT AS recent, max(year) AS latest FROM papers JOIN paper_labels USING (external_id) GROUP BY label)
 SELECT *, CASE WHEN dated = 0 THEN 'Established' WHEN recent / dated > 0.6 AND dated >= 3 THEN 'Emerging' WHEN recent = 0 AND latest < 2022 THEN 'Stagnant' WHEN dated >= 10 AND recent / dated < 0.2 THEN 'Saturated' WHEN recent / dated > 0.3 THEN 'Active' ELSE 'Established' END AS trend FROM m""")
 def cluster_trend(f):
     return patterns.cluster_trend(_members(f).withColumnRenamed("cluster", "label"), ["label"], AS_OF_YEAR)
 
 
-@query(*EVIDENCE, sql=f"""
+@query(*EVIDENCE, "paper_labels", sql=f"""
 WITH m AS ({_MEMBERS}), c AS (SELECT cluster, kind, term, count(*) AS n FROM evidence JOIN m USING (paper_id) WHERE kind IN ('limitation', 'future_work') GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY cluster, kind ORDER BY n DESC, term) AS rn FROM c)
 SELECT cluster, string_agg(term, '|' ORDER BY rn) FILTER (kind = 'limitation' AND rn <= 5) AS top_limitations, string_agg(term, '|' ORDER BY rn) FILTER (kind = 'future_work' AND rn <= 5) AS top_future_work, sum(n) FILTER (kind = 'limitation' AND rn <= 10)::BIGINT AS limitation_mentions FROM r GROUP BY cluster""")
@@ -267,14 +268,14 @@ def cluster_themes(f):
     return rows.select("cluster", F.array_join("top_limitations", "|").alias("top_limitations"), F.array_join("top_future_work", "|").alias("top_future_work"), mentions.alias("limitation_mentions"))
 
 
-@query(*EVIDENCE, sql=f"""
+@query(*EVIDENCE, "paper_labels", sql=f"""
 WITH m AS ({_MEMBERS}), c AS (SELECT cluster, term, count(*) AS papers FROM evidence JOIN m USING (paper_id) WHERE kind IN ('method', 'dataset', 'metric', 'limitation') GROUP BY ALL)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY papers DESC, term) AS place FROM c) WHERE place <= 5""")
 def cluster_top_terms(f):
-    return clusters.cluster_terms(_members(f), text_evidence(f))
+    return clusters.cluster_terms(_members(f), text_evidence(f, "method", "dataset", "metric", "limitation"))
 
 
-@query("papers", sql=f"""
+@query("papers", "paper_labels", sql=f"""
 WITH m AS (SELECT topic_id, CASE WHEN cluster = 9 THEN -1 ELSE cluster END AS cluster, year, e.embedding[1]::DOUBLE AS x, e.embedding[2]::DOUBLE AS y FROM ({_MEMBERS}) b JOIN embeddings e USING (vec_id))
 SELECT topic_id, cluster, count(*) AS paper_count, round(avg(round(x, 4)), 4) AS x, round(avg(round(y, 4)), 4) AS y, min(year) AS first_year, max(year) AS last_year FROM m WHERE cluster >= 0 GROUP BY ALL""")
 def cluster_dashboard(f):
@@ -282,7 +283,7 @@ def cluster_dashboard(f):
     return clusters.dashboard(rows.withColumn("cluster", F.when(F.col("cluster") == 9, -1).otherwise(F.col("cluster"))))
 
 
-@query(*EVIDENCE, "gap_feedback", sql=f"""
+@query(*EVIDENCE, "gap_feedback", "paper_labels", sql=f"""
 WITH m AS ({_MEMBERS}), g AS (SELECT CAST(label AS INT) AS cluster, vec_id AS gap_id, (vec_id * 37 % 101) / 101.0 AS confidence FROM embeddings), s AS (SELECT cluster, count(*) AS paper_count FROM m GROUP BY ALL),
 b AS (SELECT cluster, arg_max(gap_id, (confidence, gap_id)) AS gap_id FROM g GROUP BY ALL)
 SELECT s.cluster, s.paper_count, b.gap_id FROM s LEFT JOIN b USING (cluster)""")
@@ -292,7 +293,7 @@ def cluster_summaries(f):
     return clusters.summaries(themes, found).select("cluster", "paper_count", "gap_id")
 
 
-@query(*EVIDENCE, sql=f"""
+@query(*EVIDENCE, "paper_labels", sql=f"""
 WITH m AS ({_MEMBERS}), own AS (SELECT topic_id, cluster, count(*) AS papers, avg(CASE WHEN 2025 - year <= 2 THEN 1.0 WHEN 2025 - year <= 4 THEN 0.8 WHEN 2025 - year <= 6 THEN 0.6 ELSE 0.4 END) AS recency,
   avg(1 - least(greatest(citation_count, 0) / greatest(2025 - year, 1), 100) / 100) AS novelty FROM m GROUP BY ALL),
 a AS (SELECT topic_id, sum(papers) AS all_papers FROM own GROUP BY ALL), k AS (SELECT m.topic_id, m.cluster, e.kind, e.term FROM evidence e JOIN m ON m.paper_id = e.paper_id WHERE e.kind IN ('limitation', 'future_work')),
@@ -300,15 +301,15 @@ t AS (SELECT topic_id, cluster, count(DISTINCT term) AS tokens, count(DISTINCT t
 SELECT topic_id, cluster, round(least(0.99, greatest(0.05, 0.35 * least(1.0, papers / all_papers * 1.5) + 0.25 * least(1.0, ln(1 + coalesce(tokens, 0)) / ln(11)) + 0.15 * recency
   + 0.15 * CASE WHEN coalesce(all_future, 0) = 0 THEN 0.5 ELSE coalesce(own_future / all_future, 0) END + 0.10 * novelty)), 6) AS score FROM own JOIN a USING (topic_id) LEFT JOIN t USING (topic_id, cluster) LEFT JOIN u USING (topic_id)""")
 def cluster_gap_score(f):
-    return rounded(clusters.cluster_gap_score(_members(f), text_evidence(f), AS_OF_YEAR).select("topic_id", "cluster", "score"), "score")
+    return rounded(clusters.cluster_gap_score(_members(f), text_evidence(f, "limitation", "future_work"), AS_OF_YEAR).select("topic_id", "cluster", "score"), "score")
 
 
-@query("papers", sql=f"SELECT topic_id, cluster, count(*) AS papers, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, cluster) AS place, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, cluster) <= 3 AS to_model FROM ({_MEMBERS}) GROUP BY topic_id, cluster")
+@query("papers", "paper_labels", sql=f"SELECT topic_id, cluster, count(*) AS papers, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, cluster) AS place, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, cluster) <= 3 AS to_model FROM ({_MEMBERS}) GROUP BY topic_id, cluster")
 def cluster_priority(f):
     return clusters.cluster_priority(_members(f), ["topic_id"], 3)
 
 
-@query(*EVIDENCE, sql=f"""
+@query(*EVIDENCE, "paper_labels", sql=f"""
 WITH m AS ({_MEMBERS}), c AS (SELECT m.topic_id, m.cluster, e.kind, e.term, count(*) AS n FROM evidence e JOIN m ON m.paper_id = e.paper_id WHERE e.kind IN ('limitation', 'future_work') GROUP BY ALL),
 b AS (SELECT topic_id, cluster, arg_max(term, n) FILTER (rn = 1 AND kind = 'limitation') AS lim, arg_max(term, n) FILTER (rn = 1 AND kind = 'future_work') AS fw FROM (SELECT *, row_number() OVER (PARTITION BY topic_id, cluster, kind ORDER BY n DESC, term) AS rn FROM c) GROUP BY ALL),
 s AS (SELECT topic_id, cluster, count(*) AS papers FROM m GROUP BY ALL)
@@ -316,10 +317,10 @@ SELECT topic_id, cluster, 'Unresolved gap in ' || topic_id || ': ' || substring(
   'Across ' || papers || ' papers in this cluster, a recurring limitation is ''' || coalesce(lim, 'unclear limitations') || '''. Authors frequently cite ''' || coalesce(fw, 'unspecified future work') || ''' as open future work.' AS description
 FROM s LEFT JOIN b USING (topic_id, cluster)""")
 def heuristic_gaps(f):
-    return clusters.heuristic_gaps(_members(f), text_evidence(f)).select("topic_id", "cluster", "title", "what_fails", "missing_piece", "description")
+    return clusters.heuristic_gaps(_members(f), text_evidence(f, "limitation", "future_work")).select("topic_id", "cluster", "title", "what_fails", "missing_piece", "description")
 
 
-@query("papers", sql=f"SELECT g.vec_id AS gap_id, m.paper_id FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 100 = 0) g JOIN ({_MEMBERS}) m ON m.cluster = g.label")
+@query("papers", "paper_labels", sql=f"SELECT g.vec_id AS gap_id, m.paper_id FROM (SELECT vec_id, label FROM embeddings WHERE vec_id % 100 = 0) g JOIN ({_MEMBERS}) m ON m.cluster = g.label")
 def paper_gap_matrix(f):
     found = f.embeddings.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("gap_id"), F.col("label").alias("cluster"))
     return clusters.paper_gap_matrix(_members(f), found)
