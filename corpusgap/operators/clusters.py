@@ -29,77 +29,29 @@ def pca_coordinates(vectors: DataFrame, dims: int = 2, item: str = "vec_id", vec
     return model.transform(rows).select(item, F.concat(reduced, F.array_repeat(F.lit(0.0), dims - k)).alias("coordinates"))
 
 
-def _cells(point: Column, eps: float) -> Column:
-    return F.transform(point, lambda x: F.floor(x / eps))
-
-
-def _cell_keys(cell: Column, dims: int, around: bool) -> Column:
-    """The key of a cell, or with ``around`` those of the 3**dims cells that may hold neighbours."""
-    keys = F.array(F.lit(""))
-    for d in range(dims):
-        keys = _longer(keys, cell[d], (-1, 0, 1) if around else (0,))
-    return keys
-
-
-def _longer(keys: Column, cell: Column, steps: tuple[int, ...]) -> Column:
-    return F.flatten(F.transform(keys, lambda k: F.array(*[F.concat(k, (cell + s).cast("string"), F.lit(",")) for s in steps])))
-
-
-def eps_links(points: DataFrame, eps: float, dims: int, item: str = "item", point: str = "coordinates") -> DataFrame:
-    """(a, b), a < b: items of one topic at most ``eps`` apart, by a grid of cells that wide.
-
-    A point meets only the points of its own and the neighbouring cells; skewed cells are split by the join.
-    """
-    rows = points.select("topic_id", item, point, _cells(F.col(point), eps).alias("cell"))
-    one = rows.select("topic_id", F.col(item).alias("a"), F.col(point).alias("p"), F.explode(_cell_keys(F.col("cell"), dims, True)).alias("key"))
-    two = rows.select("topic_id", F.col(item).alias("b"), F.col(point).alias("q"), F.explode(_cell_keys(F.col("cell"), dims, False)).alias("key"))
-    square = F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    return one.join(two, ["topic_id", "key"]).filter((F.col("a") < F.col("b")) & (square <= eps * eps)).select("topic_id", "a", "b")
-
-
 def components(links: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, node, label): the least node of each node's component, for links (keys, a, b).
 
-    Each round hands every node the least label among itself and its neighbours, then jumps to
-    that label's own label; lineage is cut by a checkpoint in the cluster's folder each round.
+    In turns every node hands its greater neighbours, then itself and its lesser neighbours, to the least
+    of them, so that chains of any length become stars in a few rounds; each round is kept in the
+    cluster's checkpoint folder, which cuts lineage.
     """
-    both = settled(links.select(*keys, "a", "b").unionByName(links.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = settled(both.groupBy(*keys, F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")))
+    pair = lambda a, b: [*keys, a.alias("a"), b.alias("b")]
+    edges = settled(links.filter("a <> b").select(*pair(F.greatest("a", "b"), F.least("a", "b"))).distinct())
+    state = None
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, [*keys, "node"]).select(*keys, "node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        jump = step.select(*keys, F.col("node").alias("label"), F.col("label").alias("further"))
-        step = step.join(jump, [*keys, "label"], "left").select(*keys, "node", "before", F.least("label", F.coalesce("further", "label")).alias("label"))
-        step = settled(step)
-        if step.filter("before <> label").isEmpty():
-            return labels
-        labels = step.drop("before")
-
-
-def density_clusters(points: DataFrame, links: DataFrame, least: int = 2, item: str = "item") -> DataFrame:
-    """(topic_id, item, cluster): components of linked points; smaller ones and single points are noise (-1).
-
-    With ``least`` 2 these are the density clusters of two neighbours.  Clusters are numbered from 0
-    by their least item; a topic of noise only, or of one point, is one cluster 0.
-    """
-    found = components(links, ["topic_id"]).withColumnRenamed("node", item)
-    sizes = found.groupBy("topic_id", "label").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    number = sizes.select("topic_id", "label", (F.row_number().over(Window.partitionBy("topic_id").orderBy("label")) - 1).alias("cluster"))
-    rows = points.select("topic_id", item).join(found.join(number, ["topic_id", "label"]).select("topic_id", item, "cluster"), ["topic_id", item], "left")
-    any_cluster = rows.groupBy("topic_id").agg(F.max("cluster").alias("most"))
-    return rows.join(any_cluster, "topic_id").select("topic_id", item, F.when(F.col("most").isNull(), 0).otherwise(F.coalesce("cluster", F.lit(-1))).alias("cluster"))
-
-
-def eps_by_distance(points: DataFrame, share: float, dims: int, eps: float, item: str = "item") -> float:
-    """A radius from the data: the ``share`` quantile of each point's nearest distance within ``eps``."""
-    rows = points.select("topic_id", item, F.col("coordinates"))
-    near = eps_links(rows, eps, dims, item)
-    at = rows.select("topic_id", F.col(item).alias("a"), F.col("coordinates").alias("p"))
-    to = rows.select("topic_id", F.col(item).alias("b"), F.col("coordinates").alias("q"))
-    far = F.sqrt(F.aggregate(F.zip_with("p", "q", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pairs = near.join(at, ["topic_id", "a"]).join(to, ["topic_id", "b"]).withColumn("far", far)
-    nearest = pairs.select("a", "far").unionByName(pairs.select(F.col("b").alias("a"), "far")).groupBy("a").agg(F.min("far").alias("far"))
-    return nearest.agg(F.percentile_approx("far", share)).first()[0] or eps
+        both = edges.unionByName(edges.select(*pair(F.col("b"), F.col("a"))))
+        least = both.groupBy(*keys, "a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.filter("b > a").join(least, [*keys, "a"]).select(*pair(F.col("b"), F.col("m"))).filter("a <> b").distinct()
+        least = large.groupBy(*keys, "a").agg(F.min("b").alias("m"))
+        small = large.join(least, [*keys, "a"]).select(*keys, F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
+        edges = settled(small.select(*pair(F.col("e.a"), F.col("e.m"))).filter("a <> b").distinct())
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64(*keys, "a", "b"))).first())
+        if now == state:
+            break
+        state = now
+    roots = edges.select(*keys, F.col("b").alias("node"), F.col("b").alias("label")).distinct()
+    return edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("label")).unionByName(roots)
 
 
 def silhouette(points: DataFrame, item_vector: str = "coordinates") -> float | None:

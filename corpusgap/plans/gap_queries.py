@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, corpus, evidence, feeds, gaps, grounding, patterns, vectors
+from ..operators import clusters, corpus, density, evidence, feeds, gaps, grounding, patterns, vectors
 from .catalog import _PRIORITY, _TITLE_KEY, EVIDENCE, GAPS, query, rounded, text_evidence
 from .fixtures import AS_OF_YEAR, LEXICON
 
@@ -355,8 +355,32 @@ c AS (SELECT topic_id, item, min(seen) AS label FROM reach GROUP BY ALL), n AS (
 SELECT p.topic_id, p.item, CASE WHEN max(n.cluster) OVER (PARTITION BY p.topic_id) IS NULL THEN 0 ELSE coalesce(n.cluster, -1) END AS cluster FROM p LEFT JOIN c USING (topic_id, item) LEFT JOIN n ON n.topic_id = p.topic_id AND n.label = c.label""")
 def eps_clusters(f):
     """Density clusters of the vectors' first two components, within each label."""
-    points = f.embeddings.select(F.col("label").alias("topic_id"), F.col("vec_id").alias("item"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("coordinates"))
-    return clusters.density_clusters(points, clusters.eps_links(points, 0.02, 2))
+    points = f.embeddings.select(F.col("label").cast("string").alias("topic_id"), F.col("vec_id").alias("item"), F.transform(F.slice("embedding", 1, 2), lambda x: x.cast("double")).alias("coordinates"))
+    return density.radius_clusters(points, 2, 0.02).withColumn("topic_id", F.col("topic_id").cast("int"))
+
+
+def _paper_points(f, dims):
+    """Papers of all topics with the principal components of their vectors."""
+    places = clusters.pca_coordinates(f.embeddings.select("vec_id", "embedding"), dims)
+    papers = f.papers.select("topic_id", "external_id", "title", "year").join(f.paper_labels.select("external_id", "vec_id"), "external_id")
+    return papers.join(places, "vec_id").withColumnRenamed("external_id", "item")
+
+
+@query()
+def adaptive_clusters(f):
+    """Each topic's papers in density clusters of their five principal components, a tenth of the topic at least; tested by force."""
+    return density.adaptive_clusters(_paper_points(f, 5).select("topic_id", "item", "coordinates"), 5)
+
+
+@query()
+def fine_clusters(f):
+    """The same with clusters of three papers or more, told by theme and trend."""
+    points = _paper_points(f, 5)
+    found = density.adaptive_clusters(points.select("topic_id", "item", "coordinates"), 5, share=0.0)
+    members = found.join(points.select("item", "title", "year"), "item").filter("cluster >= 0")
+    members = members.select(F.concat_ws("/", "topic_id", "cluster").alias("cluster"), F.col("item").alias("paper_id"), "title", "year")
+    rows = patterns.cluster_themes(members, text_evidence(f, "limitation", "future_work"), AS_OF_YEAR)
+    return rows.select("cluster", "theme", "paper_count", "trend", F.array_join("top_limitations", "|").alias("top_limitations"))
 
 
 _COSINE = "list_cosine_similarity({0}::DOUBLE[], {1}::DOUBLE[])"

@@ -114,15 +114,17 @@ def merge_nodes(f):
 
 
 @query("papers", sql="""
-WITH r AS (SELECT pos AS ref, lower(trim(title)) AS t, year AS y FROM papers WHERE pos % 2 = 1), w AS (SELECT pos AS work, lower(trim(title)) AS u, year AS v FROM papers WHERE pos % 2 = 0 AND trim(title) <> '')
-SELECT ref, min(work) AS work FROM r JOIN w ON t = u AND y = v GROUP BY ref""")
+WITH r AS (SELECT pos AS ref, lower(trim(title)) AS t, CASE WHEN pos % 3 > 0 THEN year END AS y FROM papers WHERE pos % 2 = 1 AND trim(title) <> ''), w AS (SELECT pos AS work, lower(trim(title)) AS u, year + 1 AS v FROM papers WHERE pos % 2 = 0 AND trim(title) <> ''),
+e AS (SELECT ref, min(work) AS work FROM r JOIN w ON t = u AND (y IS NULL OR y = v) GROUP BY ref)
+SELECT ref, work, true AS exact FROM e UNION ALL
+SELECT ref, min(work), false FROM r JOIN w ON contains(t, u) OR contains(u, t) WHERE ref NOT IN (SELECT ref FROM e) GROUP BY ref""")
 def matched_references(f):
-    """References of the odd papers in the even ones, by title and year."""
-    p = f.papers
-    refs = p.filter("pos % 2 = 1").select(F.col("pos").alias("ref"), "title", "year")
-    works = p.filter("pos % 2 = 0").select(F.col("pos").alias("work"), "title", "year")
-    exact = network.matched_by_title(refs, works)
-    return exact.join(refs, "ref").join(works.select("work", F.col("year").alias("v")), "work").filter("year = v").select("ref", "work")
+    """References of the odd papers in the even ones (a third of them without a year): equal titles, else one within the other."""
+    refs = f.papers.filter("pos % 2 = 1").select(F.col("pos").alias("ref"), "title", F.when(F.col("pos") % 3 > 0, F.col("year")).alias("year"))
+    works = f.papers.filter("pos % 2 = 0").select(F.col("pos").alias("work"), "title", (F.col("year") + 1).alias("year"))
+    low = lambda c: F.lower(F.btrim(c))
+    named = network.matched_by_title(refs, works).join(refs.select("ref", low("title").alias("t"), F.col("year").alias("y")), "ref").join(works.select("work", low("title").alias("u"), F.col("year").alias("v")), "work")
+    return named.select("ref", "work", ((F.col("t") == F.col("u")) & (F.col("y").isNull() | (F.col("y") == F.col("v")))).alias("exact"))
 
 
 @query(sql="SELECT 'https://doi.org/10.1234/x' || doc_id AS input, 'OA:W' || (1000000 + doc_id) AS paper_id, 'openalex' AS source FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 'https://arxiv.org/abs/2401.' || (10000 + doc_id % 80000), 'ARX:2401.' || (10000 + doc_id % 80000), 'arxiv' FROM documents WHERE doc_id % 3 = 1 UNION ALL SELECT 'W' || (1000000 + doc_id), CASE WHEN doc_id % 2 = 0 THEN 'OA:W' || (1000000 + doc_id) ELSE 'OA:W' || (1000000 + doc_id) END, 'openalex' FROM documents WHERE doc_id % 3 = 2")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import pytest
-
-from corpusgap.operators import clusters, evidence, gaps, network, usage
+from corpusgap.operators import clusters, density, evidence, gaps, network, usage
 
 
 def test_gap_explorer(spark):
@@ -28,14 +26,10 @@ def test_cluster_reports(spark):
 def test_radius_and_silhouette(spark):
     rows = [("t", i, [float(i // 5 * 10), 0.1 * (i % 5)]) for i in range(10)]
     points = spark.createDataFrame(rows, "topic_id string, item long, coordinates array<double>")
-    eps = clusters.eps_by_distance(points, 0.9, 2, 1.0)
-    assert eps == pytest.approx(0.1)
-    found = clusters.density_clusters(points, clusters.eps_links(points, eps + 1e-9, 2))
-    labels = {r["item"]: r["cluster"] for r in found.collect()}
-    assert labels == {i: i // 5 for i in range(10)}
+    found = density.radius_clusters(points, 2, 0.1 + 1e-9)
+    assert {r["item"]: r["cluster"] for r in found.collect()} == {i: i // 5 for i in range(10)}
     assert clusters.silhouette(found.join(points, ["topic_id", "item"])) > 0.9
-    lone = clusters.density_clusters(points.filter("item = 0"), clusters.eps_links(points.filter("item = 0"), 1.0, 2))
-    assert [r["cluster"] for r in lone.collect()] == [0]
+    assert [r["cluster"] for r in density.radius_clusters(points.filter("item = 0"), 2, 1.0).collect()] == [0]
 
 
 def test_network_repairs(spark):
