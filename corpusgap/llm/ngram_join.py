@@ -21,9 +21,12 @@ Inside a group of equal signatures every member is paired with the group's first
 pairs are checked exactly on the sets, member by member against the first.  Groups
 whose members are then still in different components are checked once more: those of
 at most ``_FEW`` members pair by pair, so pairs stay in proportion to members; larger
-ones in tiles of two blocks of members each, where one matrix product gives all
-intersections and a tile returns no more links than it has members.  Large groups that
-share members are tiled as one family where that compares fewer pairs.
+ones in tiles of two blocks of members each.  Large groups that share members are tiled
+as one family where that compares fewer pairs.  Before sets meet, their parity sketches
+do, which are about a twentieth as long: the bits in which they differ are no more than
+the elements in which the sets do, so no similar pair is lost, and few others are left.
+A tile that leaves very many pairs is checked whole, where one matrix product gives all
+intersections and no more links than members are returned.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -218,8 +221,34 @@ def read_items(items: pa.Scalar) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def parity_sketch(hashed: np.ndarray) -> bytes:
+    """Of each of some bins whether an odd number of a set's elements falls there: at least two bins an element, a power of two.
+
+    Two sets differ in at least as many elements as their sketches do in bits; folding a sketch
+    (the XOR of its halves) gives that of half as many bins.
+    """
+    bits = 1 << max(7, int(2 * len(hashed) - 1).bit_length())
+    odd = np.bincount(((hashed >> U64(16)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def read_sketch(size: int, sketch: pa.Scalar) -> tuple[int, np.ndarray]:
+    return size, np.frombuffer(sketch.as_buffer(), U64)
+
+
+def may_be_similar(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], num: int, den: int) -> bool:
+    """False only for sets (size, sketch) that aren't similar."""
+    (size_a, x), (size_b, y) = a, b
+    while len(x) != len(y):
+        if len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        else:
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (size_a + size_b) * (den - num)
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(print, size, items) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes."""
+    """(print, size, items, sketch) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes, and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,41 +257,54 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 cut = np.concatenate([[0], np.cumsum(size)])
                 rows = np.flatnonzero(prints == asked[a:b])
                 items = [packed_items(hashed[cut[i] : cut[i + 1]]) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(size[rows]), pa.array(items, pa.binary())], ["print", "size", "items"])
+                sketches = [parity_sketch(hashed[cut[i] : cut[i + 1]]) for i in rows]
+                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(size[rows]), pa.array(items, pa.binary()), pa.array(sketches, pa.binary())], ["print", "size", "items", "sketch"])
 
     rows = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("print", "text")
-    return rows.mapInArrow(run, "print long, size long, items binary")
+    return rows.mapInArrow(run, "print long, size long, items binary, sketch binary")
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar, by exact intersection.
+def _stars(pairs: DataFrame, sets: DataFrame, column: str, read, keep) -> DataFrame:
+    """The pairs (a, b) of which ``keep`` holds, by what ``read`` makes of (size, ``column``) of their sets.
 
     The members of a star around ``a`` come as blocks of about ``_STAR_BLOCK``, each behind the
     set of ``a``, which alone is held; every set moves once a star.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, np.zeros(0, U64)
+        hub, held = None, None
         for batch in batches:
             out = []
-            for a, name, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                other = read_items(items)
+            for a, name, size, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 if a == name:
-                    hub, hub_set = a, other
-                elif a == hub:
-                    both = np.concatenate([hub_set, other])
-                    both.sort(kind="stable")
-                    inter = int((both[1:] == both[:-1]).sum())
-                    if den * inter >= num * (len(hub_set) + len(other) - inter):
-                        out.append((a, name))
+                    hub, held = a, read(size, raw)
+                elif a == hub and keep(held, read(size, raw)):
+                    out.append((a, name))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
 
     blocks = pairs.groupBy("a").agg(F.ceil(F.count("*") / _STAR_BLOCK).alias("blocks"))
     dealt = pairs.select("a", "b").join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), F.col("b").alias("print"))
     dealt = dealt.unionByName(dealt.select("a", "block", F.col("a").alias("print")).distinct())
-    rows = dealt.join(sets.select("print", "items"), "print").repartition("a", "block").sortWithinPartitions("a", "block", (F.col("print") != F.col("a")))
-    return rows.select("a", "print", "items").mapInArrow(run, "a long, b long")
+    rows = dealt.join(sets.select("print", "size", column), "print").repartition("a", "block").sortWithinPartitions("a", "block", (F.col("print") != F.col("a")))
+    return rows.select("a", "print", "size", column).mapInArrow(run, "a long, b long")
+
+
+def _hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out: no similar pair is lost, and few others are left."""
+    return _stars(pairs, sets, "sketch", read_sketch, lambda x, y: may_be_similar(x, y, num, den))
+
+
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar, by exact intersection."""
+
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        inter = int((both[1:] == both[:-1]).sum())
+        return den * inter >= num * (len(x) + len(y) - inter)
+
+    return _stars(pairs, sets, "items", lambda _, raw: read_items(raw), similar)
 
 
 def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -293,20 +335,63 @@ def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
     return prints[label[linked]], prints[linked]
 
 
-def _tiled(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the members (sig, print) of each group; no task sees more than two blocks of it."""
+def hopeful_pairs(size: np.ndarray, sketches: list[np.ndarray], label: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the sets of a tile in different components that their sketches don't rule out.
+
+    The sketches of similar sets have equally many bins or twice as many, so each length is
+    compared with itself and, folded, with the next.
+    """
+    words = np.array([len(x) for x in sketches])
+    out = [np.zeros((0, 2), np.int64)]
+    for n in np.unique(words):
+        own, longer = np.flatnonzero(words == n), np.flatnonzero(words == 2 * n)
+        place = np.concatenate([own, longer])
+        bits = np.stack([sketches[i] for i in own] + [sketches[i][:n] ^ sketches[i][n:] for i in longer])
+        step = max(1, (1 << 21) // (len(place) * int(n)))
+        for lo in range(0, len(own), step):
+            rows = own[lo : lo + step]
+            apart = np.bitwise_count(bits[lo : lo + len(rows), None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+            near = apart * (den + num) <= (size[rows][:, None] + size[place][None, :]) * (den - num)
+            near &= label[rows][:, None] != label[place][None, :]
+            near &= np.arange(lo, lo + len(rows))[:, None] < np.arange(len(place))[None, :]
+            i, j = np.nonzero(near)
+            out.append(np.stack([rows[i], place[j]], axis=1))
+    found = np.concatenate(out)
+    return found[:, 0], found[:, 1]
+
+
+def _dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(sig, print, label, low, high): the members (sig, print, label) of each group dealt to tiles of two of its blocks."""
+    sizes = sets.select("print", "size")
+    blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("size") / _BLOCK_ITEMS)).cast("long")
+    groups = rows.join(sizes, "print").groupBy("sig").agg(blocks.alias("blocks"))
+    own = F.pmod(F.xxhash64("print"), "blocks")
+    dealt = rows.select("sig", "print", "label").join(groups, "sig").select("sig", "print", "label", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    return dealt.select("sig", "print", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+
+
+def _sketched(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, low, high, a, b): the pairs of each tile that sketches leave; a tile that leaves more than ``_FEW`` a member gives one row without a pair."""
+
+    def run(tile: pa.Table) -> pa.Table:
+        names, label = tile.column("print").to_numpy(), tile.column("label").to_numpy()
+        sketches = [np.frombuffer(x.as_buffer(), U64) for x in tile.column("sketch")]
+        i, j = hopeful_pairs(tile.column("size").to_numpy(), sketches, label, num, den)
+        a, b = (pa.nulls(1, pa.int64()),) * 2 if len(i) > _FEW * len(names) else (pa.array(np.minimum(names[i], names[j])), pa.array(np.maximum(names[i], names[j])))
+        return pa.table({n: pa.array([tile.column(n)[0].as_py()] * len(a), pa.int64()) for n in ("sig", "low", "high")} | {"a": a, "b": b})
+
+    rows = dealt.join(sets.select("print", "size", "sketch"), "print")
+    return rows.groupBy("sig", "low", "high").applyInArrow(run, "sig long, low long, high long, a long, b long")
+
+
+def _tiled(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) among the members of each tile, by all intersections; no task sees more than two blocks of a group."""
 
     def run(tile: pa.Table) -> pa.Table:
         items = [read_items(x) for x in tile.column("items")]
         a, b = tile_links(tile.column("print").to_numpy(), items, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sizes = sets.select("print", "size")
-    blocks = F.ceil(F.greatest(F.count("*") / _BLOCK_SETS, F.sum("size") / _BLOCK_ITEMS)).cast("long")
-    groups = rows.join(sizes, "print").groupBy("sig").agg(blocks.alias("blocks"))
-    own = F.pmod(F.xxhash64("print"), "blocks")
-    dealt = rows.select("sig", "print").join(groups, "sig").select("sig", "print", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("sig", "print", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     return dealt.join(sets.select("print", "items"), "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
 
 
@@ -323,20 +408,31 @@ class _Join:
         self.labels = scratch.spark.createDataFrame([], "node long, label long")
 
     def check(self, pairs: DataFrame) -> None:
-        """Checks pairs whose sizes allow it, in so many rounds that none moves more elements than all sets have."""
+        """Checks pairs whose sizes and sketches allow it, in so many rounds that none moves more elements than all sets have."""
+        sizes = self.sets.select("print", "size")
         for side in "ab":
-            pairs = pairs.join(self.sets.select(F.col("print").alias(side), F.col("size").alias(f"size_{side}")), side)
+            pairs = pairs.join(sizes.select(F.col("print").alias(side), F.col("size").alias(f"size_{side}")), side)
         pairs = pairs.filter(self.den * F.least("size_a", "size_b") >= self.num * F.greatest("size_a", "size_b"))
-        pairs = self.scratch.settle(pairs.select("a", "b", "size_b"))
-        moved, whole = pairs.agg(F.sum("size_b")).first()[0] or 0, self.sets.agg(F.sum("size")).first()[0] or 1
+        pairs = self.scratch.settle(_hopeful(pairs.select("a", "b"), self.sets, self.num, self.den))
+        moved = pairs.join(sizes.select(F.col("print").alias("b"), "size"), "b").agg(F.sum("size")).first()[0] or 0
+        whole = self.sets.agg(F.sum("size")).first()[0] or 1
         rounds = max(1, -(-moved // whole))
         mine = F.pmod(F.xxhash64("b", "a"), F.lit(rounds))
-        found = [self.scratch.settle(_checked(pairs.filter(mine == i).select("a", "b"), self.sets, self.num, self.den)) for i in range(rounds)]
+        found = [self.scratch.settle(_checked(pairs.filter(mine == i), self.sets, self.num, self.den)) for i in range(rounds)]
         self.add(reduce(DataFrame.unionByName, found))
         self.scratch.drop(pairs, *found)
 
     def check_tiles(self, rows: DataFrame) -> None:
-        self.add(_tiled(rows, self.sets, self.num, self.den))
+        """Checks the groups (sig, print) in tiles: by sketches, then the pairs that are left; tiles with very many of them whole."""
+        dealt = self.scratch.settle(_dealt(_labelled(rows, self.labels, "print", "label"), self.sets))
+        left = self.scratch.settle(_sketched(dealt, self.sets, self.num, self.den))
+        pairs = left.filter("a IS NOT NULL").select("a", "b").distinct()
+        if not pairs.isEmpty():
+            self.check(pairs)
+        dense = left.filter("a IS NULL").select("sig", "low", "high")
+        if not dense.isEmpty():
+            self.add(_tiled(dealt.join(dense, ["sig", "low", "high"], "left_semi"), self.sets, self.num, self.den))
+        self.scratch.drop(dealt, left)
 
     def add(self, links: DataFrame) -> None:
         found = self.scratch.settle(links)
