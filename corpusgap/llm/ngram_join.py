@@ -51,6 +51,8 @@ from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
 _FEW = 32
+#: Pairs a member that sketches may leave of a tile before it is checked whole.
+_DENSE = 32
 _BLOCK_SETS = 1024
 _STAR_BLOCK = 512
 _SHARES = 2
@@ -370,14 +372,14 @@ def _dealt(rows: DataFrame, sets: DataFrame) -> DataFrame:
     return dealt.select("sig", "print", "label", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
 
 
-def _sketched(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(sig, low, high, a, b): the pairs of each tile that sketches leave; a tile that leaves more than ``_FEW`` a member gives one row without a pair."""
+def _sketched(dealt: DataFrame, sets: DataFrame, num: int, den: int, dense: int) -> DataFrame:
+    """(sig, low, high, a, b): the pairs of each tile that sketches leave; a tile that leaves more than ``dense`` a member gives one row without a pair."""
 
     def run(tile: pa.Table) -> pa.Table:
         names, label = tile.column("print").to_numpy(), tile.column("label").to_numpy()
         sketches = [np.frombuffer(x.as_buffer(), U64) for x in tile.column("sketch")]
         i, j = hopeful_pairs(tile.column("size").to_numpy(), sketches, label, num, den)
-        a, b = (pa.nulls(1, pa.int64()),) * 2 if len(i) > _FEW * len(names) else (pa.array(np.minimum(names[i], names[j])), pa.array(np.maximum(names[i], names[j])))
+        a, b = (pa.nulls(1, pa.int64()),) * 2 if len(i) > dense * len(names) else (pa.array(np.minimum(names[i], names[j])), pa.array(np.maximum(names[i], names[j])))
         return pa.table({n: pa.array([tile.column(n)[0].as_py()] * len(a), pa.int64()) for n in ("sig", "low", "high")} | {"a": a, "b": b})
 
     rows = dealt.join(sets.select("print", "size", "sketch"), "print")
@@ -425,7 +427,7 @@ class _Join:
     def check_tiles(self, rows: DataFrame) -> None:
         """Checks the groups (sig, print) in tiles: by sketches, then the pairs that are left; tiles with very many of them whole."""
         dealt = self.scratch.settle(_dealt(_labelled(rows, self.labels, "print", "label"), self.sets))
-        left = self.scratch.settle(_sketched(dealt, self.sets, self.num, self.den))
+        left = self.scratch.settle(_sketched(dealt, self.sets, self.num, self.den, _DENSE))
         pairs = left.filter("a IS NOT NULL").select("a", "b").distinct()
         if not pairs.isEmpty():
             self.check(pairs)

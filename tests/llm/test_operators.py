@@ -168,10 +168,12 @@ def test_ngram_join(docs, width, num):
     assert len(out) == len(corpus())
 
 
-def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [0, 32])
+def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch, dense):
     """Families whose pairs lie on both sides of the threshold, met in large groups of several blocks."""
     monkeypatch.setattr(ngram_join, "_FEW", 4)
     monkeypatch.setattr(ngram_join, "_BLOCK_SETS", 20)
+    monkeypatch.setattr(ngram_join, "_DENSE", dense)
     rng, rows = random.Random(11), []
     for _ in range(2):
         base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
@@ -185,7 +187,28 @@ def test_ngram_join_checks_large_families_in_tiles(spark, monkeypatch):
     out = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     want = components_by_force(rows, 4, 85)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
-    assert tiled and len({c for _, c in want.values()}) > 2
+    assert bool(tiled) == (dense == 0) and len({c for _, c in want.values()}) > 2
+
+
+def test_sketches_lose_no_similar_pair():
+    rng = np.random.default_rng(8)
+    left = far = 0
+    for size in [1, 2, 5, 30, 63, 64, 65, 260, 1000, 5000]:
+        for _ in range(40):
+            one = rng.integers(0, 2**63, size).astype(np.uint64)
+            gone = rng.integers(0, size + 1)
+            two = np.concatenate([one[gone:], rng.integers(0, 2**63, rng.integers(0, gone + 1)).astype(np.uint64)])
+            if not len(two):
+                continue
+            sides = [(len(x), np.frombuffer(ngram_join.parity_sketch(x), np.uint64)) for x in (one, two)]
+            inter = size - gone
+            hopeful = ngram_join.may_be_similar(*sides, 80, 100)
+            similar = 100 * inter >= 80 * (len(one) + len(two) - inter)
+            assert hopeful or not similar
+            i, _ = ngram_join.hopeful_pairs(np.array([s for s, _ in sides]), [x for _, x in sides], np.arange(2), 80, 100)
+            assert len(i) or not similar
+            far, left = far + (inter < 0.6 * size), left + (hopeful and inter < 0.6 * size)
+    assert left < 0.2 * far
 
 
 @pytest.mark.parametrize("size", [1, 2, 3])
