@@ -10,14 +10,17 @@ the others by ``LEAST_GAIN`` nats in the mean.  A kept distribution is smoothed
 the longest kept suffix; a word of a class also takes its smoothed share in the class.
 With counts c + 1 at the root and in classes, all probabilities of a state sum to 1.
 
-Contexts, their counts and the kept states are Spark tables, a level after the other.
-A state's probability is its suffix's times a factor: one for each next symbol it has
-seen, one for all others.  So a token's score is a sum over its kept contexts, and each
-(context, next symbol) of a text meets its factors independently, by one shuffle; a
-context with very many tokens is dealt over several tasks.  Filters of a fixed size
-tell tasks which contexts may be frequent or kept; what they let through by mistake is
-removed by the exact counts and joins.  Texts are read twice, to count words and to write
-them as symbols (about two bytes a token); all further passes read these.
+Contexts, their counts and the kept states are Spark tables, a level after the other;
+a counted pair (context, next symbol) meets one row, its probability in the context one
+shorter.  A state's probability is its suffix's times a factor: one for each next symbol
+it has seen, one for all others.  So a token's score is a sum over its kept contexts, and
+each (context, next symbol) of a text meets its factors independently; a context with
+very many tokens is dealt over several tasks.  What is shuffled for this follows the
+tokens, in rounds by context of a quarter of them each, so that little of it is on disk
+at once.  Filters of a fixed size tell tasks which contexts may be frequent or kept; what
+they let through by mistake is removed by the exact counts and joins.  Texts are read
+twice, to count words and to write them as symbols (about two bytes a token); all further
+passes read these.
 
 Beside it stands the base: the words' own add-one shares.  Word counts cover all
 training texts: the commonest words, a bounded number, are handed to every task,
@@ -35,6 +38,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,9 +49,11 @@ from .session import Scratch
 from .textkit import U64, Texts, chunks, mix64
 
 CLASS_BITS = 8
-MAX_DEPTH = 3
-LEAST_COUNT = 50
-LEAST_GAIN = 2.0
+MAX_DEPTH = 4
+LEAST_COUNT = 20
+LEAST_GAIN = 0.02
+#: Rows of one shuffle: at most this share of all tokens (or so many), the rest follows in further rounds.
+ROUND_SHARE, ROUND_ROWS = 1 / 4, 1 << 22
 #: So many words at most are handed to every task with their counts; it bounds 8 MB.
 HEAD = 1 << 19
 #: Bits of a filter of contexts, whatever their number, and tasks that write parts of it.
@@ -218,9 +224,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 
 def context_counts(tokens: DataFrame, depth: int, frequent) -> DataFrame:
-    """(ctx, next, n, b1, ...) of one depth: counts of next symbols, and the keys of the shorter contexts."""
-    below = [f"b{d}" for d in range(1, depth)]
-    names = ["ctx", "next", "n", *below]
+    """(ctx, next, n, below) of one depth: counts of next symbols, and from the second depth on the key of the context one shorter."""
+    names = ["ctx", "next", "n", *(["below"] if depth > 1 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,60 +244,75 @@ def context_counts(tokens: DataFrame, depth: int, frequent) -> DataFrame:
                     new = np.ones(len(key), bool)
                     new[1:] = (key[1:] != key[:-1]) | (after[1:] != after[:-1])
                     first = np.flatnonzero(new)
-                    columns = [key[first], after[first], np.diff(np.append(first, len(key))), *(k[order[first]] for k, _ in found[:-1])]
-                kinds = [np.int64, np.int32, np.int32, *[np.int64] * len(below)]
+                    columns = [key[first], after[first], np.diff(np.append(first, len(key))), found[-2][0][order[first]]]
+                kinds = [np.int64, np.int32, np.int32, np.int64][: len(names)]
                 yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64).astype(k)) for c, k in zip(columns, kinds, strict=True)], names)
 
-    rows = tokens.mapInArrow(run, "ctx long, next int, n int" + "".join(f", {b} long" for b in below))
-    return rows.groupBy("ctx", "next").agg(F.sum("n").alias("n"), *[F.first(b).alias(b) for b in below])
+    rows = tokens.mapInArrow(run, "ctx long, next int, n int" + (", below long" if depth > 1 else ""))
+    return rows.groupBy("ctx", "next").agg(F.sum("n").alias("n"), *([F.first("below").alias("below")] if depth > 1 else []))
 
 
-def kept_states(scratch: Scratch, pairs: DataFrame, root: DataFrame, factors: DataFrame | None, depth: int) -> tuple[DataFrame, DataFrame]:
-    """(contexts kept (ctx, whole, rest), their factors (ctx, next, value)) of one level, in log10.
+def share_of(ctx: str, rounds: int):
+    """The round in which a context's rows are shuffled; ``share_of_keys`` is its like for keys in tasks."""
+    return F.col(ctx).bitwiseXOR(F.shiftrightunsigned(ctx, 33)).bitwiseAND(F.lit(0x7FFFFFFF)) % rounds
 
-    ``pairs`` are its counts, ``factors`` those of all shorter kept contexts, ``rest`` is
-    the factor of next symbols that a context hasn't seen.
+
+def share_of_keys(keys: np.ndarray, rounds: int) -> np.ndarray:
+    return ((keys ^ (keys >> U64(33))) & U64(0x7FFFFFFF)) % U64(rounds)
+
+
+def rounds_for(rows: int, tokens: int) -> int:
+    return max(1, -(-rows // max(ROUND_ROWS, int(tokens * ROUND_SHARE))))
+
+
+def with_lower(scratch: Scratch, pairs: DataFrame, root: DataFrame, before: DataFrame | None, tokens: int) -> DataFrame:
+    """``pairs`` with ``lower``, the log10 probability of ``next`` in the longest kept suffix of ``ctx``.
+
+    ``before`` (ctx, next, prob) has it for the contexts one shorter, all of which occur as often at least;
+    so one row is met for each pair, in rounds by the shorter context.
     """
-    n, whole, kinds = F.col("n"), F.col("whole"), F.col("kinds")
+    if before is None:
+        return pairs.join(F.broadcast(root), "next")  # at most HEAD symbols, the classes and the end
+    rounds = rounds_for(pairs.count(), tokens)
+    shorter = before.select(F.col("ctx").alias("below"), "next", F.col("prob").alias("lower"))
+    parts = [pairs.filter(share_of("below", rounds) == i).join(shorter.filter(share_of("below", rounds) == i), ["below", "next"]).drop("below") for i in range(rounds)]
+    return reduce(DataFrame.unionByName, [scratch.settle(p) for p in parts])
 
-    def with_lower(rows: DataFrame) -> DataFrame:
-        """Adds ``lower``, the log10 probability in the longest kept suffix."""
-        rows = rows.join(F.broadcast(root), "next")  # at most HEAD symbols, the classes and the end
-        if depth == 1:
-            return rows
-        asked = rows.select(F.col("ctx").alias("of"), "next", F.explode(F.array(*[f"b{d}" for d in range(1, depth)])).alias("ctx"))
-        shorter = asked.join(factors, ["ctx", "next"]).groupBy(F.col("of").alias("ctx"), "next").agg(F.sum("value").alias("more"))
-        return rows.join(shorter, ["ctx", "next"], "left").withColumn("lower", F.col("lower") + F.coalesce("more", F.lit(0.0)))
-
-    sums = pairs.groupBy("ctx").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"), F.count_if(n == 1).alias("single")).filter(whole >= LEAST_COUNT)
-    sums = scratch.settle(sums)
+
+def kept_states(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(frequent contexts (ctx, whole, kept, rest), their pairs (ctx, next, prob, value)) of one level, in log10.
+
+    ``pairs`` (ctx, next, n, lower) are its counts, ``rest`` is the factor of next symbols that a context
+    hasn't seen, ``value`` that of a seen one, ``prob`` the probability in the longest kept context up to this level.
+    """
+    n, whole, kinds = F.col("n"), F.col("whole"), F.col("kinds")
     # What is foretold of a token by the others: n - 1 of them if there are such, else only the state's share for new symbols.
-    several = pairs.filter("n > 1")
-    several = with_lower(several if depth == 1 else several.join(sums.select("ctx"), "ctx", "left_semi"))
-    own = several.groupBy("ctx").agg(F.sum(n * (F.log(n - 1) - F.col("lower") * float(np.log(10)))).alias("own"))
+    own = F.sum(F.when(n > 1, n * (F.log(n - 1) - F.col("lower") * float(np.log(10)))))
+    sums = pairs.groupBy("ctx").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"), F.count_if(n == 1).alias("single"), own.alias("own")).filter(whole >= LEAST_COUNT)
     gain = F.coalesce("own", F.lit(0.0)) + F.col("single") * F.log("kinds") - whole * F.log(whole - 1 + kinds)
-    stats = sums.join(own, "ctx", "left").filter(gain >= LEAST_GAIN * whole)
-    stats = scratch.settle(stats.select("ctx", "whole", "kinds", F.log10(kinds / (whole + kinds)).alias("rest")))
+    stats = scratch.settle(sums.select("ctx", "whole", "kinds", (gain >= LEAST_GAIN * whole).alias("kept"), F.log10(kinds / (whole + kinds)).alias("rest")))
     mixed = F.log10((n + kinds * F.pow(F.lit(10.0), F.col("lower"))) / (whole + kinds))
-    seen = with_lower(pairs.join(stats.select("ctx", "whole", "kinds"), "ctx")).select("ctx", "next", (mixed - F.col("lower")).alias("value"))
-    out = stats.select("ctx", "whole", "rest"), scratch.settle(seen)
-    scratch.drop(sums)
-    return out
+    rows = pairs.join(stats.select("ctx", "whole", "kinds", "kept"), "ctx")
+    seen = rows.select("ctx", "next", F.when(F.col("kept"), mixed).otherwise(F.col("lower")).alias("prob"), F.when(F.col("kept"), mixed - F.col("lower")).alias("value"))
+    return stats, scratch.settle(seen)
 
 
-def grown(scratch: Scratch, tokens: DataFrame, end: int, root: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+def grown(scratch: Scratch, tokens: DataFrame, end: int, root: DataFrame, max_depth: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """The kept contexts and factors of all levels; a level's counts also name the next level's frequent contexts."""
-    sc, frequent, kept, factors = scratch.spark.sparkContext, None, None, None
+    sc, frequent, kept, factors, before = scratch.spark.sparkContext, None, None, None, None
     for depth in range(1, max_depth + 1):
-        pairs = scratch.settle(context_counts(tokens, depth, frequent))
-        stats, seen = kept_states(scratch, pairs, root, factors, depth)
+        counts = scratch.settle(context_counts(tokens, depth, frequent))
+        stats, seen = kept_states(scratch, with_lower(scratch, counts, root, before, whole))
+        stats = stats.filter("kept").select("ctx", "whole", "rest")
         kept = stats if kept is None else kept.unionByName(stats)
-        factors = seen if factors is None else factors.unionByName(seen)
-        longer = pairs.filter((F.col("n") >= LEAST_COUNT) & (F.col("next") != end)).select("ctx", "next")
+        found = scratch.settle(seen.filter("value IS NOT NULL").select("ctx", "next", "value"))
+        factors = found if factors is None else factors.unionByName(found)
+        longer = counts.filter((F.col("n") >= LEAST_COUNT) & (F.col("next") != end)).select("ctx", "next")
         last = depth == max_depth or longer.isEmpty()
         if not last:
             frequent = sc.broadcast(ContextFilter.of(longer, extend=True))
-        scratch.drop(pairs)
+        scratch.drop(counts, *([before] if before is not None else []), *([seen] if last else []))
+        before = seen
         if last:
             break
     return kept, factors
@@ -309,14 +329,19 @@ def context_factors(scratch: Scratch, rows: DataFrame, kept: DataFrame, factors:
     known = sc.broadcast(ContextFilter.of(kept.select("ctx")))
     names = ["ctx", "part", "next", "value", "lm_key"]
     kinds = "ctx long, part int, next int, value double, lm_key long"
+    rounds = rounds_for(kept.agg(F.sum("whole")).first()[0] or 0, tokens)
+
+    def asked(share: int):
+        return lambda batches: asked_of(share, batches)
 
-    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def asked_of(share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             every = batch.column(1).to_numpy()
             for start, symbol, doc in token_chunks(batch.column(0)):
                 names_of = every[start:]
                 for key, inside in contexts(symbol, doc, max_depth):
                     at = np.flatnonzero(inside)
+                    at = at[share_of_keys(key[at], rounds) == share]
                     at = at[known.value(key[at])]
                     part = np.zeros(len(at), np.int32)
                     if len(hot_keys):
@@ -355,9 +380,12 @@ def context_factors(scratch: Scratch, rows: DataFrame, kept: DataFrame, factors:
     model = model.unionByName(factors.join(kept.select("ctx", parts.alias("parts")), "ctx").select("ctx", "next", "value", "parts"))
     model = model.select("ctx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "next", "value", F.lit(None).cast("long").alias("lm_key"))
     tokens_of = rows.select("symbols", "lm_key")
-    rows = model.unionByName(tokens_of.mapInArrow(asked, kinds))
-    rows = rows.repartition("ctx", "part").sortWithinPartitions("ctx", "part", "next", F.col("value").isNull())
-    return rows.mapInArrow(summed, "lm_key long, more double").groupBy("lm_key").agg(F.sum("more").alias("more"))
+    found = []
+    for share in range(rounds):
+        both = model.filter(share_of("ctx", rounds) == share).unionByName(tokens_of.mapInArrow(asked(share), kinds))
+        both = both.repartition("ctx", "part").sortWithinPartitions("ctx", "part", "next", F.col("value").isNull())
+        found.append(scratch.settle(both.mapInArrow(summed, "lm_key long, more double").groupBy("lm_key").agg(F.sum("more").alias("more"))))
+    return reduce(DataFrame.unionByName, found).groupBy("lm_key").agg(F.sum("more").alias("more"))
 
 
 def head_words(vocabulary: DataFrame) -> pa.Table:
@@ -440,7 +468,7 @@ def suffix_tree_scores(docs: DataFrame, train: str, keep: list[str], text: str =
 
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(train, F.lit(False)).alias("lm_learn"), F.coalesce(text, F.lit("")).alias("lm_text"))
     rows = scratch.settle(texts.mapInArrow(run, partial))
-    kept, factors = grown(scratch, rows.filter("lm_learn").select("symbols"), len(common) + (1 << CLASS_BITS), root, max_depth)
+    kept, factors = grown(scratch, rows.filter("lm_learn").select("symbols"), len(common) + (1 << CLASS_BITS), root, max_depth, tokens)
     # Sums are by text: those of equal texts are divided by their number.
     counts = vocabulary.select("word", F.col("n").alias("count"))
     rare = rows.select("lm_key", F.inline("rare")).withColumnRenamed("n", "times").join(counts.hint("merge"), "word")

@@ -374,13 +374,15 @@ def tree_scores(train, texts, depth, least):
     return out, kept
 
 
-@pytest.mark.parametrize("head", [1 << 19, 40])
-def test_language_model_by_force(spark, monkeypatch, head):
-    """Repeated phrases among noise; with a small head the words beyond it come by joins."""
+@pytest.mark.parametrize(("head", "least", "gain", "rows"), [(1 << 19, 6, 0.05, 1 << 22), (40, 6, 0.05, 1 << 22), (1 << 19, suffix_tree_lm.LEAST_COUNT, suffix_tree_lm.LEAST_GAIN, 1 << 22), (1 << 19, 6, 0.0, 40)])
+def test_language_model_by_force(spark, monkeypatch, head, least, gain, rows):
+    """Repeated phrases among noise, with the shipped constants too; with a small head the words beyond it come by joins; few rows a round make many."""
     monkeypatch.setattr(suffix_tree_lm, "HEAD", head)
-    monkeypatch.setattr(suffix_tree_lm, "LEAST_COUNT", 6)
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_COUNT", least)
     monkeypatch.setattr(suffix_tree_lm, "HOT_TOKENS", 5)
-    monkeypatch.setattr(suffix_tree_lm, "LEAST_GAIN", 0.05)
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_GAIN", gain)
+    monkeypatch.setattr(suffix_tree_lm, "ROUND_ROWS", rows)
+    monkeypatch.setattr(suffix_tree_lm, "ROUND_SHARE", 1 / 4 if rows > 40 else 0)
     rng = random.Random(7)
     lexicon = [f"w{i}" for i in range(30)] + [f"rare{i}" for i in range(60)]
     phrases = [" ".join(rng.choices(lexicon[:30], k=6)) for _ in range(4)]
@@ -389,8 +391,8 @@ def test_language_model_by_force(spark, monkeypatch, head):
     learn = [i % 5 != 0 for i in range(len(texts))]
     df = spark.createDataFrame([(i, t, y, 3) for i, (t, y) in enumerate(zip(texts, learn, strict=True))], "doc_id long, text string, learn boolean, score int").repartition(3)
     out = {r["doc_id"]: r for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
-    want, kept = tree_scores([t for t, y in zip(texts, learn, strict=True) if y], texts, suffix_tree_lm.MAX_DEPTH, 6)
-    assert {len(c) for c in kept} >= {1, 2}
+    want, kept = tree_scores([t for t, y in zip(texts, learn, strict=True) if y], texts, suffix_tree_lm.MAX_DEPTH, least)
+    assert {len(c) for c in kept} >= ({1, 2} if least == 6 else {1})
     if head > 40:
         assert [out[i]["score"] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
     counts = Counter(w for t, y in zip(texts, learn, strict=True) if y for w in [*words(t), None])
