@@ -53,15 +53,16 @@ def gram_buckets(texts: Texts, size: int, bits: int) -> tuple[np.ndarray, np.nda
     return start[ok], (texts.range_hash(start[ok], end[ok]) >> U64(64 - bits)).astype(np.int64)
 
 
-def scored(df: DataFrame, text: str, name: str, score) -> DataFrame:
-    """``df`` without ``text`` and with ``score(text column) -> doubles``; a narrow map."""
+def scored(df: DataFrame, text: str, name: str, score, keep_text: bool = False) -> DataFrame:
+    """``df`` with ``score(text column) -> doubles``, without ``text`` unless it is to be kept; a narrow map."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    kept = [c for c in df.columns if c != text]
+    columns = [c for c in df.columns if c != text] + [text]
+    out = columns if keep_text else columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score(batch.columns[-1]))], [*kept, name])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(out)], pa.array(score(batch.columns[-1]))], [*out, name])
 
-    schema = StructType([*(f for f in df.schema.fields if f.name != text), StructField(name, DoubleType())])
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(text)).mapInArrow(run, schema)
+    schema = StructType([*(df.schema[c] for c in out), StructField(name, DoubleType())])
+    return df.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

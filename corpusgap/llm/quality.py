@@ -124,10 +124,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, label:
     return train(labelled_sample(docs, labels, label, learn, per_class), class_shares(labels, label, learn))
 
 
-def score(df: DataFrame, model: QualityModel, text: str = "text", name: str = "score") -> DataFrame:
-    """``df`` without the text and with the probability of label 1; a narrow map.
+def score(df: DataFrame, model: QualityModel, text: str = "text", name: str = "score", keep_text: bool = False) -> DataFrame:
+    """``df`` with the probability of label 1, without the text unless it is to be kept; a narrow map.
 
     The model is one number a bucket (1 MB whatever the corpus) and is broadcast.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
-    return scored(df, text, fresh(df.drop(text), name), lambda column: shared.value.score(column))
+    return scored(df, text, fresh(df.drop(text), name), lambda column: shared.value.score(column), keep_text)

@@ -10,9 +10,9 @@ from .session import Scratch, fresh
 
 
 def _with_score(docs: DataFrame, text: str, score, model) -> tuple[DataFrame, str]:
-    """``docs`` with a score; the text is read by the scorer and kept."""
-    name, copy = fresh(docs, "stage_score"), fresh(docs, "stage_text")
-    return score(docs.withColumn(copy, F.col(text)), model, text=copy, name=name), name
+    """``docs`` with a score."""
+    name = fresh(docs, "stage_score")
+    return score(docs, model, text=text, name=name, keep_text=True).select(*[F.col(f"`{c}`") for c in docs.columns], name), name
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.3, text: str = "text") -> DataFrame:
