@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import payloads, tables
@@ -148,30 +148,51 @@ def _stream(f, view: str) -> tuple[DataFrame, str]:
     return f.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in"), folder
 
 
-def _drained(f, frame: DataFrame, folder: str, mode: str) -> DataFrame:
-    jobs.drained(frame, f"{folder}/state", f"{folder}/out", mode)
+def _drained(f, frame: DataFrame, folder: str, mode: str, each=None) -> DataFrame:
+    before = f.spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    f.spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
+    try:
+        jobs.drained(frame, f"{folder}/state", f"{folder}/out", mode, each)
+    finally:
+        f.spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     return f.spark.read.parquet(f"{folder}/out")
 
 
 _LATEST = lambda rows, keys: rows.join(rows.groupBy(*keys).agg(F.max("batch").alias("batch")), [*keys, "batch"]).drop("batch")
 
 
+def _by_week(f, view: str, time: str, make, each=None) -> DataFrame:
+    """What an append stream has given once every week of a table has landed, one after the other, and a row much later closes all windows."""
+    folder = _folder(f, view)
+    rows = _timed(getattr(f, view))
+    span = rows.agg(F.min(time).alias("first"), F.max(time).alias("last")).first()
+    weeks = max(1, (span["last"] - span["first"]).days // 7 + 1) if span["first"] else 0
+    week = F.floor((F.unix_timestamp(time) - F.unix_timestamp(F.lit(span["first"]))) / (7 * 86400)) if weeks else F.lit(0)
+    rows.limit(0).write.parquet(f"{folder}/in")
+    source = f.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+    for i in range(weeks):
+        rows.filter(week == i).write.mode("append").parquet(f"{folder}/in")
+        out = _drained(f, make(source), folder, "append", each)
+    closing = rows.limit(1).withColumn(time, F.timestamp_add("DAY", F.lit(30), F.lit(span["last"])))
+    closing.write.mode("append").parquet(f"{folder}/in")
+    out = _drained(f, make(source), folder, "append", each)
+    return out.filter(F.col(out.columns[0]) <= F.lit(span["last"]))
+
+
 @query("search_history", sql="SELECT CAST(created_at AS DATE) AS day, count(*) AS n FROM search_history GROUP BY ALL")
 def stream_daily(f):
-    rows, folder = _stream(f, "search_history")
-    return _LATEST(_drained(f, jobs.daily_searches(rows, "60 days"), folder, "update"), ["day"])
+    """Final days of a stream whose weeks land one after the other."""
+    return _by_week(f, "search_history", "created_at", jobs.daily_searches).select("day", "n")
 
 
 @query("search_history", sql="""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY searches DESC, topic) AS rn FROM (SELECT w AS start, topic, count(*) AS searches FROM (
-  SELECT topic, unnest(generate_series(date_trunc('day', created_at) - INTERVAL 6 DAY, date_trunc('day', created_at), INTERVAL 1 DAY)) AS w FROM search_history) GROUP BY ALL)) WHERE rn <= 3""")
+  SELECT topic, unnest(generate_series(date_trunc('day', created_at) - INTERVAL 6 DAY, date_trunc('day', created_at), INTERVAL 1 DAY)) AS w FROM search_history) GROUP BY ALL)) WHERE rn <= 10""")
 def stream_trending(f):
-    rows, folder = _stream(f, "search_history")
-    counts = _LATEST(_drained(f, jobs.trending_windows(rows, "60 days"), folder, "update"), ["start", "topic"])
-    from pyspark.sql import Window
-
+    """The ten best topics of every final window, picked batch by batch."""
     place = F.row_number().over(Window.partitionBy("start").orderBy(F.desc("searches"), "topic"))
-    return jobs.top_of_windows(counts, 3).withColumn("rn", place)
+    rows = _by_week(f, "search_history", "created_at", jobs.trending_windows, jobs.top_of_windows)
+    return rows.select("start", "topic", "searches").withColumn("rn", place)
 
 
 @query("interactions", sql="SELECT user_id, external_id, kind, max(ts) AS ts FROM interactions GROUP BY ALL")
@@ -185,7 +206,7 @@ WITH l AS (SELECT user_id, external_id, max(ts) AS ts FROM interactions GROUP BY
 SELECT user_id, external_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, external_id) AS rn, max(ts) OVER (PARTITION BY user_id) AS last FROM l) WHERE rn <= 1000 AND ts >= last - INTERVAL 21 DAY""")
 def stream_seen(f):
     rows, folder = _stream(f, "interactions")
-    return _LATEST(_drained(f, jobs.seen_ring(rows), folder, "update"), ["user_id"])
+    return _LATEST(_drained(f, jobs.seen_ring(rows, late="60 days"), folder, "update"), ["user_id"]).filter("NOT expired").drop("expired")
 
 
 @query(sql="SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS used FROM events GROUP BY ALL")
@@ -197,7 +218,7 @@ def stream_quota(f):
 @query("gap_feedback", sql="SELECT user_id, gap_id, arg_max(vote, (updated_at, event_id)) FILTER (vote IS NOT NULL) AS vote, arg_max(pursue, (updated_at, event_id)) AS pursue, max(updated_at) AS updated_at FROM gap_feedback GROUP BY ALL")
 def stream_feedback(f):
     rows, folder = _stream(f, "gap_feedback")
-    return _LATEST(_drained(f, jobs.feedback_fold(rows), folder, "update"), ["user_id", "gap_id"])
+    return _LATEST(_drained(f, jobs.feedback_fold(rows), folder, "update"), ["user_id", "gap_id"]).select("user_id", "gap_id", "vote", "pursue", "updated_at")
 
 
 @query("interactions", sql="SELECT user_id, count(*) AS sessions, sum(n)::BIGINT AS events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > ts - INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM interactions)) GROUP BY ALL) GROUP BY user_id")
@@ -212,7 +233,7 @@ def stream_sessions(f):
     jobs.drained(stream, f"{folder}/state", f"{folder}/out", "append")
     last.write.mode("append").parquet(f"{folder}/in")
     jobs.drained(stream, f"{folder}/state", f"{folder}/out", "append")
-    return f.spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
+    return f.spark.read.parquet(f"{folder}/out").drop("batch").groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"))
 
 
 @query("papers", sql="""

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
 
 from ..functions.text import title_key
 
@@ -19,7 +20,7 @@ def daily_searches(history: DataFrame, late: str = "1 day") -> DataFrame:
 
 
 def trending_windows(history: DataFrame, late: str = "1 day") -> DataFrame:
-    """(start, topic, searches) in windows of seven days that move by one; the best of a window are picked by ``top_of_windows``."""
+    """(start, topic, searches) in windows of seven days that move by one; append mode gives a window once, when it is final, so ``top_of_windows`` can pick its best batch by batch."""
     rows = history.filter(F.btrim("topic") != "").withWatermark("created_at", late)
     rows = rows.groupBy(F.window("created_at", "7 days", "1 day").alias("w"), "topic").agg(F.count("*").alias("searches"))
     return rows.select(F.col("w.start").alias("start"), "topic", "searches")
@@ -55,58 +56,121 @@ def unknown_papers(incoming: DataFrame, known: DataFrame, late: str = "1 day") -
     return rows.withWatermark("landed_at", late).dropDuplicatesWithinWatermark(["title_key"])
 
 
-def seen_ring(log: DataFrame, newest: int = 1000, days: int = 21) -> DataFrame:
-    """(user_id, external_id, ts): the state of each user's ring of seen papers after every batch that touches it.
+#: The state store that holds lists, maps and timers.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_DAY_MS = 86_400_000
 
-    The state of a user is at most ``newest`` ids with their times, none older than ``days``
-    before the user's newest.
-    """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = dict(zip(*state.get, strict=True)) if state.exists else {}
-        for frame in frames:
+def _micros(ts: pd.Timestamp) -> int:
+    return int(pd.Timestamp(ts).timestamp() * 1_000_000)
+
+
+class _SeenRing(StatefulProcessor):
+    """A user's ring of seen papers: a map from paper to its newest time, and one timer that empties it."""
+
+    def __init__(self, newest: int, days: int):
+        self.newest, self.days = newest, days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.items = handle.getMapState("items", "external_id string", "ts long")
+
+    def _ring(self, key: tuple, held: dict[str, int]) -> pd.DataFrame:
+        return pd.DataFrame({"user_id": pd.array([key[0]] * len(held), "Int64"), "external_id": list(held), "ts": pd.to_datetime(list(held.values()), unit="us"), "expired": False})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = {k[0]: v[0] for k, v in self.items.iterator()} if self.items.exists() else {}
+        for frame in rows:
             for item, ts in zip(frame["external_id"], frame["ts"], strict=True):
-                held[item] = max(held.get(item, 0), int(ts.timestamp() * 1_000_000))
+                held[item] = max(held.get(item, 0), _micros(ts))
         last = max(held.values())
-        kept = sorted(((t, i) for i, t in held.items() if last - t <= days * 86_400_000_000), key=lambda x: (-x[0], x[1]))[:newest]
-        state.update(([i for _, i in kept], [t for t, _ in kept]))
-        yield pd.DataFrame({"user_id": [key[0]] * len(kept), "external_id": [i for _, i in kept], "ts": pd.to_datetime([t for t, _ in kept], unit="us")})
+        kept = dict(sorted(((i, t) for i, t in held.items() if last - t <= self.days * _DAY_MS * 1000), key=lambda x: (-x[1], x[0]))[: self.newest])
+        for item in held.keys() - kept.keys():
+            if self.items.containsKey((item,)):
+                self.items.removeKey((item,))
+        for item, ts in kept.items():
+            self.items.updateValue((item,), (ts,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(last // 1000 + self.days * _DAY_MS, timerValues.getCurrentWatermarkInMs() + 1))
+        yield self._ring(key, kept)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The user has been idle for as long as the ring lasts: the state goes, and a row says so."""
+        self.items.clear()
+        yield pd.DataFrame({"user_id": pd.array([key[0]], "Int64"), "external_id": [None], "ts": pd.to_datetime([expiredTimerInfo.getExpiryTimeInMs()], unit="ms"), "expired": True})
+
+    def close(self) -> None:
+        pass
+
+
+def seen_ring(log: DataFrame, newest: int = 1000, days: int = 21, late: str = "1 day") -> DataFrame:
+    """(user_id, external_id, ts, expired): the ring of each user's seen papers after every batch that touches it.
+
+    The state of a user is at most ``newest`` ids with their times, none older than ``days`` before the
+    user's newest.  When the watermark has passed a user's newest time by ``days``, the state is dropped
+    without any row of that user, and one row without a paper is given (``expired``).  Rows later than
+    ``late`` don't count.  The session needs the RocksDB state store (``ROCKSDB``).
+    """
+    rows = log.withWatermark("ts", late).select("user_id", "external_id", "ts")
+    return rows.groupBy("user_id").transformWithStateInPandas(_SeenRing(newest, days), "user_id long, external_id string, ts timestamp, expired boolean", "update", "eventTime")
+
 
-    shape = "ids array<string>, times array<long>"
-    return log.groupBy("user_id").applyInPandasWithState(run, "user_id long, external_id string, ts timestamp", shape, "update", GroupStateTimeout.NoTimeout)
+#: The fields that a feedback patch may set; in ``clear`` it names those that it empties.
+FEEDBACK_FIELDS = ("vote", "note", "addressed_by")
+
+
+class _FeedbackFold(StatefulProcessor):
+    """The state of one (user, gap): each field with the order of the patch that set it, and the last pursuit."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", "vote string, note string, addressed_by string, vote_at long, vote_event long, note_at long, note_event long, addressed_by_at long, addressed_by_event long, pursue boolean, at long, event long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        held = self.state.get() if self.state.exists() else None
+        value = dict(zip(FEEDBACK_FIELDS, held[:3])) if held else dict.fromkeys(FEEDBACK_FIELDS)
+        order = {c: (held[3 + 2 * i], held[4 + 2 * i]) for i, c in enumerate(FEEDBACK_FIELDS)} if held else dict.fromkeys(FEEDBACK_FIELDS, (-1, -1))
+        pursue, last = (held[9], (held[10], held[11])) if held else (None, (-1, -1))
+        for frame in rows:
+            for patch in frame.to_dict("records"):
+                at = (_micros(patch["updated_at"]), int(patch["event_id"]))
+                cleared = patch.get("clear")
+                cleared = () if cleared is None else tuple(cleared)
+                for c in FEEDBACK_FIELDS:
+                    given = patch.get(c)
+                    if (isinstance(given, str) or c in cleared) and at >= order[c]:
+                        value[c], order[c] = given if c not in cleared and given != "" else None, at
+                if at >= last:
+                    pursue, last = bool(patch["pursue"]), at
+        self.state.update((*value.values(), *(x for c in FEEDBACK_FIELDS for x in order[c]), pursue, *last))
+        yield pd.DataFrame({"user_id": [key[0]], "gap_id": [key[1]], **{c: [value[c]] for c in FEEDBACK_FIELDS}, "pursue": [pursue], "updated_at": [pd.Timestamp(last[0], unit="us")]})
+
+    def close(self) -> None:
+        pass
 
 
 def feedback_fold(log: DataFrame) -> DataFrame:
-    """(user_id, gap_id, vote, pursue, updated_at): the state of each (user, gap) after every batch that patches it.
+    """(user_id, gap_id, vote, note, addressed_by, pursue, updated_at): each (user, gap) after every batch that patches it.
 
-    A patch without a vote keeps the last vote; the patches of a batch are folded by (updated_at, event_id).
+    A patch sets the fields that it has and empties those that its ``clear`` (array of names) holds; '' empties
+    as well, null leaves as it is.  Patches count in the order of (updated_at, event_id), whenever they come.
+    The session needs the RocksDB state store (``ROCKSDB``).
     """
+    none = {"note": F.lit(None).cast("string"), "addressed_by": F.lit(None).cast("string"), "clear": F.lit(None).cast("array<string>")}
+    rows = log.select("user_id", "gap_id", "vote", "pursue", "updated_at", "event_id", *[F.col(c) if c in log.columns else v.alias(c) for c, v in none.items()])
+    out = "user_id long, gap_id string, vote string, note string, addressed_by string, pursue boolean, updated_at timestamp"
+    return rows.groupBy("user_id", "gap_id").transformWithStateInPandas(_FeedbackFold(), out, "update", "none")
+
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        vote, vote_at, pursue, at, event = state.get if state.exists else (None, (0, 0), None, -1, -1)
-        vote_at = tuple(vote_at)
-        for frame in frames:
-            for v, p, ts, e in zip(frame["vote"], frame["pursue"], frame["updated_at"], frame["event_id"], strict=True):
-                order = (int(ts.timestamp() * 1_000_000), int(e))
-                if isinstance(v, str) and order >= vote_at:
-                    vote, vote_at = v, order
-                if order >= (at, event):
-                    pursue, at, event = bool(p), *order
-        state.update((vote, list(vote_at), pursue, at, event))
-        yield pd.DataFrame({"user_id": [key[0]], "gap_id": [key[1]], "vote": [vote], "pursue": [pursue], "updated_at": [pd.Timestamp(at, unit="us")]})
-
-    shape = "vote string, vote_at array<long>, pursue boolean, at long, event long"
-    return log.groupBy("user_id", "gap_id").applyInPandasWithState(run, "user_id long, gap_id string, vote string, pursue boolean, updated_at timestamp", shape, "update", GroupStateTimeout.NoTimeout)
-
-
-def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append") -> None:
-    """Runs a stream over all input that is there and ends: append mode to Parquet, others batch by batch (the last state of a key is in the last batch)."""
-    writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint)
-    if mode == "append":
-        writer.outputMode("append").format("parquet").option("path", path).start().awaitTermination()
-        return
+def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", each=None) -> None:
+    """Runs a stream over all input that is there and ends.
+
+    Every batch is written to a folder of its own, by its number and in place of what is there, so a batch
+    that is run again after a loss leaves no row twice; ``each`` may turn a batch's rows into others first.
+    Rows carry their batch (in update mode the last state of a key is in its last batch).
+    """
 
     def save(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        (batch if each is None else each(batch)).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    writer.outputMode(mode).foreachBatch(save).start().awaitTermination()
+    stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).outputMode(mode).foreachBatch(save).start().awaitTermination()
