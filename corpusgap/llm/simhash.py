@@ -344,5 +344,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = moved.groupBy("label").agg(F.min("least").alias("component_id"))
     moved = moved.join(groups, "label").select("fingerprint", F.struct("component_id").alias("to"))
     prints = prints.join(moved, "fingerprint", "left").select("fingerprint", F.when(F.col("to").isNull(), F.col("least")).otherwise(F.col("to.component_id")).alias("component_id"))
-    out = rows.join(prints, "fingerprint")
+    # Settled, so that the last join stands alone and Spark can split the rows of a fingerprint that very many have.
+    out = rows.join(scratch.settle(prints), "fingerprint")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
