@@ -142,11 +142,17 @@ def diversified(ranked: DataFrame, page: int) -> DataFrame:
     """(user_id, external_id, place): each user's page by maximal marginal relevance over the first ``MMR_PAGES`` pages of ``ranked``.
 
     ranked (user_id, external_id, place, score, embedding); the greedy pick runs in one call a user, on a bounded list.
+    Papers without a vector, or with one shorter than the list's longest, are like no other.
     """
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.argsort(rows.column("place").to_numpy(), kind="stable")))
-        vectors = np.array([v if v else [0.0] for v in rows.column("embedding").to_pylist()], float)
+        given = rows.column("embedding").to_pylist()
+        size = max((len(v) for v in given if v), default=1)
+        vectors = np.zeros((len(given), size))  # no vector, or one of another length: like nothing
+        for i, v in enumerate(given):
+            if v and len(v) == size and None not in v:
+                vectors[i] = v
         scores = rows.column("score").to_numpy()
         order = list(range(len(scores))) if len(scores) <= page else diverse_order(scores, vectors, page)
         rows = rows.take(pa.array(order))
@@ -196,65 +202,3 @@ def vector_feed(users: DataFrame, ranked: DataFrame, fresh: DataFrame, popular:
     rows = rows.withColumn("place", place).filter(F.col("place") <= page).select("user_id", "external_id", "place", "origin")
     cold = users.select("user_id").join(rows.select("user_id").distinct(), "user_id", "left_anti")
     return rows.unionByName(cold.join(F.broadcast(popular.select("external_id", "place"))).select("user_id", "external_id", "place", F.lit("popular").alias("origin")))
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = (), query_block: int = 256, vector_block: int = 2048) -> DataFrame:
-    """(keys, query, item, similarity, place): each query's ``k`` nearest items by cosine, among those with its keys, not itself.
-
-    queries (keys, query, vector), vectors (keys, item, vector).  Blocks of queries meet blocks of
-    vectors; each meeting is one matrix product, and only ``k`` rows a query leave it.
-    """
-    by = list(keys)
-    parts = max(1, -(-queries.count() // query_block)), max(1, -(-vectors.count() // vector_block))
-
-    def blocks(df: DataFrame, name: str, n: int, out: str) -> DataFrame:
-        rows = df.filter(F.size("vector") > 0).withColumn("block", F.pmod(F.xxhash64(name), F.lit(n)).cast("int"))
-        rows = rows.groupBy(*by, "block").agg(F.collect_list(F.struct(F.col(name).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))).alias(out))
-        return rows
-
-    asked = blocks(queries, "query", parts[0], "asked")
-    held = blocks(vectors, "item", parts[1], "held").drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts[0] - 1))))
-    met = held.join(asked, [*by, "block"]).select(F.struct(*by, "block").alias("key"), "asked", "held")
-
-    def unit(column: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        rows = column.values
-        x = np.array(rows.field("vector").to_pylist(), float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return rows.field("id").to_numpy(), np.divide(x, norm, out=np.zeros_like(x), where=norm > 1e-9)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (names, q), (items, x) = unit(batch.column(1)[i]), unit(batch.column(2)[i])
-                similarity = q @ x.T
-                similarity[names[:, None] == items[None, :]] = -np.inf
-                out = [[], [], []]
-                for name, row in zip(names, similarity, strict=True):
-                    order = np.lexsort((items, -np.round(row, 9)))[:k]
-                    order = order[np.isfinite(row[order])]
-                    out[0] += [name] * len(order)
-                    out[1] += items[order].tolist()
-                    out[2] += row[order].tolist()
-                key = batch.column(0).take(pa.array([i] * len(out[0]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([key, pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["key", "query", "item", "similarity"])
-
-    kind = met.schema["key"].dataType.simpleString()
-    found = met.mapInArrow(run, f"key {kind}, query long, item long, similarity double").select(*[F.col(f"key.{c}").alias(c) for c in by], "query", "item", "similarity")
-    place = F.row_number().over(Window.partitionBy(*by, "query").orderBy(F.desc(F.round("similarity", 9)), "item"))
-    return found.withColumn("place", place).filter(F.col("place") <= k)
-
-
-def near_duplicates(vectors: DataFrame, least: float, bucket: float = 2.0, tables: int = 3) -> DataFrame:
-    """(a, b, similarity): pairs of vectors with cosine above ``least``, found by random projections (most, not all).
-
-    Only pairs that share a bucket are compared.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    rows = vectors.filter(norm > 1e-9).select("item", array_to_vector(F.transform("vector", lambda x: x.cast("double") / norm)).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    pairs = model.approxSimilarityJoin(rows, rows, float(np.sqrt(2 - 2 * least)), "distance")
-    pairs = pairs.select(F.col("datasetA.item").alias("a"), F.col("datasetB.item").alias("b"), (1 - F.col("distance") ** 2 / 2).alias("similarity"))
-    return pairs.filter((F.col("a") < F.col("b")) & (F.col("similarity") > least))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, corpus, density, evidence, feeds, gaps, grounding, patterns, vectors
+from ..operators import clusters, corpus, density, evidence, gaps, grounding, patterns, pivots, vectors
 from .catalog import _PRIORITY, _TITLE_KEY, EVIDENCE, GAPS, query, rounded, text_evidence
 from .fixtures import AS_OF_YEAR, LEXICON
 
@@ -431,7 +431,7 @@ WITH p AS (
 SELECT q AS gap, vec_id, round(s, 6) AS similarity, s > 0.30 AS addressed, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, vec_id) AS place FROM p) WHERE place <= 3""")
 def cross_paper_check(f):
     e = f.embeddings.select("label", "vec_id", F.col("embedding").alias("vector"))
-    rows = feeds.top_k(e.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "item"), 3, ("label",))
+    rows = pivots.top_k(e.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "item"), 3, ("label",))
     return rows.select(F.col("query").alias("gap"), F.col("item").alias("vec_id"), F.round("similarity", 6).alias("similarity"), (F.col("similarity") > 0.30).alias("addressed"), "place")
 
 
@@ -440,14 +440,16 @@ WITH p AS (SELECT a.vec_id AS q, b.vec_id AS item, {_COSINE.format("a.embedding"
 SELECT q AS query, item, round(s, 6) AS similarity, place FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, item) AS place FROM p) WHERE place <= 10""")
 def vector_topk(f):
     e = f.embeddings.select("vec_id", F.col("embedding").alias("vector"))
-    rows = feeds.top_k(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "item"), 10)
+    rows = pivots.top_k(e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query"), e.withColumnRenamed("vec_id", "item"), 10)
     return rows.select("query", "item", F.round("similarity", 6).alias("similarity"), "place")
 
 
-@query()
+@query(sql=f"""
+WITH p AS (SELECT a.vec_id AS a, b.vec_id AS b, {_COSINE.format("a.embedding", "b.embedding")} AS s FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)
+SELECT a, b, round(s, 6) AS similarity FROM p WHERE s > 0.30""")
 def near_duplicate_pairs(f):
-    """Pairs of vectors with cosine above .3, by random projections."""
-    return rounded(feeds.near_duplicates(f.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 0.30), "similarity")
+    """All pairs of vectors with cosine above .3; blocks that pivots hold too far apart don't meet."""
+    return rounded(pivots.similar_pairs(f.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector")), 0.30), "similarity")
 
 
 @query("papers", sql="""

@@ -103,25 +103,10 @@ def test_scores(spark):
     assert out[0][1] == 0.0 and 0.2 < out[1][1] < 0.3 and 0.7 < out[2][1] < 0.8 and out[3][1] == 1.0
 
 
-def test_top_k_in_blocks(spark):
-    rng = np.random.default_rng(1)
-    x = rng.standard_normal((90, 6))
-    df = spark.createDataFrame([(i, i % 2, [float(v) for v in r]) for i, r in enumerate(x)], "id long, side int, vector array<double>")
-    out = feeds.top_k(df.filter("id % 9 = 0").withColumnRenamed("id", "query"), df.withColumnRenamed("id", "item"), 4, ("side",), 3, 7)
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    for q in range(0, 90, 9):
-        s = unit @ unit[q]
-        s[[i for i in range(90) if i % 2 != q % 2 or i == q]] = -9
-        assert [i for i, in rows(out.filter(F.col("query") == q).orderBy("place"), "item")] == np.argsort(-s)[:4].tolist()
-
-
-def test_random_projections_find_planted_pairs(spark):
-    rng = np.random.default_rng(5)
-    x = rng.standard_normal((60, 16))
-    x[40:50] = x[:10] + 0.05 * rng.standard_normal((10, 16))
-    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "item long, vector array<double>")
-    got = set(rows(feeds.near_duplicates(df, 0.85), "a", "b"))
-    assert len(got & {(i, 40 + i) for i in range(10)}) >= 9
+def test_a_page_with_missing_vectors(spark):
+    ranked = [(1, "a", 1, 0.9, [1.0, 0.0]), (1, "b", 2, 0.8, None), (1, "c", 3, 0.7, [1.0, 0.0]), (1, "d", 4, 0.6, [0.0]), (2, "e", 1, 0.5, None)]
+    df = spark.createDataFrame(ranked, "user_id long, external_id string, place int, score double, embedding array<double>")
+    assert sorted(rows(feeds.diversified(df, 3), "user_id", "place", "external_id")) == [(1, 1, "a"), (1, 2, "b"), (1, 3, "d"), (2, 1, "e")]
 
 
 def test_chain_of_strategies(spark):
