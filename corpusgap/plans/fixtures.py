@@ -71,6 +71,11 @@ FROM events e CROSS JOIN (SELECT count(*) AS n FROM conversations) n WHERE e.eve
 SELECT d.doc_id AS citing, (d.doc_id * m.k + 1) % n.n AS cited
 FROM documents d CROSS JOIN (SELECT 3 AS k UNION ALL SELECT 7) m CROSS JOIN (SELECT count(*) AS n FROM documents) n
 WHERE d.doc_id <> (d.doc_id * m.k + 1) % n.n""",
+    "model_outputs": """
+SELECT conv_id * 100 + turn AS gap_id, CAST(conv_id % 10 AS INT) AS cluster, CASE WHEN turn % 7 = 5 THEN 'no answer' ELSE concat(chr(123), '"gap_title": "Gap ', CAST(conv_id AS STRING), '", "description": "',
+  replace(replace(replace(text, chr(10), ' '), chr(34), ' '), chr(92), ' '), ' This is said of it too [', CAST(1 + turn AS STRING), '].", "what_fails": "Nobody has shown that it holds [', CAST(1 + conv_id % 12 AS STRING), '][999999].", "why_it_exists": "',
+  CASE WHEN conv_id % 2 = 0 THEN 'null' ELSE 'The costs of it are high [2].' END, '", "missing_piece": "A proof", "proposed_direction": "", "confidence_score": ', CASE WHEN conv_id % 5 = 0 THEN '"high"' ELSE concat('0.', CAST(conv_id % 10 AS STRING)) END, chr(125), ' and so on') END AS raw
+FROM conversations WHERE role = 'assistant'""",
     "gap_claims": """
 SELECT conv_id AS gap_id, turn + 1 AS n, concat(text, ' [', CAST(turn + 1 AS STRING), '].') AS sentence
 FROM conversations WHERE role = 'assistant'""",

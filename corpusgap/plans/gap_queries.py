@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import clusters, corpus, density, evidence, gaps, grounding, patterns, pivots, vectors
+from ..operators import clusters, corpus, density, evidence, gaps, grounding, model_gaps, patterns, pivots, usage, vectors
 from .catalog import _PRIORITY, _TITLE_KEY, EVIDENCE, GAPS, query, rounded, text_evidence
 from .fixtures import AS_OF_YEAR, LEXICON
 
@@ -465,3 +465,59 @@ def embedding_texts(f):
     rows = evidence.normalized(evidence.extract(f.papers, LEXICON))
     text = T.embedding_text(F.col("abstract"), F.col("title"), F.filter(F.array("normalized_method"), lambda m: m != ""), F.col("normalized_limitations"), F.col("normalized_future_work"))
     return rows.select("external_id", text.alias("text"))
+
+
+_MODEL_GAPS = f"""
+m AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY citation_count DESC, paper_id) AS place FROM ({_MEMBERS})),
+o AS (SELECT gap_id, cluster, CASE WHEN contains(raw, '{{') THEN replace(raw, '}} and so on', '}}') END AS j FROM model_outputs),
+g AS (SELECT gap_id, cluster, coalesce(json_extract_string(j, '$.description'), '') AS d, json_extract_string(j, '$.what_fails') AS f, coalesce(nullif(json_extract_string(j, '$.why_it_exists'), 'null'), '') AS y, try_cast(json_extract_string(j, '$.confidence_score') AS DOUBLE) AS conf FROM o WHERE j IS NOT NULL),
+k AS (SELECT cluster, count(*) AS papers, count(*) * 0.5 + sum(w) * 0.3 + sum((r >= 1.0)::INT) * 0.2 AS support, count(*) * 0.4 + sum((w >= 1.0)::INT) * 0.4 + sum((r >= 1.0)::INT) * 0.2 AS cite, avg(r) * 1.2 + sum((coalesce(citation_count, 0) < 50)::INT) / count(*) * 0.8 AS novelty
+  FROM (SELECT *, ln(1 + greatest(coalesce(citation_count, 0), 0)) / power(1 + CASE WHEN year IS NOT NULL AND year <> 0 THEN greatest(2025 - year, 0) ELSE 5 END, 0.7) AS w,
+    CASE WHEN year IS NULL OR year = 0 THEN 0.5 WHEN greatest(2025 - year, 0) <= 2 THEN 1.0 WHEN 2025 - year <= 4 THEN 0.8 WHEN 2025 - year <= 6 THEN 0.6 ELSE 0.4 END AS r FROM m) GROUP BY cluster),
+e AS (SELECT m.cluster, m.paper_id, m.place, v.kind, v.term FROM evidence v JOIN m USING (paper_id)),
+x AS (SELECT cluster, max((kind IN ('limitation', 'future_work', 'assumption', 'metric') AND regexp_matches(lower(term), 'robust|scal|deploy|partial_observability|safety|transfer'))::INT) AS urgent,
+  max((kind = 'metric')::INT) + 0.8 * max((kind = 'dataset')::INT) + 0.8 * max((kind = 'baseline')::INT) + 0.8 * max((kind = 'assumption')::INT) + 0.6 * max((kind = 'future_work')::INT) AS had FROM e GROUP BY cluster),
+q AS (SELECT gap_id, cluster, papers, conf, d, f, y, list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(d || ' ' || f || ' ' || y, '\\[(\\d+)\\]', 1), lambda n: n::INT), lambda n: n >= 1 AND n <= papers))) AS named FROM g JOIN k USING (cluster)),
+b AS (SELECT q.*, CASE WHEN len(named) > 0 THEN named ELSE list_filter([1, 2], lambda n: n <= q.papers) END AS positions, f || ' A proof' AS text,
+  round(least(0.99, greatest(0.1, 1 / (1 + exp(-0.5 * (support * 0.30 + (1.8 + 1.5 * coalesce(urgent, 0)) * 0.20 + (1.6 + coalesce(had, 0)) * 0.20 + novelty * 0.15 + cite * (0.7 + 0.3 * len(named) / q.papers) * 0.15 - 2.5))))), 2) AS base FROM q JOIN k USING (cluster) LEFT JOIN x USING (cluster)),
+z AS (SELECT count(*) AS z FROM embeddings),
+s AS (SELECT b.gap_id, m.paper_id, list_cosine_similarity(a.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s FROM b CROSS JOIN z JOIN embeddings a ON a.vec_id = b.gap_id % z.z JOIN m ON m.cluster = b.cluster JOIN embeddings p ON p.vec_id = m.vec_id),
+t AS (SELECT gap_id, count(*) AS conflicts FROM s WHERE s > 0.30 GROUP BY gap_id),
+c AS (SELECT gap_id, unnest(positions) AS pos, generate_subscripts(positions, 1) AS n, cluster FROM b),
+r AS (SELECT c.gap_id, c.n, m.paper_id, m.vec_id, (SELECT least(count(DISTINCT term) FILTER (kind = 'limitation'), 2) + least(count(DISTINCT term) FILTER (kind = 'future_work'), 2) FROM e WHERE e.paper_id = m.paper_id) AS pieces FROM c JOIN m ON m.cluster = c.cluster AND m.place = c.pos),
+h AS (SELECT r.gap_id, r.n, list_cosine_similarity(a.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s FROM r CROSS JOIN z JOIN embeddings a ON a.vec_id = (r.gap_id * 31 + r.n) % z.z JOIN embeddings p ON p.vec_id = r.vec_id),
+u AS (SELECT gap_id, count(*) FILTER (s < 0.18) AS bad, count(*) FILTER (s >= 0.18 AND s < 0.30) AS weak, count(*) FILTER (s >= 0.30) AS good FROM h GROUP BY gap_id),
+p AS (SELECT gap_id, sum(pieces)::BIGINT AS evidence FROM r GROUP BY gap_id),
+w AS (SELECT b.gap_id, b.cluster, array_to_string(positions, ',') AS positions, base, CASE WHEN base < 0.3 THEN 'validated' WHEN length(': ' || text) < 20 THEN 'unvalidated' WHEN t.conflicts > 0 THEN 'potentially_addressed' ELSE 'validated' END AS "check",
+  round(0.6 * base + 0.4 * coalesce(conf, base), 2) AS blend, CASE WHEN u.bad > 0 THEN 'hallucinated' WHEN coalesce(p.evidence, 0) = 0 THEN 'needs_review' WHEN u.weak > 0 AND u.good = 0 THEN 'weakly_supported' ELSE 'grounded' END AS status, coalesce(p.evidence, 0) AS evidence
+  FROM b LEFT JOIN t USING (gap_id) LEFT JOIN u USING (gap_id) LEFT JOIN p USING (gap_id)),
+scored AS (SELECT gap_id, cluster, positions, round(base, 2) AS base, CASE WHEN "check" = 'potentially_addressed' THEN round(blend * 0.85, 2) ELSE blend END AS confidence, "check", status, evidence FROM w)"""
+_SCORED = (*EVIDENCE, "paper_labels", "model_outputs")
+
+
+def _model_gaps(f):
+    """The answers of a text model about clusters (labels), scored and grounded; vectors stand for those of the texts by id."""
+    members = model_gaps.with_places(_members(f).select("cluster", "paper_id", "year", "citation_count", "vec_id"), [F.desc("citation_count"), "paper_id"])
+    v = f.embeddings.select("vec_id", F.col("embedding").alias("vector"))
+    of_id = lambda rows, number: rows.crossJoin(F.broadcast(v.agg(F.count("*").alias("z")))).withColumn("vec_id", F.expr(f"({number}) % z")).join(v, "vec_id")  # noqa: E731  one row
+    papers = members.select("paper_id", "vec_id").join(v, "vec_id").select("paper_id", "vector")
+    encode = lambda claims: of_id(claims, "gap_id * 31 + n").withColumnRenamed("vector", "vector_a")
+    evidence_of = text_evidence(f).select("paper_id", "kind", "term")
+    return model_gaps.scored(f.model_outputs, members.drop("vec_id"), evidence_of, AS_OF_YEAR, encode, of_id(f.model_outputs.select("gap_id"), "gap_id").select("gap_id", "vector"), papers, 0.30)
+
+
+@query(*_SCORED, sql=f"WITH {_MODEL_GAPS} SELECT * FROM scored")
+def model_gap_scores(f):
+    """From landed model answers to citations, confidence, check and grounding."""
+    return _model_gaps(f).select("gap_id", "cluster", F.array_join("positions", ",").alias("positions"), "base", "confidence", "check", "status", F.col("evidence").cast("long").alias("evidence"))
+
+
+@query(*_SCORED, sql=f"""
+WITH {_MODEL_GAPS}
+SELECT cluster, count(*) AS n, round(avg((status IN ('grounded', 'weakly_supported'))::INT), 6) AS grounded, round(avg((status = 'hallucinated')::INT), 6) AS hallucinated, round(avg((("check" = 'potentially_addressed') = (gap_id % 3 = 0))::INT), 6) AS check_accuracy FROM scored GROUP BY cluster""")
+def grounding_rates(f):
+    """Shares of grounded and of hallucinated gaps a cluster, and how often the check says what is known of a gap (every third is addressed)."""
+    rows = _model_gaps(f)
+    right = (F.col("check") == "potentially_addressed") == (F.col("gap_id") % 3 == 0)
+    found = usage.rates(rows, ["cluster"], grounded=F.col("is_grounded"), hallucinated=F.col("status") == "hallucinated", check_accuracy=right)
+    return rounded(found, "grounded", "hallucinated", "check_accuracy")
