@@ -25,8 +25,9 @@ def source_priority(source: Column) -> Column:
 
 
 def deduplicate(papers: DataFrame) -> DataFrame:
-    """One paper per topic and title key (else id), by source priority, then abstract, then order."""
-    key = F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), F.col("external_id"))
+    """One paper per topic and title key (else address, where the input has ``url``, else id), by source priority, then abstract, then order."""
+    address = [F.nullif(F.btrim("url"), F.lit(""))] if "url" in papers.columns else []
+    key = F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), *address, F.col("external_id"))
     order = [source_priority(F.col("source")).desc(), (F.coalesce(F.length("abstract"), F.lit(0)) > 0).desc(), F.col("pos")]
     return first_per(papers.withColumn("title_key", key), ["topic_id", "title_key"], order)
 

@@ -179,3 +179,38 @@ def diagnostics(papers: DataFrame, vectors: DataFrame, components: DataFrame, se
         .crossJoin(components.agg(F.count_distinct("user_id").alias("profiles"), F.count("*").alias("components")))
         .crossJoin(seen.agg(F.count("*").alias("seen")))
     )  # each side is one row
+
+
+def profile_summary(components: DataFrame, seeds: DataFrame, updated: DataFrame) -> DataFrame:
+    """(user_id, top_topics, seed_topics, updated_at, component_counts): what a user is told of the profile.
+
+    seeds (user_id, topic), updated (user_id, updated_at); users of any of the three have a row.
+    """
+    ordered = lambda rows, c, by: rows.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(F.struct(by, c))), lambda x: x[c]).alias("list"))
+    tops = ordered(top_labels(components), "label", "place").withColumnRenamed("list", "top_topics")
+    own = seeds.groupBy("user_id").agg(F.sort_array(F.collect_set("topic")).alias("seed_topics"))
+    counts = component_counts(components).withColumnRenamed("kinds", "component_counts")
+    users = components.select("user_id").unionByName(seeds.select("user_id")).unionByName(updated.select("user_id")).distinct()
+    rows = users.join(tops, "user_id", "left").join(own, "user_id", "left").join(updated, "user_id", "left").join(counts, "user_id", "left")
+    none = F.array().cast("array<string>")
+    return rows.select("user_id", F.coalesce("top_topics", none).alias("top_topics"), F.coalesce("seed_topics", none).alias("seed_topics"), "updated_at", "component_counts")
+
+
+def user_diagnostics(users: DataFrame, components: DataFrame, seen: DataFrame, vectors: DataFrame, authors: DataFrame, venues: DataFrame, parts: int = 8, names: int = 5) -> DataFrame:
+    """One row a user: (user_id, state, dims, seen, top_components, top_authors, top_venues).
+
+    vectors (user_id, vector), authors and venues as of the affinities; the strongest ``parts`` components
+    come with kind, label and weight, the strongest ``names`` of the others by name.
+    """
+    def strongest(rows: DataFrame, k: int, name: str, shown: list) -> DataFrame:
+        best = first_per(rows, ["user_id"], [F.desc(F.round("weight", 9)), *shown], k)
+        place = F.struct((-F.round("weight", 9)).alias("minus"), *shown)
+        value = (lambda x: x[shown[0]]) if len(shown) == 1 else (lambda x: F.struct(*[x[c].alias(c) for c in shown], F.round(-x["minus"], 3).alias("weight")))
+        return best.groupBy("user_id").agg(F.transform(F.sort_array(F.collect_list(place)), value).alias(name))
+
+    marks = seen.groupBy("user_id").agg(F.count("*").alias("seen"))
+    rows = users.select("user_id").distinct().join(vectors.select("user_id", F.size("vector").alias("dims")), "user_id", "left").join(marks, "user_id", "left")
+    for part in (strongest(components, parts, "top_components", ["kind", "label"]), strongest(authors, names, "top_authors", ["author"]), strongest(venues, names, "top_venues", ["venue"])):
+        rows = rows.join(part, "user_id", "left")
+    state = F.when(F.col("top_components").isNull(), "cold_start").otherwise("ready")
+    return rows.select("user_id", state.alias("state"), "dims", F.coalesce("seen", F.lit(0)).alias("seen"), "top_components", "top_authors", "top_venues")

@@ -179,3 +179,23 @@ def token_costs(calls: DataFrame) -> DataFrame:
         F.avg(F.col("cached").cast("double")).alias("cache_hit"), F.avg(F.col("fallback").cast("double")).alias("fallback"),
     )
     return by_run
+
+
+def positive_ratio(votes: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, rated, positive): share of up among up and down votes (vote)."""
+    rows = votes.filter(F.col("vote").isin("up", "down"))
+    return rows.groupBy(*keys).agg(F.count("*").alias("rated"), F.avg((F.col("vote") == "up").cast("double")).alias("positive"))
+
+
+def examined_per_session(log: DataFrame, item: str, gap: str = "30 minutes") -> DataFrame:
+    """One row: sessions of all users (user_id, ts), and the mean number of different items that a session touches."""
+    rows = log.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count_distinct(item).alias("n"))
+    return rows.agg(F.count("*").alias("sessions"), F.avg("n").alias("examined"))
+
+
+def export_rate(log: DataFrame, made: str, exported: tuple[str, ...]) -> DataFrame:
+    """One row: users with an event ``made`` (kind, ts), and the share of them that export or share at that time or later."""
+    first = log.filter(F.col("kind") == made).groupBy("user_id").agg(F.min("ts").alias("made_at"))
+    last = log.filter(F.col("kind").isin(*exported)).groupBy("user_id").agg(F.max("ts").alias("exported_at"))
+    done = F.coalesce(F.col("exported_at") >= F.col("made_at"), F.lit(False))
+    return first.join(last, "user_id", "left").agg(F.count("*").alias("users"), F.avg(done.cast("double")).alias("rate"))

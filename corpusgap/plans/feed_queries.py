@@ -267,3 +267,31 @@ def vector_feed(f):
 @query(*_INPUTS, "papers", "seen", sql=f"WITH {_COMPONENTS} SELECT (SELECT count(*) FROM papers) AS papers, (SELECT count(*) FROM embeddings) AS embedded, (SELECT min(len(embedding)) FROM embeddings) AS least_dims, (SELECT max(len(embedding)) FROM embeddings) AS most_dims, count(DISTINCT user_id) AS profiles, count(*) AS components, (SELECT count(*) FROM seen) AS seen FROM components WHERE weight <> 0")
 def feed_diagnostics(f):
     return profiles.diagnostics(f.papers, f.embeddings, _components(f), _seen(f))
+
+
+@query(*_INPUTS, sql=f"""
+WITH {_COMPONENTS}, l AS (SELECT user_id, lower(trim(label)) AS label, max(weight) AS weight FROM components WHERE weight > 0 GROUP BY ALL),
+t AS (SELECT user_id, string_agg(label, '|' ORDER BY place) AS top_topics FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, label) AS place FROM l) WHERE place <= 5 GROUP BY user_id),
+c AS (SELECT user_id, string_agg(kind || '=' || n, '|' ORDER BY kind) AS counts FROM (SELECT user_id, kind, count(*) AS n FROM components WHERE weight <> 0 GROUP BY ALL) GROUP BY user_id),
+u AS (SELECT user_id, max(ts) AS updated_at FROM interactions GROUP BY user_id), s AS (SELECT user_id, string_agg(DISTINCT topic, '|' ORDER BY topic) AS seed_topics FROM seed_topics GROUP BY user_id)
+SELECT a.user_id, coalesce(t.top_topics, '') AS top_topics, coalesce(s.seed_topics, '') AS seed_topics, u.updated_at, c.counts FROM (SELECT user_id FROM components WHERE weight <> 0 UNION SELECT user_id FROM seed_topics UNION SELECT user_id FROM interactions) a LEFT JOIN t USING (user_id) LEFT JOIN s USING (user_id) LEFT JOIN u USING (user_id) LEFT JOIN c USING (user_id)""")
+def profile_summaries(f):
+    """What every user is told of the profile."""
+    rows = profiles.profile_summary(_components(f), f.seed_topics, f.interactions.groupBy("user_id").agg(F.max("ts").alias("updated_at")))
+    counts = F.array_join(F.transform(F.array_sort(F.map_entries("component_counts")), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), "|")
+    return rows.select("user_id", F.array_join(F.transform("top_topics", lambda t: F.lower(F.btrim(t))), "|").alias("top_topics"), F.array_join("seed_topics", "|").alias("seed_topics"), "updated_at", counts.alias("counts"))
+
+
+@query(*_INPUTS, "paper_vectors", "library", "paper_authors", "library_age", "author_weights", "venue_weights", "seen", sql=f"""
+WITH {_COMPONENTS}, t AS (SELECT user_id, string_agg(kind || ':' || label, '|' ORDER BY place) AS top_components FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, kind, label) AS place FROM components WHERE weight <> 0) WHERE place <= 8 GROUP BY user_id),
+a AS (SELECT user_id, string_agg(author, '|' ORDER BY place) AS top_authors FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, author) AS place FROM author_weights) WHERE place <= 5 GROUP BY user_id),
+v AS (SELECT user_id, string_agg(venue, '|' ORDER BY place) AS top_venues FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(weight, 9) DESC, venue) AS place FROM venue_weights) WHERE place <= 5 GROUP BY user_id),
+s AS (SELECT user_id, count(*) AS seen FROM seen GROUP BY user_id), d AS (SELECT DISTINCT user_id, len(embedding) AS dims FROM signals JOIN paper_vectors USING (external_id))
+SELECT u.user_id, CASE WHEN t.top_components IS NULL THEN 'cold_start' ELSE 'ready' END AS state, d.dims, coalesce(s.seen, 0) AS seen, t.top_components, a.top_authors, v.top_venues
+FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN t USING (user_id) LEFT JOIN a USING (user_id) LEFT JOIN v USING (user_id) LEFT JOIN s USING (user_id) LEFT JOIN d USING (user_id)""")
+def user_diagnostics(f):
+    """Every user's profile state, strongest components and affinities."""
+    of_user = vectors.profile_vectors(profiles.interaction_signals(f.interactions, AS_OF), f.paper_vectors)
+    rows = profiles.user_diagnostics(f.events.select("user_id"), _components(f), _seen(f), of_user, _authors(f), _venues(f))
+    parts = F.array_join(F.transform("top_components", lambda c: F.concat(c["kind"], F.lit(":"), c["label"])), "|")
+    return rows.select("user_id", "state", "dims", "seen", parts.alias("top_components"), F.array_join("top_authors", "|").alias("top_authors"), F.array_join("top_venues", "|").alias("top_venues"))

@@ -521,3 +521,16 @@ def grounding_rates(f):
     right = (F.col("check") == "potentially_addressed") == (F.col("gap_id") % 3 == 0)
     found = usage.rates(rows, ["cluster"], grounded=F.col("is_grounded"), hallucinated=F.col("status") == "hallucinated", check_accuracy=right)
     return rounded(found, "grounded", "hallucinated", "check_accuracy")
+
+
+@query(*_PROFILE, sql="""
+WITH l AS (SELECT topic_id, string_agg(title, '; ' ORDER BY place) FILTER (title <> '') AS examples FROM (SELECT *, row_number() OVER (PARTITION BY topic_id ORDER BY coalesce(citation_count, 0) DESC, coalesce(year, 0) DESC, external_id) AS place FROM papers) WHERE place <= 3 GROUP BY topic_id)
+SELECT topic_id, 'That makes it hard to tell whether the gains reflect genuine progress or just wins against weak comparison points. This pattern shows up across papers like ' || coalesce(examples, '') || '.' AS why_it_matters,
+  'The retrieved literature does not compare methods against a convincing spread of strong baselines. Most papers only report results against ' || replace(coalesce(baseline, 'sparse baselines'), '_', ' ') || ', while alternatives such as ' ||
+  CASE len(missing_baselines) WHEN 1 THEN missing_baselines[1] WHEN 2 THEN missing_baselines[1] || ' and ' || missing_baselines[2] ELSE missing_baselines[1] || ', ' || missing_baselines[2] || ', and ' || missing_baselines[3] END || ' are usually absent.' AS statement
+FROM profile JOIN l USING (topic_id) WHERE baselines <= 1 AND papers >= 3""")
+def baseline_gap_texts(f):
+    """Why weak baselines matter, with the leading papers of the topic as examples."""
+    terms = _terms(f, "metric", "dataset", "baseline")
+    rows = gaps.scored(gaps.candidates(terms, _topics(f))).filter("kind = 'baseline'")
+    return gaps.described(rows, gaps.leading_titles(f.papers)).select("topic_id", "why_it_matters", "statement")

@@ -315,3 +315,15 @@ def token_costs(f):
 def confidences(f):
     value = scores.logistic_confidence(F.col("citation_count") / 100.0)
     return rounded(f.papers.select("external_id", value.alias("confidence")), "confidence").filter("confidence > 0.1 AND confidence < 0.99")
+
+
+@query("gap_feedback", sql="""
+WITH r AS (SELECT count(*) AS rated, avg((vote = 'up')::INT) AS positive FROM gap_feedback WHERE vote IN ('up', 'down')),
+s AS (SELECT user_id, s, count(DISTINCT gap_id) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY updated_at, event_id) AS s FROM (SELECT *, CASE WHEN lag(updated_at) OVER (PARTITION BY user_id ORDER BY updated_at, event_id) >= updated_at - INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM gap_feedback)) GROUP BY ALL),
+e AS (SELECT user_id, min(ts) FILTER (event_type = 'view') AS made, max(ts) FILTER (event_type IN ('purchase', 'signup')) AS done FROM events GROUP BY user_id)
+SELECT rated, round(positive, 6) AS positive, (SELECT count(*) FROM s) AS sessions, (SELECT round(avg(n), 6) FROM s) AS examined, (SELECT count(*) FROM e WHERE made IS NOT NULL) AS users, (SELECT round(avg(coalesce(done >= made, false)::INT), 6) FROM e WHERE made IS NOT NULL) AS rate FROM r""")
+def engagement(f):
+    """Positive ratings, gaps examined a session, and users that export after a run."""
+    votes, log = f.gap_feedback, f.events.select("user_id", F.col("event_type").alias("kind"), "ts")
+    rows = usage.positive_ratio(votes, []).crossJoin(usage.examined_per_session(votes.withColumnRenamed("updated_at", "ts"), "gap_id", "43200 seconds 1 microsecond")).crossJoin(usage.export_rate(log, "view", ("purchase", "signup")))  # one row each
+    return rows.select("rated", F.round("positive", 6).alias("positive"), "sessions", F.round("examined", 6).alias("examined"), "users", F.round("rate", 6).alias("rate"))
