@@ -223,8 +223,11 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
-def context_counts(tokens: DataFrame, depth: int, frequent) -> DataFrame:
-    """(ctx, next, n, below) of one depth: counts of next symbols, and from the second depth on the key of the context one shorter."""
+def context_counts(tokens: DataFrame, depth: int, frequent, share: int = 0, rounds: int = 1) -> DataFrame:
+    """(ctx, next, n, below) of one depth: counts of next symbols, and from the second depth on the key of the context one shorter.
+
+    Only contexts of one ``share`` of ``rounds`` are counted.
+    """
     names = ["ctx", "next", "n", *(["below"] if depth > 1 else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,6 +236,7 @@ def context_counts(tokens: DataFrame, depth: int, frequent) -> DataFrame:
                 found = contexts(symbol, doc, depth)
                 key, inside = found[-1]
                 at = np.flatnonzero(inside)
+                at = at[share_of_keys(key[at], rounds) == share]
                 if frequent is not None:
                     at = at[frequent.value(key[at])]
                 if depth == 1:
@@ -265,18 +269,19 @@ def rounds_for(rows: int, tokens: int) -> int:
     return max(1, -(-rows // max(ROUND_ROWS, int(tokens * ROUND_SHARE))))
 
 
-def with_lower(scratch: Scratch, pairs: DataFrame, root: DataFrame, before: DataFrame | None, tokens: int) -> DataFrame:
-    """``pairs`` with ``lower``, the log10 probability of ``next`` in the longest kept suffix of ``ctx``.
+def with_lower(scratch: Scratch, pairs: DataFrame, root: DataFrame, before: DataFrame | None, tokens: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``pairs`` with ``lower``, the log10 probability of ``next`` in the longest kept suffix of ``ctx``; the tables that hold them.
 
     ``before`` (ctx, next, prob) has it for the contexts one shorter, all of which occur as often at least;
     so one row is met for each pair, in rounds by the shorter context.
     """
     if before is None:
-        return pairs.join(F.broadcast(root), "next")  # at most HEAD symbols, the classes and the end
+        return pairs.join(F.broadcast(root), "next"), []  # at most HEAD symbols, the classes and the end
     rounds = rounds_for(pairs.count(), tokens)
     shorter = before.select(F.col("ctx").alias("below"), "next", F.col("prob").alias("lower"))
     parts = [pairs.filter(share_of("below", rounds) == i).join(shorter.filter(share_of("below", rounds) == i), ["below", "next"]).drop("below") for i in range(rounds)]
-    return reduce(DataFrame.unionByName, [scratch.settle(p) for p in parts])
+    parts = [scratch.settle(p) for p in parts]
+    return reduce(DataFrame.unionByName, parts), parts
 
 
 def kept_states(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -301,8 +306,13 @@ def grown(scratch: Scratch, tokens: DataFrame, end: int, root: DataFrame, max_de
     """The kept contexts and factors of all levels; a level's counts also name the next level's frequent contexts."""
     sc, frequent, kept, factors, before = scratch.spark.sparkContext, None, None, None, None
     for depth in range(1, max_depth + 1):
-        counts = scratch.settle(context_counts(tokens, depth, frequent))
-        stats, seen = kept_states(scratch, with_lower(scratch, counts, root, before, whole))
+        rounds = rounds_for(whole, whole)
+        counted = [scratch.settle(context_counts(tokens, depth, frequent, i, rounds)) for i in range(rounds)]
+        counts = reduce(DataFrame.unionByName, counted)
+        paired, parts = with_lower(scratch, counts, root, before, whole)
+        if parts:
+            scratch.drop(before)
+        stats, seen = kept_states(scratch, paired)
         stats = stats.filter("kept").select("ctx", "whole", "rest")
         kept = stats if kept is None else kept.unionByName(stats)
         found = scratch.settle(seen.filter("value IS NOT NULL").select("ctx", "next", "value"))
@@ -311,7 +321,7 @@ def grown(scratch: Scratch, tokens: DataFrame, end: int, root: DataFrame, max_de
         last = depth == max_depth or longer.isEmpty()
         if not last:
             frequent = sc.broadcast(ContextFilter.of(longer, extend=True))
-        scratch.drop(counts, *([before] if before is not None else []), *([seen] if last else []))
+        scratch.drop(*counted, *parts, *([seen] if last else []))
         before = seen
         if last:
             break
