@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.runtime import settled
+
 _WORD = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -38,7 +40,7 @@ def tfidf_match(papers: DataFrame, topics: DataFrame, stop_words: Sequence[str]
     """
     texts = papers.select(F.lit("paper").alias("kind"), F.col("external_id").cast("string").alias("id"), "text")
     texts = texts.unionByName(topics.select(F.lit("topic").alias("kind"), F.col("topic_no").cast("string").alias("id"), "text"))
-    counts = _term_counts(texts, stop_words).persist()
+    counts = settled(_term_counts(texts, stop_words))
     total = texts.agg(F.count("*").alias("n"))
     idf = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("all"))
     if features is not None:

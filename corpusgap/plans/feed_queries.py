@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.runtime import settled
 from ..operators import corpus, feeds, matching, profiles, vectors
 from .catalog import _list, POOL, query, rounded
 from .fixtures import AS_OF, AS_OF_YEAR
@@ -91,8 +92,10 @@ def _seen(f):
 def _pool(f):
     recent = f.search_history.groupBy("user_id", "item_id").agg(F.max("created_at").alias("created_at"))
     recent = corpus.cursor_page(recent, ["user_id"], [F.desc("created_at"), "item_id"], 0, 3).select("user_id", F.col("item_id").alias("topic"), "place")
-    landed = f.topic_papers.select(F.col("item_id").alias("topic"), "external_id").join(f.papers, "external_id").drop("topic_id")
-    return feeds.without_seen(feeds.topic_candidates(recent, landed), _seen(f))
+    # Of an abstract a candidate only needs whether there is one; the pool is worked out once for all that reads it.
+    papers = f.papers.drop("topic_id").withColumn("abstract", F.substring("abstract", 1, 1))
+    landed = f.topic_papers.select(F.col("item_id").alias("topic"), "external_id").join(papers, "external_id")
+    return settled(feeds.without_seen(feeds.topic_candidates(recent, landed), _seen(f)))
 
 
 @query(*POOL, sql="SELECT user_id, external_id, year, citation_count FROM candidates")
