@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..sources import payloads, tables
 from ..streaming import jobs
 from .catalog import query
@@ -247,3 +248,11 @@ def stream_unknown_papers(f):
     source = f.spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     jobs.drained(jobs.unknown_papers(source, f.papers.filter("pos % 2 = 0")), f"{folder}/state", f"{folder}/out", "append")
     return f.spark.read.parquet(f"{folder}/out").select("title_key").distinct()
+
+
+@query("papers", sql="SELECT source || ':' || external_id AS key, source, external_id FROM papers")
+def paper_keys(f):
+    """Keys of library items, and what they are read back as."""
+    rows = f.papers.select(T.paper_key(F.col("source"), F.col("external_id")).alias("key"))
+    back = T.split_key(F.col("key"))
+    return rows.select("key", back["source"].alias("source"), back["external_id"].alias("external_id"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusgap.functions import scores, text
-from corpusgap.operators import corpus, evidence, profiles
+from corpusgap.operators import corpus, evidence, profiles, usage
 
 
 def one(spark, column, **values):
@@ -88,3 +88,29 @@ def test_popular_caps_venues_then_fills(spark):
     df = spark.createDataFrame(rows, "pos long, topic_id string, venue string, year int, citation_count long")
     assert [r["venue"] for r in profiles.popular(df, 2025, 4, 2).orderBy("place").collect()] == ["NeurIPS", "NeurIPS", "ICML", "ICML"]
     assert profiles.popular(df.filter("venue = 'NeurIPS'"), 2025, 5, 2).count() == 5
+
+
+def test_paper_key(spark):
+    assert one(spark, text.paper_key(F.col("s"), F.col("i")), s="arxiv", i="2401.1:2") == "arxiv:2401.1:2"
+    back = one(spark, text.split_key(F.col("k")), k="arxiv:2401.1:2")
+    assert (back["source"], back["external_id"]) == ("arxiv", "2401.1:2")
+    with pytest.raises(Exception, match="source and an id"):
+        one(spark, text.paper_key(F.col("s"), F.col("i")), s="", i="1")
+
+
+def test_papers_without_title_are_told_by_address(spark):
+    rows = [(0, "t", "arxiv", "1", "", "", "http://a"), (1, "t", "openalex", "2", None, "x", "http://a"), (2, "t", "arxiv", "3", "", "", " "), (3, "t", "arxiv", "4", "!", "", None)]
+    df = spark.createDataFrame(rows, "pos long, topic_id string, source string, external_id string, title string, abstract string, url string")
+    assert {r["external_id"] for r in corpus.deduplicate(df).collect()} == {"2", "3", "4"}
+
+
+def test_engagement(spark):
+    votes = spark.createDataFrame([("up",), ("up",), ("down",), (None,)], "vote string")
+    r = usage.positive_ratio(votes, []).first()
+    assert (r["rated"], r["positive"]) == (3, pytest.approx(2 / 3))
+    log = spark.createDataFrame([(1, "made", 1), (1, "export", 3), (2, "made", 5), (2, "share", 4), (3, "export", 1)], "user_id long, kind string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+    r = usage.export_rate(log, "made", ("export", "share")).first()
+    assert (r["users"], r["rate"]) == (2, 0.5)
+    seen = spark.createDataFrame([(1, "a", 0), (1, "b", 60), (1, "b", 120), (1, "c", 9000)], "user_id long, gap string, ts long").withColumn("ts", F.timestamp_seconds("ts"))
+    r = usage.examined_per_session(seen, "gap").first()
+    assert (r["sessions"], r["examined"]) == (2, 1.5)
