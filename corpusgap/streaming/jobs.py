@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -56,6 +58,9 @@ def unknown_papers(incoming: DataFrame, known: DataFrame, late: str = "1 day") -
     return rows.withWatermark("landed_at", late).dropDuplicatesWithinWatermark(["title_key"])
 
 
+# The process that prepares a stateful stream doesn't get the files that executors get, so what is defined here travels whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: The state store that holds lists, maps and timers.
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _DAY_MS = 86_400_000
