@@ -237,14 +237,14 @@ def kappa(f):
 
 @query(sql="WITH g AS (SELECT floor(epoch(ts))::BIGINT - floor(epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))::BIGINT AS gap FROM events) SELECT round(quantile_disc(gap, 0.5), 3)::DOUBLE AS p50, round(quantile_disc(gap, 0.95), 3)::DOUBLE AS p95, round(quantile_disc(gap, 0.99), 3)::DOUBLE AS p99 FROM g WHERE gap IS NOT NULL")
 def latency_percentiles(f):
-    return rounded(usage.gaps_between(f.events, "user_id", "ts", 1_000_000), "p50", "p95", "p99", places=3)
+    return rounded(usage.gaps_between(f.events, "user_id", "ts"), "p50", "p95", "p99", places=3)
 
 
 @query(sql="""
 WITH r AS (SELECT event_type AS stage, floor(epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_type)))::BIGINT - floor(epoch(ts))::BIGINT AS took FROM events)
 SELECT stage, count(*) AS runs, quantile_disc(took, 0.5) AS p50, quantile_disc(took, 0.95) AS p95 FROM r WHERE took IS NOT NULL GROUP BY stage""")
 def stage_latency(f):
-    return usage.stage_latency(f.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), "ts"), 1_000_000)
+    return usage.stage_latency(f.events.select(F.col("user_id").alias("run"), F.col("event_type").alias("stage"), "ts"))
 
 
 @query(sql="SELECT user_id, count(*) AS sessions, max(n) AS longest FROM (SELECT user_id, s, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM events)) GROUP BY ALL) GROUP BY user_id")
