@@ -5,9 +5,8 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValues
@@ -66,44 +65,36 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _DAY_MS = 86_400_000
 
 
-def _micros(ts: pd.Timestamp) -> int:
-    return int(pd.Timestamp(ts).timestamp() * 1_000_000)
-
-
 class _SeenRing(StatefulProcessor):
-    """A user's ring of seen papers: a map from paper to its newest time, and one timer that empties it."""
+    """A user's ring of seen papers: ids with their newest times, and one timer that empties it; one read and one write of the state a batch."""
 
     def __init__(self, newest: int, days: int):
         self.newest, self.days = newest, days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.items = handle.getMapState("items", "external_id string", "ts long")
-
-    def _ring(self, key: tuple, held: dict[str, int]) -> pd.DataFrame:
-        return pd.DataFrame({"user_id": pd.array([key[0]] * len(held), "Int64"), "external_id": list(held), "ts": pd.to_datetime(list(held.values()), unit="us"), "expired": False})
+        self.ring = handle.getValueState("ring", "items array<string>, times array<long>, timer long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: v[0] for k, v in self.items.iterator()} if self.items.exists() else {}
-        for frame in rows:
-            for item, ts in zip(frame["external_id"], frame["ts"], strict=True):
-                held[item] = max(held.get(item, 0), _micros(ts))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        before = self.ring.get()
+        held = dict(zip(before[0], before[1], strict=True)) if before else {}
+        for row in rows:
+            held[row.external_id] = max(held.get(row.external_id, 0), row.at)
         last = max(held.values())
-        kept = dict(sorted(((i, t) for i, t in held.items() if last - t <= self.days * _DAY_MS * 1000), key=lambda x: (-x[1], x[0]))[: self.newest])
-        for item in held.keys() - kept.keys():
-            if self.items.containsKey((item,)):
-                self.items.removeKey((item,))
-        for item, ts in kept.items():
-            self.items.updateValue((item,), (ts,))
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(max(last // 1000 + self.days * _DAY_MS, timerValues.getCurrentWatermarkInMs() + 1))
-        yield self._ring(key, kept)
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        kept = sorted(((i, t) for i, t in held.items() if last - t <= self.days * _DAY_MS * 1000), key=lambda x: (-x[1], x[0]))[: self.newest]
+        timer = max(last // 1000 + self.days * _DAY_MS, timerValues.getCurrentWatermarkInMs() + 1)
+        if before is None or before[2] != timer:
+            if before is not None:
+                self.handle.deleteTimer(before[2])
+            self.handle.registerTimer(timer)
+        self.ring.update(([i for i, _ in kept], [t for _, t in kept], timer))
+        for item, at in kept:
+            yield Row(user_id=key[0], external_id=item, at=at, expired=False)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         """The user has been idle for as long as the ring lasts: the state goes, and a row says so."""
-        self.items.clear()
-        yield pd.DataFrame({"user_id": pd.array([key[0]], "Int64"), "external_id": [None], "ts": pd.to_datetime([expiredTimerInfo.getExpiryTimeInMs()], unit="ms"), "expired": True})
+        self.ring.clear()
+        yield Row(user_id=key[0], external_id=None, at=expiredTimerInfo.getExpiryTimeInMs() * 1000, expired=True)
 
     def close(self) -> None:
         pass
@@ -117,54 +108,33 @@ def seen_ring(log: DataFrame, newest: int = 1000, days: int = 21, late: str = "1
     without any row of that user, and one row without a paper is given (``expired``).  Rows later than
     ``late`` don't count.  The session needs the RocksDB state store (``ROCKSDB``).
     """
-    rows = log.withWatermark("ts", late).select("user_id", "external_id", "ts")
-    return rows.groupBy("user_id").transformWithStateInPandas(_SeenRing(newest, days), "user_id long, external_id string, ts timestamp, expired boolean", "update", "eventTime")
+    rows = log.withWatermark("ts", late).select("user_id", "external_id", "ts", F.unix_micros("ts").alias("at"))
+    rows = rows.groupBy("user_id").transformWithState(_SeenRing(newest, days), "user_id long, external_id string, at long, expired boolean", "update", "eventTime")
+    return rows.select("user_id", "external_id", F.timestamp_micros("at").alias("ts"), "expired")
 
 
 #: The fields that a feedback patch may set; in ``clear`` it names those that it empties.
 FEEDBACK_FIELDS = ("vote", "note", "addressed_by")
 
 
-class _FeedbackFold(StatefulProcessor):
-    """The state of one (user, gap): each field with the order of the patch that set it, and the last pursuit."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "vote string, note string, addressed_by string, vote_at long, vote_event long, note_at long, note_event long, addressed_by_at long, addressed_by_event long, pursue boolean, at long, event long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else None
-        value = dict(zip(FEEDBACK_FIELDS, held[:3])) if held else dict.fromkeys(FEEDBACK_FIELDS)
-        order = {c: (held[3 + 2 * i], held[4 + 2 * i]) for i, c in enumerate(FEEDBACK_FIELDS)} if held else dict.fromkeys(FEEDBACK_FIELDS, (-1, -1))
-        pursue, last = (held[9], (held[10], held[11])) if held else (None, (-1, -1))
-        for frame in rows:
-            for patch in frame.to_dict("records"):
-                at = (_micros(patch["updated_at"]), int(patch["event_id"]))
-                cleared = patch.get("clear")
-                cleared = () if cleared is None else tuple(cleared)
-                for c in FEEDBACK_FIELDS:
-                    given = patch.get(c)
-                    if (isinstance(given, str) or c in cleared) and at >= order[c]:
-                        value[c], order[c] = given if c not in cleared and given != "" else None, at
-                if at >= last:
-                    pursue, last = bool(patch["pursue"]), at
-        self.state.update((*value.values(), *(x for c in FEEDBACK_FIELDS for x in order[c]), pursue, *last))
-        yield pd.DataFrame({"user_id": [key[0]], "gap_id": [key[1]], **{c: [value[c]] for c in FEEDBACK_FIELDS}, "pursue": [pursue], "updated_at": [pd.Timestamp(last[0], unit="us")]})
-
-    def close(self) -> None:
-        pass
-
-
 def feedback_fold(log: DataFrame) -> DataFrame:
     """(user_id, gap_id, vote, note, addressed_by, pursue, updated_at): each (user, gap) after every batch that patches it.
 
     A patch sets the fields that it has and empties those that its ``clear`` (array of names) holds; '' empties
     as well, null leaves as it is.  Patches count in the order of (updated_at, event_id), whenever they come.
-    The session needs the RocksDB state store (``ROCKSDB``).
+    Each field is the one of the latest patch that touches it, so the state is an aggregate; for update or complete mode.
     """
     none = {"note": F.lit(None).cast("string"), "addressed_by": F.lit(None).cast("string"), "clear": F.lit(None).cast("array<string>")}
     rows = log.select("user_id", "gap_id", "vote", "pursue", "updated_at", "event_id", *[F.col(c) if c in log.columns else v.alias(c) for c, v in none.items()])
-    out = "user_id long, gap_id string, vote string, note string, addressed_by string, pursue boolean, updated_at timestamp"
-    return rows.groupBy("user_id", "gap_id").transformWithStateInPandas(_FeedbackFold(), out, "update", "none")
+    order = F.struct("updated_at", "event_id")
+
+    def latest(field: str) -> Column:
+        cleared = F.coalesce(F.array_contains("clear", field), F.lit(False))
+        value = F.struct(F.when(~cleared, F.nullif(F.col(field), F.lit(""))).alias("value"))
+        return F.max_by(value, F.when(F.col(field).isNotNull() | cleared, order))["value"].alias(field)
+
+    pursue = F.max_by(F.coalesce("pursue", F.lit(False)), order).alias("pursue")
+    return rows.groupBy("user_id", "gap_id").agg(*[latest(c) for c in FEEDBACK_FIELDS], pursue, F.max("updated_at").alias("updated_at"))
 
 
 def drained(stream: DataFrame, checkpoint: str, path: str, mode: str = "append", each=None) -> None:

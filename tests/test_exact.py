@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import math
+from types import SimpleNamespace
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from corpusgap.operators import usage
+from corpusgap.streaming import jobs
 
 
 def test_stage_latencies_are_exact(spark):
@@ -22,3 +26,28 @@ def test_quantiles_of_few_and_negative_numbers(spark):
     rows = spark.createDataFrame([("a", -5000), ("a", 3), ("a", None), ("b", 9), ("c", None)], "k string, v long")
     got = usage.discrete_quantiles(rows, ["k"], "v", {"low": "0", "half": "0.5", "most": "1"})
     assert sorted(tuple(r) for r in got.collect()) == [("a", 2, -5000, -5000, 3), ("b", 1, 9, 9, 9)]
+
+
+def test_feedback_is_an_aggregate_in_any_state_store(spark, tmp_path):
+    schema = "user_id long, gap_id string, vote string, pursue boolean, updated_at timestamp, event_id long, clear array<string>"
+    at = lambda day: dt.datetime(2024, 1, day)
+    rows = [(u, "g", "up", False, at(1), 1, None) for u in range(50)] + [(u, "g", None, None, at(2), 2, [None, "vote"] if u % 2 else [None]) for u in range(50)] + [(7, "g", "down", True, at(3), 3, ["note"])]
+    for i, part in enumerate((rows[:60], rows[60:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/part={i}")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/part=*")
+    jobs.drained(jobs.feedback_fold(source), f"{tmp_path}/state", f"{tmp_path}/out", "update")
+    last = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect():
+        last[r["user_id"]] = (r["vote"], r["pursue"], r["updated_at"])
+    assert last == {u: (None if u % 2 else "up", False, at(2)) for u in range(50)} | {7: ("down", True, at(3))}
+
+
+def test_a_ring_is_read_and_written_once_a_batch():
+    calls = []
+    state = SimpleNamespace(get=lambda: calls.append("get"), update=lambda value: calls.append(value))
+    handle = SimpleNamespace(getValueState=lambda *a: state, registerTimer=lambda t: calls.append(t))
+    ring = jobs._SeenRing(1000, 21)
+    ring.init(handle)
+    rows = [Row(external_id=f"p{i:04}", at=i * 1_000_000) for i in range(3000)]
+    out = list(ring.handleInputRows((1,), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert len(calls) == 3 and len(calls[2][0]) == len(out) == 1000 and out[0]["external_id"] == "p2999" and out[-1]["external_id"] == "p2000"
