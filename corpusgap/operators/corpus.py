@@ -24,12 +24,21 @@ def source_priority(source: Column) -> Column:
     return out
 
 
+def paper_identity(papers: DataFrame) -> Column:
+    """A paper's title key, else its address (where the input has ``url``), else its id."""
+    address = [F.nullif(F.btrim("url"), F.lit(""))] if "url" in papers.columns else []
+    return F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), *address, F.col("external_id"))
+
+
+def paper_rank(papers: DataFrame) -> dict[str, Column]:
+    """What decides, before the order, which of a paper's copies is kept: the source's priority, and whether there is an abstract."""
+    return {"priority": source_priority(papers["source"]), "told": F.coalesce(F.length("abstract"), F.lit(0)) > 0}
+
+
 def deduplicate(papers: DataFrame) -> DataFrame:
     """One paper per topic and title key (else address, where the input has ``url``, else id), by source priority, then abstract, then order."""
-    address = [F.nullif(F.btrim("url"), F.lit(""))] if "url" in papers.columns else []
-    key = F.coalesce(F.nullif(title_key(F.col("title")), F.lit("")), *address, F.col("external_id"))
-    order = [source_priority(F.col("source")).desc(), (F.coalesce(F.length("abstract"), F.lit(0)) > 0).desc(), F.col("pos")]
-    return first_per(papers.withColumn("title_key", key), ["topic_id", "title_key"], order)
+    order = [*(c.desc() for c in paper_rank(papers).values()), F.col("pos")]
+    return first_per(papers.withColumn("title_key", paper_identity(papers)), ["topic_id", "title_key"], order)
 
 
 def filter_papers(papers: DataFrame, filters: DataFrame, strict: bool = False) -> DataFrame:

@@ -9,21 +9,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.runtime import shuffle_partitions
 from ..functions.scores import citation_score, composite, cosine, recency_score
-from .corpus import deduplicate, first_per
+from .corpus import first_per, paper_identity, paper_rank
 
 # Queries per user, the centroid's weight, pages that diversification looks at, its share of relevance.
 TOP_COMPONENTS, CENTROID_SHARE, CENTROID_LEAST, MMR_PAGES, MMR_RELEVANCE = 5, 0.3, 0.5, 4, 0.7
 
 
 def topic_candidates(recent: DataFrame, landed: DataFrame, topics: int = 3, per_source: int = 20) -> DataFrame:
-    """(user_id, paper columns): papers landed for each user's newest topics, ``per_source`` a topic and source, each paper once.
+    """(user_id, paper columns but title and abstract): papers landed for each user's newest topics, ``per_source`` a topic and source, each paper once.
 
-    recent (user_id, topic, place), landed (topic, source, pos, paper columns with external_id and title).
+    recent (user_id, topic, place), landed (topic, source, pos, paper columns with external_id, title and abstract).
+    Users meet papers only with what ranks them; title keys travel as digests, whatever the titles' length.
     """
-    landed = first_per(landed, ["topic", "source"], ["pos", "external_id"], per_source)
-    rows = recent.filter(F.col("place") <= topics).select("user_id", "topic").join(landed, "topic")
-    return deduplicate(rows.withColumnRenamed("user_id", "topic_id").drop("topic")).withColumnRenamed("topic_id", "user_id").drop("title_key")
+    address = ["url"] if "url" in landed.columns else []
+    columns = [c for c in landed.columns if c not in ("topic", "title", "abstract", *address)]
+    first = first_per(landed, ["topic", "source"], ["pos", "external_id"], per_source)
+    slim = first.select("topic", *columns, F.unhex(F.md5(paper_identity(first))).alias("identity"), *[c.alias(n) for n, c in paper_rank(first).items()])
+    order = [F.desc("priority"), F.desc("told"), "pos"]
+    # What is not the best of a topic is not the best of a user that has the topic.
+    slim = first_per(slim, ["topic", "identity"], order)
+    rows = recent.filter(F.col("place") <= topics).select("user_id", "topic").join(slim, "topic").drop("topic")
+    # The rows of a topic's users are so alike that their compressed size, by which small partitions are joined, tells nothing.
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "user_id")
+    return first_per(rows, ["user_id", "identity"], order).select("user_id", *columns)
 
 
 def without_seen(candidates: DataFrame, seen: DataFrame, keep_if_empty: bool = False) -> DataFrame:

@@ -117,18 +117,18 @@ def affinity_scores(candidates: DataFrame, authors: DataFrame, venues: DataFrame
     """(user_id, external_id, score) of candidates (user_id, external_id, authors array, venue), at most 1.
 
     .6 times the weights of a paper's first authors, .4 times that of the strongest known venue that
-    is the paper's, holds it or is held by it (four characters at least).  Only a user's own
-    candidates meet the user's at most 25 authors and 25 venues.
+    is the paper's, holds it or is held by it (four characters at least).  Each candidate comes once; it
+    meets one row a user, which lists the user's at most 25 authors and 25 venues.
     """
-    pairs = candidates.select("user_id", "external_id", F.explode(F.array_distinct(F.transform(F.slice("authors", 1, first), lambda a: F.lower(F.btrim(a))))).alias("author"))
-    by_author = pairs.join(authors, ["user_id", "author"]).groupBy("user_id", "external_id").agg(F.sum("weight").alias("a"))
-    known = venues.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("minus"), "venue"))).alias("known"))
-    own = F.lower(F.btrim("venue"))
+    listed = lambda rows, name: rows.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("weight")).alias("minus"), name))).alias(f"known_{name}"))
+    known = listed(authors, "author").join(listed(venues, "venue"), "user_id", "full")
+    names, own = F.transform(F.slice("authors", 1, first), lambda a: F.lower(F.btrim(a))), F.lower(F.btrim("venue"))
+    by_author = F.aggregate(F.filter("known_author", lambda k: F.array_contains(names, k["author"])), F.lit(0.0), lambda s, k: s - k["minus"])
     long = lambda v: (F.length(v) >= 4) & (F.length(own) >= 4) & (F.contains(own, v) | F.contains(v, own))
-    fit = F.filter("known", lambda k: (k["venue"] == own) | long(k["venue"]))
-    by_venue = candidates.filter("trim(venue) <> ''").join(known, "user_id").select("user_id", "external_id", (-F.try_element_at(fit, F.lit(1))["minus"]).alias("v"))
-    rows = candidates.select("user_id", "external_id").distinct().join(by_author, ["user_id", "external_id"], "left").join(by_venue, ["user_id", "external_id"], "left")
-    score = F.coalesce("a", F.lit(0.0)) * AUTHOR_SHARE + F.coalesce("v", F.lit(0.0)) * VENUE_SHARE
+    fit = F.filter("known_venue", lambda k: (k["venue"] == own) | long(k["venue"]))
+    by_venue = F.when(own != "", -F.try_element_at(fit, F.lit(1))["minus"])
+    score = F.coalesce(by_author, F.lit(0.0)) * AUTHOR_SHARE + F.coalesce(by_venue, F.lit(0.0)) * VENUE_SHARE
+    rows = candidates.select("user_id", "external_id", "authors", "venue").join(known, "user_id", "left")
     return rows.select("user_id", "external_id", F.least(score, F.lit(1.0)).alias("score"))
 
 

@@ -62,9 +62,12 @@ def profile_vectors(f):
     return rows.select("user_id", F.posexplode("vector").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
+def _names(f):
+    return f.paper_authors.groupBy("external_id").agg(F.collect_list("author").alias("authors"))
+
+
 def _library(f):
-    names = f.paper_authors.groupBy("external_id").agg(F.collect_list("author").alias("authors"))
-    return f.library.join(names, "external_id")
+    return f.library.join(_names(f), "external_id")
 
 
 def _authors(f):
@@ -89,13 +92,17 @@ def _seen(f):
     return profiles.seen_ids(f.interactions, AS_OF)
 
 
-def _pool(f):
+def _pool(f, authors=False):
+    """Each user's candidates; with ``authors`` they carry what affinities are worked out from."""
     recent = f.search_history.groupBy("user_id", "item_id").agg(F.max("created_at").alias("created_at"))
     recent = corpus.cursor_page(recent, ["user_id"], [F.desc("created_at"), "item_id"], 0, 3).select("user_id", F.col("item_id").alias("topic"), "place")
     # Of an abstract a candidate only needs whether there is one; the pool is worked out once for all that reads it.
     papers = f.papers.drop("topic_id").withColumn("abstract", F.substring("abstract", 1, 1))
     landed = f.topic_papers.select(F.col("item_id").alias("topic"), "external_id").join(papers, "external_id")
-    return settled(feeds.without_seen(feeds.topic_candidates(recent, landed), _seen(f)))
+    kept = ["user_id", "external_id", "year", "citation_count"]
+    if authors:
+        landed, kept = landed.join(_names(f), "external_id"), [*kept, "venue", "authors"]
+    return settled(feeds.without_seen(feeds.topic_candidates(recent, landed).select(*kept), _seen(f)))
 
 
 @query(*POOL, sql="SELECT user_id, external_id, year, citation_count FROM candidates")
@@ -107,13 +114,12 @@ _AFFINE = (*POOL[:4], "library", "paper_authors", *POOL[4:], "library_age", "aut
 
 
 def _affinities(f, pool):
-    names = f.paper_authors.groupBy("external_id").agg(F.collect_list("author").alias("authors"))
-    return profiles.affinity_scores(pool.select("user_id", "external_id", "venue").join(names, "external_id"), _authors(f), _venues(f))
+    return profiles.affinity_scores(pool, _authors(f), _venues(f))
 
 
 @query(*_AFFINE, sql="SELECT user_id, external_id, round(score, 6) AS score FROM candidate_affinity")
 def affinity_scores(f):
-    return rounded(_affinities(f, _pool(f)), "score")
+    return rounded(_affinities(f, _pool(f, True)), "score")
 
 
 _RANKED = f"""top AS (SELECT * FROM (SELECT s.user_id, s.external_id AS label, s.weight, v.embedding, row_number() OVER (PARTITION BY s.user_id ORDER BY round(s.weight, 9) DESC, s.external_id) AS rn FROM signals s JOIN paper_vectors v USING (external_id) WHERE s.weight > 0) WHERE rn <= 5),
@@ -130,8 +136,8 @@ def _queries(f):
 
 
 def _ranked(f, page):
-    pool = _pool(f)
-    return feeds.ranked_by_similarity(pool.join(f.paper_vectors, "external_id"), _queries(f)[1], _affinities(f, pool), AS_OF_YEAR, page)
+    pool = _pool(f, True)
+    return feeds.ranked_by_similarity(pool.drop("venue", "authors").join(f.paper_vectors, "external_id"), _queries(f)[1], _affinities(f, pool), AS_OF_YEAR, page)
 
 
 @query(*_FEED, sql=f"WITH {_RANKED} SELECT user_id, external_id, round(similarity, 6) AS similarity, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, external_id) AS place FROM scored) WHERE place <= 20")
@@ -262,7 +268,7 @@ def recommend_chain(f):
 @query()
 def vector_feed(f):
     """The ranked page, filled from fresh papers where thin; the popular page for users without either."""
-    ranked = _ranked(f, 10).select("user_id", "external_id", "place", "score")
+    ranked = settled(_ranked(f, 10).select("user_id", "external_id", "place", "score"))  # read three times
     popular = corpus.cursor_page(profiles.popular(f.papers, AS_OF_YEAR, 10).drop("place"), [], [F.desc(F.round("score", 9)), "pos"], 0, 10)
     return feeds.vector_feed(f.events.select("user_id").distinct(), ranked.filter("user_id % 2 = 0"), ranked.filter("user_id % 4 = 1"), popular.select("external_id", "place"), 10)
 

@@ -9,7 +9,7 @@ from types import SimpleNamespace
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from corpusgap.operators import usage
+from corpusgap.operators import feeds, usage
 from corpusgap.streaming import jobs
 
 
@@ -51,3 +51,13 @@ def test_a_ring_is_read_and_written_once_a_batch():
     rows = [Row(external_id=f"p{i:04}", at=i * 1_000_000) for i in range(3000)]
     out = list(ring.handleInputRows((1,), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
     assert len(calls) == 3 and len(calls[2][0]) == len(out) == 1000 and out[0]["external_id"] == "p2999" and out[-1]["external_id"] == "p2000"
+
+
+def test_users_meet_papers_without_their_texts(spark):
+    """Of copies the best of all of a user's topics stays, and titles and abstracts don't travel with it."""
+    papers = [("s", "arxiv", 1, "a", "A Title", ""), ("s", "openalex", 2, "b", "a  title!", ""), ("t", "openalex", 3, "c", "A title", "told"), ("t", "arxiv", 4, "d", "", "x"), ("t", "arxiv", 5, "e", None, "x"), ("u", "arxiv", 6, "f", "A title", "")]
+    landed = spark.createDataFrame(papers, "topic string, source string, pos long, external_id string, title string, abstract string")
+    recent = spark.createDataFrame([(1, "s", 1), (1, "t", 2), (1, "u", 3), (2, "s", 1), (2, "t", 4), (3, "u", 1)], "user_id long, topic string, place int")
+    out = feeds.topic_candidates(recent, landed)
+    assert out.columns == ["user_id", "source", "pos", "external_id"]
+    assert sorted((r["user_id"], r["external_id"]) for r in out.collect()) == [(1, "c"), (1, "d"), (1, "e"), (2, "b"), (3, "f")]
