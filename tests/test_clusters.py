@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 from corpusgap.operators import clusters, density, evidence, gaps, network, usage
 
 
