@@ -25,8 +25,9 @@ ones in tiles of two blocks of members each.  Large groups that share members ar
 as one family where that compares fewer pairs.  Before sets meet, their parity sketches
 do, which are about a twentieth as long: the bits in which they differ are no more than
 the elements in which the sets do, so no similar pair is lost, and few others are left.
-A tile that leaves very many pairs is checked whole, where one matrix product gives all
-intersections and no more links than members are returned.
+A tile that leaves many pairs is checked in one place, pair by pair as long as they aren't
+joined, or, if pairs are very many, by one matrix product that gives all intersections; no
+more links than members are returned, so rows stay in proportion to members.
 
 Defined cases: null, empty or white-space text: no shingles, no links; fewer words
 than a shingle: the whole sequence is the one shingle; repeated rows are exact
@@ -51,8 +52,10 @@ from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
 _FEW = 32
-#: Pairs a member that sketches may leave of a tile before it is checked whole.
-_DENSE = 32
+#: Pairs a member that sketches may leave of a tile; a tile that leaves more is checked where its sets are.
+_DENSE = 2
+#: There pairs are checked one by one up to so many a member, and beyond by one matrix product.
+_WHOLE = 32
 _BLOCK_SETS = 1024
 _STAR_BLOCK = 512
 _SHARES = 2
@@ -238,6 +241,14 @@ def read_sketch(size: int, sketch: pa.Scalar) -> tuple[int, np.ndarray]:
     return size, np.frombuffer(sketch.as_buffer(), U64)
 
 
+def similar_sets(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets, each without repeats, are similar."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    inter = int((both[1:] == both[:-1]).sum())
+    return den * inter >= num * (len(x) + len(y) - inter)
+
+
 def may_be_similar(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], num: int, den: int) -> bool:
     """False only for sets (size, sketch) that aren't similar."""
     (size_a, x), (size_b, y) = a, b
@@ -300,13 +311,7 @@ def _hopeful(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, by exact intersection."""
 
-    def similar(x: np.ndarray, y: np.ndarray) -> bool:
-        both = np.concatenate([x, y])
-        both.sort(kind="stable")
-        inter = int((both[1:] == both[:-1]).sum())
-        return den * inter >= num * (len(x) + len(y) - inter)
-
-    return _stars(pairs, sets, "items", lambda _, raw: read_items(raw), similar)
+    return _stars(pairs, sets, "items", lambda _, raw: read_items(raw), lambda x, y: similar_sets(x, y, num, den))
 
 
 def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -337,6 +342,25 @@ def tile_links(prints: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
     return prints[label[linked]], prints[linked]
 
 
+def pair_links(prints: np.ndarray, sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) fingerprints that join the sets of a tile as the similar ones of its pairs (i, j) do: fewer rows than sets."""
+    top = list(range(len(sets)))
+
+    def root(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    joined = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        at, to = root(x), root(y)
+        if at != to and similar_sets(sets[x], sets[y], num, den):
+            top[at] = to
+            joined.append((x, y))
+    a, b = np.array(joined, np.int64).reshape(-1, 2).T
+    return prints[a], prints[b]
+
+
 def hopeful_pairs(size: np.ndarray, sketches: list[np.ndarray], label: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Places (i, j) of the sets of a tile in different components that their sketches don't rule out.
 
@@ -387,14 +411,16 @@ def _sketched(dealt: DataFrame, sets: DataFrame, num: int, den: int, dense: int)
 
 
 def _tiled(dealt: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) among the members of each tile, by all intersections; no task sees more than two blocks of a group."""
+    """Links (a, b) among the members of each tile, fewer than members; no task sees more than two blocks of a group."""
 
     def run(tile: pa.Table) -> pa.Table:
-        items = [read_items(x) for x in tile.column("items")]
-        a, b = tile_links(tile.column("print").to_numpy(), items, num, den)
+        names, items = tile.column("print").to_numpy(), [read_items(x) for x in tile.column("items")]
+        sketches = [np.frombuffer(x.as_buffer(), U64) for x in tile.column("sketch")]
+        i, j = hopeful_pairs(tile.column("size").to_numpy(), sketches, tile.column("label").to_numpy(), num, den)
+        a, b = tile_links(names, items, num, den) if len(i) > _WHOLE * len(names) else pair_links(names, items, i, j, num, den)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.join(sets.select("print", "items"), "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
+    return dealt.join(sets.select("print", "size", "items", "sketch"), "print").groupBy("sig", "low", "high").applyInArrow(run, "a long, b long")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, member: str, name: str) -> DataFrame:

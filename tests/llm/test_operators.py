@@ -243,6 +243,40 @@ def test_similar_sets_share_a_signature(num, den):
             assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+def test_a_family_about_the_threshold_makes_rows_in_proportion_to_members(spark, monkeypatch):
+    """All pairs of 60 sets may be similar by their sketches and only neighbours are: they aren't shipped pair by pair."""
+    rng = np.random.default_rng(6)
+    base, own = rng.integers(0, 2**63, 400).astype(np.uint64), rng.integers(0, 2**63, (61, 20)).astype(np.uint64)
+    far = rng.integers(0, 2**63, (60, 40)).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base, own[k], own[k + 1]] if k < 20 else [base, far[k]])) for k in range(60)]
+    rows = [(k, len(x), bytearray(ngram_join.packed_items(x)), bytearray(ngram_join.parity_sketch(x))) for k, x in enumerate(sets)]
+    table = spark.createDataFrame(rows, "print long, size long, items binary, sketch binary")
+    num, den = 401, 480  # neighbours have 420 of 460 in common, others 400 of 480
+    made, sketched = [], ngram_join._sketched
+    monkeypatch.setattr(ngram_join, "_sketched", lambda dealt, *a: made.append((dealt.count(), sketched(dealt, *a).count())) or sketched(dealt, *a))
+    join = ngram_join._Join(Scratch(spark, "test"), table, num, den)
+    join.check_tiles(table.select(F.lit(1).cast("long").alias("sig"), "print"))
+    assert {r["node"]: r["label"] for r in join.labels.collect()} == dict.fromkeys(range(20), 0)
+    assert made and all(pairs <= 2 * members for members, pairs in made)
+
+
+def test_pair_links():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.concatenate([rng.choice(40, rng.integers(34, 41), replace=False), rng.integers(100, 9999, 2)])).astype(np.uint64) for _ in range(50)]
+    i, j = np.triu_indices(50, 1)
+    parts = []
+    for a, b in (ngram_join.tile_links(np.arange(50), sets, 85, 100), ngram_join.pair_links(np.arange(50), sets, i, j, 85, 100)):
+        label = list(range(50))
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            low, high = sorted((label[x], label[y]))
+            label = [low if k == high else k for k in label]
+        parts.append(label)
+        assert len(a) < 50
+    assert parts[0] == parts[1] and 1 < len(set(parts[0])) < 50
+    none = ngram_join.pair_links(np.arange(50), sets, i[:0], j[:0], 85, 100)
+    assert not len(none[0]) and not len(none[1])
+
+
 def test_tile_links():
     rng = np.random.default_rng(2)
     base = np.arange(40, dtype=np.uint64)
