@@ -5,6 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from corpusgap.operators import cues
 from corpusgap.operators.cues import FIELDS, CueMatcher
 from corpusgap.operators.evidence import Lexicon
 from corpusgap.plans.fixtures import LEXICON
@@ -52,3 +56,19 @@ def test_only_the_asked_kinds_are_looked_for():
     assert set(matcher.automaton.keys()) == {c for cues in Lexicon().metrics.values() for c in cues}
     assert matcher.evidence("x", "Robustness and delay.") == [["robustness", "latency"]]
     assert CueMatcher(Lexicon(metrics={}), ("metric",)).evidence(None, "x") == [[]]
+
+
+def test_pieces_bound_what_is_held(monkeypatch):
+    monkeypatch.setattr(cues, "_PIECE", 10)
+    texts = pa.array(["abcd", None, "", "abcdef", "x" * 50, "é" * 5, "a", "b"])
+    assert list(cues.pieces(texts)) == [(0, 4), (4, 5), (5, 6), (6, 8)]
+    assert list(cues.pieces(texts.slice(4))) == [(0, 1), (1, 2), (2, 4)] and list(cues.pieces(texts[:0])) == []
+
+
+def test_a_batch_of_many_texts_gives_its_rows_in_order(spark):
+    """Three million characters in one batch come as several pieces."""
+    text = F.concat(F.lit("A robust way no. "), F.col("id").cast("string"), F.lit(". "), F.repeat(F.lit("plain words "), 250))
+    df = spark.range(0, 1000, 1, 1).select("id", cues.matched(F.lit(None).cast("string"), text, Lexicon(), ("limitation", "metric")).alias("e"))
+    got = df.collect()
+    assert [(r["id"], r["e"]["metrics"]) for r in got] == [(i, ["robustness"]) for i in range(1000)]
+    assert all(r["e"]["limitations"][0] == "A robust way no" for r in got)
