@@ -10,18 +10,20 @@ subset, hence on one signature:
 
 * k = 0: one partition; * k <= 3: k + 2 partitions, every pair of them a subset;
 * k > 3: two levels.  The first has so many groups that similar sets differ in at most
-  one element in some group (two groups at least); the second cuts each group into
+  one element in some group (``_AGREE`` groups at least); the second cuts each group into
   three partitions and enumerates the pairs of them, one of which has no difference.
 
 Signatures are shuffled with a 64-bit fingerprint of the set, so exact copies are
-one member.  Partitions without elements are written only by sets that have them in
-as many groups as need not agree.
+one member.  Pairs of partitions without elements are written by threes, as one
+signature each; where that would be very many by twos, or one by one if three groups have such pairs.
 
 Inside a group of equal signatures every member is paired with the group's first and
 pairs are checked exactly on the sets, member by member against the first.  Groups
 whose members are then still in different components are checked once more: those of
 at most ``_FEW`` members pair by pair, so pairs stay in proportion to members; larger
-ones in tiles of two blocks of members each.  Large groups that share members are tiled
+ones in tiles of two blocks of members each.  Where there are two levels, similar sets
+agree in ``_AGREE`` groups at least, so pairs that share fewer signatures and empty pairs
+of partitions together are left out.  Large groups that share members are tiled
 as one family where that compares fewer pairs.  Before sets meet, their parity sketches
 do, which are about a twentieth as long: the bits in which they differ are no more than
 the elements in which the sets do, so no similar pair is lost, and few others are left.
@@ -52,6 +54,8 @@ from .textkit import U64, Texts, chunks, mix64
 
 _BAND_BITS = 8
 _FEW = 32
+#: Groups, of a band of two levels, in which similar sets differ in at most one element.
+_AGREE = 3
 #: Pairs a member that sketches may leave of a tile; a tile that leaves more is checked where its sets are.
 _DENSE = 2
 #: There pairs are checked one by one up to so many a member, and beyond by one matrix product.
@@ -73,6 +77,10 @@ class Bands:
         self.starts = np.array(starts)
         most = self.starts[1:] - 1
         self.apart = 2 * most * (den - num) // (den + num)
+        # So many empty pairs of partitions get one signature: as many as don't make more signatures than there are pairs.
+        pairs = 3.0 * (self.apart // 2 + _AGREE)
+        empty = pairs * np.exp(-2 * self.starts[:-1] * num / den / pairs)
+        self.together = np.select([empty**3 / 6 <= pairs, empty**2 / 2 <= pairs], [_AGREE, 2], 1)
 
     def band(self, size: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, size, side="right") - 1
@@ -83,7 +91,12 @@ class Bands:
     @staticmethod
     def parts(k: np.ndarray) -> np.ndarray:
         """Partitions of a band whose sets differ in at most k elements; for k > 3 three in each group."""
-        return np.where(k == 0, 1, np.where(k <= 3, k + 2, 3 * (k // 2 + 2)))
+        return np.where(k == 0, 1, np.where(k <= 3, k + 2, 3 * (k // 2 + _AGREE)))
+
+    @property
+    def deep(self) -> int:
+        """The first band of two levels."""
+        return int(np.searchsorted(self.apart, 3, side="right"))
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -103,26 +116,62 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[tuple[int, int, np.nd
         yield a, b, size, mix64(total + size.astype(U64)).view(np.int64), doc, hashed
 
 
+def partitions(size: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands, step: int) -> tuple[np.ndarray, ...]:
+    """Of some sets in their own band (``step`` 0) or the next (1): band, whether they write it, k, first partition, the
+    owner of each partition; then the hash and the partition of each element."""
+    own = bands.band(np.maximum(size, 1))
+    use = (size > 0) & (bands.reaches_next(size, own) if step else True)
+    band = own + step
+    k = np.where(use, bands.apart[band], 0)
+    parts = np.where(use, bands.parts(k), 0)
+    base = np.cumsum(parts) - parts
+    mine = use[doc]
+    d, h = doc[mine], hashed[mine]
+    salt = mix64(band.astype(U64) + U64(77))
+    spread = mix64(h ^ salt[d])
+    slot = base[d] + ((spread >> U64(33)).astype(np.int64) % parts[d])
+    return band, use, k, base, np.repeat(np.arange(len(size)), parts), spread, slot
+
+
+def empty_pairs(size: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> pa.Array:
+    """Of each set its pairs of partitions without elements (band and place), in bands of two levels; what similar sets may
+    agree on without a signature for it."""
+    out = []
+    for step in (0, 1):
+        band, use, k, base, owner, _, slot = partitions(size, doc, hashed, bands, step)
+        count = np.bincount(slot, minlength=len(owner))
+        deep = np.flatnonzero((use & (k > 3))[owner])[::3]
+        for j, (x, y) in enumerate(combinations(range(3), 2)):
+            at = deep[count[deep + x] + count[deep + y] == 0]
+            out.append(np.stack([owner[at], (at - base[owner[at]] + j) << _BAND_BITS | band[owner[at]]]))
+    of, place = np.concatenate(out, axis=1)
+    order = np.argsort(of, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of[order], np.arange(len(size) + 1)).astype(np.int32)), pa.array(place[order]))
+
+
+def empty_signatures(owner: np.ndarray, place: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, hash) of each ``many`` empty pairs of one owner in different groups; rows are sorted by owner and place."""
+    whose, sig = [np.zeros(0, np.int64)], [np.zeros(0, U64)]
+    for steps in combinations(range(1, int(np.bincount(owner).max(initial=0))), many - 1):
+        at = np.flatnonzero(owner[: -steps[-1]] == owner[steps[-1] :])
+        places = np.stack([place[at + step] for step in (0, *steps)])
+        apart = (places[1:] // 3 != places[:-1] // 3).all(axis=0)
+        mixed = np.full(int(apart.sum()), 0x2545F4914F6CDD1D, U64)
+        for row in places[:, apart]:
+            mixed = mix64(mixed + row.astype(U64))
+        whose.append(owner[at[apart]])
+        sig.append(mixed)
+    return np.concatenate(whose), np.concatenate(sig)
+
+
 def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, fingerprint) rows of some sets; the low bits of a signature are its band."""
     out_sig, out_print = [], []
-    has = size > 0
-    own = bands.band(np.maximum(size, 1))
     for step in (0, 1):
-        use = has & (bands.reaches_next(size, own) if step else True)
-        band = own + step
-        k = np.where(use, bands.apart[band], 0)
-        parts = np.where(use, bands.parts(k), 0)
-        base = np.cumsum(parts) - parts
-        mine = use[doc]
-        d, h = doc[mine], hashed[mine]
-        salt = mix64(band.astype(U64) + U64(77))
-        spread = mix64(h ^ salt[d])
-        slot = base[d] + ((spread >> U64(33)).astype(np.int64) % parts[d])
-        total, count = np.zeros(int(parts.sum()), U64), np.zeros(int(parts.sum()), np.int64)
+        band, use, k, base, owner, spread, slot = partitions(size, doc, hashed, bands, step)
+        total, count = np.zeros(len(owner), U64), np.zeros(len(owner), np.int64)
         np.add.at(total, slot, mix64(spread + U64(0xA0761D6478BD642F)))
         np.add.at(count, slot, 1)
-        owner = np.repeat(np.arange(len(size)), parts)
         whole = np.flatnonzero((use & (k == 0))[owner])
         groups = [(owner[whole], total[whole], count[whole], np.zeros(len(whole), np.int64))]
         for few in (1, 2, 3):
@@ -135,10 +184,18 @@ def signatures(size: np.ndarray, prints: np.ndarray, doc: np.ndarray, hashed: np
             p, q = first + x, first + y
             groups.append((owner[first], total[p] + total[q], count[p] + count[q], first - base[owner[first]] + j))
         owner, total, count, place = (np.concatenate(c) for c in zip(*groups, strict=True))
-        # Two of a set's groups at least must agree with a similar set's; so one group with an empty pair can be spared.
+        # _AGREE of a set's groups at least must agree with a similar set's: in one pair that isn't empty, or all in empty ones,
+        # which have signatures so many together as it needs (where that would be very many: fewer together or one by one).
+        together = np.where(k > 3, bands.together[band], 1)
+        for many in (2, _AGREE):
+            none = np.flatnonzero((count == 0) & (together == many)[owner])
+            none = none[np.lexsort((place[none], owner[none]))]
+            whose, sig = empty_signatures(owner[none], place[none], many)
+            out_sig.append(((sig << U64(_BAND_BITS)) | band[whose].astype(U64)).view(np.int64))
+            out_print.append(prints[whose])
         lacking = np.unique((owner[count == 0] << 32) | (place[count == 0] // 3))
         lacking = np.bincount(lacking >> 32, minlength=len(size))
-        keep = (count > 0) | (lacking > np.where(k > 3, 1, 0))[owner]
+        keep = (count > 0) | ((lacking > np.where(k > 3, _AGREE - 1, 0)) & (together == 1))[owner]
         owner, total, count, place = owner[keep], total[keep], count[keep], place[keep]
         sig = mix64(total + mix64(count.astype(U64) * U64(0x9FB21C651E98DF25) + place.astype(U64)))
         sig = (sig << U64(_BAND_BITS)) | band[owner].astype(U64)
@@ -260,21 +317,23 @@ def may_be_similar(a: tuple[int, np.ndarray], b: tuple[int, np.ndarray], num: in
     return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (size_a + size_b) * (den - num)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(print, size, items, sketch) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes, and their parity sketch."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """(print, size, empty, items, sketch) of the wanted sets (wanted_id, print): sorted shingle hashes of 48 bits as bytes, and their parity sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(num, den)
         for batch in batches:
             asked = batch.column(0).to_numpy()
-            for a, b, size, prints, _, hashed in shingle_sets(batch.column(1), width):
+            for a, b, size, prints, doc, hashed in shingle_sets(batch.column(1), width):
+                empty = empty_pairs(size, doc, hashed, bands)
                 cut = np.concatenate([[0], np.cumsum(size)])
                 rows = np.flatnonzero(prints == asked[a:b])
                 items = [packed_items(hashed[cut[i] : cut[i + 1]]) for i in rows]
                 sketches = [parity_sketch(hashed[cut[i] : cut[i + 1]]) for i in rows]
-                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(size[rows]), pa.array(items, pa.binary()), pa.array(sketches, pa.binary())], ["print", "size", "items", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(size[rows]), empty.take(pa.array(rows)), pa.array(items, pa.binary()), pa.array(sketches, pa.binary())], ["print", "size", "empty", "items", "sketch"])
 
     rows = docs.join(wanted.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(wanted["wanted_id"])).select("print", "text")
-    return rows.mapInArrow(run, "print long, size long, items binary, sketch binary")
+    return rows.mapInArrow(run, "print long, size long, empty array<long>, items binary, sketch binary")
 
 
 def _stars(pairs: DataFrame, sets: DataFrame, column: str, read, keep) -> DataFrame:
@@ -495,15 +554,15 @@ def similar_groups(df: DataFrame, width: int = 4, num: int = 85, den: int = 100,
     shared = reduce(DataFrame.unionByName, shares)
     members = shared.select("print").distinct()
     ids = digests.filter("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("wanted_id"))
-    sets = scratch.settle(_sets(docs, ids.join(members, "print"), width))
+    sets = scratch.settle(_sets(docs, ids.join(members, "print"), width, num, den))
     join = _Join(scratch, sets, num, den)
-    # First every member with the first that it meets most often; then, in groups that are still mixed, with every other first.
+    # First every member with the first that it meets most often; then, in large groups that are still mixed, with every other first.
     met = shared.filter("print <> first").groupBy(F.col("first").alias("a"), F.col("print").alias("b")).agg(F.count("*").alias("shared"))
     best = scratch.settle(met.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
     join.check(best)
     rows = join.mixed(shared)
     scratch.drop(*shares)
-    stars = scratch.settle(rows.filter("label <> label_first").select(F.col("first").alias("a"), F.col("print").alias("b")).distinct().join(best, ["a", "b"], "left_anti"))
+    stars = scratch.settle(rows.filter((F.col("members") > _FEW) & (F.col("label") != F.col("label_first"))).select(F.col("first").alias("a"), F.col("print").alias("b")).distinct().join(best, ["a", "b"], "left_anti"))
     if not stars.isEmpty():
         join.check(stars)
         before, rows = rows, join.mixed(rows)
@@ -540,9 +599,11 @@ def _rest(join: _Join, rows: DataFrame, checked: DataFrame) -> None:
         families = _families(scratch, large)
         together = families.filter("family IS NOT NULL").select(F.col("family").alias("sig"), "print").distinct()
         join.check_tiles(together.unionByName(families.filter("family IS NULL").select("sig", "print")))
-    few = _labelled(rows.filter(F.col("members") <= _FEW).select("sig", "print"), join.labels, "print", "label")
-    one, two = (few.select("sig", F.col("print").alias(side), F.col("label").alias(f"label_{side}")) for side in "ab")
-    across = one.join(two, "sig").filter("a < b AND label_a <> label_b").select("a", "b").distinct()
+    few = _labelled(rows.filter(F.col("members") <= _FEW).select("sig", "print"), join.labels, "print", "label").join(join.sets.select("print", "empty"), "print")
+    one, two = (few.select("sig", F.col("print").alias(side), F.col("label").alias(f"label_{side}"), F.col("empty").alias(f"empty_{side}")) for side in "ab")
+    # Similar sets of a band of two levels share so many signatures and empty pairs at least.
+    enough = (F.count("*") + F.max(F.size(F.array_intersect("empty_a", "empty_b"))) >= _AGREE) | (F.min(F.col("sig").bitwiseAND((1 << _BAND_BITS) - 1)) < Bands(join.num, join.den).deep)
+    across = one.join(two, "sig").filter("a < b AND label_a <> label_b").groupBy("a", "b").agg(enough.alias("enough")).filter("enough").select("a", "b")
     across = across.join(checked, ["a", "b"], "left_anti")
     if families is not None:
         met = families.filter("family IS NOT NULL").select("print", "family").distinct()

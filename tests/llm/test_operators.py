@@ -243,6 +243,40 @@ def test_similar_sets_share_a_signature(num, den):
             assert set(sig[owner == 0]) & set(sig[owner == 1])
 
 
+@pytest.mark.parametrize("together", [None, 1, 2, 3])
+def test_similar_sets_agree_in_three_groups(together):
+    """By signatures and empty pairs, whichever way empty pairs are written; of bands of one level by one signature."""
+    rng, bands, one_only = np.random.default_rng(4), ngram_join.Bands(80, 100), 0
+    bands.together = bands.together if together is None else np.full(len(bands.together), together)
+    for size in [*range(1, 60), 100, 200]:
+        for _ in range(8):
+            one = rng.integers(0, 2**63, size).astype(np.uint64)
+            gone = rng.integers(0, 20 * size // 100 + 1)
+            two = np.concatenate([one[gone:], rng.integers(0, 2**63, rng.integers(0, gone + 1)).astype(np.uint64)])
+            if 100 * (size - gone) < 80 * (len(two) + gone):
+                continue
+            sets = np.array([size, len(two)]), np.repeat([0, 1], [size, len(two)]), np.concatenate([one, two])
+            sig, owner = ngram_join.signatures(sets[0], np.array([0, 1]), *sets[1:], bands)
+            both, empty = set(sig[owner == 0]) & set(sig[owner == 1]), ngram_join.empty_pairs(*sets, bands).to_pylist()
+            deep = min(int(x) & 255 for x in both) >= bands.deep
+            assert not deep or len(both) + len(set(empty[0]) & set(empty[1])) >= 3
+            one_only += not deep
+    assert one_only
+
+
+def test_pairs_that_share_one_signature_alone_are_not_compared(spark, monkeypatch):
+    """Texts of 200 words with 25 of a common passage each: some signatures are shared, but no text is like another."""
+    rng, checked, check = random.Random(2), [], ngram_join._Join.check
+    passage = [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(300):
+        at = rng.randrange(35)
+        rows.append((i, " ".join([*passage[at : at + 25], *(f"w{rng.randrange(10**6)}" for _ in range(175))])))
+    monkeypatch.setattr(ngram_join._Join, "check", lambda self, pairs: checked.append(pairs.count()) or check(self, pairs))
+    out = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    assert all(r["component_id"] == r["doc_id"] for r in out) and sum(checked) < 300
+
+
 def test_a_family_about_the_threshold_makes_rows_in_proportion_to_members(spark, monkeypatch):
     """All pairs of 60 sets may be similar by their sketches and only neighbours are: they aren't shipped pair by pair."""
     rng = np.random.default_rng(6)
