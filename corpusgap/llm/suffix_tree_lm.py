@@ -10,17 +10,17 @@ the others by ``LEAST_GAIN`` nats in the mean.  A kept distribution is smoothed
 the longest kept suffix; a word of a class also takes its smoothed share in the class.
 With counts c + 1 at the root and in classes, all probabilities of a state sum to 1.
 
-Contexts, their counts and the kept states are Spark tables, a level after the other;
-a counted pair (context, next symbol) meets one row, its probability in the context one
-shorter.  A state's probability is its suffix's times a factor: one for each next symbol
-it has seen, one for all others.  So a token's score is a sum over its kept contexts, and
-each (context, next symbol) of a text meets its factors independently; a context with
-very many tokens is dealt over several tasks.  What is shuffled for this follows the
-tokens, in rounds by context of a quarter of them each, so that little of it is on disk
-at once.  Filters of a fixed size tell tasks which contexts may be frequent or kept; what
-they let through by mistake is removed by the exact counts and joins.  Texts are read
-twice, to count words and to write them as symbols (about two bytes a token); all further
-passes read these.
+A token goes, with the symbols before it, to a bucket by the last of them.  So a bucket has all
+tokens of its contexts, whatever their depth, and a task grows that part of the tree level by level:
+it sorts the tokens by context and next symbol, keeps contexts, and passes each token's
+probability on to the context one longer; what is left at the end is that in the longest
+kept context.  Tokens that don't learn are carried along, so they are scored on the way.
+The states of a hot context (one with more tokens than a bucket should hold) are counted
+beforehand as a Spark table, met by their probabilities in the context one shorter, and
+sent to the buckets over which its tokens are dealt by the context one longer.
+Tokens move once, in rounds of a quarter of the buckets each, so that little of them is on
+disk at once; texts are read twice, to count words and to write them as symbols (about
+two bytes a token); each round reads these.
 
 Beside it stands the base: the words' own add-one shares.  Word counts cover all
 training texts: the commonest words, a bounded number, are handed to every task,
@@ -58,8 +58,11 @@ ROUND_SHARE, ROUND_ROWS = 1 / 4, 1 << 22
 HEAD = 1 << 19
 #: Bits of a filter of contexts, whatever their number, and tasks that write parts of it.
 FILTER_BITS, FILTER_PARTS = 1 << 25, 8
-#: A context of more tokens than this, and than this share of all, is dealt over several tasks.
-HOT_TOKENS, HOT_SHARE = 1 << 20, 1 / 4096
+#: A context of more tokens than this, and than this share of all, is dealt over several buckets; so is any of more than ``HOT_MOST``.
+#: With a share of all, hot contexts are as many whatever the corpus; the bound is for the memory of a bucket, which has half as many tokens in the mean.
+HOT_TOKENS, HOT_SHARE, HOT_MOST = 1 << 16, 1 / 256, 1 << 21
+#: Tokens that are dealt to buckets at a time (or one document).
+CHUNK_TOKENS = 1 << 20
 
 
 class Lookup:
@@ -223,178 +226,330 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "word long, n long, class int").groupBy("word").agg(F.sum("n").alias("n"), F.first("class").alias("class"))
 
 
-def context_counts(tokens: DataFrame, depth: int, frequent, share: int = 0, rounds: int = 1) -> DataFrame:
-    """(ctx, next, n, below) of one depth: counts of next symbols, and from the second depth on the key of the context one shorter.
+def rounds_for(rows: int, tokens: int) -> int:
+    return max(1, -(-rows // max(ROUND_ROWS, int(tokens * ROUND_SHARE))))
+
 
-    Only contexts of one ``share`` of ``rounds`` are counted.
+def smoothed(first: np.ndarray, n: np.ndarray, lower: np.ndarray, least: int, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """Whether contexts occur ``least`` times, and the log10 probability of each of their next symbols in the longest kept context.
+
+    ``n`` are the counts of a context's next symbols (0: asked, not seen), ``lower`` their log10 probabilities in
+    its longest kept suffix; a context's symbols stand together, from its place in ``first`` on.
     """
-    names = ["ctx", "next", "n", *(["below"] if depth > 1 else [])]
+    summed = lambda x: np.add.reduceat(x, first)
+    whole, kinds, single = summed(n), summed((n > 0).astype(np.int64)), summed((n == 1).astype(np.int64))
+    # What is foretold of a token by the others: n - 1 of them if there are such, else only the state's share for new symbols.
+    own, many = np.zeros(len(n)), np.flatnonzero(n > 1)
+    own[many] = n[many] * (np.log(n[many] - 1) - lower[many] * np.log(10))
+    better = summed(own) + single * np.log(np.maximum(kinds, 1)) - whole * np.log(np.maximum(whole - 1 + kinds, 1))
+    frequent = whole >= least
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(n))))
+    at = np.flatnonzero((frequent & (better >= gain * whole))[of])
+    of, out = of[at], lower.copy()
+    out[at] = np.log10((n[at] + kinds[of] * 10.0 ** lower[at]) / (whole[of] + kinds[of]))
+    return frequent, out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, symbol, doc in token_chunks(batch.column(0)):
-                found = contexts(symbol, doc, depth)
-                key, inside = found[-1]
-                at = np.flatnonzero(inside)
-                at = at[share_of_keys(key[at], rounds) == share]
-                if frequent is not None:
-                    at = at[frequent.value(key[at])]
-                if depth == 1:
-                    pair, n = np.unique((key[at] << U64(24)) | symbol[at].astype(U64), return_counts=True)
-                    columns = [pair >> U64(24), pair & U64((1 << 24) - 1), n]
-                else:
-                    order = at[np.lexsort((symbol[at], key[at]))]
-                    key, after = key[order], symbol[order]
-                    new = np.ones(len(key), bool)
-                    new[1:] = (key[1:] != key[:-1]) | (after[1:] != after[:-1])
-                    first = np.flatnonzero(new)
-                    columns = [key[first], after[first], np.diff(np.append(first, len(key))), found[-2][0][order[first]]]
-                kinds = [np.int64, np.int32, np.int32, np.int64][: len(names)]
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64).astype(k)) for c, k in zip(columns, kinds, strict=True)], names)
 
-    rows = tokens.mapInArrow(run, "ctx long, next int, n int" + (", below long" if depth > 1 else ""))
-    return rows.groupBy("ctx", "next").agg(F.sum("n").alias("n"), *([F.first("below").alias("below")] if depth > 1 else []))
+def context_key(symbols: list[np.ndarray]) -> np.ndarray:
+    """The key of contexts whose symbols are given, the last one first."""
+    key = symbols[-1].astype(U64)
+    for symbol in symbols[-2::-1]:
+        key = extended(key, symbol)
+    return key
 
 
-def share_of(ctx: str, rounds: int):
-    """The round in which a context's rows are shuffled; ``share_of_keys`` is its like for keys in tasks."""
-    return F.col(ctx).bitwiseXOR(F.shiftrightunsigned(ctx, 33)).bitwiseAND(F.lit(0x7FFFFFFF)) % rounds
+@dataclass
+class Deal:
+    """The bucket of each token: that of its last symbol, or of the symbol before its longest hot context.
 
+    All tokens of one context are in one bucket, but those of a hot one are in ``parts`` of them, by the
+    context one longer (or by text where there is none).  ``hot`` has (keys, parts) for each depth, up to the first without any.
+    """
 
-def share_of_keys(keys: np.ndarray, rounds: int) -> np.ndarray:
-    return ((keys ^ (keys >> U64(33))) & U64(0x7FFFFFFF)) % U64(rounds)
+    buckets: int
+    symbols: int
+    hot: list[tuple[np.ndarray, np.ndarray]]
 
+    def __post_init__(self):
+        self.own = (mix64(np.arange(self.symbols, dtype=U64)) % U64(self.buckets)).astype(np.int64)
+        self.find = []
+        for depth, (keys, parts) in enumerate(self.hot):
+            order = np.argsort(keys)
+            keys, parts = keys[order].astype(U64), parts[order].astype(U64)
+            if depth == 0:  # single symbols are their own keys
+                places = np.full(self.symbols, -1, np.int64)
+                places[keys.astype(np.int64)] = np.arange(len(keys))
+                self.find.append((lambda asked, places=places: places[asked.astype(np.int64)], keys, parts))
+            else:
+                self.find.append((Lookup(keys), keys, parts))
 
-def rounds_for(rows: int, tokens: int) -> int:
-    return max(1, -(-rows // max(ROUND_ROWS, int(tokens * ROUND_SHARE))))
+    def __getstate__(self):
+        return self.buckets, self.symbols, self.hot
 
+    def __setstate__(self, state):
+        self.buckets, self.symbols, self.hot = state
+        self.__post_init__()
 
-def with_lower(scratch: Scratch, pairs: DataFrame, root: DataFrame, before: DataFrame | None, tokens: int) -> tuple[DataFrame, list[DataFrame]]:
-    """``pairs`` with ``lower``, the log10 probability of ``next`` in the longest kept suffix of ``ctx``; the tables that hold them.
+    def start(self, key: np.ndarray) -> np.ndarray:
+        return mix64(key + U64(0x8CB92BA72F3D8DD7))
+
+    def __call__(self, symbol: np.ndarray, at: np.ndarray, have: np.ndarray, name: np.ndarray, max_depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(bucket, length of the longest hot context) of the tokens ``at`` with ``have`` symbols before them, one at least, in texts ``name``."""
+        bucket, longest = self.own[symbol[at - 1]], np.zeros(len(at), np.int64)
+        if not self.find:
+            return bucket, longest
+        key = symbol[at - 1].astype(U64)
+        place = self.find[0][0](key)
+        left = np.flatnonzero(place >= 0)
+        key, place = key[left], place[left]
+        for depth in range(1, max_depth + 1):
+            if not len(left):
+                break
+            _, _, parts = self.find[depth - 1]
+            spread = mix64(name[left])
+            longer = np.flatnonzero(have[left] > depth) if depth < max_depth else np.zeros(0, np.int64)
+            on = np.full(len(left), -1, np.int64)
+            if len(longer):
+                own = at[left[longer]]
+                keys = context_key([symbol[own - j] for j in range(1, depth + 2)])
+                spread[longer] = mix64(keys)
+                if depth < len(self.find):
+                    on[longer] = self.find[depth][0](keys)
+            bucket[left] = ((self.start(key) + spread % parts[place]) % U64(self.buckets)).astype(np.int64)
+            longest[left] = depth
+            follow = on >= 0
+            if not follow.any():
+                break
+            left, place = left[follow], on[follow]
+            key = self.find[depth][1][place]
+        return bucket, longest
+
+    def model_buckets(self, depth: int, key: int) -> np.ndarray:
+        """The buckets that hold tokens of a hot context."""
+        find, _, parts = self.find[depth - 1]
+        own = np.array([key], np.int64).view(U64)
+        # The same sum as for tokens, whose 64 bits may run over.
+        return np.unique((self.start(own) + np.arange(int(parts[find(own)[0]]), dtype=U64)) % U64(self.buckets)).astype(np.int64)
+
+
+def hot_symbols(rows: DataFrame, tokens: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, tokens) of about all symbols with more than ``often`` tokens; a batch tells only of those with an eighth of that share in it."""
 
-    ``before`` (ctx, next, prob) has it for the contexts one shorter, all of which occur as often at least;
-    so one row is met for each pair, in rounds by the shorter context.
-    """
-    if before is None:
-        return pairs.join(F.broadcast(root), "next"), []  # at most HEAD symbols, the classes and the end
-    rounds = rounds_for(pairs.count(), tokens)
-    shorter = before.select(F.col("ctx").alias("below"), "next", F.col("prob").alias("lower"))
-    parts = [pairs.filter(share_of("below", rounds) == i).join(shorter.filter(share_of("below", rounds) == i), ["below", "next"]).drop("below") for i in range(rounds)]
-    parts = [scratch.settle(p) for p in parts]
-    return reduce(DataFrame.unionByName, parts), parts
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, symbol, _ in token_chunks(batch.column(0)):
+                n = np.bincount(symbol)
+                at = np.flatnonzero(n > len(symbol) * often / tokens / 8)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["symbol", "n"])
+
+    found = rows.select("symbols").mapInArrow(run, "symbol int, n long").groupBy("symbol").agg(F.sum("n").alias("n")).filter(F.col("n") > often).toArrow()  # at most tokens / often rows
+    return found["symbol"].to_numpy(), found["n"].to_numpy()
 
 
-def kept_states(scratch: Scratch, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(frequent contexts (ctx, whole, kept, rest), their pairs (ctx, next, prob, value)) of one level, in log10.
+def hot_states(scratch: Scratch, rows: DataFrame, log_root, end: int, tokens: int, often: int, max_depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], list[DataFrame]]:
+    """The hot contexts (keys, parts) of each depth, and for each depth a table (ctx, next, prob) of all next symbols they meet.
 
-    ``pairs`` (ctx, next, n, lower) are its counts, ``rest`` is the factor of next symbols that a context
-    hasn't seen, ``value`` that of a seen one, ``prob`` the probability in the longest kept context up to this level.
+    A level after the other is counted: a counted pair meets one row, its probability in the context one shorter.
     """
-    n, whole, kinds = F.col("n"), F.col("whole"), F.col("kinds")
-    # What is foretold of a token by the others: n - 1 of them if there are such, else only the state's share for new symbols.
-    own = F.sum(F.when(n > 1, n * (F.log(n - 1) - F.col("lower") * float(np.log(10)))))
-    sums = pairs.groupBy("ctx").agg(F.sum("n").alias("whole"), F.count("*").alias("kinds"), F.count_if(n == 1).alias("single"), own.alias("own")).filter(whole >= LEAST_COUNT)
-    gain = F.coalesce("own", F.lit(0.0)) + F.col("single") * F.log("kinds") - whole * F.log(whole - 1 + kinds)
-    stats = scratch.settle(sums.select("ctx", "whole", "kinds", (gain >= LEAST_GAIN * whole).alias("kept"), F.log10(kinds / (whole + kinds)).alias("rest")))
-    mixed = F.log10((n + kinds * F.pow(F.lit(10.0), F.col("lower"))) / (whole + kinds))
-    rows = pairs.join(stats.select("ctx", "whole", "kinds", "kept"), "ctx")
-    seen = rows.select("ctx", "next", F.when(F.col("kept"), mixed).otherwise(F.col("lower")).alias("prob"), F.when(F.col("kept"), mixed - F.col("lower")).alias("value"))
-    return stats, scratch.settle(seen)
-
-
-def grown(scratch: Scratch, tokens: DataFrame, end: int, root: DataFrame, max_depth: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """The kept contexts and factors of all levels; a level's counts also name the next level's frequent contexts."""
-    sc, frequent, kept, factors, before = scratch.spark.sparkContext, None, None, None, None
+    if tokens <= often:
+        return [], []
+    least, gain = LEAST_COUNT, LEAST_GAIN
+
+    def level(first: bool):
+        def run(table: pa.Table) -> pa.Table:
+            lower = log_root.value[table["next"].to_numpy()] if first else table["lower"].to_numpy()
+            _, prob = smoothed(np.zeros(1, np.int64), table["n"].to_numpy(), lower, least, gain)
+            return pa.table([table["ctx"], table["next"], table["m"], pa.array(prob)], ["ctx", "next", "m", "prob"])
+
+        return run
+
+    keys, sizes = hot_symbols(rows, tokens, often)
+    keep = keys != end
+    keys, sizes = keys[keep].astype(U64), sizes[keep]
+    hot, tables = [], []
+    sc = scratch.spark.sparkContext
     for depth in range(1, max_depth + 1):
-        rounds = rounds_for(whole, whole)
-        counted = [scratch.settle(context_counts(tokens, depth, frequent, i, rounds)) for i in range(rounds)]
-        counts = reduce(DataFrame.unionByName, counted)
-        paired, parts = with_lower(scratch, counts, root, before, whole)
-        if parts:
-            scratch.drop(before)
-        stats, seen = kept_states(scratch, paired)
-        stats = stats.filter("kept").select("ctx", "whole", "rest")
-        kept = stats if kept is None else kept.unionByName(stats)
-        found = scratch.settle(seen.filter("value IS NOT NULL").select("ctx", "next", "value"))
-        factors = found if factors is None else factors.unionByName(found)
-        longer = counts.filter((F.col("n") >= LEAST_COUNT) & (F.col("next") != end)).select("ctx", "next")
-        last = depth == max_depth or longer.isEmpty()
-        if not last:
-            frequent = sc.broadcast(ContextFilter.of(longer, extend=True))
-        scratch.drop(*counted, *parts, *([seen] if last else []))
-        before = seen
-        if last:
+        if not len(keys):
             break
-    return kept, factors
+        hot.append((keys, 2 * -(-sizes // often)))
+        known = sc.broadcast(np.sort(mix64(keys)))
 
-
-def context_factors(scratch: Scratch, rows: DataFrame, kept: DataFrame, factors: DataFrame, tokens: int, max_depth: int) -> DataFrame:
-    """(lm_key, more): the sum of the factors of all kept contexts of the rows (symbols, lm_key) with one key."""
+        def run(batches: Iterator[pa.RecordBatch], depth=depth, known=known) -> Iterator[pa.RecordBatch]:
+            find = Lookup(known.value)
+            for batch in batches:
+                learns = batch.column(1).to_numpy(zero_copy_only=False)
+                for start, symbol, doc in token_chunks(batch.column(0), CHUNK_TOKENS):
+                    found = contexts(symbol, doc, depth)
+                    key, inside = found[-1]
+                    at = np.flatnonzero(inside)
+                    at = at[find(mix64(key[at])) >= 0]
+                    order = at[np.lexsort((symbol[at], key[at]))]
+                    key, after = key[order], symbol[order]
+                    new = np.ones(len(key), bool)
+                    new[1:] = (key[1:] != key[:-1]) | (after[1:] != after[:-1])
+                    first = np.flatnonzero(new)
+                    if len(first):
+                        learnt = np.add.reduceat(learns[start + doc[order]].astype(np.int64), first)
+                        below = found[-2][0][order[first]] if depth > 1 else np.zeros(len(first), U64)
+                        columns = [key[first].view(np.int64), after[first].astype(np.int32), learnt, np.diff(np.append(first, len(key))), below.view(np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["ctx", "next", "n", "m", "below"])
+
+        pairs = rows.select("symbols", "lm_learn").mapInArrow(run, "ctx long, next int, n long, m long, below long")
+        pairs = pairs.groupBy("ctx", "next").agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.first("below").alias("below"))
+        if tables:
+            lower = tables[-1].select(F.col("ctx").alias("below"), "next", F.col("prob").alias("lower"))
+            pairs = pairs.join(lower, ["below", "next"])
+        else:
+            pairs = pairs.withColumn("lower", F.lit(0.0))
+
+        # A group has at most as many rows as there are symbols.
+        pairs = pairs.select("ctx", "next", "n", "m", "lower").groupBy("ctx").applyInArrow(level(not tables), "ctx long, next int, m long, prob double")
+        tables.append(scratch.settle(pairs))
+        more = tables[-1].filter((F.col("m") > often) & (F.col("next") != end)).select("ctx", "next", "m").toArrow()  # at most tokens / often rows
+        keys, sizes = extended(more["ctx"].to_numpy().view(U64), more["next"].to_numpy()), more["m"].to_numpy()
+    return hot, tables
+
+
+def bucket_scores(max_depth: int, log_root, least: int, gain: float):
+    """For ``applyInArrow``: one bucket's tokens (and the states of hot contexts) to (lm_key, more), a row for each run of a text's tokens."""
+
+    def run(table: pa.Table) -> pa.Table:
+        held, names, model = [], [], []
+        for n, packed, name in zip(table["n"].to_pylist(), table["packed"].to_pylist(), table["names"].to_pylist(), strict=True):
+            if n < 0:
+                model.append((np.frombuffer(name, U64), np.frombuffer(packed, np.uint8)[: -4 * n].view("<i4"), np.frombuffer(packed, np.uint8)[-4 * n :].view("<f8")))
+            else:
+                held.append(np.frombuffer(packed, np.uint8).reshape(-1, n))
+                names.append(np.frombuffer(name, np.int64))
+        if not held:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64())], ["lm_key", "more"])
+        raw = np.concatenate(held, axis=1)
+        del held
+        symbol = [raw[3 * j].astype(np.int64) | (raw[3 * j + 1].astype(np.int64) << 8) | (raw[3 * j + 2].astype(np.int64) << 16) for j in range(max_depth + 1)]
+        flags = raw[-1]
+        del raw
+        after, before = symbol[0], symbol[1:]
+        have, longest, learn = flags & 7, (flags >> 3) & 7, (flags >> 6 & 1).astype(np.int64)
+        root = log_root.value[after]
+        prob = root.copy()
+        if model:
+            pair = np.concatenate([extended(np.repeat(key, len(s)), s) for key, s, _ in model])
+            values, order = np.concatenate([v for _, _, v in model]), np.argsort(pair)
+            pair, values = pair[order], values[order]
+            for depth in range(1, max_depth + 1):
+                at = np.flatnonzero(longest == depth)
+                if len(at):
+                    asked = extended(context_key([x[at] for x in before[:depth]]), after[at])
+                    prob[at] = values[np.searchsorted(pair, asked)]
+        left, group = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for depth in range(1, max_depth + 1):
+            entering = np.flatnonzero((longest == depth - 1) & (have >= depth))
+            if depth == 1:
+                fresh = np.zeros(len(entering), np.int64)
+            else:
+                fresh = np.unique(context_key([x[entering] for x in before[: depth - 1]]), return_inverse=True)[1] if len(entering) else entering
+                stay = np.flatnonzero(have[left] >= depth)
+                left, group = left[stay], group[stay]
+            # Numbers of groups of frequent contexts first, then those of hot ones.
+            shift = int(group.max()) + 1 if len(group) else 0
+            left, group = np.concatenate([left, entering]), np.concatenate([group, fresh + shift])
+            if not len(left):
+                continue
+            key = (group << 40) | (before[depth - 1][left] << 20) | after[left]
+            order = np.argsort(key)
+            key, left = key[order], left[order]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.flatnonzero(new)
+            context = key[first] >> 20
+            start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+            frequent, found = smoothed(start, np.add.reduceat(learn[left], first), prob[left[first]], least, gain)
+            size = np.diff(np.append(first, len(key)))
+            prob[left] = np.repeat(found, size)
+            of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(first))))
+            of = np.repeat(of, size)
+            keep = np.flatnonzero(frequent[of])
+            left, group = left[keep], (np.cumsum(frequent) - 1)[of[keep]]
+        run_of = np.cumsum((flags >> 7).astype(np.int64)) - 1
+        names = np.concatenate(names)
+        return pa.table([pa.array(names), pa.array(np.bincount(run_of, weights=prob - root, minlength=len(names)))], ["lm_key", "more"])
+
+    return run
+
+
+def context_scores(scratch: Scratch, rows: DataFrame, log_root: np.ndarray, max_depth: int) -> DataFrame:
+    """(lm_key, more): what the kept contexts add to the root's log10 probabilities of the rows (symbols, lm_key, lm_learn, n_tokens) with one key.
+
+    Tokens go to buckets by their contexts; a bucket has all tokens of its contexts, so it counts them, level by
+    level, and tells its tokens' probabilities at once.  A few buckets' tokens move at a time.
+    """
     sc = scratch.spark.sparkContext
-    often = max(HOT_TOKENS, int(tokens * HOT_SHARE))
-    parts = F.ceil(F.col("whole") / often).cast("int")
-    hot = kept.filter(F.col("whole") > often).select("ctx", parts.alias("parts")).toArrow()  # at most max_depth / HOT_SHARE rows
-    order = np.argsort(hot["ctx"].to_numpy().view(U64))
-    hot_keys, hot_parts = hot["ctx"].to_numpy().view(U64)[order], hot["parts"].to_numpy()[order]
-    known = sc.broadcast(ContextFilter.of(kept.select("ctx")))
-    names = ["ctx", "part", "next", "value", "lm_key"]
-    kinds = "ctx long, part int, next int, value double, lm_key long"
-    rounds = rounds_for(kept.agg(F.sum("whole")).first()[0] or 0, tokens)
+    tokens = rows.agg(F.sum("n_tokens")).first()[0] or 0
+    often = min(HOT_MOST, max(HOT_TOKENS, int(tokens * HOT_SHARE)))
+    buckets = max(1, -(-2 * tokens // often))
+    rounds = min(buckets, rounds_for(tokens, tokens))
+    end, root = len(log_root) - 1, sc.broadcast(log_root)
+    hot, tables = hot_states(scratch, rows, root, end, tokens, often, max_depth)
+    deal = sc.broadcast(Deal(buckets, len(log_root), hot))
+    kinds, names = "bucket int, n int, packed binary, names binary", ["bucket", "n", "packed", "names"]
 
     def asked(share: int):
         return lambda batches: asked_of(share, batches)
 
     def asked_of(share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            every = batch.column(1).to_numpy()
-            for start, symbol, doc in token_chunks(batch.column(0)):
-                names_of = every[start:]
-                for key, inside in contexts(symbol, doc, max_depth):
-                    at = np.flatnonzero(inside)
-                    at = at[share_of_keys(key[at], rounds) == share]
-                    at = at[known.value(key[at])]
-                    part = np.zeros(len(at), np.int32)
-                    if len(hot_keys):
-                        place = np.minimum(np.searchsorted(hot_keys, key[at]), len(hot_keys) - 1)
-                        spread = (mix64(names_of[doc[at]].view(U64)) >> U64(33)).astype(np.int64)
-                        part = np.where(hot_keys[place] == key[at], spread % hot_parts[place], 0).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key[at].view(np.int64)), pa.array(part), pa.array(symbol[at].astype(np.int32)), pa.nulls(len(at), pa.float64()), pa.array(names_of[doc[at]])], names
-                    )
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Reads model rows (next -1: the factor of unseen symbols) each before the tokens it is for."""
-        held = None
+            every, learns = batch.column(1).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False)
+            for start, symbol, doc in token_chunks(batch.column(0), CHUNK_TOKENS):
+                have = np.minimum(np.arange(len(symbol)) - np.searchsorted(doc, np.arange(doc[-1] + 1))[doc], max_depth)
+                at = np.flatnonzero(have)
+                bucket, longest = deal.value(symbol, at, have[at], every[start + doc[at]].view(U64), max_depth)
+                own = np.flatnonzero(bucket % rounds == share)
+                if not len(own):
+                    continue
+                order = own[np.sort((bucket[own] << 32) | np.arange(len(own))) & 0xFFFFFFFF]
+                at, bucket, longest = at[order], bucket[order], longest[order]
+                of = doc[at]
+                new = np.ones(len(at), bool)
+                new[1:] = bucket[1:] != bucket[:-1]
+                cut = np.append(np.flatnonzero(new), len(at))
+                new[1:] |= of[1:] != of[:-1]
+                learnt = learns[start + of]
+                raw = np.ascontiguousarray(symbol.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T)
+                packed = np.concatenate([*(raw[:, np.maximum(at - j, 0)] for j in range(max_depth + 1)), (have[at] | (longest << 3) | (learnt.astype(np.int64) << 6) | (new.astype(np.int64) << 7)).astype(np.uint8)[None]])
+                runs = np.flatnonzero(new)
+                keys, run_cut = every[start + of[runs]], np.searchsorted(runs, cut)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(bucket[cut[:-1]].astype(np.int32)), pa.array(np.diff(cut).astype(np.int32)),
+                        pa.array([packed[:, a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([keys[a:b].tobytes() for a, b in zip(run_cut[:-1], run_cut[1:], strict=True)], pa.binary()),
+                    ],
+                    names,
+                )
+
+    def modelled(depth: int, share: int):
+        return lambda batches: modelled_of(depth, share, batches)
+
+    def modelled_of(depth: int, share: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            value, is_token = batch.column(3).to_numpy(zero_copy_only=False), batch.column(3).is_null().to_numpy(zero_copy_only=False)
-            name = batch.column(4).fill_null(0).to_numpy()
-            if held is not None:
-                columns = [np.concatenate([h, c]) for h, c in zip(held[:3], columns, strict=True)]
-                value, is_token, name = np.concatenate([held[3], value]), np.concatenate([np.zeros(len(held[3]), bool), is_token]), np.concatenate([np.zeros(len(held[3]), np.int64), name])
-            key, part, after = columns
-            place = np.arange(len(key))
-            rest = np.maximum.accumulate(np.where(~is_token & (after == -1), place, -1))
-            seen = np.maximum.accumulate(np.where(~is_token & (after != -1), place, -1))
-            same = lambda other: (other >= 0) & (key[other] == key) & (part[other] == part)
-            exact = same(seen) & (after[seen] == after)
-            hit = np.flatnonzero(is_token & (exact | same(rest)))
-            if len(hit):
-                owner, at = np.unique(name[hit], return_inverse=True)
-                total = np.bincount(at, weights=np.where(exact[hit], value[seen[hit]], value[rest[hit]]))
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(total)], ["lm_key", "more"])
-            keep = np.unique([i for i in (rest[-1:].tolist() + seen[-1:].tolist()) if i >= 0]).astype(np.int64)
-            held = [key[keep], part[keep], after[keep], value[keep]]
-
-    model = kept.select("ctx", F.lit(-1).alias("next"), F.col("rest").alias("value"), parts.alias("parts"))
-    model = model.unionByName(factors.join(kept.select("ctx", parts.alias("parts")), "ctx").select("ctx", "next", "value", "parts"))
-    model = model.select("ctx", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "next", "value", F.lit(None).cast("long").alias("lm_key"))
-    tokens_of = rows.select("symbols", "lm_key")
+            for row in range(batch.num_rows):
+                key, states = batch.column(0)[row].as_py(), batch.column(1)[row].values
+                to = deal.value.model_buckets(depth, key)
+                to = to[to % rounds == share]
+                if len(to):
+                    packed = states.field("next").to_numpy().astype("<i4").tobytes() + states.field("prob").to_numpy().astype("<f8").tobytes()
+                    for bucket in to:
+                        yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([-len(states)], pa.int32()), pa.array([packed], pa.binary()), pa.array([np.int64(key).tobytes()], pa.binary())], names)
+
+    states = [t.groupBy("ctx").agg(F.collect_list(F.struct("next", "prob")).alias("states")) for t in tables]
+    states = [scratch.settle(s) for s in states]
     found = []
     for share in range(rounds):
-        both = model.filter(share_of("ctx", rounds) == share).unionByName(tokens_of.mapInArrow(asked(share), kinds))
-        both = both.repartition("ctx", "part").sortWithinPartitions("ctx", "part", "next", F.col("value").isNull())
-        found.append(scratch.settle(both.mapInArrow(summed, "lm_key long, more double").groupBy("lm_key").agg(F.sum("more").alias("more"))))
+        parts = [rows.select("symbols", "lm_key", "lm_learn").mapInArrow(asked(share), kinds)]
+        parts += [s.mapInArrow(modelled(depth, share), kinds) for depth, s in enumerate(states, 1)]
+        scored = reduce(DataFrame.unionByName, parts).groupBy("bucket").applyInArrow(bucket_scores(max_depth, root, LEAST_COUNT, LEAST_GAIN), "lm_key long, more double")
+        found.append(scratch.settle(scored.groupBy("lm_key").agg(F.sum("more").alias("more"))))
+    scratch.drop(*tables, *states)
     return reduce(DataFrame.unionByName, found).groupBy("lm_key").agg(F.sum("more").alias("more"))
 
 
@@ -438,7 +593,6 @@ def suffix_tree_scores(docs: DataFrame, train: str, keep: list[str], text: str =
     log_root = np.log10((unigrams + 1) / (unigrams.sum() + len(unigrams)))
 
     symbols = spark.sparkContext.broadcast(Symbols(key, n, symbol, len(common)))
-    root = spark.createDataFrame(pa.table({"next": pa.array(np.arange(len(log_root), dtype=np.int32)), "lower": pa.array(log_root)}))
     base_whole = np.log10(tokens + distinct + 1)
     class_whole = np.log10(class_n + class_words + 1)
     end_base, end_root = np.log10(ends + 1) - base_whole, log_root[-1]
@@ -478,12 +632,11 @@ def suffix_tree_scores(docs: DataFrame, train: str, keep: list[str], text: str =
 
     texts = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(train, F.lit(False)).alias("lm_learn"), F.coalesce(text, F.lit("")).alias("lm_text"))
     rows = scratch.settle(texts.mapInArrow(run, partial))
-    kept, factors = grown(scratch, rows.filter("lm_learn").select("symbols"), len(common) + (1 << CLASS_BITS), root, max_depth, tokens)
     # Sums are by text: those of equal texts are divided by their number.
     counts = vocabulary.select("word", F.col("n").alias("count"))
     rare = rows.select("lm_key", F.inline("rare")).withColumnRenamed("n", "times").join(counts.hint("merge"), "word")
     rare = rare.groupBy("lm_key").agg(F.sum("times").alias("known"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("add"))
-    sums = scratch.settle(context_factors(scratch, rows, kept, factors, tokens, max_depth))
+    sums = scratch.settle(context_scores(scratch, rows, log_root, max_depth))
     copies = rows.groupBy("lm_key").agg(F.count("*").alias("copies")).join(rare, "lm_key", "left").join(sums, "lm_key", "left")
     copies = copies.select("lm_key", *[(F.coalesce(c, F.lit(0)) / F.col("copies")).alias(c) for c in ("known", "add", "more")])
     out = rows.drop("rare", "symbols", "lm_learn").join(copies, "lm_key").select(

@@ -471,6 +471,31 @@ def test_language_model_by_force(spark, monkeypatch, head, least, gain, rows):
     assert sum(out[i]["score"] for i in range(0, 240, 5)) > sum(base[::5])
 
 
+@pytest.mark.parametrize("hot", [1 << 16, 300])
+def test_language_model_keeps_no_table_of_pairs(spark, monkeypatch, hot):
+    """Contexts are counted where their tokens are: what is kept in between follows texts and words, or hot contexts, not all counted pairs."""
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_COUNT", 6)
+    monkeypatch.setattr(suffix_tree_lm, "HOT_TOKENS", hot)
+    kept, settle = [], Scratch.settle
+
+    def counted(self, df):
+        table = settle(self, df)
+        kept.append(table.count())
+        return table
+
+    monkeypatch.setattr(Scratch, "settle", counted)
+    rng = random.Random(5)
+    lexicon = [f"w{i}" for i in range(60)]
+    phrases = [" ".join(rng.choices(lexicon, k=5)) for _ in range(6)]
+    texts = [" ".join(rng.choice(phrases) if rng.random() < 0.2 else rng.choice(lexicon) for _ in range(rng.randint(0, 40))) for _ in range(200)]
+    df = spark.createDataFrame([(i, t, i % 5 != 0) for i, t in enumerate(texts)], "doc_id long, text string, learn boolean").repartition(3)
+    out = {r["doc_id"]: r["score"] for r in suffix_tree_lm.suffix_tree_scores(df, "learn", ["doc_id"]).collect()}
+    want, _ = tree_scores([t for i, t in enumerate(texts) if i % 5], texts, suffix_tree_lm.MAX_DEPTH, 6)
+    assert [out[i] for i in range(len(texts))] == pytest.approx(want, abs=1e-6)
+    pairs = {tuple(row[i - d : i + 1]) for t in texts for row in [[*words(t), None]] for i in range(len(row)) for d in range(1, min(i, 4) + 1)}
+    assert len(pairs) > 10000 and max(kept) <= 2 * len(texts)
+
+
 def test_context_filter_misses_nothing(spark):
     keys = np.random.default_rng(3).integers(0, 2**63, 5000)
     found = suffix_tree_lm.ContextFilter.of(spark.createDataFrame(pa.table({"ctx": keys})).repartition(5))
